@@ -132,10 +132,18 @@ def under_any(path: Column | str, folders: Sequence[str]) -> Column:
 
 def resolve_location(path: Column | str, roots: Sequence[str]) -> Column:
     """The longest of the given roots that holds the path, else the root of the path itself."""
-    longest_first = sorted((root for root in roots if root.strip()), key=len, reverse=True)
-    return F.coalesce(
-        *[F.when(is_same_or_descendant(path, F.lit(root)), F.lit(root)) for root in longest_first], path_root(path)
-    )
+    path = _col(path)
+    by_key = {root.rstrip("/\\").upper(): F.lit(root) for root in sorted(roots) if root.strip()}
+    if not by_key:
+        return path_root(path)
+    longest_first = F.lit(sorted(by_key, key=len, reverse=True))
+
+    def holds(key: Column, upper: Column) -> Column:
+        below = upper.startswith(F.concat(key, F.lit("/"))) | upper.startswith(F.concat(key, F.lit("\\")))
+        return (upper == key) | below
+
+    found = F.transform(F.array(F.upper(path)), lambda upper: F.get(F.filter(longest_first, lambda key: holds(key, upper)), F.lit(0)))[0]
+    return F.coalesce(_lookup(by_key, found), path_root(path))
 
 
 def resolve_location_by_table(items: DataFrame, roots: DataFrame, name: str = "location") -> DataFrame:

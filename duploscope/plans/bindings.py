@@ -202,3 +202,44 @@ def grid_images(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(8).alias("height"),
         F.transform("embedding", lambda v: level(v).cast("int")).alias("grid"),
     )
+
+
+def twin_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`documents` under /a and again under /c, where every 50th is missing; all are items of their own."""
+    documents = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.concat(F.lit("/"), F.col("source"), F.lit("/"), F.col("lang"), F.lit("/"), _doc_name()).alias("rel"),
+        F.octet_length("text").alias("n_bytes"),
+        F.sha2("text", 256).alias("digest"),
+        F.explode(F.when(F.col("doc_id") % 50 == 0, F.array(F.lit("/a"))).otherwise(F.array(F.lit("/a"), F.lit("/c")))).alias("top"),
+    )
+    second = (F.col("top") == "/c").cast("long")
+    return read_inventory(
+        documents,
+        {
+            "item_id": F.col("doc_id") * 2 + second,
+            "root": F.col("top"),
+            "path": F.concat("top", "rel"),
+            "length": F.col("n_bytes"),
+            "modified_at": _doc_modified(),
+            "changed_at": _doc_modified(1),
+            "identity": identity_of("doc_id", volume=second + 1),
+            "digest": F.col("digest"),
+        },
+    )
+
+
+def text_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bytes of each text as the pixels of an image 24 wide, as high as the text is long."""
+    stride = 24 * 3
+    return (
+        table(spark, sf_dir, "documents")
+        .filter(F.octet_length("text") >= stride)
+        .select(
+            F.col("doc_id").alias("item_id"),
+            F.lit(24).alias("width"),
+            F.floor(F.octet_length("text") / stride).cast("int").alias("height"),
+            F.lit(3).alias("channels"),
+            F.col("text").cast("binary").alias("pixels"),
+        )
+    )
