@@ -82,10 +82,15 @@ def trim_separators(path: Column | str) -> Column:
     return F.regexp_replace(_col(path), r"[/\\]+$", "")
 
 
+def unified(path: Column | str) -> Column:
+    """The path with `/` between all segments."""
+    return F.translate(_col(path), "\\", "/")
+
+
 def relative_path(root: Column | str, path: Column | str) -> Column:
     """The part of the path below the root, separated by `/`."""
     below = F.substring(_col(path), F.length(trim_separators(root)) + 2, F.length(_col(path)))
-    return F.translate(below, "\\", "/")
+    return unified(below)
 
 
 def path_depth(path: Column | str) -> Column:
@@ -108,8 +113,8 @@ def ancestors(path: Column | str, root: Column | str) -> Column:
 
     Turns each "lies below" question into an equality join.
     """
-    path = F.translate(_col(path), "\\", "/")
-    top = F.translate(trim_separators(root), "\\", "/")
+    path = unified(path)
+    top = unified(trim_separators(root))
     parts = F.split(path, "/")
     first = F.size(F.split(top, "/"))
     folders = F.transform(
@@ -156,9 +161,9 @@ def resolve_location_by_table(items: DataFrame, roots: DataFrame, name: str = "l
         "_folder",
         F.explode(F.array_append(ancestors("_folder", path_root("_folder")), F.col("_folder"))).alias("_above"),
     )
-    known = roots.select(F.upper(trim_separators("root")).alias("_key"), F.col("root").alias("_root")).dropDuplicates(["_key"])
+    known = roots.groupBy(F.upper(unified(trim_separators("root"))).alias("_key")).agg(F.min("root").alias("_root"))
     best = (
-        walked.join(known, F.upper("_above") == F.col("_key"))
+        walked.join(known, F.upper(unified("_above")) == F.col("_key"))
         .groupBy("_folder")
         .agg(F.max_by("_root", F.length("_root")).alias("_root"))
     )
@@ -175,7 +180,7 @@ def collapse_roots(roots: DataFrame) -> DataFrame:
     distinct = (
         roots.filter(F.trim("root") != "")
         .select(trim_separators("root").alias("root"))
-        .groupBy(F.upper("root").alias("_key"))
+        .groupBy(F.upper(unified("root")).alias("_key"))
         .agg(F.min("root").alias("root"))
     )
     walked = distinct.select("_key", F.explode(ancestors("_key", path_root("_key"))).alias("_above"))

@@ -178,13 +178,13 @@ def split_eligible(entries: DataFrame, policy: Policy) -> Split:
     judged = materialize(
         entries.withColumn("reason", entry_reason(policy)).withColumn("_folder", paths.containing_folder("path"))
     )
-    rejected = judged.filter("is_dir and reason is not null").select(F.upper("path").alias("_above"))
+    rejected = judged.filter("is_dir and reason is not null").select(F.upper(paths.unified("path")).alias("_above"))
     # a folder counts itself among those that can take it out
     folders = judged.select("_folder", "root").distinct()
     walked = folders.select(
         "_folder",
         F.explode(F.array_append(paths.ancestors("_folder", "root"), F.col("_folder"))).alias("_above"),
-    ).withColumn("_above", F.upper("_above"))
+    ).withColumn("_above", F.upper(paths.unified("_above")))
     blocked = walked.join(rejected, "_above", "left_semi").select("_folder").distinct()
     visible = judged.join(blocked, "_folder", "left_anti").drop("_folder")
     return Split(
