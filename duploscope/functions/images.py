@@ -1,15 +1,18 @@
 """Perceptual fingerprints of images and the similarity of two of them.
 
-Everything is integer or fixed-order double arithmetic inside Spark expressions, so the pixels never
-leave the JVM and results do not depend on how rows are distributed.
+Everything is integer or fixed-order double arithmetic, so that results do not depend on how rows are
+distributed. Pixels stay in the JVM; only their samples are described in Arrow batches.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Sample grid, luminance weights, contrast target, score weights, thresholds and tiers.
 SIDE = 16
@@ -43,29 +46,21 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _div(value: Column, by: int) -> Column:
-    return F.floor(value / by).cast("int")
-
-
 def _samples(left: Column, top: Column, width: Column, height: Column) -> Column:
     """Bytes (blue, green, red) of 16 by 16 nearest-centre samples inside a window of the image."""
 
-    def sample(i: Column) -> Column:
-        x = F.least(F.col("width") - 1, left + _div((2 * (i % SIDE) + 1) * width, 2 * SIDE))
-        y = F.least(F.col("height") - 1, top + _div((2 * _div(i, SIDE) + 1) * height, 2 * SIDE))
-        at = ((y * F.col("width") + x) * F.col("channels") + 1).cast("int")
-        byte = lambda shift: F.conv(F.hex(F.substring(F.col("pixels"), at + shift, F.lit(1))), 16, 10).cast("int")
-        colored = F.when(F.col("channels") >= 3, F.lit(1)).otherwise(F.lit(0))
-        return F.struct(byte(0).alias("blue"), byte(colored).alias("green"), byte(2 * colored).alias("red"))
+    def offsets(start: Column, span: Column, last: Column, stride: Column) -> Column:
+        nearest = lambda n: F.least(last, start + F.shiftright((2 * n + 1) * span, 5)) * stride
+        return F.transform(F.sequence(F.lit(0), F.lit(SIDE - 1)), nearest)
 
-    return F.transform(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1)), sample)
+    columns = offsets(left, width, F.col("width") - 1, F.col("channels"))
+    rows = offsets(top, height, F.col("height") - 1, F.col("width") * F.col("channels"))
 
+    def taken(size: int) -> Column:
+        at = lambda y, x: F.substring(F.col("pixels"), y + x + 1, F.lit(size))
+        return _let(columns, lambda xs: F.flatten(F.transform(rows, lambda y: F.transform(xs, lambda x: at(y, x)))))
 
-def _luminance(samples: Column) -> Column:
-    weighted = lambda s: (
-        LUMINANCE_WEIGHTS["red"] * s["red"] + LUMINANCE_WEIGHTS["green"] * s["green"] + LUMINANCE_WEIGHTS["blue"] * s["blue"]
-    )
-    return F.transform(samples, lambda s: F.shiftright(weighted(s), 8))
+    return F.when(F.col("channels") >= 3, taken(3)).otherwise(F.transform(taken(1), lambda grey: F.concat(grey, grey, grey)))
 
 
 def samples() -> Column:
@@ -73,24 +68,11 @@ def samples() -> Column:
     return _samples(F.lit(0), F.lit(0), F.col("width"), F.col("height"))
 
 
-def sample_luminance() -> Column:
-    return _luminance(samples())
-
-
-def sample_center_luminance() -> Column:
-    """Luminance of the image without a border of a sixteenth."""
-    inset = lambda side: F.greatest(F.lit(1), _div(F.col(side), 16))
+def center_samples() -> Column:
+    """Samples of the image without a border of a sixteenth."""
+    inset = lambda side: F.greatest(F.lit(1), F.shiftright(F.col(side), 4))
     usable = lambda side: F.greatest(F.lit(1), F.col(side) - 2 * inset(side))
-    return _luminance(_samples(inset("width"), inset("height"), usable("width"), usable("height")))
-
-
-def color_histogram(sampled: Column) -> Column:
-    """Counts of the samples in four equal ranges of red, green and blue."""
-    channel = lambda s, k: F.when(k < 4, s["red"]).when(k < 8, s["green"]).otherwise(s["blue"])
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(11)),
-        lambda k: F.size(F.filter(sampled, lambda s: F.shiftright(channel(s, k), 6) == k % 4)),
-    )
+    return _samples(inset("width"), inset("height"), usable("width"), usable("height"))
 
 
 def normalize_contrast(values: Column) -> Column:
@@ -98,11 +80,10 @@ def normalize_contrast(values: Column) -> Column:
 
     Sums and squares are whole numbers, so mean and deviation do not depend on the order of addition.
     """
-    as_long = lambda v: v.cast("long")
-    sums = F.aggregate(
-        values,
-        F.struct(F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("q")),
-        lambda acc, v: F.struct((acc["s"] + as_long(v)).alias("s"), (acc["q"] + as_long(v) * as_long(v)).alias("q")),
+    zero = F.lit(0).cast("long")
+    sums = F.struct(
+        F.aggregate(values, zero, lambda acc, v: acc + v).alias("s"),
+        F.aggregate(values, zero, lambda acc, v: acc + v * v).alias("q"),
     )
     count = F.size(values).cast("long")
 
@@ -127,57 +108,117 @@ def normalize_contrast(values: Column) -> Column:
     return _let(sums, rescaled)
 
 
-def _bits(test: Callable[[Column], Column]) -> Column:
-    """64 bits as a long; bit i is set where `test(i)` holds."""
-    return F.aggregate(
-        F.sequence(F.lit(0), F.lit(63)),
-        F.lit(0).cast("long"),
-        lambda acc, i: acc.bitwiseOR(F.when(test(i), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))),
-    )
+# The 64 cells from last to first: folding them with a shift by one puts cell i at bit i.
+CELLS = range(63, -1, -1)
 
 
-def _cell(i: Column, side: int, right: int = 0, down: int = 0) -> Column:
-    """Index of cell i of the 8 by 8 grid in a square of `side`; neighbours stop at the border."""
+def _cells(values: Column, side: int, right: int = 0, down: int = 0) -> Column:
+    """Cells of the 8 by 8 grid in a square of `side`, or their neighbours, which stop at the border."""
     step = side // 8
-    x = F.least(F.lit(side - 1), (i % 8 + right) * step)
-    y = F.least(F.lit(side - 1), (_div(i, 8) + down) * step)
-    return y * side + x
+    at = [min(side - 1, (i // 8 + down) * step) * side + min(side - 1, (i % 8 + right) * step) for i in CELLS]
+    return F.transform(F.lit(at), lambda index: F.get(values, index))
+
+
+def _bits(flags: Column) -> Column:
+    return F.aggregate(
+        flags, F.lit(0).cast("long"), lambda acc, flag: F.shiftleft(acc, 1).bitwiseOR(flag.cast("long"))
+    )
 
 
 def average_hash(values: Column, side: int = SIDE) -> Column:
     """Bit i: cell i is at least the mean of the 64 cells."""
-    cells = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.get(values, _cell(i, side)))
 
-    def against_mean(c: Column) -> Column:
-        total = F.aggregate(c, F.lit(0).cast("long"), lambda acc, v: acc + v)
-        return _let(total, lambda s: _bits(lambda i: F.get(c, i) * 64 >= s))
+    def against_mean(cells: Column) -> Column:
+        total = F.aggregate(cells, F.lit(0).cast("long"), lambda acc, v: acc + v)
+        return _let(total, lambda s: _bits(F.transform(cells, lambda v: v * 64 >= s)))
 
-    return _let(cells, against_mean)
+    return _let(_cells(values, side), against_mean)
 
 
 def difference_hash(values: Column, vertical: bool, side: int = SIDE) -> Column:
     """Bit i: cell i is at least its right (or lower) neighbour."""
     right, down = (0, 1) if vertical else (1, 0)
     return _let(
-        values, lambda v: _bits(lambda i: F.get(v, _cell(i, side)) >= F.get(v, _cell(i, side, right, down)))
+        values,
+        lambda v: _bits(F.zip_with(_cells(v, side), _cells(v, side, right, down), lambda cell, other: cell >= other)),
     )
 
 
 def fingerprint(images: DataFrame) -> DataFrame:
-    """Fingerprints of images (item_id, path, width, height, channels, pixels); further columns are kept."""
-    sampled = images.withColumns({"_samples": samples(), "_center": sample_center_luminance()})
-    levels = sampled.withColumns(
-        {
-            "luminance": normalize_contrast(_luminance(F.col("_samples"))),
-            "center_luminance": normalize_contrast(F.col("_center")),
-            "histogram": color_histogram(F.col("_samples")),
-            "aspect": F.col("width").cast("double") / F.col("height"),
-        }
-    ).drop("_samples", "_center", "pixels")
-    hashes = {}
-    for prefix in ("", "center_"):
-        hashes.update(_hashes(prefix, F.col(f"{prefix}luminance"), SIDE))
-    return levels.withColumns(hashes)
+    """Fingerprints of images (item_id, path, width, height, channels, pixels); further columns are kept.
+
+    Spark takes the 512 samples out of the pixels, so that 2 KB per image reach the Arrow batches,
+    where the arithmetic runs on whole batches at once.
+    """
+    sampled = images.withColumns({"_whole": samples(), "_center": center_samples()}).drop("pixels")
+    kept = [field for field in sampled.schema if field.name not in ("_whole", "_center")]
+    names = [field.name for field in kept]
+    schema = T.StructType(list(kept))
+    for name in FINGERPRINT:
+        kind = T.DoubleType() if name == "aspect" else T.LongType() if name.endswith(HASHES) else T.ArrayType(T.IntegerType())
+        schema = schema.add(name, kind)
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole, center = _sample_bytes(batch.column("_whole")), _sample_bytes(batch.column("_center"))
+            found = {"histogram": _lists(sample_histogram(whole))}
+            for prefix, taken in (("", whole), ("center_", center)):
+                levels = normalized_levels(sample_luminance(taken))
+                found[f"{prefix}luminance"] = _lists(levels)
+                found.update({f"{prefix}{name}": pa.array(bits) for name, bits in grid_hashes(levels).items()})
+            sides = [batch.column(name).to_numpy(zero_copy_only=False) for name in ("width", "height")]
+            found["aspect"] = pa.array(sides[0] / sides[1])
+            columns = [batch.column(name) for name in names] + [found[name] for name in FINGERPRINT]
+            yield pa.RecordBatch.from_arrays(columns, [*names, *FINGERPRINT])
+
+    return sampled.mapInArrow(describe, schema)
+
+
+def _sample_bytes(column: pa.ListArray) -> np.ndarray:
+    """Images x samples x (blue, green, red)."""
+    taken = column.flatten()
+    ends = np.frombuffer(taken.buffers()[1], np.int32)[taken.offset : taken.offset + len(taken) + 1]
+    data = np.frombuffer(taken.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+    return data.reshape(-1, SIDE * SIDE, 3).astype(np.int64)
+
+
+def _lists(values: np.ndarray) -> pa.ListArray:
+    ends = np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.ravel().astype(np.int32)))
+
+
+def sample_luminance(taken: np.ndarray) -> np.ndarray:
+    weights = [LUMINANCE_WEIGHTS[name] for name in ("blue", "green", "red")]
+    return (taken * np.array(weights)).sum(axis=2) >> 8
+
+
+def sample_histogram(taken: np.ndarray) -> np.ndarray:
+    """Counts of the samples in four equal ranges of red, green and blue."""
+    ranges = taken[:, :, ::-1] >> 6
+    return np.stack([(ranges[:, :, channel] == k).sum(axis=1) for channel in range(3) for k in range(4)], axis=1)
+
+
+def normalized_levels(values: np.ndarray) -> np.ndarray:
+    """`normalize_contrast` of one row per image."""
+    n, total, squares = values.shape[1], values.sum(axis=1, keepdims=True), (values * values).sum(axis=1, keepdims=True)
+    spread = np.sqrt((n * squares - total * total) / (n * n))
+    flat = spread < 1
+    moved = np.rint(CONTRAST_CENTER + ((values - total / n) * CONTRAST_SPREAD / np.where(flat, 1, spread)))
+    return np.where(flat, CONTRAST_CENTER, np.clip(moved, 0, 255)).astype(np.int64)
+
+
+def grid_hashes(levels: np.ndarray) -> dict[str, np.ndarray]:
+    """The three hashes of 16 by 16 levels, one row per image."""
+    square = levels.reshape(-1, SIDE, SIDE)
+    even, following = np.arange(0, SIDE, 2), np.minimum(np.arange(2, SIDE + 2, 2), SIDE - 1)
+    cells = square[:, even][:, :, even]
+    flags = {
+        "difference_h": cells >= square[:, even][:, :, following],
+        "difference_v": cells >= square[:, following][:, :, even],
+        "average": cells * 64 >= cells.sum(axis=(1, 2), keepdims=True),
+    }
+    bit = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    return {name: (flag.reshape(-1, 64) * bit).sum(axis=1, dtype=np.uint64).view(np.int64) for name, flag in flags.items()}
 
 
 def _hashes(prefix: str, values: Column, side: int) -> dict[str, Column]:

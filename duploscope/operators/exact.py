@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 from duploscope.functions import ranking
 from duploscope.session import materialize
 
-BROADCAST_KEYS = 500_000  # (length, digest) keys of about 80 bytes: 40 MB
-
-
 def path_order(path: str = "path") -> list[Column]:
     """Case-insensitive path order, made total by the path itself."""
     return [F.upper(path), F.col(path)]
@@ -46,10 +43,12 @@ def digest_buckets(candidates: DataFrame) -> DataFrame:
 
 
 def _only_bucket_content(content: DataFrame, buckets: DataFrame) -> DataFrame:
-    """Content rows of the buckets, filtered before they are shuffled when the keys are few enough."""
-    keys = buckets.select("length", "digest")
-    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    return content.join(F.broadcast(keys) if few else keys, ["length", "digest"], "left_semi")
+    """Content rows of the buckets.
+
+    `buckets` is a written table: Spark knows its bytes and broadcasts it below its threshold, which keeps
+    other content from being shuffled at all. Above it, both sides are shuffled by key.
+    """
+    return content.join(buckets.select("length", "digest"), ["length", "digest"], "left_semi")
 
 
 def verify_content(rows: DataFrame, content: DataFrame | None) -> DataFrame:
@@ -62,18 +61,14 @@ def verify_content(rows: DataFrame, content: DataFrame | None) -> DataFrame:
     if content is None:
         return rows.withColumn("content_key", F.col("digest"))
     buckets = materialize(digest_buckets(rows))
-    shared = _only_bucket_content(content, buckets)
-    collided = materialize(
-        shared.select("length", "digest", "content")
-        .distinct()
-        .groupBy("length", "digest")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter("_n > 1")
-        .select("length", "digest")
+    contents = _only_bucket_content(content, buckets).select("length", "digest", "content").distinct()
+    collided = (
+        contents.groupBy("length", "digest").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("length", "digest")
     )
     if collided.isEmpty():
         return rows.withColumn("content_key", F.col("digest"))
     # Only contents whose digests collide get here.
+    collided = materialize(collided)
     open_content = _only_bucket_content(content, collided)
     named = (
         open_content.groupBy("length", "digest", "content")
