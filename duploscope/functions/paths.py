@@ -79,7 +79,7 @@ def path_root(path: Column | str) -> Column:
 
 
 def trim_separators(path: Column | str) -> Column:
-    return F.regexp_replace(_col(path), r"[/\\]+$", "")
+    return F.rtrim(_col(path), F.lit("/\\"))
 
 
 def unified(path: Column | str) -> Column:
@@ -113,18 +113,18 @@ def ancestors(path: Column | str, root: Column | str) -> Column:
 
     Turns each "lies below" question into an equality join.
     """
-    path = unified(path)
-    top = unified(trim_separators(root))
-    parts = F.split(path, "/")
-    first = F.size(F.split(top, "/"))
-    folders = F.transform(
-        F.sequence(first, F.size(parts) - 1),
-        lambda n: F.when(n == 1, F.when(parts[0] == "", F.lit("/")).otherwise(parts[0])).otherwise(
-            F.array_join(F.slice(parts, 1, n), "/")
-        ),
-    )
-    below = F.upper(path).startswith(F.concat(F.upper(top), F.lit("/")))
-    return F.when(below, folders).otherwise(F.array().cast("array<string>"))
+    separators = lambda text: F.length(text) - F.length(F.replace(text, F.lit("/")))
+
+    def walk(p: Column) -> Column:
+        folder, top = p["path"], p["top"]
+        # the text before the n-th separator; "/" itself stands before the first one
+        cut = lambda n: F.call_function("substring_index", folder, F.lit("/"), n)
+        above = F.transform(F.sequence(separators(top) + 1, separators(folder)), lambda n: F.coalesce(F.nullif(cut(n), F.lit("")), F.lit("/")))
+        below = F.startswith(F.upper(folder), F.concat(F.upper(top), F.lit("/")))
+        return F.when(below, above).otherwise(F.array().cast("array<string>"))
+
+    pair = F.struct(unified(path).alias("path"), unified(trim_separators(root)).alias("top"))
+    return F.transform(F.array(pair), walk)[0]
 
 
 def under_any(path: Column | str, folders: Sequence[str]) -> Column:

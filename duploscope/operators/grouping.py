@@ -10,6 +10,7 @@ two steps around it can take its turn at once, because no other anchor touches i
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -32,6 +33,11 @@ class SimilarGroups(NamedTuple):
     members: DataFrame
 
 
+def _gathered(parts: list[DataFrame], at_most: int = 16) -> list[DataFrame]:
+    """The same rows in few tables, so that plans stay small however many rounds there are."""
+    return [materialize(reduce(DataFrame.unionByName, parts))] if len(parts) >= at_most else parts
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(pos, component) of the vertices of edges (first_pos, second_pos); a component is named by its smallest."""
     both = materialize(_both_ways(edges))
@@ -194,7 +200,7 @@ def _settle_large(placed: DataFrame, edges: DataFrame, sensitivity: str) -> Data
             kept = materialize(
                 turn.groupBy("anchor_pos").applyInPandas(_settle_turns(sensitivity), "anchor_pos long, look long")
             )
-            taken.append(kept)
+            taken = _gathered([*taken, kept])
             # at most TURN_SIZE looks per anchor
             admitted = (
                 kept.join(looks, "look")
@@ -209,21 +215,16 @@ def _settle_large(placed: DataFrame, edges: DataFrame, sensitivity: str) -> Data
                 .filter(F.forall("_admitted", lambda one: images.meets(sensitivity, _with_composite(candidate, one))))
                 .select("anchor_pos", "look", "look_pos")
             )
-        looks_taken = taken[0]
-        for more in taken[1:]:
-            looks_taken = looks_taken.unionByName(more)
+        looks_taken = reduce(DataFrame.unionByName, taken)
         members = near.join(looks_taken, ["anchor_pos", "look"], "left_semi").select("anchor_pos", "pos")
         heads = anchors.select("anchor_pos", F.col("anchor_pos").alias("pos"))
         grouped = materialize(members.unionByName(heads))
-        found.append(grouped)
+        found = _gathered([*found, grouped])
         gone = grouped.select("pos")
         free = materialize(
             free.join(gone, "pos", "left_anti").join(gone.withColumnRenamed("pos", "other"), "other", "left_anti")
         )
-    everything = found[0]
-    for part in found[1:]:
-        everything = everything.unionByName(part)
-    return everything
+    return reduce(DataFrame.unionByName, found)
 
 
 def _with_composite(a: Column, b: Column) -> dict[str, Column]:

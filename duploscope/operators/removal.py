@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from duploscope.functions import paths
 from duploscope.operators.exact import path_order
+from duploscope.session import materialize
 
 # Attributes that rule an item out, and what a failed revalidation of a candidate becomes.
 UNSAFE_ATTRIBUTES = ("Directory", "ReparsePoint", "Device", "Offline", "System", "Hidden", "Encrypted", "RecallOnOpen",
@@ -168,7 +169,8 @@ def plan_issues(
     """
     if not complete:
         return _issue(members.sparkSession.range(1), "CancelledScanSnapshot")
-    first = _union(
+    # written, because it is looked at for emptiness and then read
+    first = materialize(_union(
         [
             invalid_groups(members),
             invalid_members(members, inventory),
@@ -178,7 +180,7 @@ def plan_issues(
             arithmetic_mismatches(members, groups, total),
             unknown_selected(members, selection),
         ]
-    )
+    ))
     return all_members_selected(members, selection) if first.isEmpty() else first
 
 
@@ -384,7 +386,7 @@ def similar_plan_issues(
     judged = groups.join(sizes, "group_id", "left").join(heads, ["group_id", "representative_id"], "left")
     broken = judged.filter("coalesce(_n, 0) < 2 or _in is null").select("group_id")
     sound = members.join(broken, "group_id", "left_anti")
-    first = _union(
+    first = materialize(_union(
         [
             _issue(repeats, "DuplicateCandidateIntent"),
             _issue(broken, "InvalidGroup"),
@@ -394,7 +396,7 @@ def similar_plan_issues(
             unsupported_paths(sound),
             unknown_selected(sound, marked, "UnknownCandidate"),
         ]
-    )
+    ))
     if not first.isEmpty():
         return first
     chosen = members.join(marked.select("identity").distinct(), "identity", "left_semi")
