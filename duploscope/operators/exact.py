@@ -23,7 +23,8 @@ def dedupe_identity(inv: DataFrame) -> DataFrame:
     """One row per physical identity, the first by path: aliases of one item are not copies."""
     row = F.struct(*inv.columns)
     first = F.min_by(row, F.struct(*path_order(), F.col("item_id")))
-    return inv.groupBy(F.col("identity").alias("_identity")).agg(first.alias("_row")).select("_row.*")
+    alone = F.when(F.col("identity").isNull(), F.col("item_id"))  # an unknown identity is nobody's alias
+    return inv.groupBy(F.col("identity").alias("_identity"), alone.alias("_alone")).agg(first.alias("_row")).select("_row.*")
 
 
 def size_candidates(inv: DataFrame) -> DataFrame:
@@ -75,9 +76,9 @@ def verify_content(rows: DataFrame, content: DataFrame | None) -> DataFrame:
         .agg(F.min("item_id").alias("_name"))
         .select("length", "digest", "content", "_name")
     )
-    variants = open_content.join(named, ["length", "digest", "content"]).select("item_id", "_name")
+    variants = open_content.join(named, ["length", "digest", "content"]).select("item_id", "length", "digest", "_name")
     return (
-        rows.join(variants, "item_id", "left")
+        rows.join(variants, ["item_id", "length", "digest"], "left")
         .withColumn("content_key", F.concat_ws("#", "digest", F.col("_name").cast("string")))
         .withColumn("content_key", F.when(F.col("digest").isNotNull(), F.col("content_key")))
         .drop("_name")

@@ -366,7 +366,8 @@ def cleanup_result(results: DataFrame) -> DataFrame:
 
 def surviving_items(inventory: DataFrame, outcomes: DataFrame) -> DataFrame:
     """The inventory without the removed items."""
-    return inventory.join(outcomes.filter(F.col("outcome") == REMOVED).select("item_id"), "item_id", "left_anti")
+    removed = outcomes.filter(F.col("outcome") == REMOVED).select("item_id", "path")
+    return inventory.join(removed, ["item_id", "path"], "left_anti")
 
 
 def similar_plan_issues(

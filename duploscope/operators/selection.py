@@ -66,16 +66,16 @@ def apply_proposal(members: DataFrame, proposal: DataFrame) -> Applied:
 
     Fails when a group would lose every member. `previous` holds the old flags for `undo`.
     """
-    wanted = proposal.select("item_id", F.lit(True).alias("_wanted"))
+    wanted = proposal.select("group_id", "item_id", F.lit(True).alias("_wanted"))
     affected = proposal.groupBy("group_id").agg(F.count_distinct("item_id").alias("_n"))
     sizes = members.groupBy("group_id").agg(F.count(F.lit(1)).alias("_members"))
     emptied = affected.join(sizes, "group_id").filter("_n >= _members")
     if not emptied.isEmpty():
         raise ValueError("the proposal would select every member of a group")
     marked = members.join(affected.select("group_id", F.lit(True).alias("_affected")), "group_id", "left")
-    previous = marked.filter("_affected").select("item_id", "selected")
+    previous = marked.filter("_affected").select("group_id", "item_id", "selected")
     applied = (
-        marked.join(wanted, "item_id", "left")
+        marked.join(wanted, ["group_id", "item_id"], "left")
         .withColumn("selected", F.when(F.col("_affected"), F.coalesce("_wanted", F.lit(False))).otherwise(F.col("selected")))
         .drop("_affected", "_wanted")
     )
@@ -84,9 +84,9 @@ def apply_proposal(members: DataFrame, proposal: DataFrame) -> Applied:
 
 def undo(members: DataFrame, previous: DataFrame) -> DataFrame:
     """Put the flags of the touched members back."""
-    before = previous.select("item_id", F.col("selected").alias("_before"))
+    before = previous.select("group_id", "item_id", F.col("selected").alias("_before"))
     return (
-        members.join(before, "item_id", "left")
+        members.join(before, ["group_id", "item_id"], "left")
         .withColumn("selected", F.coalesce("_before", "selected"))
         .select(*members.columns)
     )

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duploscope.functions import formats, images, paths, ranking
+from duploscope.operators import selection
 from duploscope.operators.exact import dedupe_identity, path_order
 from duploscope.session import materialize
 
@@ -22,6 +23,8 @@ ALL_PAIRS_UP_TO = 256
 NEWEST_PER_BUCKET = 64
 BEST_PER_IMAGE = 64
 
+MARKS = ("None", "Keep", "ConsiderRemoving")
+
 RANK_BLOCK = 65_536
 SCORES = ("structure", "difference", "average", "color", "aspect")
 
@@ -251,3 +254,28 @@ def sort_similar_groups(totals: DataFrame, by: str = "tier", descending: bool =
     key = {"tier": rank, "photo_count": F.col("photos"), "activity": F.col("newest"), "total_size": F.col("total_size")}[by]
     ties = [paths.file_name("first_path")] if by == "tier" else []
     return totals.orderBy(key.desc() if descending else key.asc(), *ties, "first_path")
+
+
+def mark(members: DataFrame, requests: DataFrame, value: str) -> DataFrame:
+    """Members with `mark` set for the requested images (item_id, request_no).
+
+    A group never has every image under "ConsiderRemoving": the request for the last one changes nothing.
+    """
+    if value not in MARKS:
+        raise ValueError(f"unknown mark: {value}")
+    if value == "ConsiderRemoving":
+        marked = members.withColumn("selected", F.col("mark") == value)
+        guarded = selection.guard_survivor(marked, requests).members
+        return guarded.withColumn("mark", F.when(F.col("selected"), F.lit(value)).otherwise(F.col("mark"))).select(*members.columns)
+    asked = requests.select("item_id", F.lit(value).alias("_mark")).distinct()
+    return members.join(asked, "item_id", "left").withColumn("mark", F.coalesce("_mark", "mark")).select(*members.columns)
+
+
+def marked_totals(members: DataFrame, per_group: bool = False) -> DataFrame:
+    """Number and bytes of the images under "ConsiderRemoving"."""
+    chosen = F.col("mark") == "ConsiderRemoving"
+    totals = [
+        F.count_if(chosen).alias("marked"),
+        F.coalesce(F.sum(F.when(chosen, F.col("length"))), F.lit(0)).alias("marked_bytes"),
+    ]
+    return members.groupBy("group_id").agg(*totals) if per_group else members.agg(*totals)

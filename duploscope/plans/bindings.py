@@ -124,7 +124,7 @@ def mirror(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
             "doc_id", "rel", "place", "changed", F.octet_length("body").alias("n_bytes"), F.sha2("body", 256).alias("digest")
         ),
         {
-            "item_id": F.col("doc_id") * 4 + F.col("place") + 1_000_000_000,
+            "item_id": _right_id(),
             "root": F.lit("/b"),
             "path": F.concat(F.element_at(F.array(F.lit("/b"), F.lit("/b/moved"), F.lit("/b/copy")), F.col("place") + 1), F.col("rel")),
             "length": F.col("n_bytes"),
@@ -137,6 +137,11 @@ def mirror(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return left, right
 
 
+def _right_id() -> Column:
+    """Negative, so that no number of documents makes both sides meet."""
+    return -(F.col("doc_id") * 4 + F.col("place")) - 1
+
+
 def _mirror_right(documents: DataFrame) -> DataFrame:
     """Rows of /b: place 0 = same path, 1 = moved, 2 = an extra copy."""
     doc = F.col("doc_id")
@@ -160,7 +165,7 @@ def mirror_content(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col(body).alias("content"),
     )
     left = shape(documents, F.col("doc_id"), "text")
-    right = shape(_mirror_right(documents), F.col("doc_id") * 4 + F.col("place") + 1_000_000_000, "body")
+    right = shape(_mirror_right(documents), _right_id(), "body")
     return left.unionByName(right)
 
 
@@ -237,6 +242,7 @@ def text_images(spark: SparkSession, sf_dir: str) -> DataFrame:
         .filter(F.octet_length("text") >= stride)
         .select(
             F.col("doc_id").alias("item_id"),
+            F.concat(F.lit("/text/"), F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit(".png")).alias("path"),
             F.lit(24).alias("width"),
             F.floor(F.octet_length("text") / stride).cast("int").alias("height"),
             F.lit(3).alias("channels"),

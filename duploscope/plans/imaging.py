@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duploscope.functions import images
-from duploscope.operators import grouping, review, selection, similar
+from duploscope.operators import grouping, similar
 from duploscope.plans import bindings
 from duploscope.plans.registry import DOCS, GROUPS, ITEMS, query
 from duploscope.plans.removing import _tiered
@@ -98,18 +98,22 @@ def _sample_hashes(lum: str, prefix: str) -> str:
     )
 
 
-PIXELS = f"""
+PRINTS = f"""
 WITH pics AS (SELECT doc_id AS item_id, strlen(text) // 72 AS height, hex(text) AS bytes FROM documents WHERE strlen(text) >= 72),
 samples AS (SELECT item_id, height, {_window('whole')} AS whole, {_window('center')} AS center FROM pics),
 greys AS (SELECT item_id, height, whole, {_grey('whole')} AS g, {_grey('center')} AS c FROM samples),
 sums AS (SELECT *, CAST(list_sum(g) AS BIGINT) AS s, CAST(list_sum(list_transform(g, lambda v: v * v)) AS BIGINT) AS q,
                 CAST(list_sum(c) AS BIGINT) AS cs, CAST(list_sum(list_transform(c, lambda v: v * v)) AS BIGINT) AS cq FROM greys),
-levels AS (SELECT item_id, height, whole, {_normal('g', 256)} AS lum, {_normal('c', 256).replace('q - s * s', 'cq - cs * cs').replace('CAST(s AS', 'CAST(cs AS')} AS clum FROM sums)
-SELECT item_id, array_to_string(lum, ',') AS luminance, array_to_string(clum, ',') AS center_luminance, CAST(24 AS DOUBLE) / height AS aspect,
-       array_to_string(list_transform(range(0, 12), lambda k: len(list_filter(whole, lambda x:
-         CASE WHEN k < 4 THEN {_byte('x', 2)} WHEN k < 8 THEN {_byte('x', 1)} ELSE {_byte('x', 0)} END // 64 = k % 4))), ',') AS histogram,
+levels AS (SELECT item_id, height, whole, {_normal('g', 256)} AS lum, {_normal('c', 256).replace('q - s * s', 'cq - cs * cs').replace('CAST(s AS', 'CAST(cs AS')} AS clum FROM sums),
+prints AS MATERIALIZED (SELECT item_id, lum, clum, CAST(24 AS DOUBLE) / height AS aspect,
+       list_transform(range(0, 12), lambda k: len(list_filter(whole, lambda x:
+         CASE WHEN k < 4 THEN {_byte('x', 2)} WHEN k < 8 THEN {_byte('x', 1)} ELSE {_byte('x', 0)} END // 64 = k % 4))) AS hist,
        {_sample_hashes('lum', '')}, {_sample_hashes('clum', 'center_')}
-FROM levels"""
+  FROM levels)
+"""
+PIXELS = PRINTS + """
+SELECT item_id, array_to_string(lum, ',') AS luminance, array_to_string(clum, ',') AS center_luminance, aspect, array_to_string(hist, ',') AS histogram,
+       difference_h, difference_v, average, center_difference_h, center_difference_v, center_average FROM prints"""
 
 
 @query("pixel_fingerprints", PIXELS)
@@ -130,9 +134,55 @@ def segment_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar.segment_candidates(placed_grids(spark, sf_dir)).withColumn("shared", F.col("shared").cast("long"))
 
 
-@query("identical_candidates", CANDIDATES + "SELECT first_pos, second_pos FROM same")
+TEXT_PAIRS = PRINTS + """,
+placed AS (SELECT *, row_number() OVER (ORDER BY item_id) - 1 AS pos, CAST(round_even(log2(aspect) * 8, 0) AS INT) AS class FROM prints),
+parts AS (SELECT pos, class, seg, substr(bits, seg * 16 + 1, 16) AS val
+          FROM (SELECT pos, class, CAST(CAST(difference_h AS BIT) AS VARCHAR) || CAST(CAST(difference_v AS BIT) AS VARCHAR) || CAST(CAST(average AS BIT) AS VARCHAR) AS bits FROM placed),
+               (SELECT unnest(range(0, 12)) AS seg)),
+near AS (SELECT DISTINCT first_pos, second_pos FROM (
+           SELECT p.pos AS first_pos, c.pos AS second_pos FROM parts c JOIN parts p ON p.seg = c.seg AND p.val = c.val AND abs(p.class - c.class) <= 1 AND p.pos < c.pos
+           QUALIFY row_number() OVER (PARTITION BY c.pos, c.seg, p.class ORDER BY p.pos DESC) <= 64)),
+shared AS (SELECT n.first_pos, n.second_pos, count(*) AS shared FROM near n JOIN parts a ON a.pos = n.first_pos JOIN parts b ON b.pos = n.second_pos AND a.seg = b.seg AND a.val = b.val
+           GROUP BY ALL),
+best AS (SELECT * FROM shared QUALIFY row_number() OVER (PARTITION BY second_pos ORDER BY shared DESC, first_pos) <= 64),
+same AS (SELECT min(pos) OVER (PARTITION BY difference_h, difference_v, average) AS first_pos, pos AS second_pos FROM placed QUALIFY first_pos <> second_pos),
+everyone AS (SELECT a.pos AS first_pos, b.pos AS second_pos FROM placed a JOIN placed b ON a.pos < b.pos WHERE (SELECT count(*) FROM placed) <= 256),
+cands AS (SELECT first_pos, second_pos FROM best WHERE (SELECT count(*) FROM placed) > 256
+          UNION SELECT first_pos, second_pos FROM same WHERE (SELECT count(*) FROM placed) > 256 UNION SELECT first_pos, second_pos FROM everyone)
+"""
+
+
+def _three_ways(score: str) -> str:
+    """Whole with whole, centre with whole, whole with centre; A and B stand for the prefixes."""
+    return "greatest(" + ", ".join(score.replace("{A}", a).replace("{B}", b) for a, b in (("", ""), ("center_", ""), ("", "center_"))) + ")"
+
+
+TEXT_SCORED = TEXT_PAIRS + f""",
+sides AS (SELECT pos, item_id, aspect, hist, lum AS luminance, clum AS center_luminance, difference_h, difference_v, average, center_difference_h, center_difference_v, center_average FROM placed),
+scored AS (SELECT a.item_id AS first_id, b.item_id AS second_id,
+    {_three_ways("1 - CAST(list_sum(list_transform(range(1, 257), lambda i: abs(a.{A}luminance[i] - b.{B}luminance[i]))) AS DOUBLE) / 256 / 255.0::DOUBLE")} AS structure,
+    {_three_ways("((1 - bit_count(xor(a.{A}difference_h, b.{B}difference_h)) / 64.0::DOUBLE) + (1 - bit_count(xor(a.{A}difference_v, b.{B}difference_v)) / 64.0::DOUBLE)) / 2")} AS difference,
+    {_three_ways("1 - bit_count(xor(a.{A}average, b.{B}average)) / 64.0::DOUBLE")} AS average,
+    least(1.0::DOUBLE, greatest(0.0::DOUBLE, 1 - CAST(list_sum(list_transform(range(1, 13), lambda i: abs(a.hist[i] - b.hist[i]))) AS DOUBLE) / 768)) AS color,
+    exp(-abs(ln(a.aspect / b.aspect))) AS aspect
+  FROM cands c JOIN sides a ON a.pos = c.first_pos JOIN sides b ON b.pos = c.second_pos),
+strong AS (SELECT *, 0.38::DOUBLE * structure + 0.24::DOUBLE * difference + 0.14::DOUBLE * average + 0.14::DOUBLE * color + 0.10::DOUBLE * aspect AS composite FROM scored)
+"""
+
+
+def placed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar.with_positions(images.fingerprint(bindings.text_images(spark, sf_dir)))
+
+
+@query("identical_candidates", TEXT_PAIRS + "SELECT first_pos, second_pos FROM same")
 def identical_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar.candidates_identical(placed_grids(spark, sf_dir))
+    return similar.candidates_identical(placed_texts(spark, sf_dir))
+
+
+@query("text_image_candidates", TEXT_PAIRS + "SELECT first_pos, second_pos FROM cands")
+def text_image_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates among images of many shapes, so that neighbouring aspect classes meet."""
+    return similar.candidates(placed_texts(spark, sf_dir))
 
 
 @query("pair_scores", SCORED + """
@@ -156,9 +206,12 @@ def _related(spark: SparkSession, sf_dir: str, sensitivity: str) -> tuple[DataFr
     return placed, pairs, similar.relationships(pairs, placed, sensitivity)
 
 
-@query("relationships_strict", SCORED + f"SELECT first_id, second_id, {TIER} AS tier FROM strong WHERE {_meets('Strict')}")
+@query("relationships_strict", TEXT_SCORED + f"SELECT first_id, second_id, round(composite, 6) AS composite, {TIER} AS tier FROM strong WHERE {_meets('Strict')}")
 def relationships_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _related(spark, sf_dir, "Strict")[2].select("first_id", "second_id", "tier")
+    """Near copies among the images of the documents."""
+    placed = placed_texts(spark, sf_dir)
+    related = similar.relationships(similar.materialize(similar.candidates(placed)), placed, "Strict")
+    return related.select("first_id", "second_id", F.round("composite", 6).alias("composite"), "tier")
 
 
 @query("relationships_balanced", SCORED + f"SELECT first_id, second_id, {TIER} AS tier FROM strong WHERE {_meets('Balanced')}")
@@ -264,12 +317,11 @@ def similar_sorted_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("similar_marks", GROUPS + f"""
 , state AS (SELECT group_id, item_id, length, CASE WHEN {START_SQL} THEN 'ConsiderRemoving' ELSE 'None' END AS mark FROM mem),
 turns AS (SELECT *, row_number() OVER (PARTITION BY group_id, mark = 'None' ORDER BY item_id) AS turn, count(*) FILTER (mark = 'None') OVER (PARTITION BY group_id) AS free FROM state)
-SELECT group_id, count(*) FILTER (mark <> 'None' OR turn < free) AS selected,
-       CAST(coalesce(sum(length) FILTER (mark <> 'None' OR turn < free), 0) AS BIGINT) AS selected_bytes FROM turns GROUP BY group_id""")
+SELECT group_id, count(*) FILTER (mark <> 'None' OR turn < free) AS marked,
+       CAST(coalesce(sum(length) FILTER (mark <> 'None' OR turn < free), 0) AS BIGINT) AS marked_bytes FROM turns GROUP BY group_id""")
 def similar_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every image marked for removal: each group refuses the last one."""
     _, members = _tiered(spark, sf_dir)
-    before = _start(members)
+    before = _start(members).withColumn("mark", F.when(F.col("selected"), F.lit("ConsiderRemoving")).otherwise(F.lit("None")))
     requests = before.select("item_id", F.col("item_id").alias("request_no"))
-    marked = selection.guard_survivor(before, requests).members
-    return review.selection_summary(marked, per_group=True)
+    return similar.marked_totals(similar.mark(before, requests, "ConsiderRemoving"), per_group=True)

@@ -214,3 +214,15 @@ def test_review_of_groups(spark):
     assert order("photo_count", True)[0] == 3 and order("activity", True) == [1, 2, 3] and order("total_size", False) == [3, 1, 2]
     kept = lambda **o: sorted(r["group_id"] for r in similar.filter_similar_groups(groups, members, **o).collect())
     assert kept(search="/Q/") == [1] and kept(tier="Similar") == [1, 3] and kept(tier="Similar", search="two") == [] and kept() == [1, 2, 3]
+
+
+def test_marks(spark):
+    members = spark.createDataFrame([(1, n, 10, "None") for n in range(3)] + [(2, n, 5, "None") for n in (7, 8)], "group_id long, item_id long, length long, mark string")
+    requests = members.select("item_id", F.col("item_id").alias("request_no"))
+    marked = similar.mark(members, requests, "ConsiderRemoving")
+    assert {(r["item_id"], r["mark"]) for r in marked.collect()} == {(0, "ConsiderRemoving"), (1, "ConsiderRemoving"), (2, "None"), (7, "ConsiderRemoving"), (8, "None")}
+    assert tuple(similar.marked_totals(marked).first()) == (3, 25)
+    kept = similar.mark(marked, requests.filter("item_id in (0, 2)"), "Keep")
+    assert {r["item_id"] for r in kept.filter("mark = 'Keep'").collect()} == {0, 2} and similar.marked_totals(kept).first()[0] == 2
+    with pytest.raises(ValueError):
+        similar.mark(members, requests, "Perhaps")
