@@ -62,6 +62,8 @@ def verify_content(rows: DataFrame, content: DataFrame | None) -> DataFrame:
     if content is None:
         return rows.withColumn("content_key", F.col("digest"))
     buckets = materialize(digest_buckets(rows))
+    if buckets.isEmpty():
+        return rows.withColumn("content_key", F.col("digest"))
     contents = _only_bucket_content(content, buckets).select("length", "digest", "content").distinct()
     collided = (
         contents.groupBy("length", "digest").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("length", "digest")
