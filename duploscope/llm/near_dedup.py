@@ -7,8 +7,9 @@ depth adapts to how crowded a region is. Candidates are the pairs of a leaf, fil
 from all TREES * DEPTH values, which travel along as one byte each.
 
 A group of near copies stays in one region at any depth. There the set that agrees most with its region, the
-pivot, is paired with all; pairs of sets that are both clearly like the same pivot add nothing. No size is capped: a region
-that is still larger than LEAF at full depth pairs each set with the next ones of the order as well.
+pivot, is paired with all; pairs of sets that are both clearly like the same pivot add nothing. Sets of a region that is still
+larger than LEAF at full depth, and that are neither clearly like a pivot nor joined with it in the end, become queries:
+they are compared with all sets that have candidates, in blocks of bounded size, by their shingles.
 
 All candidates are verified on full shingle sets: those with pivots first; of the others those that still join
 different components. Equal sets are one node from the start, so copies are never compared. Orders are dealt out by
@@ -18,6 +19,7 @@ ranges of (tree, values, id), which cut through any hot region.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -33,15 +35,16 @@ from duploscope.session import materialize
 
 WIDTH = 5
 PERCENT = 80  # 100 * shared >= PERCENT * union
-TREES, DEPTH = 12, 8
+TREES, DEPTH = 16, 8
 MIN_DEPTH = 2
-LEAF = 48
-MARGIN = 0.15  # below the threshold by the estimate: 3.5 standard deviations
+LEAF = 64
+MARGIN = 0.13  # below the threshold by the estimate: 3.7 standard deviations
 CLEAR = 0.1  # above it
-NEXT = 8  # neighbours of a set in a region that no value divides
+BLOCK_BYTES = 16 << 20  # shingles of one block of queries
 BROADCAST_IDS = 2_000_000  # ids of sets to be fetched, up to which they are broadcast: 16 MB
 
 _HASHES = TREES * DEPTH
+_PLAIN, _CENTRAL, _CROWDED = 1, 2, 4  # why a pair is named: a leaf, a pivot, or a member of a crowded region and its pivot
 _flips = words.mixed(np.arange(1, _HASHES + 1, dtype=np.uint64)).astype(np.uint32)
 _factors = words.mixed(np.arange(1001, 1001 + _HASHES, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
 
@@ -105,7 +108,7 @@ class _Finder:
         self.percent = percent
         self.first: list[np.ndarray] = []
         self.second: list[np.ndarray] = []
-        self.central: list[np.ndarray] = []
+        self.why: list[np.ndarray] = []
 
     def _like(self, region: _Region, one: int, others: np.ndarray) -> np.ndarray:
         """Estimated likeness; nothing where the sizes alone rule a link out."""
@@ -114,35 +117,42 @@ class _Finder:
         large = np.maximum(region.sizes[others], region.sizes[one])
         return np.where(100 * small >= self.percent * large, alike, 0.0)
 
-    def _emit(self, region: _Region, one: int, others: np.ndarray, central: bool) -> None:
+    def _emit(self, region: _Region, one: int, others: np.ndarray, why: int) -> None:
         ids, own = region.ids[others], region.ids[one]
         self.first.append(np.minimum(ids, own))
         self.second.append(np.maximum(ids, own))
-        self.central.append(np.full(len(ids), central))
+        self.why.append(np.full(len(ids), why))
 
     def _pivots(self, region: _Region, members: np.ndarray, pivot_of: np.ndarray) -> None:
-        """Pairs members with the most typical one among them, and again those that are not like it, while that gains."""
-        rest = members[pivot_of[members] < 0]
+        """Pairs members with the most typical one among them, and again those that are not clearly like it, while that gains."""
+        rest, why = members[pivot_of[members] < 0], _CENTRAL
         while len(rest) > LEAF:
             some = region.codes[rest[:: max(1, len(rest) // 256)]]  # enough to see the commonest values
             typical = np.array([np.bincount(column, minlength=256).argmax() for column in some.T], np.uint8)
             pivot = rest[(region.codes[rest] == typical).sum(axis=1).argmax()]
             others = rest[rest != pivot]
             like = self._like(region, pivot, others)
-            self._emit(region, pivot, others[like >= self.likely], True)
-            pivot_of[others[like >= self.clear]] = pivot
+            self._emit(region, pivot, others[like >= self.likely], why)
+            near = like >= self.clear
+            pivot_of[others[near]] = pivot
             pivot_of[pivot] = pivot
-            left = others[like < self.likely]
-            if len(others) - len(left) < max(1, len(rest) // 50):
+            if near.sum() < max(1, len(rest) // 50):
                 return
-            rest = left
+            rest, why = others[~near], _PLAIN
 
-    def _leaf(self, region: _Region, members: np.ndarray, pivot_of: np.ndarray, reach: int) -> None:
+    def _leaf(self, region: _Region, members: np.ndarray, pivot_of: np.ndarray) -> None:
         for place in range(len(members) - 1):
-            one, others = members[place], members[place + 1 : place + 1 + reach]
+            one, others = members[place], members[place + 1 :]
             others = others[(pivot_of[others] != pivot_of[one]) | (pivot_of[others] < 0)]
             if len(others):
-                self._emit(region, one, others[self._like(region, one, others) >= self.likely], False)
+                self._emit(region, one, others[self._like(region, one, others) >= self.likely], _PLAIN)
+
+    def _crowded(self, region: _Region, members: np.ndarray, pivot_of: np.ndarray) -> None:
+        """Names the members that are not clearly like a pivot, with the pivot of most others."""
+        pivots, counts = np.unique(pivot_of[members][pivot_of[members] >= 0], return_counts=True)
+        pivot = pivots[counts.argmax()] if len(pivots) else members[0]
+        others = members[pivot_of[members] < 0]
+        self._emit(region, pivot, others[others != pivot], _CROWDED)
 
     def search(self, region: _Region) -> None:
         size = len(region.ids)
@@ -153,24 +163,25 @@ class _Finder:
         while open_parts:
             members, depth = open_parts.pop()
             if len(members) <= LEAF:
-                self._leaf(region, members, pivot_of, LEAF)
+                self._leaf(region, members, pivot_of)
                 continue
             self._pivots(region, members, pivot_of)
             if depth == DEPTH:
-                self._leaf(region, members, pivot_of, NEXT)
+                self._crowded(region, members, pivot_of)
                 continue
             cut = np.flatnonzero(np.diff(region.values[members, depth])) + 1
             open_parts += [(part, depth + 1) for part in np.split(members, cut) if len(part) > 1]
 
     def batch(self) -> pa.RecordBatch:
-        parts = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (self.first, self.second, self.central)]
-        self.first, self.second, self.central = [], [], []
-        packed = np.unique(np.rec.fromarrays([parts[0], parts[1], ~parts[2].astype(bool)], names="a,b,c"))
-        _, once = np.unique(packed[["a", "b"]], return_index=True)
-        packed = packed[once]
+        parts = [np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (self.first, self.second, self.why)]
+        self.first, self.second, self.why = [], [], []
+        order = np.lexsort((parts[1], parts[0]))
+        first, second, why = (part[order] for part in parts)
+        if len(first):
+            begin = np.flatnonzero(np.concatenate(([True], (np.diff(first) != 0) | (np.diff(second) != 0))))
+            first, second, why = first[begin], second[begin], np.bitwise_or.reduceat(why, begin)
         return pa.RecordBatch.from_arrays(
-            [pa.array(packed["a"].astype(np.int64)), pa.array(packed["b"].astype(np.int64)), pa.array(~packed["c"].astype(bool))],
-            names=["first_pos", "second_pos", "central"],
+            [pa.array(first), pa.array(second), pa.array(why.astype(np.int32))], names=["first_pos", "second_pos", "why"]
         )
 
 
@@ -275,10 +286,10 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     pairs = materialize(
         rows.repartitionByRange(*order)
         .sortWithinPartitions(*order)
-        .mapInArrow(lambda batches: _candidates(batches, percent), "first_pos long, second_pos long, central boolean")
+        .mapInArrow(lambda batches: _candidates(batches, percent), "first_pos long, second_pos long, why int")
         .filter("first_pos <> second_pos")
         .groupBy("first_pos", "second_pos")
-        .agg(F.max("central").alias("central"))
+        .agg(F.bit_or("why").alias("why"))
     )
     ids = materialize(
         pairs.select(F.explode(F.array("first_pos", "second_pos")).alias("doc_id")).distinct()
@@ -288,22 +299,21 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
         given.join(wanted, "doc_id", "left_semi")
         .mapInArrow(lambda batches: _full_sets(batches, width), "id long, shingles binary")
     )
-    central = _links(pairs.filter("central"), sets, percent)
-    grouped = materialize(connected_components(central))
-
-    def label(side: str) -> DataFrame:
-        return grouped.select(F.col("pos").alias(side), F.col("component").alias(f"_{side}"))
-
-    apart = (
-        pairs.filter("NOT central")
-        .join(label("first_pos"), "first_pos", "left")
-        .join(label("second_pos"), "second_pos", "left")
-        .filter("coalesce(_first_pos, first_pos) <> coalesce(_second_pos, second_pos)")
+    central = _links(pairs.filter(f"why & {_CENTRAL} > 0"), sets, percent)
+    plain = _apart(pairs.filter(f"why & {_CENTRAL} = 0 AND why & {_PLAIN} > 0"), connected_components(central))
+    edges = central.unionByName(_links(plain, sets, percent)).unionByName(_same_document(named, nodes))
+    edges = materialize(edges)
+    components = connected_components(edges)
+    queries = materialize(
+        _apart(pairs.filter(f"why & {_CROWDED} > 0"), components)
+        .select(F.explode(F.array("first_pos", "second_pos")).alias("id"))
+        .distinct()
+        .join(sets, "id")
     )
-    others = _links(apart, sets, percent)
-    same_id = named.groupBy("doc_id").agg(F.countDistinct("set_key").alias("_sets")).filter("_sets > 1")
-    edges = central.unionByName(others).unionByName(_same_document(named, nodes, same_id))
-    components = connected_components(materialize(edges))
+    size = queries.agg(F.sum(F.octet_length("shingles"))).first()[0] or 0
+    if size:
+        found = materialize(_linked_with(queries, sets, percent, -(-size // BLOCK_BYTES)))
+        components = connected_components(edges.unionByName(found))
     return (
         signed.join(nodes.select("set_key", F.col("rep").alias("_rep")), "set_key", "left")
         .join(components.select(F.col("pos").alias("_rep"), "component"), "_rep", "left")
@@ -315,9 +325,57 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     )
 
 
-def _same_document(named: DataFrame, nodes: DataFrame, same_id: DataFrame) -> DataFrame:
+def _apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
+    """The pairs whose two sides are not in one component."""
+    for side in ("first_pos", "second_pos"):
+        label = components.select(F.col("pos").alias(side), F.col("component").alias(f"_{side}"))
+        pairs = pairs.join(label, side, "left")
+    return pairs.filter("coalesce(_first_pos, first_pos) <> coalesce(_second_pos, second_pos)")
+
+
+def _counted(batches: Iterator[pa.RecordBatch], ids: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, owners: np.ndarray,
+             percent: int) -> Iterator[pa.RecordBatch]:
+    """Links of each set with the queries, by counting which queries its shingles belong to."""
+    for batch in batches:
+        first: list[np.ndarray] = [np.zeros(0, np.int64)]
+        second: list[np.ndarray] = [np.zeros(0, np.int64)]
+        for own_id, one in zip(batch.column("id").to_numpy(zero_copy_only=False), batch.column("shingles")):
+            own = np.frombuffer(one.as_buffer(), np.uint64)
+            low, high = np.searchsorted(hashes, own, "left"), np.searchsorted(hashes, own, "right")
+            amounts = high - low
+            at = np.repeat(low - (np.cumsum(amounts) - amounts), amounts) + np.arange(amounts.sum())
+            shared = np.bincount(owners[at], minlength=len(ids))
+            hit = ids[(100 * shared >= percent * (sizes + len(own) - shared)) & (ids != own_id)]
+            first.append(np.minimum(hit, own_id))
+            second.append(np.maximum(hit, own_id))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate(first)), pa.array(np.concatenate(second))], names=["first_pos", "second_pos"]
+        )
+
+
+def _linked_with(queries: DataFrame, sets: DataFrame, percent: int, blocks: int) -> DataFrame:
+    """Links between the queries and all sets. Each block of queries is broadcast with its shingles in order."""
+    context, parts = sets.sparkSession.sparkContext, []
+    for block in range(blocks):
+        rows = queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).toArrow()
+        own = [np.frombuffer(one.as_buffer(), np.uint64) for one in rows["shingles"].combine_chunks()] if rows.num_rows else []
+        sizes = np.array([len(one) for one in own], np.int64)
+        hashes = np.concatenate(own) if own else np.zeros(0, np.uint64)
+        order = np.argsort(hashes, kind="stable")
+        index = (rows["id"].to_numpy(), sizes, hashes[order], np.repeat(np.arange(len(own)), sizes)[order])
+        shared = context.broadcast(index)
+        parts.append(
+            sets.mapInArrow(
+                lambda batches, shared=shared: _counted(batches, *shared.value, percent), "first_pos long, second_pos long"
+            )
+        )
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _same_document(named: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges between the nodes of rows that repeat a doc_id with other text."""
-    own = named.join(same_id, "doc_id", "left_semi").select("doc_id", "set_key").distinct()
+    several = named.groupBy("doc_id").agg(F.min("set_key").alias("_a"), F.max("set_key").alias("_b")).filter("_a <> _b")
+    own = named.join(several, "doc_id", "left_semi").select("doc_id", "set_key").distinct()
     reps = own.join(nodes.select("set_key", "rep"), "set_key").select("doc_id", "rep")
     first = reps.groupBy("doc_id").agg(F.min("rep").alias("first_pos"))
     return reps.join(first, "doc_id").select("first_pos", F.col("rep").alias("second_pos")).filter("first_pos <> second_pos")

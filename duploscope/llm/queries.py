@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duploscope.llm import decontamination, fingerprints, near_dedup, packing, pii, sharding, token_counts, url_filter
-from duploscope.llm.columns import table
+from duploscope.llm import decontamination, fingerprints, language, near_dedup, packing, pii, quality, sharding, token_counts, url_filter
+from duploscope.llm.columns import fold_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -122,3 +122,23 @@ FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT doc_id, min(ot
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the component of its near duplicates, by runs of two words."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
+@query("op4_language_id")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; a third of them is not learned from."""
+    documents = table(spark, sf_dir, "documents").withColumn("held_out", fold_of("doc_id", 3) == 1)
+    model = language.train(documents.filter("NOT held_out"))
+    return language.predict(documents, model, ("doc_id", "held_out"))
+
+
+@query("op6_quality_classifier")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document; the labels of a fifth of them are not learned from."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", (fold_of("doc_id", 5) == 0).alias("held_out"))
+    labels = table(spark, sf_dir, "labels").filter(fold_of("doc_id", 5) != 0).select("doc_id", F.col("quality").alias("label"))
+    model = quality.train(documents, labels)
+    scored = quality.score(documents, model, ("doc_id", "held_out"))
+    return scored.select(
+        "doc_id", "held_out", "score", F.when(F.col("score") >= quality.ACCEPTED, 1).otherwise(0).alias("predicted")
+    )
