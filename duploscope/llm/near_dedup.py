@@ -123,22 +123,22 @@ class _Finder:
         self.second.append(np.maximum(ids, own))
         self.why.append(np.full(len(ids), why))
 
-    def _pivots(self, region: _Region, members: np.ndarray, pivot_of: np.ndarray) -> None:
-        """Pairs members with the most typical one among them, and again those that are not clearly like it, while that gains."""
-        rest, why = members[pivot_of[members] < 0], _CENTRAL
+    def _pivots(self, region: _Region, members: np.ndarray, paired: np.ndarray, pivot_of: np.ndarray) -> None:
+        """Pairs members with the most typical one among them, and again those that are not like it, while that gains."""
+        rest = members[~paired[members]]
         while len(rest) > LEAF:
             some = region.codes[rest[:: max(1, len(rest) // 256)]]  # enough to see the commonest values
             typical = np.array([np.bincount(column, minlength=256).argmax() for column in some.T], np.uint8)
             pivot = rest[(region.codes[rest] == typical).sum(axis=1).argmax()]
             others = rest[rest != pivot]
             like = self._like(region, pivot, others)
-            self._emit(region, pivot, others[like >= self.likely], why)
-            near = like >= self.clear
-            pivot_of[others[near]] = pivot
-            pivot_of[pivot] = pivot
-            if near.sum() < max(1, len(rest) // 50):
+            near = others[like >= self.likely]
+            self._emit(region, pivot, near, _CENTRAL)
+            paired[near] = paired[pivot] = True
+            pivot_of[others[like >= self.clear]] = pivot_of[pivot] = pivot
+            if len(near) < max(1, len(rest) // 50):
                 return
-            rest, why = others[~near], _PLAIN
+            rest = others[like < self.likely]
 
     def _leaf(self, region: _Region, members: np.ndarray, pivot_of: np.ndarray) -> None:
         for place in range(len(members) - 1):
@@ -158,14 +158,14 @@ class _Finder:
         size = len(region.ids)
         if size < 2:
             return
-        pivot_of = np.full(size, -1)
+        paired, pivot_of = np.zeros(size, bool), np.full(size, -1)
         open_parts = [(np.arange(size), MIN_DEPTH)]
         while open_parts:
             members, depth = open_parts.pop()
             if len(members) <= LEAF:
                 self._leaf(region, members, pivot_of)
                 continue
-            self._pivots(region, members, pivot_of)
+            self._pivots(region, members, paired, pivot_of)
             if depth == DEPTH:
                 self._crowded(region, members, pivot_of)
                 continue
