@@ -4,7 +4,7 @@ Method: regular expressions propose spans, checksums confirm them (Luhn for card
 numbers), and words before a span adjust its score. The kinds of BASE are reported by their rules alone; those of
 ADDED only from MIN_SCORE up, so that a number that merely looks right needs a word that says what it is.
 
-Positions come from splitting the text at the matches: what lies between and the matches' lengths, summed up in blocks.
+Positions come from splitting the text at the matches: what lies between and the matches' lengths, summed up.
 Patterns are the plain ones in a form that takes linear time in Java and no stack for each repetition:
 repetitions that never have to give back are possessive, and a match begins where a run of its characters begins.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from duploscope.llm.columns import text_or_empty
 
-CONTEXT = 40  # code points before a span in which words count
+CONTEXT = 40  # code points before a span, back to the one before of its kind, in which words count
 MIN_SCORE = 0.7
 _BLOCK = 64  # spans whose positions are summed together
 
@@ -92,54 +92,66 @@ ADDED = (
 SPAN = "array<struct<kind:string,start:long,end:long,score:double>>"
 
 
-def _positions(steps: Column) -> Column:
-    """Start of each match, from (gap before it, its length): sums inside blocks on top of sums of whole blocks."""
-    both = lambda total, step: total + step["gap"] + step["size"]
-    plus = lambda total, value: total + value
-    zero = F.lit(0).cast("long")
-    last = F.greatest(F.ceil(F.size(steps) / _BLOCK) - 1, F.lit(0)).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(steps, b * _BLOCK + 1, F.lit(_BLOCK)))
-    sums = F.transform(blocks, lambda block: F.aggregate(block, zero, both))
-    bases = F.transform(sums, lambda _, b: F.aggregate(F.slice(sums, F.lit(1), b), zero, plus))
-    return F.flatten(
-        F.transform(
-            blocks,
-            lambda block, b: F.transform(
-                block, lambda step, i: F.get(bases, b) + F.aggregate(F.slice(block, F.lit(1), i), zero, both) + step["gap"]
-            ),
-        )
-    )
-
-
 def _with_spans(docs: DataFrame, text: str, kind: Kind, name: str) -> DataFrame:
-    """Adds the confirmed spans of one kind; every step is a column of its own, so that no text is searched twice."""
+    """Adds the confirmed spans of one kind.
+
+    Every step is a column of its own that several expressions use, so that it is computed once for a row; functions over
+    arrays use no column but through their arguments, as they would compute it again for each element. Positions are sums
+    inside blocks of matches on top of sums of whole blocks.
+    """
     body = text_or_empty(text)
     wanted = body.contains(kind.needed) if kind.needed == "@" else body.rlike(kind.needed)
-    none = lambda what: F.array().cast(f"array<{what}>")
-    docs = docs.withColumn("_found", F.when(wanted, F.regexp_extract_all(body, F.lit(kind.pattern), F.lit(0))).otherwise(none("string")))
-    has = F.size("_found") > 0
-    docs = docs.withColumn("_between", F.when(has, F.split(body, kind.pattern, -1)).otherwise(none("string")))
-    steps = F.transform(
-        "_found",
-        lambda match, i: F.struct(
-            F.length(F.get("_between", i)).cast("long").alias("gap"), F.length(match).cast("long").alias("size")
+    found = F.regexp_extract_all(body, F.lit(kind.pattern), F.lit(0))
+    zero = F.lit(0).cast("long")
+
+    def step(gap: Column, match: Column) -> Column:  # what lies before a match, and the match; after the last, a gap alone
+        return F.struct(
+            F.length(gap).cast("long").alias("gap"), F.length(match).cast("long").alias("size"), match.alias("match"),
+            F.lower(F.right(gap, F.lit(CONTEXT))).alias("near"),
+        )
+
+    steps = F.filter(F.zip_with(F.split(body, kind.pattern, -1), found, step), lambda s: s["match"].isNotNull())
+    docs = docs.withColumn("__pii_steps", F.when(wanted, steps))
+    has = F.size("__pii_steps") > 0
+    last = F.ceil(F.size("__pii_steps") / _BLOCK).cast("int") - 1
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice("__pii_steps", b * _BLOCK + 1, F.lit(_BLOCK)))
+    docs = docs.withColumn("__pii_blocks", F.when(has, blocks))
+
+    def advanced(total: Column, s: Column) -> Column:
+        return total + s["gap"] + s["size"]
+
+    bases = F.aggregate(
+        "__pii_blocks",
+        F.struct(zero.alias("total"), F.array().cast("array<long>").alias("before")),
+        lambda acc, block: F.struct(
+            F.aggregate(block, acc["total"], advanced).alias("total"),
+            F.concat(acc["before"], F.array(acc["total"])).alias("before"),
         ),
+        lambda acc: acc["before"],
     )
-    docs = docs.withColumn("_steps", F.when(has, steps)).withColumn("_starts", F.when(has, _positions(F.col("_steps"))))
 
-    def span(match: Column, i: Column) -> Column:
-        start = F.get("_starts", i)
-        near = F.lower(F.substr(body, F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT))))
-        raised = F.when(near.rlike(rf"\b({kind.words})"), 0.2).otherwise(0.0)
+    def located(block: Column, base: Column) -> Column:
+        return F.transform(
+            block,
+            lambda s, i: F.struct(
+                (F.aggregate(F.slice(block, F.lit(1), i), base, advanced) + s["gap"]).alias("start"),
+                s["match"].alias("match"), s["near"].alias("near"),
+            ),
+        )
+
+    def span(s: Column) -> Column:
+        start, match = s["start"], s["match"]
+        raised = F.when(s["near"].rlike(rf"\b({kind.words})"), 0.2).otherwise(0.0)
         return F.struct(
             F.lit(kind.name).alias("kind"), start.alias("start"), (start + F.length(match)).alias("end"),
-            F.least(F.lit(kind.score) + raised, F.lit(1.0)).alias("score"), kind.confirmed(match).alias("confirmed"),
+            F.least(F.lit(kind.score) + raised, F.lit(1.0)).alias("score"),
         )
 
     least = 0.0 if kind in BASE else MIN_SCORE
-    kept = F.filter(F.transform("_found", span), lambda s: s["confirmed"] & (s["score"] >= least))
-    kept = F.transform(kept, lambda s: F.struct(*[s[c].alias(c) for c in ("kind", "start", "end", "score")]))
-    return docs.withColumn(name, F.when(has, kept).otherwise(F.array().cast(SPAN))).drop("_found", "_between", "_steps", "_starts")
+    places = F.flatten(F.zip_with("__pii_blocks", bases, located))
+    confirmed = F.transform(F.filter(places, lambda s: kind.confirmed(s["match"])), span)
+    kept = F.filter(confirmed, lambda s: s["score"] >= least)
+    return docs.withColumn(name, F.when(has, kept).otherwise(F.array().cast(SPAN))).drop("__pii_steps", "__pii_blocks")
 
 
 def find_spans(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -151,11 +163,11 @@ def find_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     for kind in (*BASE, *ADDED):
         docs = _with_spans(docs, text, kind, f"_{kind.name}")
-    base = F.flatten(F.array(*[F.col(f"_{kind.name}") for kind in BASE]))
+    docs = docs.withColumn("__pii_base", F.flatten(F.array(*[F.col(f"_{kind.name}") for kind in BASE])))
     for kind in ADDED:
-        apart = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+        apart = lambda s: ~F.exists("__pii_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
         docs = docs.withColumn(f"_{kind.name}", F.filter(f"_{kind.name}", apart))
-    return docs
+    return docs.drop("__pii_base")
 
 
 def _digest(spans: Column) -> Column:
@@ -182,18 +194,19 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Kinds are replaced one after the other, accounts first; a later kind is sought in what the earlier ones left. Added
     kinds are replaced without asking for a word nearby where their checksum confirms them (`iban`), and otherwise not.
-    Null and empty texts, and all other columns, stay as they are.
+    Null and empty texts, and all other columns, stay as they are; names that begin with `__pii_` are taken.
     """
     for kind in (ADDED[0], *BASE):
         body = F.col(text)
         wanted = body.contains(kind.needed) if kind.needed == "@" else body.rlike(kind.needed)
-        docs = docs.withColumn("_found", F.when(wanted, F.regexp_extract_all(body, F.lit(kind.pattern), F.lit(0))))
         mask = f"[{kind.name.upper()}]"
-        masked = F.transform("_found", lambda match: F.when(kind.confirmed(match), mask).otherwise(match))
-        docs = docs.withColumn("_masked", masked)
-        pieces = F.transform(
+        found = F.regexp_extract_all(body, F.lit(kind.pattern), F.lit(0))
+        pieces = F.zip_with(
             F.split(body, kind.pattern, -1),
-            lambda piece, i: F.concat(piece, F.coalesce(F.get("_masked", i), F.lit(""))),
+            found,
+            lambda piece, match: F.concat(
+                piece, F.when(match.isNull(), "").when(kind.confirmed(match), mask).otherwise(match)
+            ),
         )
-        docs = docs.withColumn(text, F.when(F.size("_found") > 0, F.array_join(pieces, "")).otherwise(body)).drop("_found", "_masked")
+        docs = docs.withColumn(text, F.when(wanted, F.array_join(pieces, "")).otherwise(body))
     return docs
