@@ -109,7 +109,7 @@ def _mapped(file: str) -> _Index:
 
 
 def _keys(host: str, path: str, lengths: list[int]) -> Iterator[bytes]:
-    """Possible keys, from longest to shortest."""
+    """Possible keys, from longest to shortest; of equally long ones that with the longer host first."""
     if not host:
         return
     hosts = [host]
@@ -118,7 +118,7 @@ def _keys(host: str, path: str, lengths: list[int]) -> Iterator[bytes]:
         if host:
             hosts.append(host)
     paths = [path[:length] for length in reversed(lengths) if length <= len(path)]
-    yield from sorted(((h + p).encode() for h in hosts for p in paths), key=len, reverse=True)
+    yield from (key.encode() for key in sorted((h + p for h in hosts for p in paths), key=len, reverse=True))
 
 
 def _judged(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
@@ -157,7 +157,8 @@ def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """(page_id, host, path, rule, verdict) of every page by the longest rule that fits its url.
 
     `pages` has page_id and url, `rules` host, path and verdict (`allow` or `block`); other columns are not looked at. A
-    rule fits its host and all subdomains where the url's path starts with the rule's. `rule` is host and path, null where
+    rule fits its host and all subdomains where the url's path starts with the rule's; the longest counts, of equally long
+    ones that with the longer host. `rule` is host and path, null where
     none fits, and the verdict is then `allow`: what is not on the list passes. Null urls and urls without `://` have
     an empty host and path, which nothing fits. Repeated pages are judged each. No rules: all pass.
     """
