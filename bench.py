@@ -10,10 +10,11 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 from duploscope.plans import catalog
-from duploscope.session import get_session
+from duploscope.session import get_session, run_scope
 
 HEADLINE = [
     "path_functions", "item_labels", "criteria_waterfall", "eligible_entries", "identity_dedupe", "size_candidates",
@@ -31,12 +32,14 @@ def main() -> None:
     spark = get_session(
         "bench", f"local[{cpus}]", spark__sql__shuffle__partitions=cpus, spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false", spark__driver__memory="12g",
+        spark__checkpoint__dir=tempfile.mkdtemp(prefix="bench-"),
     )
     spark.sparkContext.setLogLevel("ERROR")
 
     def run(name: str) -> float:
         started = time.perf_counter()
-        catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        with run_scope(spark):
+            catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         return time.perf_counter() - started
 
     run(names[0])

@@ -31,7 +31,7 @@ def global_rank(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     inside = F.row_number().over(Window.partitionBy("_block").orderBy(*order))
     return (
         blocked.withColumn("_inside", inside)
-        .join(F.broadcast(offsets), "_block")
+        .join(offsets, "_block")
         .withColumn(name, F.col("_offset") + F.col("_inside") - 1)
         .drop("_block", "_inside", "_offset")
     )

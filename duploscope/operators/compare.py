@@ -50,7 +50,8 @@ def match_same_path(master: DataFrame, targets: DataFrame, roots: Sequence[str])
     Items carry root, path, length, modified_at and a proved content_key, null where unreadable.
     """
     left = master.withColumn("target", F.explode(F.array(*[F.lit(root) for root in roots])))
-    right = targets.withColumn("target", paths.trim_separators("root")).filter(F.col("target").isin(*roots))
+    known = F.create_map(*[F.lit(name) for root in roots for name in (root.upper(), root)])
+    right = targets.withColumn("target", F.try_element_at(known, F.upper(paths.trim_separators("root")))).filter("target IS NOT NULL")
     return _side(left, "master").join(_side(right, "compared"), ["target", "relative"], "full_outer")
 
 
@@ -84,7 +85,7 @@ def compare_master(master: DataFrame, targets: DataFrame, master_root: str, root
     )
     of_target = _rows(extra.join(used, list(SET_KEY), "left_anti"), F.lit("OnlyInTarget"), F.lit(1), F.lit(False))
     rows = matched.unionByName(of_master).unionByName(of_target)
-    return Comparison(rows, match_sets, compare_summary(rows, both))
+    return Comparison(rows, match_sets, compare_summary(rows, both, roots))
 
 
 def compare_same_path(both: DataFrame) -> DataFrame:
@@ -121,8 +122,8 @@ def sort_compare_rows(rows: DataFrame) -> DataFrame:
     return rows.orderBy("target", "relative", ordinal)
 
 
-def compare_summary(rows: DataFrame, both: DataFrame) -> DataFrame:
-    """Per target: files on both sides, count of each status, bytes of identical files."""
+def compare_summary(rows: DataFrame, both: DataFrame, roots: Sequence[str]) -> DataFrame:
+    """Per target, also one without any file: files on both sides, count of each status, bytes of identical files."""
     files = both.groupBy("target").agg(
         F.count("master_path").alias("master_files"), F.count("compared_path").alias("target_files")
     )
@@ -134,7 +135,8 @@ def compare_summary(rows: DataFrame, both: DataFrame) -> DataFrame:
         F.count_if(F.col("status") == "MovedRenamedExactMatch").alias("moved"),
         F.coalesce(F.sum(F.when(F.col("status") == "Identical", F.col("master_size"))), F.lit(0)).alias("identical_bytes"),
     )
-    return files.join(counts, "target")
+    targets = rows.sparkSession.createDataFrame([(root,) for root in roots], "target string")
+    return targets.join(files, "target", "left").join(counts, "target", "left").na.fill(0)
 
 
 def filter_compare_rows(rows: DataFrame, status: str | None = None, search: str | None = None) -> DataFrame:

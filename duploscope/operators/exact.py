@@ -1,11 +1,12 @@
 """Exact duplicates: by size and SHA-256, proved on the bytes.
 
-Rows travel as (id, path, length, digest). Content is read where it lies and crosses the network
-only for items whose digest occurs more than once.
+Rows travel as (id, path, length, digest). Only items of repeated lengths are read; content is read where it lies and
+crosses the network only for items whose digest occurs more than once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -52,10 +53,14 @@ def _only_bucket_content(content: DataFrame, buckets: DataFrame) -> DataFrame:
     return content.join(buckets.select("length", "digest"), ["length", "digest"], "left_semi")
 
 
-def verify_content(rows: DataFrame, content: DataFrame | None) -> DataFrame:
+Reader = Callable[[DataFrame], DataFrame]
+
+
+def verify_content(rows: DataFrame, content: DataFrame | Reader | None) -> DataFrame:
     """Add `content_key`: within one length, two rows have equal keys if and only if their bytes are equal.
 
-    `rows` holds item_id, length, digest; `content` holds item_id, length, digest, content. Copies
+    `rows` holds item_id, length, digest; `content` holds item_id, length, digest, content, and where items come in
+    several pieces also their number `chunk`; or it is a function that reads these for rows whose digest repeats. Copies
     collapse while they are scanned, so a bucket with a third of all rows moves one content per task.
     Where one digest has several contents, each content gets its own key.
     """
@@ -64,9 +69,14 @@ def verify_content(rows: DataFrame, content: DataFrame | None) -> DataFrame:
     buckets = materialize(digest_buckets(rows))
     if buckets.isEmpty():
         return rows.withColumn("content_key", F.col("digest"))
-    contents = _only_bucket_content(content, buckets).select("length", "digest", "content").distinct()
+    if not isinstance(content, DataFrame):
+        content = content(rows.join(buckets.select("length", "digest"), ["length", "digest"], "left_semi"))
+    if "chunk" not in content.columns:
+        content = content.withColumn("chunk", F.lit(0))
+    piece = ["length", "digest", "chunk"]
+    contents = _only_bucket_content(content, buckets).select(*piece, "content").distinct()
     collided = (
-        contents.groupBy("length", "digest").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("length", "digest")
+        contents.groupBy(*piece).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("length", "digest").distinct()
     )
     if collided.isEmpty():
         return rows.withColumn("content_key", F.col("digest"))
@@ -74,11 +84,16 @@ def verify_content(rows: DataFrame, content: DataFrame | None) -> DataFrame:
     collided = materialize(collided)
     open_content = _only_bucket_content(content, collided)
     named = (
-        open_content.groupBy("length", "digest", "content")
+        open_content.groupBy(*piece, "content")
         .agg(F.min("item_id").alias("_name"))
-        .select("length", "digest", "content", "_name")
+        .select(*piece, "content", "_name")
+    )
+    names = F.array_sort(F.collect_list(F.struct("chunk", "_name")))  # one for each piece of an item
+    variants = (
+        open_content.join(named, [*piece, "content"])
+        .groupBy("item_id", "length", "digest")
+        .agg(F.array_join(F.transform(names, lambda part: part["_name"].cast("string")), ".").alias("_name"))
     )
-    variants = open_content.join(named, ["length", "digest", "content"]).select("item_id", "length", "digest", "_name")
     return (
         rows.join(variants, ["item_id", "length", "digest"], "left")
         .withColumn("content_key", F.concat_ws("#", "digest", F.col("_name").cast("string")))
@@ -185,16 +200,35 @@ class ExactDuplicates(NamedTuple):
     groups: DataFrame
     members: DataFrame
     skipped: DataFrame
+    items: DataFrame
+
+
+def with_digests(items: DataFrame, digests: Reader) -> DataFrame:
+    """Items with `digest` and `failure`, of which only those of repeated lengths are read.
+
+    `digests` gets (item_id, path, length) of these and gives (item_id, path, digest) and, where it knows, `failure`.
+    """
+    wanted = materialize(size_candidates(items).select("item_id", "path", "length"))
+    read = digests(wanted)
+    if "failure" not in read.columns:
+        read = read.withColumn("failure", F.lit(None).cast("string"))
+    read = materialize(read.select("item_id", "path", "digest", "failure"))
+    return items.drop("digest", "failure").join(read, ["item_id", "path"], "left")
 
 
-def find_exact_duplicates(inv: DataFrame, content: DataFrame | None = None) -> ExactDuplicates:
-    """Groups of equal items, their members, and the items that could not be judged.
+def find_exact_duplicates(
+    inv: DataFrame, content: DataFrame | Reader | None = None, digests: Reader | None = None
+) -> ExactDuplicates:
+    """Groups of equal items, their members, the items that could not be judged, and all items with what was read of them.
 
-    Null digests are unreadable items: each one is skipped alone. Optional boolean columns
+    With `digests`, only items whose length occurs again are hashed at all, see `with_digests`; otherwise the inventory has the
+    digests. Null digests are unreadable items: each one is skipped alone. Optional boolean columns
     compare_failed and validate_failed tell of reads that failed later on, see `isolate_failures`.
     """
-    # one scan of the content for the digests; everything below reads this narrow table
+    # everything below reads this narrow table
     items = materialize(dedupe_identity(inv))
+    if digests is not None:
+        items = materialize(with_digests(items, digests))
     keyed = verify_content(items.filter("digest is not null"), content)
     groups = assemble_groups(keyed)
     members = keyed.join(groups.select("length", "content_key", "group_id"), ["length", "content_key"])
@@ -212,13 +246,14 @@ def find_exact_duplicates(inv: DataFrame, content: DataFrame | None = None) -> E
         )
         groups = groups.drop("_whole", "set_no")
         skipped = skipped.unionByName(isolated.skipped.select(*skipped.columns))
-    return ExactDuplicates(groups, members, skipped)
+    return ExactDuplicates(groups, members, skipped, items)
 
 
 def detection_skipped(items: DataFrame) -> DataFrame:
     """Unreadable items among the size candidates: unique lengths are never read, so they cannot fail."""
     unreadable = size_candidates(items).filter("digest is null")
-    return unreadable.select("item_id", "path", "identity", F.lit("HashFailed").alias("reason"))
+    reason = F.coalesce("failure", F.lit("HashFailed")) if "failure" in items.columns else F.lit("HashFailed")
+    return unreadable.select("item_id", "path", "identity", reason.alias("reason"))
 
 
 def scan_funnel(entries: DataFrame, accepted: DataFrame, result: ExactDuplicates, items: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ result of a run is the table of items that remain.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -67,30 +68,48 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def invalid_groups(members: DataFrame, reason: str = "InvalidVerifiedGroup", equal_lengths: bool = True) -> DataFrame:
-    """Groups of fewer than two members, or with a negative length or different lengths."""
-    checked = members.groupBy("group_id").agg(
+def invalid_groups(
+    groups: DataFrame, members: DataFrame, reason: str = "InvalidVerifiedGroup", equal_lengths: bool = True
+) -> DataFrame:
+    """Groups of fewer than two members, also of none, or with a negative length or different lengths."""
+    counted = members.groupBy("group_id").agg(
         F.count(F.lit(1)).alias("_n"), F.min("length").alias("_low"), F.max("length").alias("_high")
     )
-    bad = F.col("_n") < 2
+    checked = counted.join(groups.select("group_id").distinct(), "group_id", "full_outer")
+    bad = F.coalesce("_n", F.lit(0)) < 2
     if equal_lengths:
         bad = bad | (F.col("_low") < 0) | (F.col("_low") != F.col("_high"))
     return _issue(checked.filter(bad), reason)
 
 
-def invalid_members(members: DataFrame, inventory: DataFrame | None, reason: str = "InvalidVerifiedGroup") -> DataFrame:
+def _without_equal(rows: DataFrame, others: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Rows that no other row equals in all the columns; a null equals a null."""
+    known = others.select(*[F.col(name).alias(f"_known_{name}") for name in names]).distinct()
+    equal = [F.col(name).eqNullSafe(F.col(f"_known_{name}")) for name in names]
+    return rows.join(known, reduce(Column.__and__, equal), "left_anti")
+
+
+def overflowing_selection(members: DataFrame, selection: DataFrame) -> DataFrame:
+    """One finding if the bytes of the selected members do not fit into 64 bits."""
+    chosen = members.join(selection.select("identity").distinct(), "identity", "left_semi")
+    total = chosen.agg(F.try_sum("length").alias("_sum"), F.count("length").alias("_n"))
+    return _issue(total.filter("_n > 0 AND _sum IS NULL"), "SnapshotArithmeticMismatch")
+
+
+def invalid_members(
+    members: DataFrame, inventory: DataFrame | None, reason: str = "InvalidVerifiedGroup", negative_lengths: bool = False
+) -> DataFrame:
     """Members without identity, with a name that is not the end of the path, with an unsafe attribute, or
     that the inventory does not hold in just this state. Each is reported once."""
     wrong = (
         _no_identity()
         | (F.col("file_name") != paths.file_name("path"))
         | unsafe_attributes()
-        | (F.col("length") < 0)
+        | (F.lit(negative_lengths) & (F.col("length") < 0))
     )
     bad = members.filter(wrong).select("group_id", "item_id", "path")
     if inventory is not None:
-        known = inventory.select(*SNAPSHOT)
-        bad = bad.unionByName(members.join(known, list(SNAPSHOT), "left_anti").select("group_id", "item_id", "path"))
+        bad = bad.unionByName(_without_equal(members, inventory, SNAPSHOT).select("group_id", "item_id", "path"))
     return _issue(bad.distinct(), reason, F.col("path"))
 
 
@@ -127,13 +146,15 @@ def arithmetic_mismatches(members: DataFrame, groups: DataFrame, total: DataFram
 
     An overflow is a finding here, not an error.
     """
-    counted = members.groupBy("group_id").agg(F.count(F.lit(1)).alias("_n"), F.min("length").alias("_length"))
+    first = F.min_by("length", F.struct(*path_order(), F.col("item_id")))
+    counted = members.groupBy("group_id").agg(F.count(F.lit(1)).alias("_n"), first.alias("_length"))
     expected = F.try_multiply(F.col("_n") - 1, F.col("_length"))
     wrong = groups.join(counted, "group_id").filter(F.col("_n") >= 2).filter(~expected.eqNullSafe(F.col("reclaimable")))
     issues = _issue(wrong, "SnapshotArithmeticMismatch")
     if total is None:
         return issues
-    summed = groups.agg(F.coalesce(F.try_sum("reclaimable"), F.when(F.count("reclaimable") == 0, 0)).alias("_sum"))
+    several = groups.join(counted.filter("_n >= 2").select("group_id"), "group_id", "left_semi")
+    summed = several.agg(F.coalesce(F.try_sum("reclaimable"), F.when(F.count("reclaimable") == 0, 0)).alias("_sum"))
     both = summed.withColumn("_one", F.lit(1)).join(
         total.select(F.col("reclaimable").alias("_stored"), F.lit(1).alias("_one")), "_one"
     )
@@ -172,13 +193,14 @@ def plan_issues(
     # written, because it is looked at for emptiness and then read
     first = materialize(_union(
         [
-            invalid_groups(members),
+            invalid_groups(groups, members),
             invalid_members(members, inventory),
             duplicate_identities(members, groups),
             duplicate_paths(members, groups),
             unsupported_paths(members),
             arithmetic_mismatches(members, groups, total),
             unknown_selected(members, selection),
+            overflowing_selection(members, selection),
         ]
     ))
     return all_members_selected(members, selection) if first.isEmpty() else first
@@ -236,9 +258,9 @@ def check_plan(plan: DataFrame, members: DataFrame, survivor_role: str = "keeper
         .filter("_n > 1")
     )
     state = ["group_id", *SNAPSHOT]
-    unknown = plan.join(members.select(*state), state, "left_anti")
+    unknown = _without_equal(plan, members, state)
     source = members.join(plan.select("group_id").distinct(), "group_id", "left_semi")
-    lost = source.join(plan.select(*state), state, "left_anti")
+    lost = _without_equal(source, plan, state)
     return _union(
         [
             problem(partial, "NoSurvivorOrCandidate"),
@@ -391,7 +413,7 @@ def similar_plan_issues(
         [
             _issue(repeats, "DuplicateCandidateIntent"),
             _issue(broken, "InvalidGroup"),
-            invalid_members(sound, None, "InvalidGroup"),
+            invalid_members(sound, None, "InvalidGroup", negative_lengths=True),
             duplicate_identities(sound, groups),
             duplicate_paths(sound, groups),
             unsupported_paths(sound),

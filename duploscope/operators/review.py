@@ -67,10 +67,15 @@ def only_selected_groups(groups: DataFrame, members: DataFrame) -> DataFrame:
     return visible_groups(groups, members.filter("selected"))
 
 
-def sort_groups(groups: DataFrame, by: str = "reclaimable", descending: bool = True, top: int | None = None) -> DataFrame:
-    """Groups in order; equal ones by their first path, ascending. With `top`, only the first rows are kept and moved."""
+def group_order(by: str = "reclaimable", descending: bool = True) -> list[Column]:
+    """The order of a sort option; equal groups by their first path, ascending."""
     key = SORTS[by]()
-    ordered = groups.orderBy(key.desc() if descending else key.asc(), F.upper("first_path"), "first_path")
+    return [key.desc() if descending else key.asc(), F.upper("first_path"), F.col("first_path")]
+
+
+def sort_groups(groups: DataFrame, by: str = "reclaimable", descending: bool = True, top: int | None = None) -> DataFrame:
+    """Groups in order. With `top`, only the first rows are kept and moved."""
+    ordered = groups.orderBy(*group_order(by, descending))
     return ordered if top is None else ordered.limit(top)
 
 

@@ -249,11 +249,16 @@ def filter_similar_groups(
 
 
 def sort_similar_groups(totals: DataFrame, by: str = "tier", descending: bool = True) -> DataFrame:
-    """Groups of `similar_group_totals` in order; ties end at the path of the representative."""
+    """Groups of `similar_group_totals` in order."""
+    return totals.orderBy(*similar_order(by, descending))
+
+
+def similar_order(by: str = "tier", descending: bool = True) -> list[Column]:
+    """The order of a sort option; ties end at the path of the representative."""
     rank = F.array_position(F.array(*[F.lit(name) for name in images.TIER_ORDER]), F.col("tier"))
     key = {"tier": rank, "photo_count": F.col("photos"), "activity": F.col("newest"), "total_size": F.col("total_size")}[by]
     ties = [paths.file_name("first_path")] if by == "tier" else []
-    return totals.orderBy(key.desc() if descending else key.asc(), *ties, "first_path")
+    return [key.desc() if descending else key.asc(), *ties, F.col("first_path")]
 
 
 def mark(members: DataFrame, requests: DataFrame, value: str) -> DataFrame:

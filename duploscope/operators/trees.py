@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duploscope.functions import paths
@@ -169,10 +169,14 @@ def folder_results(found: FolderGroups) -> DataFrame:
     return found.members.join(found.groups, "group_folder")
 
 
+def folder_order(sort: str = "reclaimable") -> list[Column]:
+    key = FOLDER_SORTS[sort]
+    return [F.col("folder")] if key is None else [F.col(key).desc(), F.col("folder")]
+
+
 def filter_folder_results(
     results: DataFrame, min_files: int = 0, search: str | None = None, sort: str = "reclaimable"
 ) -> DataFrame:
     """Member folders with enough files and matching text; largest first, or by path."""
     kept = results.filter((F.col("logical_files") >= min_files) & paths.search_match((search or "").strip(), "folder"))
-    key = FOLDER_SORTS[sort]
-    return kept.orderBy("folder") if key is None else kept.orderBy(F.col(key).desc(), "folder")
+    return kept.orderBy(*folder_order(sort))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from duploscope.operators import exact
+from duploscope.session import materialize
 from duploscope.sources.inventory import identity_of, read_inventory
 
 EXTENSIONS = ("txt", "JPG", "mp3", "mkv", "zip", "blend")
@@ -32,11 +34,19 @@ def _doc_modified(shift_hours: int | Column = 0) -> Column:
     return F.timestamp_seconds(F.lit(1704067200) + hours * 3600)
 
 
-def docs(spark: SparkSession, sf_dir: str, with_labels: bool = False, aliases: bool = True) -> DataFrame:
-    """`documents` as an inventory; every 25th document has a second name for the same identity."""
+def docs(
+    spark: SparkSession, sf_dir: str, with_labels: bool = False, aliases: bool = True, lengths: DataFrame | None = None
+) -> DataFrame:
+    """`documents` as an inventory; every 25th document has a second name for the same identity.
+
+    With a table of lengths, only documents of these are there, and only they are hashed.
+    """
     documents = table(spark, sf_dir, "documents").select(
-        "doc_id", "source", "lang", F.octet_length("text").alias("n_bytes"), F.sha2("text", 256).alias("digest")
+        "doc_id", "source", "lang", F.octet_length("text").cast("long").alias("n_bytes"), "text"
     )
+    if lengths is not None:
+        documents = documents.join(lengths.select(F.col("length").alias("n_bytes")), "n_bytes", "left_semi")
+    documents = documents.withColumn("digest", F.sha2("text", 256)).drop("text")
     attributes = F.array(F.lit("Normal"))
     if with_labels:
         labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
@@ -65,6 +75,21 @@ def docs(spark: SparkSession, sf_dir: str, with_labels: bool = False, aliases: b
     )
 
 
+def docs_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`docs` before anything is hashed."""
+    return docs(spark, sf_dir).withColumn("digest", F.lit(None).cast("string"))
+
+
+def docs_digests(spark: SparkSession, sf_dir: str) -> exact.Reader:
+    """Digests of the documents whose lengths occur among the asked ones."""
+
+    def read(wanted: DataFrame) -> DataFrame:
+        lengths = materialize(wanted.select("length").distinct())
+        return docs(spark, sf_dir, lengths=lengths).select("item_id", "path", "digest")
+
+    return read
+
+
 def docs_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bytes behind `docs`; an alias has those of its document."""
     return table(spark, sf_dir, "documents").select(

@@ -99,15 +99,13 @@ def nested_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("folder_results", TWINS + """
 SELECT row_number() OVER (ORDER BY bytes DESC, folder) AS place, folder, n AS logical_files, bytes AS total_bytes, CAST(reclaimable AS BIGINT) AS reclaimable
-FROM results WHERE n >= 3 AND contains(upper(folder), 'SRC1') ORDER BY bytes DESC, folder LIMIT 10""")
+FROM results WHERE n >= 3 AND contains(upper(folder), 'SRC1')""")
 def folder_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten largest matching folders; the limit is the report's."""
-    from pyspark.sql import Window
-
+    """Matching folders with their places, the largest first."""
     results = trees.folder_results(trees.find_duplicate_folders(_twins(spark, sf_dir)))
-    top = trees.filter_folder_results(results, min_files=3, search="Src1 ", sort="size").limit(10)
-    place = F.row_number().over(Window.orderBy(F.col("total_bytes").desc(), "folder"))
-    return top.select(place.cast("long").alias("place"), "folder", "logical_files", "total_bytes", "reclaimable")
+    kept = trees.filter_folder_results(results, min_files=3, search="Src1 ", sort="size")
+    placed = ranking.global_rank(kept, trees.folder_order("size"), "place")
+    return placed.select((F.col("place") + 1).alias("place"), "folder", "logical_files", "total_bytes", "reclaimable")
 
 
 def _numbered(found: trees.FolderGroups) -> DataFrame:
@@ -146,12 +144,12 @@ extra AS (SELECT target, ttext AS text, count(*) AS n, list(target || '/' || tre
           FROM pairs WHERE mrel IS NULL GROUP BY target, ttext),
 compared AS (
   SELECT target, rel AS relative, CASE WHEN mtext = ttext THEN 'Identical' ELSE 'Different' END AS status, '/a/' || mrel AS master_path,
-         [target || '/' || trel] AS found, CAST(1 AS BIGINT) AS n, strlen(mtext) AS msize, strlen(ttext) AS tsize, mmod, tmod
+         [target || '/' || trel] AS found, CAST(1 AS BIGINT) AS n, strlen(mtext) AS msize, strlen(ttext) AS tsize, mmod, tmod, CAST(NULL AS VARCHAR) AS mset
   FROM pairs WHERE mrel IS NOT NULL AND trel IS NOT NULL
   UNION ALL SELECT p.target, p.rel, CASE WHEN e.n IS NULL THEN 'OnlyInMaster' ELSE 'MovedRenamedExactMatch' END, '/a/' || p.mrel, e.found, coalesce(e.n, 0),
-         strlen(p.mtext), CASE WHEN e.n > 0 THEN strlen(p.mtext) END, p.mmod, e.tmod
+         strlen(p.mtext), CASE WHEN e.n > 0 THEN strlen(p.mtext) END, p.mmod, e.tmod, CASE WHEN e.n > 0 THEN sha256(p.mtext) END
   FROM pairs p LEFT JOIN extra e ON e.target = p.target AND e.text = p.mtext WHERE p.trel IS NULL
-  UNION ALL SELECT p.target, p.rel, 'OnlyInTarget', NULL, [p.target || '/' || p.trel], 1, NULL, strlen(p.ttext), NULL, p.tmod
+  UNION ALL SELECT p.target, p.rel, 'OnlyInTarget', NULL, [p.target || '/' || p.trel], 1, NULL, strlen(p.ttext), NULL, p.tmod, NULL
   FROM pairs p WHERE p.mrel IS NULL AND NOT EXISTS (SELECT 1 FROM pairs o WHERE o.trel IS NULL AND o.target = p.target AND o.mtext = p.ttext))
 """
 
@@ -203,19 +201,36 @@ ISO_OR_EMPTY = "coalesce(strftime({0}, '%Y-%m-%dT%H:%M:%S.%f') || '0+00:00', '')
 
 @query("comparison_report_rows", COMPARED + f"""
 SELECT target AS "Target", status AS "Status", relative AS "Relative path", coalesce(master_path, '') AS "Master path",
-       coalesce(array_to_string(found, ' | '), '') AS "Compared path", coalesce(CAST(msize AS VARCHAR), '') AS "Master size",
+       coalesce(found[1] || CASE WHEN n > 1 THEN ' (+' || (n - 1) || ')' ELSE '' END, '') AS "Compared path", coalesce(CAST(msize AS VARCHAR), '') AS "Master size",
        coalesce(CAST(tsize AS VARCHAR), '') AS "Compared size", {ISO_OR_EMPTY.format('mmod')} AS "Master modified UTC",
-       {ISO_OR_EMPTY.format('tmod')} AS "Compared modified UTC" FROM compared""")
+       {ISO_OR_EMPTY.format('tmod')} AS "Compared modified UTC", coalesce(mset, '') AS "Match set" FROM compared""")
 def comparison_report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = compared(spark, sf_dir)
-    return reports.comparison_report_rows(result.rows, result.match_sets)
+    return reports.comparison_report_rows(result.rows)
+
+
+@query("comparison_report_moved", COMPARED + """
+SELECT p.target AS "Target", CAST(strlen(p.ttext) AS VARCHAR) AS "Size", sha256(p.ttext) AS "Content", '/' || p.trel AS "Relative path",
+       p.target || '/' || p.trel AS "Compared path" FROM pairs p
+WHERE p.mrel IS NULL AND EXISTS (SELECT 1 FROM pairs o WHERE o.trel IS NULL AND o.target = p.target AND o.mtext = p.ttext)""")
+def comparison_report_moved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = reports.comparison_report_moved(compared(spark, sf_dir).match_sets)
+    return moved.withColumn("Relative path", F.concat(F.lit("/"), F.col("Relative path")))
+
+
+@query("comparison_report_head", COMPARED + """
+SELECT target, CAST(i AS BIGINT) AS line_no, CASE i WHEN 0 THEN 'Master: /a' WHEN 1 THEN 'Compared: ' || target ELSE '' END AS line
+FROM (SELECT DISTINCT target FROM compared), (VALUES (0), (1), (2)) v(i)""")
+def comparison_report_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    head = reports.comparison_report_head(compared(spark, sf_dir).summary, "/a")
+    return head.withColumn("line_no", F.col("line_no").cast("long"))
 
 
 @query("comparison_report_text", COMPARED + """
 SELECT target, relative, CAST(i AS BIGINT) AS line_no, CASE i WHEN 0 THEN status || ' | ' || relative WHEN 1 THEN '  Master: ' || coalesce(master_path, '(none)')
-       ELSE '  Compared: ' || coalesce(array_to_string(found, ' | '), '(none)') END AS line
+       ELSE '  Compared: ' || coalesce(found[1] || CASE WHEN n > 1 THEN ' (+' || (n - 1) || ')' ELSE '' END, '(none)') END AS line
 FROM compared, (VALUES (0), (1), (2)) v(i)""")
 def comparison_report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = compared(spark, sf_dir)
-    lines = reports.comparison_report_text(result.rows, result.match_sets)
+    lines = reports.comparison_report_text(result.rows)
     return lines.select("target", "relative", F.col("line_no").cast("long").alias("line_no"), "line")

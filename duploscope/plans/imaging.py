@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duploscope.functions import images
+from duploscope.functions import images, ranking
 from duploscope.operators import grouping, similar
 from duploscope.plans import bindings
 from duploscope.plans.registry import DOCS, GROUPS, ITEMS, query
@@ -281,17 +281,14 @@ def similar_group_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _places_sql(order: str) -> str:
     return GROUP_TOTALS + f"""
 SELECT row_number() OVER (ORDER BY {order}, first_path) AS place, group_id, photos, total_size,
-       CASE tier WHEN 'Similar' THEN 'Similar' ELSE 'Very similar' END AS tier_label FROM totals ORDER BY {order}, first_path LIMIT 20"""
+       CASE tier WHEN 'Similar' THEN 'Similar' ELSE 'Very similar' END AS tier_label FROM totals"""
 
 
 def _places(spark: SparkSession, sf_dir: str, by: str, descending: bool) -> DataFrame:
     groups, members = _tiered(spark, sf_dir)
     totals = similar.similar_group_totals(groups.select("group_id", "first_path", "tier"), members)
-    top = similar.sort_similar_groups(totals, by, descending).limit(20)
-    # at most 20 rows
-    return top.coalesce(1).select(
-        (F.monotonically_increasing_id() + 1).alias("place"), "group_id", "photos", "total_size", "tier_label"
-    )
+    placed = ranking.global_rank(totals, similar.similar_order(by, descending), "place")
+    return placed.select((F.col("place") + 1).alias("place"), "group_id", "photos", "total_size", "tier_label")
 
 
 @query("similar_sorted_by_tier", _places_sql("CASE tier WHEN 'VerySimilar' THEN 1 ELSE 2 END, regexp_extract(first_path, '[^/]*$')"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from duploscope.functions import ranking
 from duploscope.operators import exact, review, selection
 from duploscope.plans import bindings
 from duploscope.plans.registry import FORMAT_BYTES, GROUPS, ISO, REVIEW_TYPE, query
@@ -51,51 +52,45 @@ def size_class_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.visible_groups(groups, review.filter_members(view, size="LessThan1Mb", location="/src3")).select("group_id")
 
 
-def _top_sql(order: str) -> str:
+def _placed_sql(order: str) -> str:
     return GROUPS + f"""
-SELECT row_number() OVER (ORDER BY {order}, upper(first_path)) AS place, group_id, reclaimable
-FROM grps ORDER BY {order}, upper(first_path) LIMIT 20"""
+SELECT row_number() OVER (ORDER BY {order}, upper(first_path), first_path) AS place, group_id, reclaimable FROM grps"""
 
 
-def _top(spark: SparkSession, sf_dir: str, by: str, descending: bool) -> DataFrame:
-    from pyspark.sql import Window
-
+def _placed(spark: SparkSession, sf_dir: str, by: str, descending: bool) -> DataFrame:
     groups = exact_result(spark, sf_dir).groups
-    top = review.sort_groups(groups, by, descending, top=20)
-    key = review.SORTS[by]()
-    # 20 rows: the report's places are numbered after the limit
-    place = F.row_number().over(Window.orderBy(key.desc() if descending else key.asc(), F.upper("first_path")))
-    return top.select(place.cast("long").alias("place"), "group_id", "reclaimable")
+    placed = ranking.global_rank(groups, review.group_order(by, descending), "place")
+    return placed.select((F.col("place") + 1).alias("place"), "group_id", "reclaimable")
 
 
-@query("review_sorted_topk", _top_sql("reclaimable DESC"))
+@query("review_sorted_topk", _placed_sql("reclaimable DESC"))
 def review_sorted_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _top(spark, sf_dir, "reclaimable", True)
+    return _placed(spark, sf_dir, "reclaimable", True)
 
 
-@query("sorted_by_size", _top_sql("length"))
+@query("sorted_by_size", _placed_sql("length"))
 def sorted_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _top(spark, sf_dir, "file_size", False)
+    return _placed(spark, sf_dir, "file_size", False)
 
 
-@query("sorted_by_copies", _top_sql("members DESC"))
+@query("sorted_by_copies", _placed_sql("members DESC"))
 def sorted_by_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _top(spark, sf_dir, "copy_count", True)
+    return _placed(spark, sf_dir, "copy_count", True)
 
 
-@query("sorted_by_name", _top_sql("upper(regexp_extract(first_path, '[^/]*$'))"))
+@query("sorted_by_name", _placed_sql("upper(regexp_extract(first_path, '[^/]*$'))"))
 def sorted_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _top(spark, sf_dir, "name", False)
+    return _placed(spark, sf_dir, "name", False)
 
 
-@query("sorted_by_path", _top_sql("upper(first_path) DESC"))
+@query("sorted_by_path", _placed_sql("upper(first_path) DESC"))
 def sorted_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _top(spark, sf_dir, "path", True)
+    return _placed(spark, sf_dir, "path", True)
 
 
-@query("sorted_by_modified", _top_sql("first_modified_at DESC"))
+@query("sorted_by_modified", _placed_sql("first_modified_at DESC"))
 def sorted_by_modified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _top(spark, sf_dir, "modified", True)
+    return _placed(spark, sf_dir, "modified", True)
 
 
 @query("review_locations", r"SELECT DISTINCT regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS location FROM pages")

@@ -9,7 +9,6 @@ from duploscope.functions import formats, paths
 from duploscope.operators import eligibility, exact
 from duploscope.plans import bindings
 from duploscope.plans.registry import DOCS, FILE_TYPE, FORMAT_BYTES, GROUPS, ISO, ITEMS, REVIEW_TYPE, SIZE_BUCKET, query
-from duploscope.session import materialize
 
 CRITERIA = eligibility.Criteria(
     types=frozenset({"Documents", "Images", "Audio"}), custom_extensions=("blend",), min_bytes=200, max_bytes=20_000
@@ -21,7 +20,9 @@ EXCLUDING_SQL = "CASE WHEN lower(extension) = '.mp3' THEN 'ExtensionExcluded' EL
 
 
 def exact_result(spark: SparkSession, sf_dir: str) -> exact.ExactDuplicates:
-    return exact.find_exact_duplicates(bindings.docs(spark, sf_dir), bindings.docs_content(spark, sf_dir))
+    return exact.find_exact_duplicates(
+        bindings.docs_listing(spark, sf_dir), bindings.docs_content(spark, sf_dir), bindings.docs_digests(spark, sf_dir)
+    )
 
 
 @query("path_functions", r"""
@@ -329,8 +330,8 @@ UNION ALL SELECT 8, 'reclaimable', CAST(sum(members - 1) AS BIGINT), CAST(coales
 def scan_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = bindings.docs_entries(spark, sf_dir)
     accepted = eligibility.split_eligible(entries, POLICY).accepted
-    items = materialize(exact.dedupe_identity(bindings.docs(spark, sf_dir)))
-    return exact.scan_funnel(entries, accepted, exact_result(spark, sf_dir), items)
+    result = exact_result(spark, sf_dir)
+    return exact.scan_funnel(entries, accepted, result, result.items)
 
 
 @query("snapshot_changes", MIRROR_RIGHT + """

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_dir: str | None = None
+_own_dir: str | None = None
+_scopes: list[list[str]] = []
 
 
 def get_session(app_name: str = "duploscope", master: str | None = None, **conf: str) -> SparkSession:
@@ -39,17 +44,19 @@ def get_session(app_name: str = "duploscope", master: str | None = None, **conf:
 def shared_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables: `spark.checkpoint.dir`, which every executor can reach.
 
-    Only a local session, as in tests, may do without the setting and gets a temporary folder.
+    Only a session that is a single process may do without the setting; it gets a folder that goes when it ends.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    global _local_dir
-    if _local_dir is None:
-        _local_dir = tempfile.mkdtemp(prefix="duploscope-")
-    return _local_dir
+    global _own_dir
+    if _own_dir is None:
+        _own_dir = tempfile.mkdtemp(prefix="duploscope-")
+        atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
+    return _own_dir
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -60,4 +67,18 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/duploscope-tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def run_scope(spark: SparkSession) -> Iterator[None]:
+    """Removes the intermediate tables that are written inside when it ends; results must have been written or collected by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for name in _scopes.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

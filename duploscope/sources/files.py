@@ -1,68 +1,173 @@
-"""Files and images under folders that Spark can read."""
+"""Files and images under folders of any store that Arrow's file systems open.
+
+Folders are listed by tasks, level by level, with names that begin with a dot or an underscore. Content is read by path, in
+pieces of bounded size, so that a file of any size can be hashed and one that cannot be read is one row with its reason.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
+from functools import reduce
 from typing import NamedTuple
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duploscope.functions import paths
+from duploscope.session import materialize
 from duploscope.sources.inventory import identity_of, read_inventory
 
-
-def _local_path(path: str = "path"):
-    return F.regexp_replace(path, "^file:/*", "/")
-
-
-def read_binary(spark: SparkSession, roots: Sequence[str], recursive: bool = True) -> DataFrame:
-    """(path, modificationTime, length, content) of the files; unselected content is not read."""
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", str(recursive).lower())
-        .load(list(roots))
-        .withColumn("path", _local_path())
-    )
-
-
-def read_files(
-    spark: SparkSession, roots: Sequence[str], recursive: bool = True, with_digest: bool = True
-) -> DataFrame:
+PIECE = 4 << 20  # bytes that are read at once
+TASK_BYTES = 64 << 20  # of content for one task
+
+_LISTED = "path string, length long, modified timestamp, folder boolean, failure string"
+
+
+def _opened(path: str) -> tuple[fs.FileSystem, str, str]:
+    """File system, the path in it, and what stands before that path."""
+    system, inside = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    return system, inside, path[: len(path) - len(inside)] if path.endswith(inside) else ""
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows: list[tuple] = []
+        for folder in batch.column("path").to_pylist():
+            try:
+                system, inside, before = _opened(folder)
+                for info in system.get_file_info(fs.FileSelector(inside)):
+                    is_folder = info.type == fs.FileType.Directory
+                    rows.append((before + info.path, None if is_folder else info.size, info.mtime, is_folder, None))
+            except OSError:
+                rows.append((folder, None, None, True, "Inaccessible"))
+        columns = list(zip(*rows)) if rows else [()] * 5
+        kinds = (pa.string(), pa.int64(), pa.timestamp("us", "UTC"), pa.bool_(), pa.string())
+        names = ("path", "length", "modified", "folder", "failure")
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=list(names))
+
+
+def list_files(spark: SparkSession, roots: Sequence[str], recursive: bool = True) -> DataFrame:
+    """(path, length, modified, folder, failure) of everything below the roots; a folder that cannot be listed bears its failure."""
+    open_folders = spark.createDataFrame([(root.removeprefix("file:").rstrip("/") or "/",) for root in roots], "path string")
+    levels = []
+    while True:
+        spread = open_folders.repartition(max(1, min(1_000, open_folders.count())))
+        level = materialize(spread.mapInArrow(_listed, _LISTED))
+        levels.append(level)
+        open_folders = level.filter("folder AND failure IS NULL").select("path")
+        if not recursive or open_folders.isEmpty():
+            return reduce(DataFrame.unionByName, levels)
+
+
+def read_files(spark: SparkSession, roots: Sequence[str], recursive: bool = True, with_digest: bool = True) -> DataFrame:
     """The inventory of the files below the roots.
 
-    Without `with_digest` only names, lengths and times are listed and no file is opened. The file
-    source knows no physical identity or attributes: the identity is taken from the path, so each
+    Without `with_digest` only names, lengths and times are listed and no file is opened: what `find_exact_duplicates` needs
+    beside `hash_files`. The file source knows no physical identity or attributes: the identity is taken from the path, so each
     path is its own item. Where identities are known, join them in and use `read_inventory`.
     """
-    files = read_binary(spark, roots, recursive)
+    files = list_files(spark, roots, recursive).filter("NOT folder")
     mapping = {
         "item_id": F.xxhash64("path"),
         "path": F.col("path"),
         "root": paths.resolve_location("path", roots),
         "length": F.col("length"),
-        "modified_at": F.col("modificationTime"),
+        "modified_at": F.col("modified"),
         "identity": identity_of(F.xxhash64("path"), F.xxhash64(F.lit("identity"), "path")),
     }
-    if with_digest:
-        mapping["digest"] = F.sha2("content", 256)
-    return read_inventory(files, mapping)
+    inventory = read_inventory(files, mapping)
+    if not with_digest:
+        return inventory
+    read = hash_files(inventory).select("item_id", "path", "digest")
+    return inventory.drop("digest").join(read, ["item_id", "path"], "left").select(*inventory.columns)
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """The rows over as many tasks as their bytes ask for."""
+    total, count = rows.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count(F.lit(1))).first()
+    tasks = max(total // TASK_BYTES + 1, min(count, rows.sparkSession.sparkContext.defaultParallelism))
+    return rows.repartition(max(1, int(tasks)))
+
+
+def _pieces(path: str, length: int | None) -> Iterator[bytes]:
+    """The file's bytes; OSError if it cannot be read, ValueError if it is not as long as it was."""
+    system, inside, _ = _opened(path)
+    seen = 0
+    with system.open_input_stream(inside) as stream:
+        while piece := stream.read(PIECE):
+            seen += len(piece)
+            yield piece
+    if length is not None and seen != length:
+        raise ValueError(f"{seen} bytes instead of {length}")
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        digests: list[str | None] = []
+        failures: list[str | None] = []
+        for path, length in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist()):
+            digest, failure = hashlib.sha256(), None
+            try:
+                for piece in _pieces(path, length):
+                    digest.update(piece)
+            except FileNotFoundError:
+                failure = "Unavailable"
+            except OSError:
+                failure = "ReadFailed"
+            except ValueError:
+                failure = "ChangedDuringAnalysis"
+            digests.append(None if failure else digest.hexdigest())
+            failures.append(failure)
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in ("item_id", "path")), pa.array(digests, pa.string()), pa.array(failures, pa.string())],
+            names=["item_id", "path", "digest", "failure"],
+        )
 
 
-def read_file_content(spark: SparkSession, roots: Sequence[str], recursive: bool = True) -> DataFrame:
-    """(item_id, length, digest, content) to prove equality with."""
-    return read_binary(spark, roots, recursive).select(
-        F.xxhash64("path").alias("item_id"), "length", F.sha2("content", 256).alias("digest"), "content"
+def hash_files(rows: DataFrame) -> DataFrame:
+    """(item_id, path, digest, failure) of files (item_id, path, length)."""
+    return _spread(rows.select("item_id", "path", "length")).mapInArrow(
+        _hashed, "item_id long, path string, digest string, failure string"
     )
 
 
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            try:
+                for number, piece in enumerate(_pieces(row["path"], None)):
+                    yield pa.RecordBatch.from_pylist([{**row, "chunk": number, "content": piece}], schema=_CONTENT)
+            except OSError:  # gone since it was hashed: what is not there proves nothing against the rest
+                continue
+
+
+_CONTENT = pa.schema(
+    [("item_id", pa.int64()), ("path", pa.string()), ("length", pa.int64()), ("digest", pa.string()), ("chunk", pa.int32()), ("content", pa.binary())]
+)
+
+
+def read_file_content(rows: DataFrame) -> DataFrame:
+    """(item_id, length, digest, chunk, content) of files, to prove equality with; see `exact.verify_content`."""
+    return _spread(rows.select("item_id", "path", "length", "digest")).mapInArrow(
+        _contents, "item_id long, path string, length long, digest string, chunk int, content binary"
+    ).drop("path")
+
+
 class Images(NamedTuple):
     images: DataFrame
     skipped: DataFrame
 
 
+# Formats that Spark's image source decodes.
+DECODED = (".jpg", ".jpeg", ".png", ".bmp", ".gif")
+
+
 def read_images(spark: SparkSession, roots: Sequence[str]) -> Images:
-    """Decoded pixels (item_id, path, width, height, channels, pixels) and the files that do not decode."""
+    """Decoded pixels (item_id, path, width, height, channels, pixels) and the files that do not decode: `CodecUnavailable` where the
+    source has no codec for the extension, `CorruptImage` otherwise."""
     decoded = (
         spark.read.format("image")
         .option("dropInvalid", "false")
@@ -77,7 +182,10 @@ def read_images(spark: SparkSession, roots: Sequence[str]) -> Images:
             F.col("_image.data").alias("pixels"),
         )
     )
+    known = F.lower(paths.extension(F.col("path"))).isin(*DECODED)
     return Images(
         decoded.filter("width > 0"),
-        decoded.filter("width <= 0").select("item_id", "path", F.lit("CorruptImage").alias("reason")),
+        decoded.filter("width <= 0").select(
+            "item_id", "path", F.when(known, F.lit("CorruptImage")).otherwise(F.lit("CodecUnavailable")).alias("reason")
+        ),
     )

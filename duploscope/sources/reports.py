@@ -12,8 +12,6 @@ from duploscope.functions import formats, paths
 from duploscope.operators.compare import SET_KEY, STATUSES
 from duploscope.operators.exact import path_order
 
-LIST_LIMIT = 1_000  # compared paths listed in one cell; longer match sets are referred to by name
-
 
 def duplicate_report_rows(
     members: DataFrame, indexed_groups: DataFrame, visible: DataFrame | None = None
@@ -113,41 +111,27 @@ def folder_report_text(groups: DataFrame, members: DataFrame, indexed_groups: Da
     return head.unionByName(of_folder).unionByName(blank)
 
 
-def _compared_cell(rows: DataFrame, match_sets: DataFrame, list_limit: int) -> DataFrame:
-    """Rows with `compared`: all compared paths joined by " | ".
+def _compared_cell() -> Column:
+    """The compared path. A moved item has a set of them: the first, and how many more `comparison_report_moved` lists."""
+    more = F.when(F.col("compared_count") > 1, F.format_string(" (+%d)", F.col("compared_count") - 1)).otherwise("")
+    return F.concat("compared_path", more)
 
-    The paths of one match set are joined once, not once per master item. A set with more than
-    `list_limit` paths is named instead, and its paths are found in `match_sets`: listing n paths for
-    each of n moved copies would grow with the square of a group.
-    """
-    short = match_sets.groupBy(*SET_KEY).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") <= list_limit)
-    listed = (
-        match_sets.join(short.select(*SET_KEY), list(SET_KEY), "left_semi")
-        .groupBy(*SET_KEY)
-        .agg(F.array_sort(F.collect_list(F.struct("compared_relative", "compared_path"))).alias("_items"))
-        .select(
-            *[F.col(name).alias(f"_{name}") for name in SET_KEY],
-            F.array_join(F.transform("_items", lambda item: item["compared_path"]), " | ").alias("_joined"),
-        )
-    )
-    joined = rows.join(
-        listed,
-        (F.col("target") == F.col("_target"))
-        & (F.col("match_set.length") == F.col("_length"))
-        & (F.col("match_set.content_key") == F.col("_content_key")),
-        "left",
+
+def comparison_report_moved(match_sets: DataFrame) -> DataFrame:
+    """One row per compared path of a match set, for the rows of the report that have several: a set is named by its target, size and
+    content and has its paths once, however many master items point to it."""
+    return match_sets.select(
+        F.col("target").alias("Target"), F.col("length").cast("string").alias("Size"), F.col("content_key").alias("Content"),
+        F.col("compared_relative").alias("Relative path"), F.col("compared_path").alias("Compared path"),
     )
-    name = F.format_string("%d items of match set %d/%s", "compared_count", "match_set.length", "match_set.content_key")
-    cell = F.when(F.col("match_set").isNull(), F.col("compared_path")).otherwise(F.coalesce("_joined", name))
-    return joined.withColumn("compared", cell).drop("_target", "_length", "_content_key", "_joined")
 
 
-def comparison_report_rows(rows: DataFrame, match_sets: DataFrame, list_limit: int = LIST_LIMIT) -> DataFrame:
-    """The nine columns of the comparison report; missing values are empty."""
+def comparison_report_rows(rows: DataFrame) -> DataFrame:
+    """The nine columns of the comparison report and the content of a moved item's match set; missing values are empty."""
     text = lambda column: F.coalesce(column.cast("string"), F.lit(""))
     ordinal = F.array_position(F.array(*[F.lit(status) for status in STATUSES]), F.col("status"))
     return (
-        _compared_cell(rows, match_sets, list_limit)
+        rows.withColumn("compared", _compared_cell())
         .orderBy("target", "relative", ordinal)
         .select(
             F.col("target").alias("Target"),
@@ -159,11 +143,18 @@ def comparison_report_rows(rows: DataFrame, match_sets: DataFrame, list_limit: i
             text(F.col("compared_size")).alias("Compared size"),
             text(formats.iso_utc("master_modified")).alias("Master modified UTC"),
             text(formats.iso_utc("compared_modified")).alias("Compared modified UTC"),
+            text(F.col("match_set.content_key")).alias("Match set"),
         )
     )
 
 
-def comparison_report_text(rows: DataFrame, match_sets: DataFrame, list_limit: int = LIST_LIMIT) -> DataFrame:
+def comparison_report_head(summary: DataFrame, master_root: str) -> DataFrame:
+    """(target, line_no, line): the lines before the rows of a target."""
+    lines = F.array(F.lit(f"Master: {master_root}"), F.concat(F.lit("Compared: "), "target"), F.lit(""))
+    return summary.select("target", F.posexplode(lines).alias("line_no", "line"))
+
+
+def comparison_report_text(rows: DataFrame) -> DataFrame:
     """(target, relative, status, line_no, line): three readable lines per row."""
     or_none = lambda name: F.coalesce(F.col(name), F.lit("(none)"))
     lines = F.array(
@@ -171,7 +162,7 @@ def comparison_report_text(rows: DataFrame, match_sets: DataFrame, list_limit: i
         F.concat(F.lit("  Master: "), or_none("master_path")),
         F.concat(F.lit("  Compared: "), or_none("compared")),
     )
-    return _compared_cell(rows, match_sets, list_limit).select(
+    return rows.withColumn("compared", _compared_cell()).select(
         "target", "relative", "status", F.posexplode(lines).alias("line_no", "line")
     )
 

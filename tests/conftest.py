@@ -6,21 +6,28 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from duploscope.session import get_session  # noqa: E402
+from duploscope.session import get_session, run_scope  # noqa: E402
 from duploscope.sources.inventory import INVENTORY  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = get_session(
-        "tests", "local[8]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false", spark__driver__memory="6g",
+        "tests", "local[8]", spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")), spark__sql__shuffle__partitions="4", spark__ui__enabled="false", spark__driver__memory="6g",
         spark__ui__showConsoleProgress="false",
     )
     session.sparkContext.setLogLevel("ERROR")
     return session
 
 
+@pytest.fixture(autouse=True)
+def tables_of_the_test(spark):
+    """Intermediate tables go when the test that wrote them ends; those of wider fixtures stay."""
+    with run_scope(spark):
+        yield
+
+
 EPOCH = datetime(2024, 1, 1)
 
 

@@ -71,6 +71,32 @@ def test_rejections(scan):
     assert reasons(scan, some, groups=overflow) == ["SnapshotArithmeticMismatch"]
 
 
+def test_edges_of_groups(scan):
+    inv, groups, members = scan
+    some = pick(members, 1)
+    negative = members.withColumn("length", F.when(F.col("group_id") == 4, -2).otherwise(F.col("length")).cast("long"))
+    known = inv.withColumn("length", F.when(F.col("item_id") >= 4, -2).otherwise(F.col("length")).cast("long"))
+    own = groups.withColumn("reclaimable", F.when(F.col("group_id") == 4, -2).otherwise(F.col("reclaimable")).cast("long"))
+    assert issues((known, own, negative), some) == [("InvalidVerifiedGroup", None)]  # once for the group, not for its members
+    empty = groups.unionByName(groups.filter("group_id = 4").withColumns({"group_id": F.lit(99).cast("long"), "first_path": F.lit("/z"), "reclaimable": F.lit(0).cast("long")}))
+    assert issues((inv, empty, members), some) == [("InvalidVerifiedGroup", None)]
+    timeless = lambda df: df.withColumn("modified_at", F.lit(None).cast("timestamp"))
+    assert issues((timeless(inv), groups, timeless(members)), some) == []
+    assert removal.check_plan(removal.build_plan(timeless(members), some), timeless(members)).isEmpty()
+    assert {r for r, _ in issues((inv, groups, timeless(members)), some)} == {"InvalidVerifiedGroup"}
+    total = exact.total_reclaimable(groups)
+    single = groups.withColumn("reclaimable", F.when(F.col("group_id") == 4, 50).otherwise(F.col("reclaimable")).cast("long"))
+    found = removal.arithmetic_mismatches(members.filter("item_id <> 5"), single, total.withColumn("reclaimable", F.lit(8).cast("long")))
+    assert found.isEmpty()  # a group of one adds nothing to the total
+
+
+def test_selected_bytes_that_overflow(scan):
+    _, _, members = scan
+    huge = members.withColumn("length", F.lit(2**62).cast("long"))
+    assert [r["reason"] for r in removal.overflowing_selection(huge, pick(members, 1, 3)).collect()] == ["SnapshotArithmeticMismatch"]
+    assert removal.overflowing_selection(huge, pick(members, 1)).isEmpty()
+
+
 @pytest.mark.parametrize("attribute", removal.UNSAFE_ATTRIBUTES)
 def test_unsafe_attributes(scan, attribute):
     members = change(scan[2], 1, attributes=F.array(F.lit("Normal"), F.lit(attribute)))

@@ -1,9 +1,12 @@
+import hashlib
+import os
 import struct
 
 import pytest
 from duploscope import session
 from duploscope.functions import images, ranking
 from duploscope.operators import exact
+from duploscope.session import materialize
 from duploscope.sources import files, inventory
 from pyspark.sql import functions as F
 
@@ -18,26 +21,73 @@ def bitmap(width, height, color):
 
 def test_files_and_content(spark, tmp_path):
     (tmp_path / "a" / "deep").mkdir(parents=True)
-    for name, text in (("a/one.txt", "same"), ("a/deep/two.txt", "same"), ("a/three.txt", "diff"), ("four.bin", "other size")):
+    (tmp_path / ".hidden").mkdir()
+    for name, text in (
+        ("a/one.txt", "same"), ("a/deep/two.txt", "same"), ("a/three.txt", "diff"), ("four.bin", "other size"), (".hidden/_five", "same"), ("a/.six", "x"),
+    ):
         (tmp_path / name).write_text(text)
     inv = files.read_files(spark, [str(tmp_path)])
     rows = {r["file_name"]: r for r in inv.collect()}
-    assert set(rows) == {"one.txt", "two.txt", "three.txt", "four.bin"}
+    assert set(rows) == {"one.txt", "two.txt", "three.txt", "four.bin", "_five", ".six"}
     assert rows["two.txt"]["path"] == f"{tmp_path}/a/deep/two.txt" and rows["two.txt"]["root"] == str(tmp_path) and rows["two.txt"]["length"] == 4
-    found = exact.find_exact_duplicates(inv, files.read_file_content(spark, [str(tmp_path)]))
-    assert sorted(r["file_name"] for r in found.members.collect()) == ["one.txt", "two.txt"]
-    names = files.read_files(spark, [str(tmp_path)], with_digest=False)
-    plan = names._jdf.queryExecution().executedPlan().toString()
-    assert names.filter("digest is not null").isEmpty() and "content:binary" not in plan.split("ReadSchema:")[1]
+    assert rows["four.bin"]["digest"] == hashlib.sha256(b"other size").hexdigest()
+    listing = files.read_files(spark, [str(tmp_path)], with_digest=False)
+    assert listing.filter("digest is not null").isEmpty()
+    found = exact.find_exact_duplicates(listing, files.read_file_content, files.hash_files)
+    assert sorted(r["file_name"] for r in found.members.collect()) == ["_five", "one.txt", "two.txt"] and found.skipped.isEmpty()
     flat = files.read_files(spark, [str(tmp_path / "a")], recursive=False)
-    assert sorted(r["file_name"] for r in flat.collect()) == ["one.txt", "three.txt"]
+    assert sorted(r["file_name"] for r in flat.collect()) == [".six", "one.txt", "three.txt"]
+
+
+def test_only_files_of_repeated_lengths_are_opened(spark, tmp_path):
+    for n in range(5):
+        (tmp_path / f"unique-{n}").write_text("u" * (10 + n))
+    (tmp_path / "pair-1").write_text("pair"), (tmp_path / "pair-2").write_text("pair"), (tmp_path / "lost").write_text("gone")
+    listing = materialize(files.read_files(spark, [str(tmp_path)], with_digest=False))
+    asked = []
+
+    def read(wanted):
+        asked.extend(r["path"] for r in wanted.collect())
+        return files.hash_files(wanted)
+
+    for n in range(5):
+        (tmp_path / f"unique-{n}").unlink()  # nobody misses them
+    (tmp_path / "lost").unlink()
+    (tmp_path / "pair-2").write_text("longer now")
+    found = exact.find_exact_duplicates(listing, files.read_file_content, read)
+    assert sorted(p.rsplit("/", 1)[1] for p in asked) == ["lost", "pair-1", "pair-2"]
+    assert found.groups.isEmpty()
+    assert {(r["path"].rsplit("/", 1)[1], r["reason"]) for r in found.skipped.collect()} == {("lost", "Unavailable"), ("pair-2", "ChangedDuringAnalysis")}
+
+
+def test_content_in_pieces_and_unlistable_folders(spark, tmp_path, monkeypatch):
+    size = 2 * files.PIECE + 7
+    for name, last in (("a", b"1"), ("b", b"1"), ("c", b"2")):
+        (tmp_path / name).write_bytes(b"x" * (size - 1) + last)
+    listing = files.read_files(spark, [str(tmp_path)], with_digest=False)
+    found = exact.find_exact_duplicates(listing, files.read_file_content, files.hash_files)
+    assert sorted(r["file_name"] for r in found.members.collect()) == ["a", "b"]
+    same = exact.find_exact_duplicates(listing, files.read_file_content, lambda w: w.select("item_id", "path", F.lit("one").alias("digest")))
+    assert sorted(r["file_name"] for r in same.members.collect()) == ["a", "b"]  # equal digests are no proof
+    failed = files.list_files(spark, [str(tmp_path / "none")]).collect()
+    assert [(r["folder"], r["failure"]) for r in failed] == [(True, "Inaccessible")]
+
+
+def test_tables_go_with_their_run(spark):
+    with session.run_scope(spark):
+        table = session.materialize(spark.range(5))
+        path = table.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+        assert os.path.isdir(path) and table.count() == 5
+    assert not os.path.exists(path)
 
 
 def test_images(spark, tmp_path):
     (tmp_path / "red.bmp").write_bytes(bitmap(20, 10, (0, 0, 200)))
     (tmp_path / "broken.png").write_bytes(b"no image")
+    (tmp_path / "new.heic").write_bytes(b"no codec")
     read = files.read_images(spark, [str(tmp_path)])
-    assert [(r["path"], r["reason"]) for r in read.skipped.collect()] == [(f"{tmp_path}/broken.png", "CorruptImage")]
+    skipped = sorted((r["path"], r["reason"]) for r in read.skipped.collect())
+    assert skipped == [(f"{tmp_path}/broken.png", "CorruptImage"), (f"{tmp_path}/new.heic", "CodecUnavailable")]
     row = images.fingerprint(read.images).first()
     assert (row["width"], row["height"], row["aspect"]) == (20, 10, 2.0)
     assert row["histogram"] == [0, 0, 0, 256, 256, 0, 0, 0, 256, 0, 0, 0] and set(row["luminance"]) == {128}
@@ -74,6 +124,7 @@ class StubSession:
 def test_shared_folder():
     assert session.shared_dir(StubSession("yarn", "hdfs:///shared")) == "hdfs:///shared"
     assert session.shared_dir(StubSession("yarn", None, "hdfs:///set-by-code")) == "hdfs:///set-by-code"
-    with pytest.raises(RuntimeError):
-        session.shared_dir(StubSession("spark://host:7077"))
+    for master in ("spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            session.shared_dir(StubSession(master))
     assert session.shared_dir(StubSession("local[2]")) == session.shared_dir(StubSession("local[4]"))

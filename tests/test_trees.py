@@ -106,17 +106,27 @@ def test_comparison(items, tmp_path):
     assert [r["relative"] for r in compare.filter_compare_rows(result.rows, "OnlyInMaster", "GON").filter("target = '/t'").collect()] == ["gone"]
     one = result.rows.filter("target = '/t'")
     assert [r["relative"] for r in compare.sort_compare_rows(one).collect()] == ["changed", "gone", "moved", "new", "same"]
-    listed = {r["Relative path"]: r["Compared path"] for r in reports.comparison_report_rows(one, result.match_sets).collect()}
-    assert listed["moved"] == "/t/x/moved-1 | /t/x/moved-2" and listed["gone"] == ""
-    named = {r["Relative path"]: r["Compared path"] for r in reports.comparison_report_rows(one, result.match_sets, list_limit=1).collect()}
-    assert named["moved"].startswith("2 items of match set 2/")
-    reports.write_plain_csv(reports.comparison_report_rows(one, result.match_sets).coalesce(1), str(tmp_path / "csv"))
+    listed = {r["Relative path"]: r for r in reports.comparison_report_rows(one).collect()}
+    assert listed["moved"]["Compared path"] == "/t/x/moved-1 (+1)" and listed["gone"]["Compared path"] == ""
+    moved = reports.comparison_report_moved(result.match_sets).collect()
+    assert {(r["Content"], r["Compared path"]) for r in moved} == {(listed["moved"]["Match set"], f"/t/x/moved-{n}") for n in (1, 2)}
+    head = reports.comparison_report_head(result.summary, "/m").filter("target = '/t'").orderBy("line_no").collect()
+    assert [r["line"] for r in head] == ["Master: /m", "Compared: /t", ""]
+    reports.write_plain_csv(reports.comparison_report_rows(one).coalesce(1), str(tmp_path / "csv"))
     text = next((tmp_path / "csv").glob("*.csv")).read_text().splitlines()
-    assert text[2] == "/t,OnlyInMaster,gone,/m/gone,,1,,2024-01-01T00:00:00.0000000+00:00,"
-    lines = [r["line"] for r in reports.comparison_report_text(one, result.match_sets).orderBy("relative", "line_no").collect()]
+    assert text[2] == "/t,OnlyInMaster,gone,/m/gone,,1,,2024-01-01T00:00:00.0000000+00:00,,"
+    lines = [r["line"] for r in reports.comparison_report_text(one).orderBy("relative", "line_no").collect()]
     assert lines[3:6] == ["OnlyInMaster | gone", "  Master: /m/gone", "  Compared: (none)"]
 
 
+def test_roots_without_case_and_an_empty_target(items):
+    both = items([("/m/x", "1"), ("/t/x", "1")])
+    result = compare.compare_master(both.filter("root = '/m'"), both.filter("root = '/t'"), "/m", ["/T", "/empty"])
+    assert {(r["target"], r["status"]) for r in result.rows.collect()} == {("/T", "Identical"), ("/empty", "OnlyInMaster")}
+    nothing = compare.compare_master(both.limit(0), both.limit(0), "/m", ["/t"])
+    assert [tuple(r) for r in nothing.summary.collect()] == [("/t", 0, 0, 0, 0, 0, 0, 0, 0)]
+
+
 def test_unreadable_content_is_different(items):
     both = items([("/m/x", "1"), ("/t/x", "1")]).withColumn("content_key", F.lit(None).cast("string"))
     result = compare.compare_master(both.filter("root = '/m'"), both.filter("root = '/t'"), "/m", ["/t"])
