@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from duploscope.llm.columns import text_or_empty
 from duploscope.llm.tokens import VOCABULARY, encoder
+from duploscope.session import materialize
 
 BLOCK = 512  # lengths whose running sums are made together
 
@@ -40,6 +41,7 @@ def length_histogram(docs: DataFrame, tokenizer: str = VOCABULARY) -> DataFrame:
 
 def _running(histogram: DataFrame) -> DataFrame:
     """Adds the documents and tokens of shorter and equal lengths and of all; blocks of lengths first, then inside a block."""
+    histogram = materialize(histogram)  # which is small, and read twice below
     blocked = histogram.withColumn("_block", F.floor(F.col("n_tokens") / BLOCK)).withColumn(
         "_tokens", F.col("n_tokens") * F.col("documents")
     )
