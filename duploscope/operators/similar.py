@@ -1,7 +1,7 @@
 """Similar images: candidates, scores and review of groups.
 
 Candidates come from equal 16-bit hash segments. A segment value may be shared by a third of all
-images; each image looks only at the 64 newest holders before it, which is found by a running count
+images; by default each image looks only at the 64 newest holders before it, which is found by a running count
 and an equality join on blocks of that count, so no bucket is ever joined with itself.
 """
 
@@ -19,7 +19,6 @@ from duploscope.session import materialize
 
 # Formats that are looked at, and the bounds of the candidate search.
 IMAGE_EXTENSIONS = (".jpg", ".jpeg", ".png", ".bmp", ".gif", ".tif", ".tiff", ".webp", ".heic", ".heif")
-ALL_PAIRS_UP_TO = 256
 NEWEST_PER_BUCKET = 64
 BEST_PER_IMAGE = 64
 
@@ -71,11 +70,11 @@ def with_positions(fingerprints: DataFrame) -> DataFrame:
     return materialize(ranking.global_rank(fingerprints, [*path_order(), F.col("item_id")], "pos"))
 
 
-def candidates_all_pairs(placed: DataFrame) -> DataFrame:
-    """(first_pos, second_pos) of all pairs; only for the few images of a small collection."""
+def candidates_all_pairs(placed: DataFrame, at_most: int) -> DataFrame:
+    """(first_pos, second_pos) of all pairs, for a collection that the caller knows to be small; `candidates` does not use it."""
     last = placed.count() - 1
-    if last + 1 > ALL_PAIRS_UP_TO:
-        raise ValueError(f"all pairs are for at most {ALL_PAIRS_UP_TO} images")
+    if last + 1 > at_most:
+        raise ValueError(f"all pairs were asked for at most {at_most} images")
     later = F.when(F.col("pos") < last, F.sequence(F.col("pos") + 1, F.lit(last)))
     return placed.select(F.col("pos").alias("first_pos"), F.explode(later).alias("second_pos"))
 
@@ -102,10 +101,13 @@ def _shared_segments() -> Column:
     return total
 
 
-def segment_candidates(placed: DataFrame) -> DataFrame:
-    """Per image the best 64 earlier images by shared segments, among the 64 newest of each of its buckets.
+def segment_candidates(
+    placed: DataFrame, newest: int | None = NEWEST_PER_BUCKET, best: int | None = BEST_PER_IMAGE
+) -> DataFrame:
+    """Per image the `best` earlier images by shared segments, among the `newest` of each of its buckets.
 
-    A bucket is (aspect class, segment, value); an image is stored in its own aspect class and looks into
+    The bounds keep a bucket of many like images from being joined with itself; with None there are none, and every
+    pair with a segment in common is found. A bucket is (aspect class, segment, value); an image is stored in its own aspect class and looks into
     the neighbouring ones as well.
     """
     slim = placed.select("pos", *images.HASHES, images.aspect_bucket("aspect").alias("own_aspect"))
@@ -117,32 +119,51 @@ def segment_candidates(placed: DataFrame) -> DataFrame:
         .withColumn("_block", F.floor(F.col("pos") / RANK_BLOCK))
     )
     key = ["bucket_aspect", "segment", "value"]
+    if newest is None:
+        found = _sharing(spread, key)
+    else:
+        found = _sharing_newest(spread, key, newest)
+    if best is None:
+        return found
+    order = Window.partitionBy("second_pos").orderBy(F.col("shared").desc(), "first_pos")
+    return found.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= best).drop("_rank")
+
+
+def _hashes(name: str) -> Column:
+    return F.struct(*images.HASHES).alias(name)
+
+
+def _sharing(spread: DataFrame, key: list[str]) -> DataFrame:
+    members = spread.filter("delta = 0").select(*key, F.col("pos").alias("first_pos"), _hashes("member"))
+    probes = spread.select(*key, F.col("pos").alias("second_pos"), _hashes("probe"))
+    found = probes.join(members, key).filter("first_pos < second_pos")
+    return found.select("first_pos", "second_pos", _shared_segments().alias("shared")).distinct()
+
+
+def _sharing_newest(spread: DataFrame, key: list[str], newest: int) -> DataFrame:
     # stored images up to and including this row; the row itself is stored in its own class only
     counted = materialize(ranking.running_count(spread, key, [F.col("pos")], F.col("delta") == 0, "_count"))
-    hashes = lambda name: F.struct(*images.HASHES).alias(name)
     members = counted.filter("delta = 0").select(
-        *key, F.col("_count").alias("_seq"), F.floor((F.col("_count") - 1) / NEWEST_PER_BUCKET).alias("_part"),
-        F.col("pos").alias("first_pos"), hashes("member"),
+        *key, F.col("_count").alias("_seq"), F.floor((F.col("_count") - 1) / newest).alias("_part"),
+        F.col("pos").alias("first_pos"), _hashes("member"),
     )
     before = F.col("_count") - F.when(F.col("delta") == 0, 1).otherwise(0)
-    newest = F.floor((F.col("_before") - 1) / NEWEST_PER_BUCKET)
-    # the 64 numbers up to `_before` lie in its own part and the one before
+    last = F.floor((F.col("_before") - 1) / newest)
+    # the newest numbers up to `_before` lie in its own part and the one before
     probes = (
         counted.withColumn("_before", before)
         .filter("_before > 0")
         .select(
-            *key, "_before", F.col("pos").alias("second_pos"), hashes("probe"),
-            F.explode(F.when(newest > 0, F.array(newest - 1, newest)).otherwise(F.array(newest))).alias("_part"),
+            *key, "_before", F.col("pos").alias("second_pos"), _hashes("probe"),
+            F.explode(F.when(last > 0, F.array(last - 1, last)).otherwise(F.array(last))).alias("_part"),
         )
     )
-    found = (
+    return (
         probes.join(members, [*key, "_part"])
-        .filter((F.col("_seq") <= F.col("_before")) & (F.col("_seq") > F.col("_before") - NEWEST_PER_BUCKET))
+        .filter((F.col("_seq") <= F.col("_before")) & (F.col("_seq") > F.col("_before") - newest))
         .select("first_pos", "second_pos", _shared_segments().alias("shared"))
         .distinct()
     )
-    best = Window.partitionBy("second_pos").orderBy(F.col("shared").desc(), "first_pos")
-    return found.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= BEST_PER_IMAGE).drop("_rank")
 
 
 def candidates_lsh(placed: DataFrame) -> DataFrame:
@@ -152,9 +173,8 @@ def candidates_lsh(placed: DataFrame) -> DataFrame:
 
 
 def candidates(placed: DataFrame) -> DataFrame:
-    """Pairs to score: all of them in a small collection, by shared segments otherwise."""
-    few = placed.limit(ALL_PAIRS_UP_TO + 1).count() <= ALL_PAIRS_UP_TO
-    return candidates_all_pairs(placed) if few else candidates_lsh(placed)
+    """Pairs to score: by the same rule in collections of any size."""
+    return candidates_lsh(placed)
 
 
 def _paired(pairs: DataFrame, placed: DataFrame, columns: tuple[str, ...]) -> DataFrame:

@@ -260,17 +260,20 @@ def twin_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The bytes of each text as the pixels of an image 24 wide, as high as the text is long."""
+    """The bytes of each text as the pixels of an image 24 wide, as high as the text is long; the last row is filled up with zeros.
+    An empty text has no pixels and makes no image."""
     stride = 24 * 3
+    height = F.ceil(F.octet_length("text") / stride).cast("int")
+    pixels = F.col("text").cast("binary")
     return (
         table(spark, sf_dir, "documents")
-        .filter(F.octet_length("text") >= stride)
+        .filter(F.octet_length("text") > 0)
         .select(
             F.col("doc_id").alias("item_id"),
             F.concat(F.lit("/text/"), F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit(".png")).alias("path"),
             F.lit(24).alias("width"),
-            F.floor(F.octet_length("text") / stride).cast("int").alias("height"),
+            height.alias("height"),
             F.lit(3).alias("channels"),
-            F.col("text").cast("binary").alias("pixels"),
+            F.rpad(pixels, height * stride, F.lit(b"\x00")).alias("pixels"),
         )
     )

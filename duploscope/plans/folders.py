@@ -58,8 +58,7 @@ shapes AS (SELECT folder, string_agg(rel, '|' ORDER BY rel) AS shape, string_agg
 @query("structural_candidates", ORDERS + """
 SELECT folder, min(folder) OVER (PARTITION BY shape) AS first_folder FROM shapes QUALIFY count(*) OVER (PARTITION BY shape) > 1""")
 def structural_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = trees.expand_folders(_orders(spark, sf_dir)).filter(F.col("folder") != F.col("root"))
-    return trees.structural_candidates(files)
+    return trees.structural_candidates(trees.expand_folders(_orders(spark, sf_dir)))
 
 
 @query("duplicate_trees", ORDERS + """

@@ -50,17 +50,16 @@ shared AS (SELECT n.first_pos, n.second_pos, count(*) AS shared FROM near n JOIN
            GROUP BY ALL),
 best AS (SELECT * FROM shared QUALIFY row_number() OVER (PARTITION BY second_pos ORDER BY shared DESC, first_pos) <= 64),
 same AS (SELECT min(pos) OVER (PARTITION BY difference_h, difference_v, average) AS first_pos, pos AS second_pos FROM placed QUALIFY first_pos <> second_pos),
-everyone AS (SELECT a.pos AS first_pos, b.pos AS second_pos FROM placed a JOIN placed b ON a.pos < b.pos WHERE (SELECT count(*) FROM placed) <= 256),
-cands AS (SELECT first_pos, second_pos FROM best WHERE (SELECT count(*) FROM placed) > 256
-          UNION SELECT first_pos, second_pos FROM same WHERE (SELECT count(*) FROM placed) > 256 UNION SELECT first_pos, second_pos FROM everyone)
+cands AS (SELECT first_pos, second_pos FROM best UNION SELECT first_pos, second_pos FROM same)
 """
-SCORED = CANDIDATES + """,
-scored AS (SELECT a.item_id AS first_id, b.item_id AS second_id,
-    1 - CAST(list_sum(list_transform(range(1, 65), lambda i: abs(a.lum[i] - b.lum[i]))) AS DOUBLE) / 64 / 255.0 AS structure,
+SCORES_SQL = """1 - CAST(list_sum(list_transform(range(1, 65), lambda i: abs(a.lum[i] - b.lum[i]))) AS DOUBLE) / 64 / 255.0 AS structure,
     ((1 - bit_count(xor(a.difference_h, b.difference_h)) / 64.0) + (1 - bit_count(xor(a.difference_v, b.difference_v)) / 64.0)) / 2 AS difference,
-    1 - bit_count(xor(a.average, b.average)) / 64.0 AS average, CAST(1 AS DOUBLE) AS color, CAST(1 AS DOUBLE) AS aspect
+    1 - bit_count(xor(a.average, b.average)) / 64.0 AS average, CAST(1 AS DOUBLE) AS color, CAST(1 AS DOUBLE) AS aspect"""
+COMPOSITE_SQL = "0.38::DOUBLE * structure + 0.24::DOUBLE * difference + 0.14::DOUBLE * average + 0.14::DOUBLE * color + 0.10::DOUBLE * aspect AS composite"
+SCORED = CANDIDATES + f""",
+scored AS (SELECT a.item_id AS first_id, b.item_id AS second_id, {SCORES_SQL}
   FROM cands c JOIN placed a ON a.pos = c.first_pos JOIN placed b ON b.pos = c.second_pos),
-strong AS (SELECT *, 0.38::DOUBLE * structure + 0.24::DOUBLE * difference + 0.14::DOUBLE * average + 0.14::DOUBLE * color + 0.10::DOUBLE * aspect AS composite FROM scored)
+strong AS (SELECT *, {COMPOSITE_SQL} FROM scored)
 """
 
 
@@ -99,7 +98,8 @@ def _sample_hashes(lum: str, prefix: str) -> str:
 
 
 PRINTS = f"""
-WITH pics AS (SELECT doc_id AS item_id, strlen(text) // 72 AS height, hex(text) AS bytes FROM documents WHERE strlen(text) >= 72),
+WITH pics AS (SELECT doc_id AS item_id, (strlen(text) + 71) // 72 AS height, hex(text) || repeat('00', CAST((72 - strlen(text) % 72) % 72 AS BIGINT)) AS bytes
+         FROM documents WHERE strlen(text) > 0),
 samples AS (SELECT item_id, height, {_window('whole')} AS whole, {_window('center')} AS center FROM pics),
 greys AS (SELECT item_id, height, whole, {_grey('whole')} AS g, {_grey('center')} AS c FROM samples),
 sums AS (SELECT *, CAST(list_sum(g) AS BIGINT) AS s, CAST(list_sum(list_transform(g, lambda v: v * v)) AS BIGINT) AS q,
@@ -129,6 +129,15 @@ def lsh_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar.candidates(placed_grids(spark, sf_dir))
 
 
+@query("unbounded_candidates", CANDIDATES + """,
+every AS (SELECT a.pos AS first_pos, b.pos AS second_pos, count(*) AS shared FROM parts a JOIN parts b ON a.seg = b.seg AND a.val = b.val AND a.pos < b.pos GROUP BY ALL)
+SELECT first_pos, second_pos, shared FROM every""")
+def unbounded_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs with a segment in common, without the bounds for each bucket and image."""
+    found = similar.segment_candidates(placed_grids(spark, sf_dir), newest=None, best=None)
+    return found.withColumn("shared", F.col("shared").cast("long"))
+
+
 @query("segment_candidates", CANDIDATES + "SELECT first_pos, second_pos, shared FROM best")
 def segment_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar.segment_candidates(placed_grids(spark, sf_dir)).withColumn("shared", F.col("shared").cast("long"))
@@ -146,9 +155,7 @@ shared AS (SELECT n.first_pos, n.second_pos, count(*) AS shared FROM near n JOIN
            GROUP BY ALL),
 best AS (SELECT * FROM shared QUALIFY row_number() OVER (PARTITION BY second_pos ORDER BY shared DESC, first_pos) <= 64),
 same AS (SELECT min(pos) OVER (PARTITION BY difference_h, difference_v, average) AS first_pos, pos AS second_pos FROM placed QUALIFY first_pos <> second_pos),
-everyone AS (SELECT a.pos AS first_pos, b.pos AS second_pos FROM placed a JOIN placed b ON a.pos < b.pos WHERE (SELECT count(*) FROM placed) <= 256),
-cands AS (SELECT first_pos, second_pos FROM best WHERE (SELECT count(*) FROM placed) > 256
-          UNION SELECT first_pos, second_pos FROM same WHERE (SELECT count(*) FROM placed) > 256 UNION SELECT first_pos, second_pos FROM everyone)
+cands AS (SELECT first_pos, second_pos FROM best UNION SELECT first_pos, second_pos FROM same)
 """
 
 
@@ -229,15 +236,42 @@ def similar_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _related(spark, sf_dir, "Broad")[2].groupBy("tier").agg(F.count(F.lit(1)).alias("pairs"))
 
 
-@query("complete_link_groups")
+# The anchors' turns one after the other: a walk over (anchor, neighbour) in order, with what the anchor has and what is used.
+LINKED = SCORED.replace("WITH raw", "WITH RECURSIVE raw", 1) + f""",
+related AS MATERIALIZED (SELECT a.pos AS p, b.pos AS q, composite FROM strong JOIN placed a ON a.item_id = first_id JOIN placed b ON b.item_id = second_id WHERE {_meets('Broad')}),
+ways AS (SELECT p AS a, q AS b, composite FROM related UNION ALL SELECT q, p, composite FROM related),
+degrees AS (SELECT a, count(*) AS d FROM ways GROUP BY a),
+meeting AS (SELECT DISTINCT x.b AS p, y.b AS q FROM ways x JOIN ways y ON x.a = y.a AND x.b < y.b),
+weighed AS (SELECT p, q, {SCORES_SQL} FROM meeting JOIN placed a ON a.pos = p JOIN placed b ON b.pos = q),
+fitting AS (SELECT p, q FROM (SELECT *, {COMPOSITE_SQL} FROM weighed) WHERE {_meets('Broad')}),
+fits AS (SELECT p AS b, list(q) AS ok FROM (SELECT p, q FROM fitting UNION ALL SELECT q, p FROM fitting) GROUP BY p),
+turns AS MATERIALIZED (SELECT row_number() OVER (ORDER BY d DESC, a, b) AS k, a, b, coalesce(ok, []) AS ok FROM ways JOIN degrees USING (a) LEFT JOIN fits USING (b)),
+walk(k, a, mine, used) AS (
+  SELECT CAST(0 AS BIGINT), CAST(-1 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[])
+  UNION ALL
+  SELECT k, a, CASE WHEN NOT list_contains(used, a) AND NOT list_contains(used, b) AND len(list_intersect(mine, ok)) = len(mine) THEN list_append(mine, b) ELSE mine END, used
+  FROM (SELECT t.k, t.a, t.b, t.ok, CASE WHEN t.a = w.a THEN w.mine ELSE [] END AS mine,
+               CASE WHEN t.a = w.a OR len(w.mine) = 0 THEN w.used ELSE list_concat(w.used, list_append(w.mine, w.a)) END AS used
+        FROM walk w JOIN turns t ON t.k = w.k + 1)),
+ended AS (SELECT a, arg_max(mine, k) AS mine FROM walk GROUP BY a HAVING len(arg_max(mine, k)) > 0),
+joined AS (SELECT a, unnest(mine) AS b FROM ended),
+tiers AS (SELECT a, {TIER} AS tier FROM (SELECT a, min(composite) AS composite FROM joined JOIN ways USING (a, b) GROUP BY a)),
+grouped AS (SELECT h.item_id AS group_id, m.item_id, m.path, tier FROM (SELECT a, b FROM joined UNION ALL SELECT a, a FROM ended) j
+            JOIN tiers USING (a) JOIN placed h ON h.pos = a JOIN placed m ON m.pos = j.b)
+"""
+
+
+@query("complete_link_groups", LINKED + "SELECT group_id, item_id, path, tier FROM grouped")
 def complete_link_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy groups: no SQL gives them; the tests check them against a plain model."""
+    """Greedy groups, with the turns of independent anchors taken together."""
     placed, _, related = _related(spark, sf_dir, "Broad")
     groups, members = grouping.complete_link_groups(placed, related, "Broad")
     return members.join(groups.select("group_id", "tier"), "group_id")
 
 
-@query("similarity_stats")
+@query("similarity_stats", LINKED + """
+SELECT (SELECT count(*) FROM placed) AS eligible, (SELECT count(*) FROM cands) AS candidate_pairs, (SELECT count(*) FROM related) AS relationships,
+       (SELECT count(*) FROM ended) AS groups""")
 def similarity_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed, pairs, related = _related(spark, sf_dir, "Broad")
     groups = grouping.complete_link_groups(placed, related, "Broad").groups

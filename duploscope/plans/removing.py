@@ -15,9 +15,9 @@ from duploscope.session import materialize
 
 
 def _newest_plan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Groups, members and the identities proposed by keep-newest in groups of an even length."""
+    """Groups, members and the identities proposed by keep-newest in a scope: the groups of an even length."""
     groups, view, _ = reviewed(spark, sf_dir)
-    chosen = selection.propose(view.filter("length % 2 = 0"), "keep_newest").select("identity")
+    chosen = selection.propose(view, "keep_newest", scope=groups.filter("length % 2 = 0")).select("identity")
     return groups, view, chosen
 
 

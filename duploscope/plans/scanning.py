@@ -126,10 +126,14 @@ WITH right_side AS (
 """
 
 
-@query("content_equality", MIRROR_RIGHT + "SELECT doc_id, CAST(place AS BIGINT) AS place, text = body AS equal FROM right_side")
+@query("content_equality", """
+SELECT doc_id, text = CASE WHEN doc_id % 11 = 0 THEN text || 'x' WHEN doc_id % 13 = 0 THEN upper(text) ELSE text END AS equal FROM documents""")
 def content_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changed = bindings._mirror_right(bindings.table(spark, sf_dir, "documents"))
-    return changed.select("doc_id", F.col("place").cast("long").alias("place"), formats.content_equal("text", "body").alias("equal"))
+    """Every document against a copy, some of which are longer or written otherwise."""
+    doc, text = F.col("doc_id"), F.col("text")
+    body = F.when(doc % 11 == 0, F.concat(text, F.lit("x"))).when(doc % 13 == 0, F.upper(text)).otherwise(text)
+    copies = bindings.table(spark, sf_dir, "documents").withColumn("body", body)
+    return copies.select("doc_id", formats.content_equal("text", "body").alias("equal"))
 
 
 @query("criteria_waterfall", DOCS + f"SELECT item_id, coalesce({REASON_SQL}, 'Accepted') AS reason FROM docs")

@@ -138,6 +138,8 @@ def test_candidates_against_a_plain_model(spark):
     assert got == models.segment_candidates(ordered)
     both = {(r[0], r[1]) for r in similar.candidates(placed).collect()}
     assert both == got | models.identical_candidates(ordered)
+    every = {(r["first_pos"], r["second_pos"]) for r in similar.segment_candidates(placed, newest=None, best=None).collect()}
+    assert every == models.segment_candidates(ordered, bucket_size=10**6, best=10**6) and every > got
     per_image = max(sum(second == n for _, second in both) for n in range(600))
     assert per_image <= 65
 
@@ -145,11 +147,14 @@ def test_candidates_against_a_plain_model(spark):
 def test_all_pairs_of_small_collections(spark):
     rows = random_prints(random.Random(8), 40)
     placed = similar.with_positions(spark.createDataFrame(rows, PRINTS))
-    assert {tuple(r) for r in similar.candidates(placed).collect()} == {(a, b) for b in range(40) for a in range(b)}
+    ordered = [r.asDict() for r in placed.orderBy("pos").collect()]
+    few = models.segment_candidates(ordered) | models.identical_candidates(ordered)  # the rule of any size
+    assert {tuple(r) for r in similar.candidates(placed).collect()} == few
+    assert {tuple(r) for r in similar.candidates_all_pairs(placed, 40).collect()} == {(a, b) for b in range(40) for a in range(b)}
     assert similar.candidates(placed.filter("pos < 1")).isEmpty()
     many = placed.crossJoin(spark.range(7).withColumnRenamed("id", "_n"))
     with pytest.raises(ValueError):
-        similar.candidates_all_pairs(many)
+        similar.candidates_all_pairs(many, 256)
 
 
 @pytest.mark.parametrize("limit", [10_000, 5])
