@@ -135,10 +135,10 @@ def isolate_failures(members: DataFrame) -> Isolated:
     ends = (
         failed.join(runs, ["group_id", "_run"])
         .withColumn("_shift", F.when(F.col("_start") == 1, 1).otherwise(0))
-        .select("item_id", (((F.col("_pos") - F.col("_start") + F.col("_shift")) % 2) == 0).alias("_ends"))
+        .select("group_id", "item_id", (((F.col("_pos") - F.col("_start") + F.col("_shift")) % 2) == 0).alias("_ends"))
     )
     marked = materialize(
-        counted.join(ends, "item_id", "left").withColumn("_ends", F.coalesce("_ends", F.lit(False)))
+        counted.join(ends, ["group_id", "item_id"], "left").withColumn("_ends", F.coalesce("_ends", F.lit(False)))
     )
     sets = ranking.running_count(marked, key, order, F.col("_ends"), "_upto").withColumn(
         "set_no", F.col("_upto") - F.col("_ends").cast("long")

@@ -98,20 +98,23 @@ class Guarded(NamedTuple):
 
 
 def guard_survivor(members: DataFrame, requests: DataFrame) -> Guarded:
-    """Select the requested members (item_id, request_no) one after the other, but never the last free one.
+    """Select the requested members (item_id, request_no, and group_id where ids may repeat) one after the other, but never the
+    last free one.
 
     Requests name different free members, so a group can run out only when all its free members are
     requested, and then exactly the last request is refused: no request has to be replayed in order.
     """
-    asked = requests.groupBy("item_id").agg(F.min("request_no").alias("_no"))
-    pending = members.filter("not selected").join(asked, "item_id").select("item_id", "group_id", "_no")
+    named = ["group_id", "item_id"] if "group_id" in requests.columns else ["item_id"]
+    asked = requests.groupBy(*named).agg(F.min("request_no").alias("_no"))
+    pending = members.filter("not selected").join(asked, named).select("item_id", "group_id", "_no")
     last = pending.groupBy("group_id").agg(
         F.count(F.lit(1)).alias("_asked"), F.max_by("item_id", F.struct("_no", "item_id")).alias("item_id")
     )
     free = members.groupBy("group_id").agg(F.count_if(~F.col("selected")).alias("_free"))
     refused = last.join(free, "group_id").filter("_asked >= _free").select("item_id", "group_id")
-    granted = pending.join(refused, "item_id", "left_anti").select("item_id", F.lit(True).alias("_granted"))
-    selected = members.join(granted, "item_id", "left").withColumn(
+    member = ["group_id", "item_id"]
+    granted = pending.join(refused, member, "left_anti").select(*member, F.lit(True).alias("_granted"))
+    selected = members.join(granted, member, "left").withColumn(
         "selected", F.col("selected") | F.coalesce("_granted", F.lit(False))
     )
     return Guarded(selected.select(*members.columns), refused)

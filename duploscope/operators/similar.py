@@ -282,7 +282,7 @@ def similar_order(by: str = "tier", descending: bool = True) -> list[Column]:
 
 
 def mark(members: DataFrame, requests: DataFrame, value: str) -> DataFrame:
-    """Members with `mark` set for the requested images (item_id, request_no).
+    """Members with `mark` set for the requested images (item_id, request_no, and group_id where ids may repeat).
 
     A group never has every image under "ConsiderRemoving": the request for the last one changes nothing.
     """
@@ -292,8 +292,9 @@ def mark(members: DataFrame, requests: DataFrame, value: str) -> DataFrame:
         marked = members.withColumn("selected", F.col("mark") == value)
         guarded = selection.guard_survivor(marked, requests).members
         return guarded.withColumn("mark", F.when(F.col("selected"), F.lit(value)).otherwise(F.col("mark"))).select(*members.columns)
-    asked = requests.select("item_id", F.lit(value).alias("_mark")).distinct()
-    return members.join(asked, "item_id", "left").withColumn("mark", F.coalesce("_mark", "mark")).select(*members.columns)
+    named = ["group_id", "item_id"] if "group_id" in requests.columns else ["item_id"]
+    asked = requests.select(*named, F.lit(value).alias("_mark")).distinct()
+    return members.join(asked, named, "left").withColumn("mark", F.coalesce("_mark", "mark")).select(*members.columns)
 
 
 def marked_totals(members: DataFrame, per_group: bool = False) -> DataFrame:

@@ -58,6 +58,7 @@ def _equal_sets(folder_files: DataFrame, values: Sequence[str]) -> DataFrame:
     )
     shape = ["_n", *[f"_h{seed}" for seed in range(4)]]
     open_folders = materialize(signatures)
+    held = None  # files of the folders that have a candidate, written once for all rounds
     proved = []
     while True:
         classes = (
@@ -68,8 +69,11 @@ def _equal_sets(folder_files: DataFrame, values: Sequence[str]) -> DataFrame:
         members = materialize(open_folders.join(classes, shape))
         firsts = members.filter("folder = first_folder").select("folder", "first_folder")
         others = members.filter("folder <> first_folder").select("folder", "first_folder", "_n")
-        theirs = folder_files.select("folder", *elements).join(others, "folder")
-        wanted = folder_files.select(F.col("folder").alias("first_folder"), *elements).join(
+        if held is None:
+            files = folder_files.select("folder", *elements)
+            held = materialize(files.join(members.select("folder"), "folder", "left_semi"))
+        theirs = held.join(others, "folder")
+        wanted = held.withColumnRenamed("folder", "first_folder").join(
             firsts.select("first_folder"), "first_folder", "left_semi"
         )
         matched = (

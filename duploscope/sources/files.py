@@ -1,6 +1,6 @@
 """Files and images under folders of any store that Arrow's file systems open.
 
-Folders are listed by tasks, level by level, with names that begin with a dot or an underscore. Content is read by path, in
+Folders are listed by tasks, also names that begin with a dot or an underscore; what is too much for one goes to more. Content is read by path, in
 pieces of bounded size, so that a file of any size can be hashed and one that cannot be read is one row with its reason.
 """
 
@@ -23,7 +23,9 @@ from duploscope.sources.inventory import identity_of, read_inventory
 PIECE = 4 << 20  # bytes that are read at once
 TASK_BYTES = 64 << 20  # of content for one task
 
-_LISTED = "path string, length long, modified timestamp, folder boolean, failure string"
+ENTRIES = 10_000  # that one task lists below a folder before it leaves the rest to others
+
+_LISTED = "path string, length long, modified timestamp, open boolean, failure string"
 
 
 def _opened(path: str) -> tuple[fs.FileSystem, str, str]:
@@ -32,34 +34,41 @@ def _opened(path: str) -> tuple[fs.FileSystem, str, str]:
     return system, inside, path[: len(path) - len(inside)] if path.endswith(inside) else ""
 
 
-def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _listed(batches: Iterator[pa.RecordBatch], recursive: bool) -> Iterator[pa.RecordBatch]:
+    """What is in the folders and, up to ENTRIES of them, in the folders below; a folder that was not looked into stays open."""
     for batch in batches:
-        rows: list[tuple] = []
-        for folder in batch.column("path").to_pylist():
-            try:
-                system, inside, before = _opened(folder)
-                for info in system.get_file_info(fs.FileSelector(inside)):
-                    is_folder = info.type == fs.FileType.Directory
-                    rows.append((before + info.path, None if is_folder else info.size, info.mtime, is_folder, None))
-            except OSError:
-                rows.append((folder, None, None, True, "Inaccessible"))
-        columns = list(zip(*rows)) if rows else [()] * 5
-        kinds = (pa.string(), pa.int64(), pa.timestamp("us", "UTC"), pa.bool_(), pa.string())
-        names = ("path", "length", "modified", "folder", "failure")
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=list(names))
+        for root in batch.column("path").to_pylist():
+            rows: list[tuple] = []
+            waiting = [root]
+            while waiting and len(rows) < ENTRIES:
+                folder = waiting.pop()
+                try:
+                    system, inside, before = _opened(folder)
+                    for info in system.get_file_info(fs.FileSelector(inside)):
+                        if info.type != fs.FileType.Directory:
+                            rows.append((before + info.path, info.size, info.mtime, False, None))
+                        elif recursive:
+                            waiting.append(before + info.path)
+                except OSError:
+                    rows.append((folder, None, None, False, "Inaccessible"))
+            rows += [(folder, None, None, True, None) for folder in waiting]
+            columns = list(zip(*rows)) if rows else [()] * 5
+            kinds = (pa.string(), pa.int64(), pa.timestamp("us", "UTC"), pa.bool_(), pa.string())
+            names = ("path", "length", "modified", "open", "failure")
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=list(names))
 
 
 def list_files(spark: SparkSession, roots: Sequence[str], recursive: bool = True) -> DataFrame:
-    """(path, length, modified, folder, failure) of everything below the roots; a folder that cannot be listed bears its failure."""
-    open_folders = spark.createDataFrame([(root.removeprefix("file:").rstrip("/") or "/",) for root in roots], "path string")
-    levels = []
-    while True:
-        spread = open_folders.repartition(max(1, min(1_000, open_folders.count())))
-        level = materialize(spread.mapInArrow(_listed, _LISTED))
-        levels.append(level)
-        open_folders = level.filter("folder AND failure IS NULL").select("path")
-        if not recursive or open_folders.isEmpty():
-            return reduce(DataFrame.unionByName, levels)
+    """(path, length, modified, failure) of every file below the roots, and of every folder that cannot be listed."""
+    waiting = spark.createDataFrame([(root.removeprefix("file:").rstrip("/") or "/",) for root in roots], "path string")
+    tasks, parts = len(roots), []
+    while tasks:
+        found = waiting.repartition(min(1_000, tasks)).mapInArrow(lambda batches: _listed(batches, recursive), _LISTED)
+        found = materialize(found)
+        parts.append(found.filter("NOT open").drop("open"))
+        waiting = found.filter("open").select("path")
+        tasks = waiting.count()
+    return reduce(DataFrame.unionByName, parts)
 
 
 def read_files(spark: SparkSession, roots: Sequence[str], recursive: bool = True, with_digest: bool = True) -> DataFrame:
@@ -69,7 +78,7 @@ def read_files(spark: SparkSession, roots: Sequence[str], recursive: bool = True
     beside `hash_files`. The file source knows no physical identity or attributes: the identity is taken from the path, so each
     path is its own item. Where identities are known, join them in and use `read_inventory`.
     """
-    files = list_files(spark, roots, recursive).filter("NOT folder")
+    files = list_files(spark, roots, recursive).filter("failure IS NULL")
     mapping = {
         "item_id": F.xxhash64("path"),
         "path": F.col("path"),

@@ -21,7 +21,7 @@ def duplicate_report_rows(
     `members` carry `selected`; `indexed_groups` come from `with_group_index`.
     """
     if visible is not None:
-        members = members.join(visible.select("item_id"), "item_id", "left_semi")
+        members = members.join(visible.select("group_id", "item_id"), ["group_id", "item_id"], "left_semi")
     numbered = members.join(
         indexed_groups.select("group_id", (F.col("group_index") + 1).alias("Group")), "group_id"
     )

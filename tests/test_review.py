@@ -97,6 +97,14 @@ def test_the_last_free_member_is_refused(small, spark):
     assert names(again.members.filter("selected")) == names(guarded.members.filter("selected"))
 
 
+def test_members_of_one_id_in_two_groups(spark):
+    rows = [(1, 7, f"/a{n}") for n in range(1)] + [(1, 8, "/a1"), (2, 7, "/b0"), (2, 9, "/b1")]
+    members = spark.createDataFrame([(g, i, p, False) for g, i, p in rows], "group_id long, item_id long, path string, selected boolean")
+    requests = spark.createDataFrame([(1, 7, 1), (2, 9, 2)], "group_id long, item_id long, request_no long")
+    chosen = selection.guard_survivor(members, requests).members.filter("selected").collect()
+    assert {(r["group_id"], r["item_id"]) for r in chosen} == {(1, 7), (2, 9)}
+
+
 def test_many_groups(spark):
     members = spark.range(50_000).selectExpr(
         "id as item_id", "id div 10 as group_id", "concat('/m/', lpad(id, 6, '0')) as path", "100L as length",
