@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from duploscope.llm import words
 from duploscope.llm.columns import text_or_empty
+from duploscope.session import materialize
 
 WIDTH = 5  # words of a shingle
 THRESHOLD = 0.8
@@ -211,5 +212,6 @@ def find_contained(
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
     """The documents, with all their columns, in which no item is contained. A null doc_id is kept only if no
     null-id document is contaminated: rows are told apart by doc_id."""
-    hits = find_contained(docs, items, threshold, width).select(F.col("doc_id").alias("_hit")).distinct()
+    # written, so that Spark knows how few there are before it decides how to join
+    hits = materialize(find_contained(docs, items, threshold, width).select(F.col("doc_id").alias("_hit")).distinct())
     return docs.join(hits, docs["doc_id"].eqNullSafe(hits["_hit"]), "left_anti")
