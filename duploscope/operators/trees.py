@@ -28,6 +28,17 @@ def expand_folders(items: DataFrame, recursive: bool = True) -> DataFrame:
     return items.withColumn("folder", F.explode(folders)).withColumn("relative", paths.relative_path("folder", "path"))
 
 
+def merge_spellings(folder_files: DataFrame) -> DataFrame:
+    """Folders whose paths differ only by case are one folder, named by the spelling that comes first; relative paths keep their case."""
+    spelled = folder_files.select("folder").distinct().groupBy(F.upper("folder").alias("_key"))
+    several = spelled.agg(F.min("folder").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    several = materialize(several.select("_key", "_first"))
+    if several.isEmpty():
+        return folder_files
+    named = folder_files.join(several, F.upper("folder") == F.col("_key"), "left")
+    return named.withColumn("folder", F.coalesce("_first", "folder")).drop("_key", "_first")
+
+
 def folder_metrics(folder_files: DataFrame) -> DataFrame:
     """Per folder: logical files and bytes, and the same over distinct identities."""
     by_identity = folder_files.groupBy("folder", "identity").agg(
@@ -141,9 +152,9 @@ def suppress_nested_groups(found: FolderGroups) -> FolderGroups:
     """
     members = found.members
     above = members.select(
-        "group_folder", "folder", F.explode(paths.ancestors("folder", paths.path_root("folder"))).alias("_above")
+        "group_folder", "folder", F.explode(paths.ancestors(F.upper("folder"), paths.path_root(F.upper("folder")))).alias("_above")
     )
-    owners = members.select(F.col("folder").alias("_above"), F.col("group_folder").alias("_parent"))
+    owners = members.select(F.upper("folder").alias("_above"), F.col("group_folder").alias("_parent"))
     covered = (
         above.join(owners, "_above")
         .filter("_parent <> group_folder")
@@ -164,8 +175,15 @@ def suppress_nested_groups(found: FolderGroups) -> FolderGroups:
 
 
 def find_duplicate_folders(items: DataFrame, recursive: bool = True) -> FolderGroups:
-    """Groups of equal folders, without those inside larger equal folders."""
-    return suppress_nested_groups(verified_folder_groups(expand_folders(items, recursive)))
+    """Groups of equal folders, without those inside larger equal folders.
+
+    Optional boolean columns compare_failed and validate_failed tell of files whose content could not be compared, or that changed
+    before the end: like an unreadable file, such a one takes its folders out.
+    """
+    for flag in ("compare_failed", "validate_failed"):
+        if flag in items.columns:
+            items = items.withColumn("content_key", F.when(~F.coalesce(flag, F.lit(False)), F.col("content_key")))
+    return suppress_nested_groups(verified_folder_groups(merge_spellings(expand_folders(items, recursive))))
 
 
 def folder_results(found: FolderGroups) -> DataFrame:

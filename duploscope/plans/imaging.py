@@ -221,9 +221,11 @@ def relationships_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return related.select("first_id", "second_id", F.round("composite", 6).alias("composite"), "tier")
 
 
-@query("relationships_balanced", SCORED + f"SELECT first_id, second_id, {TIER} AS tier FROM strong WHERE {_meets('Balanced')}")
+@query("relationships_balanced", TEXT_SCORED + f"SELECT first_id, second_id, {TIER} AS tier FROM strong WHERE {_meets('Balanced')}")
 def relationships_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _related(spark, sf_dir, "Balanced")[2].select("first_id", "second_id", "tier")
+    placed = placed_texts(spark, sf_dir)
+    related = similar.relationships(similar.materialize(similar.candidates(placed)), placed, "Balanced")
+    return related.select("first_id", "second_id", "tier")
 
 
 @query("relationships_broad", SCORED + f"SELECT first_id, second_id, {TIER} AS tier FROM strong WHERE {_meets('Broad')}")

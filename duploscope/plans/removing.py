@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duploscope.functions import formats
@@ -73,6 +73,33 @@ def plan_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal.plan_issues(groups, members, chosen, inventory, exact.total_reclaimable(found.groups))
 
 
+@query("plan_edge_issues", GROUPS + """,
+turned AS (SELECT *, CAST(group_id // 2 AS BIGINT) % 6 AS turn FROM grps WHERE length > 0)
+SELECT 'InvalidVerifiedGroup' AS reason, CAST(NULL AS VARCHAR) AS path FROM turned WHERE turn < 4
+UNION ALL SELECT 'SnapshotArithmeticMismatch', NULL FROM turned WHERE turn = 1
+UNION ALL SELECT 'SnapshotArithmeticMismatch', NULL FROM (SELECT 1 FROM mem JOIN turned USING (group_id) WHERE turn = 5 HAVING count(*) > 1)""")
+def plan_edge_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups at the edges: negative lengths, a first member of another length, a single member, none, no times, and
+    selected bytes beyond 64 bits."""
+    groups, members, _ = reviewed(spark, sf_dir)
+    groups, members = groups.filter("length > 0"), members.filter("length > 0")
+    turn = F.floor(F.col("group_id") / 2) % 6
+    huge = F.lit(1 << 62).cast("long")
+
+    def length(own: Column) -> Column:
+        odd_first = (turn == 1) & (F.col("item_id") == F.col("group_id"))
+        return F.when(turn == 0, -own).when(odd_first, own + 1).when(turn == 5, huge).otherwise(own)
+
+    changed = members.withColumns(
+        {"length": length(F.col("length")), "modified_at": F.when(turn != 4, F.col("modified_at"))}
+    )
+    left = changed.filter((turn != 3) & ((turn != 2) | (F.col("item_id") == F.col("group_id"))))
+    stored = F.when(turn == 0, -F.col("reclaimable")).when(turn == 5, F.try_multiply(F.col("members") - 1, huge))
+    groups = groups.withColumn("reclaimable", F.coalesce(stored, F.when(turn != 5, F.col("reclaimable"))))
+    chosen = left.filter((turn == 5)).select("identity")
+    return removal.plan_issues(groups, left, chosen, changed)
+
+
 @query("plan_duplicates", GROUPS + """,
 again AS (SELECT doc_id, path, upper(first_path) AS g, upper(path) AS p FROM mem
           UNION ALL SELECT doc_id, upper(path), upper(first_path), upper(path) FROM mem WHERE doc_id % 3 = 0)

@@ -16,7 +16,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duploscope.functions import paths
+from duploscope.functions import paths, reduction
 from duploscope.session import materialize
 from duploscope.sources.inventory import identity_of, read_inventory
 
@@ -174,9 +174,13 @@ class Images(NamedTuple):
 DECODED = (".jpg", ".jpeg", ".png", ".bmp", ".gif")
 
 
-def read_images(spark: SparkSession, roots: Sequence[str]) -> Images:
+def read_images(spark: SparkSession, roots: Sequence[str], side: int | None = reduction.SIDE) -> Images:
     """Decoded pixels (item_id, path, width, height, channels, pixels) and the files that do not decode: `CodecUnavailable` where the
-    source has no codec for the extension, `CorruptImage` otherwise."""
+    source has no codec for the extension, `CorruptImage` otherwise.
+
+    Images are reduced to `side` pixels on their longer side where they are decoded, so that whole ones travel no further; None keeps
+    them. Orientation tags are not applied: Spark's image source does not give them.
+    """
     decoded = (
         spark.read.format("image")
         .option("dropInvalid", "false")
@@ -192,8 +196,9 @@ def read_images(spark: SparkSession, roots: Sequence[str]) -> Images:
         )
     )
     known = F.lower(paths.extension(F.col("path"))).isin(*DECODED)
+    whole = decoded.filter("width > 0")
     return Images(
-        decoded.filter("width > 0"),
+        whole if side is None else reduction.reduce_images(whole, side),
         decoded.filter("width <= 0").select(
             "item_id", "path", F.when(known, F.lit("CorruptImage")).otherwise(F.lit("CodecUnavailable")).alias("reason")
         ),

@@ -1,10 +1,11 @@
 import hashlib
 import os
+import random
 import struct
 
 import pytest
 from duploscope import session
-from duploscope.functions import images, ranking
+from duploscope.functions import images, ranking, reduction
 from duploscope.operators import exact
 from duploscope.session import materialize
 from duploscope.sources import files, inventory
@@ -95,6 +96,33 @@ def test_images(spark, tmp_path):
     assert row["histogram"] == [0, 0, 0, 256, 256, 0, 0, 0, 256, 0, 0, 0] and set(row["luminance"]) == {128}
 
 
+def test_images_are_reduced_by_area_averages(spark, tmp_path):
+    rng = random.Random(3)
+    width, height = 130, 100
+    pixels = [[bytes(rng.randrange(256) for _ in range(3)) for _ in range(width)] for _ in range(height)]
+    df = spark.createDataFrame(
+        [(1, width, height, 3, b"".join(b"".join(row) for row in pixels)), (2, 64, 2, 1, bytes(range(128))), (3, 1, 500, 1, bytes(500))],
+        "item_id long, width int, height int, channels int, pixels binary",
+    )
+    rows = {r["item_id"]: r for r in reduction.reduce_images(df).collect()}
+    assert (rows[1]["width"], rows[1]["height"]) == (64, 49) and len(rows[1]["pixels"]) == 64 * 49 * 3
+    assert bytes(rows[2]["pixels"]) == bytes(range(128)) and (rows[3]["width"], rows[3]["height"]) == (1, 64)
+    for y, x, channel in ((0, 0, 0), (48, 63, 2), (20, 31, 1), (7, 50, 0)):
+        total = area = 0.0
+        for r in range(height):
+            for k in range(width):
+                down = min((y + 1) * height / 49, r + 1) - max(y * height / 49, r)
+                along = min((x + 1) * width / 64, k + 1) - max(x * width / 64, k)
+                if down > 0 and along > 0:
+                    total += down * along * pixels[r][k][channel]
+                    area += down * along
+        assert abs(rows[1]["pixels"][(y * 64 + x) * 3 + channel] - total / area) <= 0.5 + 1e-6
+    (tmp_path / "large.bmp").write_bytes(bitmap(200, 100, (9, 8, 7)))
+    read = files.read_images(spark, [str(tmp_path)]).images.first()
+    assert (read["width"], read["height"], bytes(read["pixels"][:3])) == (64, 32, bytes((9, 8, 7)))
+    assert files.read_images(spark, [str(tmp_path)], side=None).images.first()["width"] == 200
+
+
 def test_tables_as_inventories(spark):
     df = spark.createDataFrame([(7, "/d/x.TXT", "abc")], "id long, name string, body string")
     row = inventory.read_inventory(df, {"item_id": "id", "path": "name", "content": "body", "lang": F.lit("en")}).first()

@@ -119,6 +119,20 @@ def test_comparison(items, tmp_path):
     assert lines[3:6] == ["OnlyInMaster | gone", "  Master: /m/gone", "  Compared: (none)"]
 
 
+def test_spellings_of_a_folder_are_one_folder(items):
+    files = [("/A/Sub/x", "1"), ("/A/sub/y", "2"), ("/B/SUB/x", "1"), ("/B/Sub/y", "2")]
+    found = trees.find_duplicate_folders(items([(*f, (1, n, 0)) for n, f in enumerate(files)]))
+    assert set(folder_groups(found)) == {("/A/Sub", "/B/SUB")}
+
+
+def test_a_changed_file_takes_its_folders_out(items):
+    inv = items([("/A/p/x", "1", (1, 1, 0)), ("/A/y", "2", (1, 2, 0)), ("/B/p/x", "1", (1, 3, 0)), ("/B/y", "2", (1, 4, 0))])
+    assert set(folder_groups(trees.find_duplicate_folders(inv))) == {("/A", "/B")}
+    for flag in ("validate_failed", "compare_failed"):
+        found = trees.find_duplicate_folders(inv.withColumn(flag, F.col("path") == "/B/y"))
+        assert set(folder_groups(found)) == {("/A/p", "/B/p")}
+
+
 def test_roots_without_case_and_an_empty_target(items):
     both = items([("/m/x", "1"), ("/t/x", "1")])
     result = compare.compare_master(both.filter("root = '/m'"), both.filter("root = '/t'"), "/m", ["/T", "/empty"])
