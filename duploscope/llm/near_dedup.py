@@ -301,10 +301,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
         .mapInArrow(lambda batches: _full_sets(batches, width), "id long, shingles binary")
     )
     central = _links(pairs.filter(f"why & {_CENTRAL} > 0"), sets, percent)
-    plain = _apart(pairs.filter(f"why & {_CENTRAL} = 0 AND why & {_PLAIN} > 0"), connected_components(central))
-    edges = central.unionByName(_links(plain, sets, percent)).unionByName(_same_document(named, nodes))
-    edges = materialize(edges)
-    components = connected_components(edges)
+    components = connected_components(central)
+    plain = _apart(pairs.filter(f"why & {_CENTRAL} = 0 AND why & {_PLAIN} > 0"), components)
+    components = _merged(components, _links(plain, sets, percent).unionByName(_same_document(named, nodes)))
     queries = materialize(
         _apart(pairs.filter(f"why & {_CROWDED} > 0"), components)
         .select(F.explode(F.array("first_pos", "second_pos")).alias("id"))
@@ -313,8 +312,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     )
     size = queries.agg(F.sum(F.octet_length("shingles"))).first()[0] or 0
     if size:
-        found = materialize(_linked_with(queries, sets, percent, -(-size // BLOCK_BYTES)))
-        components = connected_components(edges.unionByName(found))
+        components = _merged(components, _linked_with(queries, sets, percent, -(-size // BLOCK_BYTES)))
     return (
         signed.join(nodes.select("set_key", F.col("rep").alias("_rep")), "set_key", "left")
         .join(components.select(F.col("pos").alias("_rep"), "component"), "_rep", "left")
@@ -326,12 +324,29 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     )
 
 
+def _labelled(pairs: DataFrame, components: DataFrame) -> DataFrame:
+    """Adds the components of both sides, `_first` and `_second`; a set without one is its own."""
+    for side, name in (("first_pos", "_first"), ("second_pos", "_second")):
+        label = components.select(F.col("pos").alias(side), F.col("component").alias(name))
+        pairs = pairs.join(label, side, "left").withColumn(name, F.coalesce(name, side))
+    return pairs
+
+
 def _apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
     """The pairs whose two sides are not in one component."""
-    for side in ("first_pos", "second_pos"):
-        label = components.select(F.col("pos").alias(side), F.col("component").alias(f"_{side}"))
-        pairs = pairs.join(label, side, "left")
-    return pairs.filter("coalesce(_first_pos, first_pos) <> coalesce(_second_pos, second_pos)")
+    return _labelled(pairs, components).filter("_first <> _second")
+
+
+def _merged(components: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after further links: of these, one between two components is enough."""
+    between = materialize(_apart(links.select("first_pos", "second_pos"), components))
+    contracted = between.select(F.least("_first", "_second").alias("first_pos"), F.greatest("_first", "_second").alias("second_pos"))
+    above = connected_components(contracted.distinct())
+    ends = between.select(F.explode(F.array("_first", "_second")).alias("pos")).distinct()
+    alone = ends.join(components.select("pos"), "pos", "left_anti").select("pos", F.col("pos").alias("component"))
+    merged = above.select(F.col("pos").alias("component"), F.col("component").alias("_above"))
+    known = components.unionByName(alone).join(merged, "component", "left")
+    return materialize(known.select("pos", F.coalesce("_above", "component").alias("component")))
 
 
 def _counted(batches: Iterator[pa.RecordBatch], ids: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, owners: np.ndarray,
