@@ -192,21 +192,50 @@ def span_report(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows with each confirmed span of the text replaced by its kind in brackets, as `[EMAIL]`.
 
-    Kinds are replaced one after the other, accounts first; a later kind is sought in what the earlier ones left. Added
-    kinds are replaced without asking for a word nearby where their checksum confirms them (`iban`), and otherwise not.
-    Null and empty texts, and all other columns, stay as they are; names that begin with `__pii_` are taken.
+    All kinds are sought in the text as given and kept by the rules of `find_spans`, scores and words included. Spans that
+    overlap are replaced as one, by the kind of the one that starts first (of these, the longest); so an added kind that
+    `find_spans` drops for a base span inside it is replaced whole. Null and empty texts, and all other columns, stay as
+    they are; names that begin with `__pii_` are taken.
     """
-    for kind in (ADDED[0], *BASE):
-        body = F.col(text)
-        wanted = body.contains(kind.needed) if kind.needed == "@" else body.rlike(kind.needed)
-        mask = f"[{kind.name.upper()}]"
-        found = F.regexp_extract_all(body, F.lit(kind.pattern), F.lit(0))
-        pieces = F.zip_with(
-            F.split(body, kind.pattern, -1),
-            found,
-            lambda piece, match: F.concat(
-                piece, F.when(match.isNull(), "").when(kind.confirmed(match), mask).otherwise(match)
+    kinds = (*BASE, *ADDED)
+    for kind in kinds:
+        docs = _with_spans(docs, text, kind, f"__pii_{kind.name}")
+    ordered = lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("minus"), s["kind"].alias("kind"))
+    every = F.flatten(F.array(*[F.col(f"__pii_{kind.name}") for kind in kinds]))
+    docs = docs.withColumn("__pii_spans", F.array_sort(F.transform(every, ordered)))
+    has = F.size("__pii_spans") > 0
+    last = F.ceil(F.size("__pii_spans") / _BLOCK).cast("int") - 1
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice("__pii_spans", b * _BLOCK + 1, F.lit(_BLOCK)))
+    docs = docs.withColumn("__pii_blocks", F.when(has, blocks))
+
+    def cut(rest: Column, begin: Column, size: Column | None = None) -> Column:
+        return F.substr(rest, (begin + 1).cast("int"), None if size is None else size.cast("int"))
+
+    def replaced(acc: Column, block: Column) -> Column:  # `rest` is the text from `at`, so that no cut begins far from a block
+        def one(inner: Column, s: Column) -> Column:
+            end = -s["minus"]
+            piece = F.concat(cut(acc["rest"], inner["at"] - acc["at"], s["start"] - inner["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+            return F.when(
+                s["start"] >= inner["at"], F.struct(end.alias("at"), F.concat(inner["out"], F.array(piece)).alias("out"))
+            ).otherwise(F.struct(F.greatest(inner["at"], end).alias("at"), inner["out"].alias("out")))
+
+        return F.aggregate(
+            block,
+            F.struct(acc["at"].alias("at"), F.array().cast("array<string>").alias("out")),
+            one,
+            lambda inner: F.struct(
+                inner["at"].alias("at"), cut(acc["rest"], inner["at"] - acc["at"]).alias("rest"),
+                F.concat(acc["done"], F.array(F.array_join(inner["out"], ""))).alias("done"),
             ),
         )
-        docs = docs.withColumn(text, F.when(wanted, F.array_join(pieces, "")).otherwise(body))
-    return docs
+
+    hidden = F.aggregate(
+        "__pii_blocks",
+        F.struct(
+            F.lit(0).cast("long").alias("at"), text_or_empty(text).alias("rest"), F.array().cast("array<string>").alias("done")
+        ),
+        replaced,
+        lambda acc: F.concat(F.array_join(acc["done"], ""), acc["rest"]),
+    )
+    docs = docs.withColumn(text, F.when(has, hidden).otherwise(F.col(text)))
+    return docs.drop("__pii_spans", "__pii_blocks", *[f"__pii_{kind.name}" for kind in kinds])

@@ -114,6 +114,17 @@ def test_redact(spark):
     assert texts == {1: "[EMAIL] and [IP] or 999.1.1.1, card [CARD], [PHONE], [IBAN]é", 2: None, 3: "", 4: "nothing"}
 
 
+def test_redact_masks_what_find_spans_confirms(spark):
+    rows = [
+        (1, "my ssn 123-45-6789, mail a@b.cc"), (2, "no. 123-45-6789"), (3, "x.GB82WEST12345698765432@b.cc!"),
+        (4, "é😀 ssn +1 123-45-6789 é"), (5, "a@b.cc " * 200 + "end"),
+    ]
+    texts = {r.doc_id: r.text for r in pii.redact(odd_documents(spark, rows)).collect()}
+    assert texts == {
+        1: "my ssn [SSN], mail [EMAIL]", 2: "no. 123-45-6789", 3: "[EMAIL]!", 4: "é😀 ssn [PHONE] é", 5: "[EMAIL] " * 200 + "end",
+    }
+
+
 def test_no_python_in_the_plan(spark):
     plan = pii.span_report(odd_documents(spark))._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "MapInArrow"))
