@@ -2,13 +2,13 @@
 
 Method: a document's shingle set gives TREES sequences of DEPTH minimum hashes. Each tree is the order of all
 sets by its sequence, so that sets with a long common prefix are neighbours. Along an order, regions with
-the same first MIN_DEPTH values are cut deeper, value by value, where they are larger than LEAF, and stay whole where they are not:
-depth adapts to how crowded a region is. Candidates are the pairs of a leaf, filtered by the estimate
-from all TREES * DEPTH values, which travel along as one byte each.
+the same first MIN_DEPTH values are leaves, unless they are larger than LEAF: these are cut anew by each of BANDS bands of
+BAND codes, so that what one cut parts another keeps together, and the parts up to LEAF are leaves.
+Candidates are the pairs of a leaf, filtered by the estimate from all TREES * DEPTH values, which travel along as one byte each.
 
-A group of near copies stays in one region at any depth. There the set that agrees most with its region, the
-pivot, is paired with all; pairs of sets that are both clearly like the same pivot add nothing. Sets of a region that is still
-larger than LEAF at full depth, and that are neither clearly like a pivot nor joined with it in the end, become queries:
+A group of near copies stays in one part of any cut. There the set that agrees most with its region, the
+pivot, is paired with all; pairs of sets that are both clearly like the same pivot add nothing. Sets of a part that is still
+larger than LEAF after a band, and that are neither clearly like a pivot nor joined with it in the end, become queries:
 they are compared with all sets that have candidates, in blocks of bounded size, by their shingles.
 
 All candidates are verified on full shingle sets: those with pivots first; of the others those that still join
@@ -38,6 +38,7 @@ PERCENT = 80  # 100 * shared >= PERCENT * union
 TREES, DEPTH = 16, 8
 MIN_DEPTH = 2
 LEAF = 64
+BAND, BANDS = 4, 31  # codes outside the region's own MIN_DEPTH: at 0.8 all bands part a pair with a chance of 8e-8, as all trees do
 MARGIN = 0.13  # below the threshold by the estimate: 3.7 standard deviations
 CLEAR = 0.1  # above it
 BLOCK_BYTES = 16 << 20  # shingles of one block of queries
@@ -97,6 +98,7 @@ class _Region(NamedTuple):
     ids: np.ndarray
     sizes: np.ndarray
     codes: np.ndarray
+    tree: int = 0
 
 
 class _Finder:
@@ -154,23 +156,57 @@ class _Finder:
         others = members[pivot_of[members] < 0]
         self._emit(region, pivot, others[others != pivot], _CROWDED)
 
+    def _bands(self, region: _Region, paired: np.ndarray, pivot_of: np.ndarray) -> np.ndarray:
+        """Pairs that meet in a part of up to LEAF rows with equal codes of a band; returns the members of larger parts."""
+        free = np.delete(np.arange(_HASHES), region.tree * DEPTH + np.arange(MIN_DEPTH))
+        bands = free[: BAND * BANDS].reshape(BAND, BANDS).T
+        codes = np.ascontiguousarray(region.codes[:, bands.ravel()]).view(np.uint32)  # one value a band
+        crowded = np.zeros(len(region.ids), bool)
+        for band in range(BANDS):
+            order = np.argsort(codes[:, band], kind="stable")
+            ranked = codes[order, band]
+            cut = np.flatnonzero(np.diff(ranked)) + 1
+            sizes = np.diff(np.concatenate(([0], cut, [len(order)])))
+            full = np.repeat(sizes > LEAF, sizes)
+            for part in np.split(order, cut) if full.any() else ():
+                if len(part) > LEAF:
+                    self._pivots(region, part, paired, pivot_of)
+            crowded[order[full]] = True
+            order, ranked = order[~full], ranked[~full]
+            for shift in range(1, LEAF):
+                at = np.flatnonzero(ranked[shift:] == ranked[:-shift])
+                if not len(at):
+                    break
+                self._met(region, order[at], order[at + shift], pivot_of, codes, band)
+        return np.flatnonzero(crowded)
+
+    def _met(self, region: _Region, one: np.ndarray, other: np.ndarray, pivot_of: np.ndarray, codes: np.ndarray, band: int) -> None:
+        """Emits the likely ones of the pairs, those that met in an earlier band left out."""
+        wanted = (pivot_of[one] != pivot_of[other]) | (pivot_of[one] < 0)
+        small, large = np.minimum(region.sizes[one], region.sizes[other]), np.maximum(region.sizes[one], region.sizes[other])
+        wanted = np.flatnonzero(wanted & (100 * small >= self.percent * large))
+        for start in range(0, len(wanted), 8192):
+            a, b = one[wanted[start : start + 8192]], other[wanted[start : start + 8192]]
+            new = ~(codes[a, :band] == codes[b, :band]).any(axis=1)
+            a, b = a[new], b[new]
+            likely = (region.codes[a] == region.codes[b]).mean(axis=1) >= self.likely
+            ids, others = region.ids[a[likely]], region.ids[b[likely]]
+            self.first.append(np.minimum(ids, others))
+            self.second.append(np.maximum(ids, others))
+            self.why.append(np.full(len(ids), _PLAIN))
+
     def search(self, region: _Region) -> None:
         size = len(region.ids)
         if size < 2:
             return
-        paired, pivot_of = np.zeros(size, bool), np.full(size, -1)
-        open_parts = [(np.arange(size), MIN_DEPTH)]
-        while open_parts:
-            members, depth = open_parts.pop()
-            if len(members) <= LEAF:
-                self._leaf(region, members, pivot_of)
-                continue
-            self._pivots(region, members, paired, pivot_of)
-            if depth == DEPTH:
-                self._crowded(region, members, pivot_of)
-                continue
-            cut = np.flatnonzero(np.diff(region.values[members, depth])) + 1
-            open_parts += [(part, depth + 1) for part in np.split(members, cut) if len(part) > 1]
+        members, paired, pivot_of = np.arange(size), np.zeros(size, bool), np.full(size, -1)
+        if size <= LEAF:
+            self._leaf(region, members, pivot_of)
+            return
+        self._pivots(region, members, paired, pivot_of)
+        crowded = self._bands(region, paired, pivot_of)
+        if len(crowded):
+            self._crowded(region, crowded, pivot_of)
 
     def batch(self) -> pa.RecordBatch:
         parts = [np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (self.first, self.second, self.why)]
@@ -193,10 +229,10 @@ def _candidates(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
     def regions(rows: pa.Table, upto: int, heads: np.ndarray) -> None:
         values = np.frombuffer(b"".join(rows["values"].to_pylist()), ">u4").reshape(-1, DEPTH)
         codes = np.frombuffer(b"".join(rows["codes"].to_pylist()), np.uint8).reshape(-1, _HASHES)
-        ids, sizes = rows["rep"].to_numpy(), rows["n_shingles"].to_numpy()
+        ids, sizes, tree = rows["rep"].to_numpy(), rows["n_shingles"].to_numpy(), rows["tree"].to_numpy()
         for low, high in zip(heads, [*heads[1:], upto]):
             if high - low > 1:
-                finder.search(_Region(values[low:high], ids[low:high], sizes[low:high], codes[low:high]))
+                finder.search(_Region(values[low:high], ids[low:high], sizes[low:high], codes[low:high], int(tree[low])))
 
     def heads_of(rows: pa.Table) -> np.ndarray:
         values = np.frombuffer(b"".join(rows["values"].to_pylist()), ">u4").reshape(-1, DEPTH)[:, :MIN_DEPTH]

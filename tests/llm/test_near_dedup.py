@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from duploscope.llm import near_dedup as nd
@@ -84,6 +85,22 @@ def test_large_groups_of_near_copies(spark):
     assert got(spark, rows, 2) == brute_force(rows, 2)
 
 
+def test_lone_pairs_of_an_over_full_region(spark):
+    """Pairs at 0.8 that share the first two values of one tree only, among many sets that do so too."""
+    rng = np.random.default_rng(7)
+    values = rng.integers(0, 1 << 32, (600, nd.DEPTH))
+    codes = rng.integers(0, 256, (600, nd.TREES * nd.DEPTH)).astype(np.uint8)
+    values[:, : nd.MIN_DEPTH], codes[:, : nd.MIN_DEPTH] = 1, 1
+    for one in range(0, 600, 2):
+        equal = rng.permutation(np.arange(nd.MIN_DEPTH, nd.TREES * nd.DEPTH))[:100]
+        codes[one + 1, equal] = codes[one, equal]
+    order = np.lexsort(values.T[::-1])
+    finder = nd._Finder(80)
+    finder.search(nd._Region(values[order], order, np.full(600, 100), codes[order]))
+    found = set(zip(*[column.to_pylist() for column in finder.batch().columns[:2]]))
+    assert {(one, one + 1) for one in range(0, 600, 2)} <= found
+
+
 def test_queries_of_crowded_regions_in_blocks(spark):
     rng = random.Random(6)
     rows = [(i, " ".join(rng.choices("abcdefgh", k=12))) for i in range(120)]
