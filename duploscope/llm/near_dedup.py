@@ -8,8 +8,8 @@ Candidates are the pairs of a leaf, filtered by the estimate from all TREES * DE
 
 A group of near copies stays in one part of any cut. There the set that agrees most with its region, the
 pivot, is paired with all; pairs of sets that are both clearly like the same pivot add nothing. Sets of a part that is still
-larger than LEAF after a band, and that are neither clearly like a pivot nor joined with it in the end, become queries:
-they are compared with all sets that have candidates, in blocks of bounded size, by their shingles.
+larger than LEAF after a band become queries unless they are joined in the end with every pivot of their region, or are clearly
+like one and far from the others; so does a set that seemed clearly like a pivot and is not joined with it. Queries are compared with all sets that have candidates, in blocks of bounded size, by their shingles.
 
 All candidates are verified on full shingle sets: those with pivots first; of the others those that still join
 different components. Equal sets are one node from the start, so copies are never compared. Orders are dealt out by
@@ -41,11 +41,13 @@ LEAF = 64
 BAND, BANDS = 4, 31  # codes outside the region's own MIN_DEPTH: at 0.8 all bands part a pair with a chance of 8e-8, as all trees do
 MARGIN = 0.13  # below the threshold by the estimate: 3.7 standard deviations
 CLEAR = 0.1  # above it
+REACH_MARGIN = 0.16  # below the likeness of sets that are two links apart: 3.7 standard deviations
 BLOCK_BYTES = 16 << 20  # shingles of one block of queries
 BROADCAST_IDS = 2_000_000  # ids of sets to be fetched, up to which they are broadcast: 16 MB
 
 _HASHES = TREES * DEPTH
-_PLAIN, _CENTRAL, _CROWDED = 1, 2, 4  # why a pair is named: a leaf, a pivot, or a member of a crowded region and its pivot
+# why a pair is named: a leaf, a pivot, a member of a crowded region and a pivot of it, or a set clearly like its pivot
+_PLAIN, _CENTRAL, _CROWDED, _CLEAR = 1, 2, 4, 8
 _flips = words.mixed(np.arange(1, _HASHES + 1, dtype=np.uint64)).astype(np.uint32)
 _factors = words.mixed(np.arange(1001, 1001 + _HASHES, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
 
@@ -137,7 +139,9 @@ class _Finder:
             near = others[like >= self.likely]
             self._emit(region, pivot, near, _CENTRAL)
             paired[near] = paired[pivot] = True
-            pivot_of[others[like >= self.clear]] = pivot_of[pivot] = pivot
+            clear = others[like >= self.clear]
+            self._emit(region, pivot, clear, _CLEAR)
+            pivot_of[clear] = pivot_of[pivot] = pivot
             if len(near) < max(1, len(rest) // 50):
                 return
             rest = others[like < self.likely]
@@ -150,11 +154,27 @@ class _Finder:
                 self._emit(region, one, others[self._like(region, one, others) >= self.likely], _PLAIN)
 
     def _crowded(self, region: _Region, members: np.ndarray, pivot_of: np.ndarray) -> None:
-        """Names the members that are not clearly like a pivot, with the pivot of most others."""
-        pivots, counts = np.unique(pivot_of[members][pivot_of[members] >= 0], return_counts=True)
-        pivot = pivots[counts.argmax()] if len(pivots) else members[0]
-        others = members[pivot_of[members] < 0]
-        self._emit(region, pivot, others[others != pivot], _CROWDED)
+        """Names members with the pivots of the region, so that one that is apart from any of them in the end is searched exactly.
+
+        A set that is not clearly like a pivot is named with every pivot that has sets of its own. One that is clear of a pivot is named
+        with those of more sets, where a set linked to both may be: at the distances of two links.
+        """
+        pivots, counts = np.unique(pivot_of[pivot_of >= 0], return_counts=True)
+        alone = pivots[counts == 1]  # pivots that are like no other set
+        order = np.argsort(-counts[counts > 1], kind="stable")
+        pivots = pivots[counts > 1][order]
+        unclear = members[(pivot_of[members] < 0) | np.isin(members, alone)]
+        if not len(pivots):
+            self._emit(region, members[0], unclear[unclear != members[0]], _CROWDED)
+        reach = 1 - 2 * (1 - self.percent / 100) - REACH_MARGIN
+        rank = np.full(len(region.ids), -1)
+        rank[pivots] = np.arange(len(pivots))
+        clear = members[np.isin(pivot_of[members], pivots)]
+        for place, pivot in enumerate(pivots):
+            self._emit(region, pivot, unclear, _CROWDED)
+            fewer = clear[rank[pivot_of[clear]] > place]
+            alike = (region.codes[fewer] == region.codes[pivot]).mean(axis=1)
+            self._emit(region, pivot, fewer[alike >= reach], _CROWDED)
 
     def _bands(self, region: _Region, paired: np.ndarray, pivot_of: np.ndarray) -> np.ndarray:
         """Pairs that meet in a part of up to LEAF rows with equal codes of a band; returns the members of larger parts."""
@@ -341,7 +361,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     plain = _apart(pairs.filter(f"why & {_CENTRAL} = 0 AND why & {_PLAIN} > 0"), components)
     components = _merged(components, _links(plain, sets, percent).unionByName(_same_document(named, nodes)))
     queries = materialize(
-        _apart(pairs.filter(f"why & {_CROWDED} > 0"), components)
+        _apart(pairs.filter(f"why & {_CROWDED | _CLEAR} > 0"), components)
         .select(F.explode(F.array("first_pos", "second_pos")).alias("id"))
         .distinct()
         .join(sets, "id")

@@ -101,6 +101,33 @@ def test_lone_pairs_of_an_over_full_region(spark):
     assert {(one, one + 1) for one in range(0, 600, 2)} <= found
 
 
+def crowd(like_a, like_b):
+    """Pairs by reason of 200 sets near A = 0 and 100 near B = 300, and of the last, with the given codes in common with A and B."""
+    rng = np.random.default_rng(8)
+    codes = np.zeros((401, nd.TREES * nd.DEPTH), np.uint8)
+    codes[300:400, 75:] = 1  # B is like A in 75 of 128 codes
+    for row in (*range(1, 300), *range(301, 400)):
+        codes[row, rng.integers(0, 75, 4)] = rng.integers(2, 256, 4)
+    codes[400] = 9
+    codes[400, like_a], codes[400, like_b] = codes[0, like_a], codes[300, like_b]
+    finder = nd._Finder(80)
+    finder.search(nd._Region(np.ones((401, nd.DEPTH), np.int64), np.arange(401), np.full(401, 100), codes))
+    return {(a, b): why for a, b, why in zip(*[column.to_pylist() for column in finder.batch().columns])}
+
+
+def test_crowded_sets_are_named_with_every_pivot(spark):
+    named = crowd(slice(0, 110), slice(110, 112))
+    partners = {a if b == 400 else b for (a, b), why in named.items() if 400 in (a, b) and why & 4}
+    assert any(p < 300 for p in partners) and any(300 <= p < 400 for p in partners)
+    # sets clearly like B are named with the pivot of more sets, as both may be linked with one set
+    assert sum(a < 300 <= b < 400 and bool(why & 4) for (a, b), why in named.items()) >= 99
+
+
+def test_sets_that_seem_clearly_like_a_pivot_are_named(spark):
+    named = crowd(slice(0, 124), slice(124, 124))
+    assert any(b == 400 and why & 8 for (_, b), why in named.items())
+
+
 def test_queries_of_crowded_regions_in_blocks(spark):
     rng = random.Random(6)
     rows = [(i, " ".join(rng.choices("abcdefgh", k=12))) for i in range(120)]
