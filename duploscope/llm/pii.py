@@ -1,7 +1,7 @@
 """Personal data in texts, in DataFrame functions only.
 
 Method: regular expressions propose spans, checksums confirm them (Luhn for cards, mod-97 for bank account
-numbers), and words before a span adjust its score. The kinds of BASE are reported by their rules alone; those of
+numbers), and words near a span adjust its score. The kinds of BASE are reported by their rules alone; those of
 ADDED only from MIN_SCORE up, so that a number that merely looks right needs a word that says what it is.
 
 Positions come from splitting the text at the matches: what lies between and the matches' lengths, summed up.
@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from duploscope.llm.columns import text_or_empty
 
-CONTEXT = 40  # code points before a span, back to the one before of its kind, in which words count
+CONTEXT = 40  # code points on either side of a span, spans of its kind left out, in which words count
+_LISTED = 8  # gaps between spans that are put together for that; a list without letters and digits between its spans is one, at any length
 MIN_SCORE = 0.7
 _BLOCK = 64  # spans whose positions are summed together
 
@@ -67,6 +68,30 @@ def _mod_97(match: Column) -> Column:
     return (F.length(plain).between(15, 34)) & (rest == 1)
 
 
+# How long the account numbers of a country are.
+IBAN_LENGTHS = {
+    15: "NO",
+    16: "BE",
+    18: "DK|FK|FI|FO|GL|NL|SD",
+    19: "MK|SI",
+    20: "AT|BA|EE|KZ|LT|LU|MN|XK",
+    21: "CH|HR|LI|LV",
+    22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA",
+    23: "AE|GI|IL|IQ|OM|SO|TL",
+    24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG",
+    25: "AO|CV|GW|LY|MZ|PT|ST",
+    26: "DZ|IR|IS|TR",
+    27: "BI|CF|CG|CM|DJ|FR|GA|GQ|GR|IT|KM|MC|MG|MR|SM|TD",
+    28: "AL|AZ|BF|BJ|BY|CI|CY|DO|GT|HN|HU|LB|MA|ML|NE|NI|PL|SN|SV|TG",
+    29: "BR|EG|PS|QA|UA",
+    30: "JO|KW|MU|YE",
+    31: "MT|SC",
+    32: "LC",
+    33: "RU",
+}
+_any_iban = "|".join(IBAN_LENGTHS.values())
+_ibans = "|".join(rf"(?:{names})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{length - 4}}}" for length, names in IBAN_LENGTHS.items())
+
 BASE = (
     Kind(
         "email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@",
@@ -81,7 +106,9 @@ BASE = (
 )
 ADDED = (
     Kind(
-        "iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}",
+        "iban",
+        rf"(?<![A-Za-z0-9])(?:{_ibans}|(?!{_any_iban})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}})(?![A-Za-z0-9])",
+        "[A-Z]{2}[0-9]{2}",
         _mod_97, 0.8, "iban|account|bank|konto|cuenta|compte",
     ),
     Kind(
@@ -92,6 +119,48 @@ ADDED = (
 SPAN = "array<struct<kind:string,start:long,end:long,score:double>>"
 
 
+def _with_words_around(docs: DataFrame, body: Column, kind: Kind) -> DataFrame:
+    """Sets `near` of the steps to a word of the kind where one is near a span on either side, and to nothing elsewhere.
+
+    Each gap between spans has a letter: A for one without letters and digits, T, H or B for one with a word near its tail, its head or
+    both, N for others. Through gaps A a word counts for the whole list.
+    """
+    gap_ends = lambda gap: F.struct(
+        F.lower(F.left(gap, F.lit(CONTEXT))).alias("head"), F.lower(F.right(gap, F.lit(CONTEXT))).alias("tail"),
+        ((F.length(gap) <= CONTEXT) & ~gap.rlike(r"[\p{L}\p{N}]")).alias("plain"),
+    )
+    docs = docs.withColumn("__pii_gaps", F.when(F.size("__pii_steps") > 0, F.transform(F.split(body, kind.pattern, -1), gap_ends)))
+    word = rf"\b({kind.words})"
+
+    def letter(gap: Column, i: Column) -> Column:
+        first = F.greatest(i - (_LISTED - 2), F.lit(1))
+        before = F.array_join(F.transform(F.slice("__pii_gaps", first, i + 2 - first), lambda g: g["tail"]), " ")
+        after = F.array_join(F.transform(F.slice("__pii_gaps", i + 1, F.lit(_LISTED)), lambda g: g["head"]), " ")
+        tail, head = F.right(before, F.lit(CONTEXT)).rlike(word), F.left(after, F.lit(CONTEXT)).rlike(word)
+        return (
+            F.when(tail & head, "B").when(tail, "T").when(head, "H").when(gap["plain"], "A").otherwise("N")
+        )
+
+    docs = docs.withColumn("__pii_letters", F.array_join(F.transform("__pii_gaps", letter), ""))
+    spread = lambda letters, ends: F.regexp_replace(letters, rf"(?:(?<=[{ends}B])|(?!^)\G)A", ends)
+    near = F.zip_with(
+        F.split(spread(F.col("__pii_letters"), "T"), ""),
+        F.slice(F.split(F.reverse(spread(F.reverse("__pii_letters"), "H")), ""), F.lit(2), F.greatest(F.size("__pii_steps"), F.lit(0))),
+        lambda before, after: before.isin("T", "B") | after.isin("H", "B"),
+    )
+    said = F.when(F.size("__pii_steps") > 0, near)
+    docs = docs.withColumn("__pii_near", said)
+    named = F.zip_with(
+        "__pii_steps", "__pii_near",
+        lambda s, near: F.when(s.isNotNull(), F.struct(
+            s["gap"].alias("gap"), s["size"].alias("size"), s["match"].alias("match"),
+            F.when(near, kind.words.split("|")[0]).otherwise("").alias("near"),
+        )),
+    )
+    named = F.filter(named, lambda s: s.isNotNull())
+    return docs.withColumn("__pii_steps", named).drop("__pii_gaps", "__pii_letters", "__pii_near")
+
+
 def _with_spans(docs: DataFrame, text: str, kind: Kind, name: str) -> DataFrame:
     """Adds the confirmed spans of one kind.
 
@@ -113,6 +182,8 @@ def _with_spans(docs: DataFrame, text: str, kind: Kind, name: str) -> DataFrame:
     steps = F.filter(F.zip_with(F.split(body, kind.pattern, -1), found, step), lambda s: s["match"].isNotNull())
     docs = docs.withColumn("__pii_steps", F.when(wanted, steps))
     has = F.size("__pii_steps") > 0
+    if kind in ADDED:
+        docs = _with_words_around(docs, body, kind)
     last = F.ceil(F.size("__pii_steps") / _BLOCK).cast("int") - 1
     blocks = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice("__pii_steps", b * _BLOCK + 1, F.lit(_BLOCK)))
     docs = docs.withColumn("__pii_blocks", F.when(has, blocks))

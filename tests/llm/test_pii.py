@@ -99,6 +99,18 @@ def test_added_kinds_need_checksum_and_context(spark):
     assert not any(spans[n] for n in (3, 6, 7))
 
 
+def test_accounts_before_capitals_and_numbers_in_lists(spark):
+    listed = ", ".join(f"123-45-{n}" for n in range(1001, 1101))
+    rows = [
+        (1, "DE89370400440532013000 BIC"), (2, "DE89 3704 0044 0532 0130 00 EUR 500"), (3, "SSN: 123-45-6789, 234-56-7891"),
+        (4, "123-45-6789 and 234-56-7891 (SSN)"), (5, "SSN: " + listed), (6, listed + " are social security numbers"),
+        (7, "ssn 123-45-6789 (Bob), 234-56-7891 (Al)"), (8, "ssn" + " x" * 30 + " 123-45-6789, 234-56-7891" + " x" * 30 + " ssn"),
+    ]
+    spans = check(spark, rows)
+    assert spans[1] == "iban:0:22" and spans[2] == "iban:0:27" and spans[3] == "ssn:5:16,ssn:18:29" and spans[4] == "ssn:0:11,ssn:16:27"
+    assert [spans[n].count("ssn") for n in (5, 6, 7, 8)] == [100, 100, 2, 0]
+
+
 def test_context_raises_the_score(spark):
     rows = [(1, "call me: +1 555 010 9999"), (2, "xxxx: +1 555 010 9999")]
     got = {r.doc_id: r._phone[0].score for r in pii.find_spans(odd_documents(spark, rows)).select("doc_id", "_phone").collect()}
