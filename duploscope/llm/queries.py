@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duploscope.llm import decontamination, fingerprints, language, near_dedup, packing, pii, quality, sharding, token_counts, url_filter
+from duploscope.llm import (
+    centroids, decontamination, fingerprints, language, near_dedup, packing, pii, quality, sharding, simhash, token_counts, url_filter,
+    vector_codes,
+)
 from duploscope.llm.columns import fold_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -142,3 +145,82 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(
         "doc_id", "held_out", "score", F.when(F.col("score") >= quality.ACCEPTED, 1).otherwise(0).alias("predicted")
     )
+
+
+@query("op11_simhash_near_dedup")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its fingerprint and the component of its near duplicates."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+# whole numbers as doubles, in which all sums below are exact
+_WHOLE = """SELECT row_number() OVER () AS r, {0}, list_transform(embedding, lambda x: floor({1} * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
+_APART = "list_dot_product(v, v) + list_dot_product(m, m) - 2 * list_dot_product(v, m)"
+
+
+def _op12_sql(clusters: int = 16, rounds: int = 3) -> str:
+    steps = [
+        f"v AS MATERIALIZED (SELECT * FROM ({_WHOLE.format('vec_id', 64)}) WHERE len(v) = 64)",
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS c, v AS m FROM v"
+        f" ORDER BY sha256('1:' || vec_id), v LIMIT {clusters})",
+    ]
+    for n in range(rounds + 1):
+        steps.append(f"a{n} AS MATERIALIZED (SELECT r, arg_min(c, ({_APART}) * {clusters} + c) AS c, min({_APART}) AS d FROM v, c{n} GROUP BY r)")
+        if n < rounds:
+            steps.append(
+                f"s{n} AS (SELECT c, i, floor(sum(x) / count(*)) AS x FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS i"
+                f" FROM v JOIN a{n} USING (r)) GROUP BY c, i)"
+            )
+            steps.append(
+                f"c{n + 1} AS MATERIALIZED (SELECT c, coalesce(new.m, c{n}.m) AS m FROM c{n}"
+                f" LEFT JOIN (SELECT c, list(x ORDER BY i) AS m FROM s{n} GROUP BY c) new USING (c))"
+            )
+    return f"""
+WITH {", ".join(steps)},
+sums AS (SELECT c, sum(d) AS own FROM a{rounds} GROUP BY c)
+SELECT vec_id, c::INT AS cluster, d::BIGINT AS distance, own::BIGINT AS cluster_inertia, (SELECT sum(own) FROM sums)::BIGINT AS inertia,
+       sha256(array_to_string(list_transform(m, lambda x: x::BIGINT), ',')) AS centroid_sha256
+FROM v JOIN a{rounds} USING (r) JOIN sums USING (c) JOIN c{rounds} USING (c)"""
+
+
+@query("op12_centroid_clustering", _op12_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with its cluster after three rounds."""
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def _op13_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    steps = [
+        f"w AS MATERIALIZED ({_WHOLE.format('vec_id, label', 4096)})",
+        f"n AS (SELECT len(v) AS n FROM w WHERE len(v) > 0 AND len(v) % {parts} = 0 GROUP BY 1 ORDER BY count(*) DESC, 1 DESC LIMIT 1)",
+        "k AS MATERIALIZED (SELECT w.* FROM w JOIN n ON len(v) = n)",
+        f"p AS MATERIALIZED (SELECT r, p, v[p * len(v) // {parts} + 1 : (p + 1) * len(v) // {parts}] AS v FROM k, range({parts}) t(p))",
+        f"first AS (SELECT r, row_number() OVER (ORDER BY vec_id, v) - 1 AS c FROM k ORDER BY vec_id, v LIMIT {entries})",
+        "c0 AS MATERIALIZED (SELECT p, c, v AS m FROM p JOIN first USING (r))",
+    ]
+    for n in range(rounds + 1):
+        steps.append(
+            f"a{n} AS MATERIALIZED (SELECT r, p, arg_min(c, ({_APART}) * {entries} + c) AS c, min({_APART}) AS d FROM p JOIN c{n} USING (p) GROUP BY r, p)"
+        )
+        if n < rounds:
+            steps.append(
+                f"s{n} AS (SELECT p, c, i, floor(sum(x) / count(*)) AS x FROM (SELECT p, c, unnest(v) AS x, generate_subscripts(v, 1) AS i"
+                f" FROM p JOIN a{n} USING (r, p)) GROUP BY p, c, i)"
+            )
+            steps.append(
+                f"c{n + 1} AS MATERIALIZED (SELECT p, c, coalesce(new.m, c{n}.m) AS m FROM c{n}"
+                f" LEFT JOIN (SELECT p, c, list(x ORDER BY i) AS m FROM s{n} GROUP BY p, c) new USING (p, c))"
+            )
+    return f"""
+WITH {", ".join(steps)},
+coded AS (SELECT r, string_agg(lpad(to_hex(c), 2, '0'), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, label, lower(code) AS code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(list_transform(m, lambda x: x::BIGINT), ','), ',' ORDER BY p, c)) FROM c{rounds}) AS codebooks_sha256
+FROM k JOIN coded USING (r)"""
+
+
+@query("op13_vector_codes", _op13_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with its code after six rounds."""
+    return vector_codes.encode_vectors(table(spark, sf_dir, "embeddings"))
