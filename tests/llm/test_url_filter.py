@@ -1,7 +1,7 @@
 import random
 
 import pyarrow as pa
-import pytest
+from pyspark.sql import functions as F
 
 from duploscope.llm import url_filter as uf
 from duploscope.llm.queries import URL_RULES
@@ -72,20 +72,38 @@ def test_no_rows(spark):
 
 
 def test_equal_digests_are_told_apart_by_the_stored_strings(spark, monkeypatch):
-    monkeypatch.setattr(uf.xxhash, "xxh64_intdigest", lambda key: 7)
-    name = uf.build(spark, spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
-    monkeypatch.setattr(uf.SparkFiles, "get", lambda n, get=uf.SparkFiles.get: get(n))
+    monkeypatch.setattr(uf.xxhash, "xxh64_intdigest", lambda key, seed: 7)
+    monkeypatch.setattr(uf.F, "xxhash64", lambda key: F.lit(7).cast("long"))
+    rules = uf.build(spark, spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
     pages = [(n, u) for n, u in ODD if n is not None]
     split = [parts(u) for _, u in pages]
     batch = pa.RecordBatch.from_arrays(
         [pa.array([n for n, _ in pages], pa.int64()), pa.array([h for h, _ in split]), pa.array([p for _, p in split])],
         names=["page_id", "host", "path"],
     )
-    got = [tuple(r.values()) for r in next(uf._judged(iter([batch]), name)).to_pylist()]
+    got = [tuple(r.values()) for r in next(uf._judged(iter([batch]), rules)).to_pylist()]
     assert sorted(got, key=str) == brute_force(pages, URL_RULES)
 
 
-def test_size_of_the_list_is_checked(spark, monkeypatch):
-    monkeypatch.setattr(uf, "MAX_BYTES", 10)
-    with pytest.raises(ValueError, match="at most 10"):
-        uf.build(spark, spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
+def test_a_rule_is_no_host_of_another_cut(spark):
+    rules = [("com", "foo", "block"), ("net", "", "block"), ("a.net", "x", "allow"), ("a/b", "", "block"), ("c", "?x", "block")]
+    pages = [(1, "http://comfoo"), (2, "http://com"), (3, "http://a.netx"), (4, "http://a.net/x"), (5, "http://b.net"), (6, "http://a/b"), (7, "http://c?x")]
+    assert judged(spark, pages, rules) == brute_force(pages, rules)
+
+
+def test_random_rules_in_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(uf, "RANGE_BYTES", 200)
+    rng = random.Random(3)
+    label = lambda: rng.choice(["a", "b", "com", "", "x"])
+    host = lambda: ".".join(label() for _ in range(rng.randrange(1, 4)))
+    rules = {(host(), rng.choice(["", "a", "/", "/a", "b/", "com"])): rng.choice(["allow", "block"]) for _ in range(150)}
+    rules = [(*k, v) for k, v in rules.items()]
+    pages = [(i, f"s://{host()}{rng.choice(['', '/', '/a', '/ab/', '?a', 'a', 'com'])}") for i in range(600)]
+    assert judged(spark, pages, rules) == brute_force(pages, rules)
+    assert len(uf.build(spark, spark.createDataFrame(rules, "host string, path string, verdict string")).names) > 5
+
+
+def test_a_long_url_has_few_keys(spark):
+    assert uf._keys("a." * 500_000 + "com", "/" * 100, {3: [1, 0], 5: [1]}) == ["a.com#/", "com#/", "com#"]
+    pages = [(1, "x://" + "." * 1_000_000), (2, "x://" + "a." * 500_000 + "com/")]
+    assert judged(spark, pages, URL_RULES) == brute_force(pages, URL_RULES)
