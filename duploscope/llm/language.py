@@ -7,7 +7,8 @@ expectation maximisation, so that no segmentation is ever chosen.
 
 Training takes about SAMPLE documents of each language, picked by a hash of their id, and only the words'
 counts of that bounded sample reach the driver. Scoring runs where documents stand: each distinct word of a slice is summed
-once, all words of a length together, and a bounded memory of words is kept between slices.
+once, all words of a length together, and a bounded memory of words is kept between slices. No word is cut: sums over long ones are
+brought back into range on the way, their scale kept as a logarithm.
 """
 
 from __future__ import annotations
@@ -27,14 +28,18 @@ from duploscope.llm.columns import bounded_batches, text_or_empty
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 SAMPLE = 400  # documents of a language to learn from
-LANGUAGES = 500  # at most so many are told apart
+LANGUAGES = 500  # of the most frequent ones are told apart
+WORDS = 1_000_000  # at most, the most frequent ones of the sample, are learned from
+LEARNED = 1024  # bytes of a word that is learned from; longer ones are scored, not learned
 ROUNDS = 4  # of expectation maximisation
 SMOOTHING = 0.1  # count of a single byte that was never seen
-SPAN = 32  # bytes; longer words are cut into spans that no piece crosses
+SHORT = 32  # bytes; sums over longer words are scaled anew on the way
 REMEMBERED = 300_000  # words
-_LONGEST = 16  # bytes of a piece
-_SCALE = 20.0  # for each byte, which keeps products in range
+_SCALE = 20.0  # for each byte, which keeps products of short words in range
+_RESCALED = 16  # bytes after which the sums over a longer word are
+_CELLS = 1 << 21  # numbers of the sums of one group of words
 UNDETERMINED = "und"
+_LETTERS = "__letters"
 
 
 def letters_of(text: str) -> Column:
@@ -54,7 +59,7 @@ def pieces(path: str) -> list[bytes]:
         for i in range(model.vocab_size())
         if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))
     ]
-    longer = [text for text in dict.fromkeys(texts) if 1 < len(text) <= _LONGEST and b" " not in text[1:]]
+    longer = [text for text in dict.fromkeys(texts) if len(text) > 1 and b" " not in text[1:]]
     return [bytes([b]) for b in range(256)] + longer
 
 
@@ -62,6 +67,7 @@ class Trie(NamedTuple):
     step: np.ndarray  # node, byte's column -> node; 0 is none, 1 the root
     column: np.ndarray  # of each byte
     piece: np.ndarray  # number of the piece that ends at a node, counted from 1
+    longest: int  # bytes of a piece
 
 
 def trie(vocabulary: list[bytes]) -> Trie:
@@ -85,7 +91,7 @@ def trie(vocabulary: list[bytes]) -> Trie:
             step[node, column[b]] = following
     piece = np.zeros(len(rows), np.int32)
     piece[list(ends)] = list(ends.values())
-    return Trie(step, column, piece)
+    return Trie(step, column, piece, max(map(len, vocabulary)))
 
 
 def _matches(own: np.ndarray, tree: Trie) -> list[tuple[int, int, np.ndarray]]:
@@ -96,7 +102,7 @@ def _matches(own: np.ndarray, tree: Trie) -> list[tuple[int, int, np.ndarray]]:
     for start in range(length):
         found.append((start, start + 1, own[:, start].astype(np.int32) + 1))
         node = np.ones(count, np.int32)
-        for at in range(start, min(length, start + _LONGEST)):
+        for at in range(start, min(length, start + tree.longest)):
             node = tree.step[node, columns[:, at]]
             if not node.any():
                 break
@@ -117,12 +123,48 @@ def _forward(matches: list[tuple[int, int, np.ndarray]], length: int, chances: n
     return sums
 
 
-def _backward(matches: list[tuple[int, int, np.ndarray]], length: int, chances: np.ndarray) -> np.ndarray:
-    sums = np.zeros((length + 1, len(matches[0][2]), chances.shape[1]))
-    sums[length] = 1
-    for start, end, numbers in sorted(matches, key=lambda m: -m[0]):
-        sums[start] += sums[end] * chances[numbers]
-    return sums
+def _rescaled(
+    matches: list[tuple[int, int, np.ndarray]], length: int, chances: np.ndarray, longest: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of `_forward` for words of any length: numbers in range, and the logarithm of what each is to be multiplied by."""
+    count = len(matches[0][2])
+    sums, logs = np.zeros((length + 1, count, chances.shape[1])), np.zeros((length + 1, count, chances.shape[1]))
+    sums[0] = 1
+    done = 0  # end of the last match, so that sums up to it are complete
+    for start, end, numbers in matches:
+        if end > done:
+            logs[end] = logs[done]
+            if done and done % _RESCALED == 0:
+                window = slice(max(0, done + 1 - longest), done + 1)  # what later sums are made of
+                top = sums[window].max(axis=0)
+                sums[window] /= top
+                logs[window] = logs[done] + np.log(top)
+                logs[end] = logs[done]
+            done = end
+        sums[end] += sums[start] * chances[numbers]
+    return sums, logs
+
+
+def _log_sums(own: np.ndarray, tree: Trie, chances: np.ndarray) -> np.ndarray:
+    """(words, languages) logarithms of the sums over whole words of one length, _SCALE included, in memory that does not grow with it."""
+    (count, length), window = own.shape, tree.longest
+    sums, logs = np.zeros((window, count, chances.shape[1])), np.zeros((count, chances.shape[1]))
+    sums[0] = 1  # of place p in row p modulo the window
+    nodes = np.zeros((window, count), np.int32)  # where the piece that begins at a place has come to
+    for end in range(1, length + 1):
+        letter = own[:, end - 1]
+        nodes[(end - 1) % window] = 1
+        nodes = tree.step[nodes, tree.column[letter]]
+        numbers = tree.piece[nodes]
+        total = sums[(end - 1) % window] * chances[letter.astype(np.int32) + 1]
+        for row in np.flatnonzero(numbers.any(axis=1)):
+            total += sums[row] * chances[numbers[row]]
+        sums[end % window] = total
+        if end % _RESCALED == 0:
+            top = sums.max(axis=0)
+            sums /= top
+            logs += np.log(top)
+    return logs + np.log(sums[length % window])
 
 
 class Model(NamedTuple):
@@ -141,30 +183,31 @@ def fit(counted: dict[bytes, np.ndarray], languages: list[str], vocabulary: list
     uses have no probability and are left out; single bytes always have one."""
     tree = trie(vocabulary)
     lengths = np.array([len(piece) for piece in vocabulary])
-    spans: dict[bytes, np.ndarray] = {}
-    for word, numbers in counted.items():
-        for at in range(0, len(word), SPAN):
-            spans[word[at : at + SPAN]] = spans.get(word[at : at + SPAN], 0) + numbers
     by_length: dict[int, list[bytes]] = {}
-    for span in spans:
-        by_length.setdefault(len(span), []).append(span)
+    for word in counted:
+        if len(word) <= LEARNED:
+            by_length.setdefault(len(word), []).append(word)
     parts = []
     for length, own in sorted(by_length.items()):
-        for at in range(0, len(own), 20_000):
-            some = own[at : at + 20_000]
+        size = max(1, min(20_000, _CELLS * 4 // (length * len(languages))))
+        for at in range(0, len(own), size):
+            some = own[at : at + size]
             rows = np.frombuffer(b"".join(some), np.uint8).reshape(-1, length)
-            parts.append((length, rows, np.array([spans[span] for span in some], float)))
+            parts.append((length, rows, np.array([counted[word] for word in some], float)))
     counts = np.where(lengths[:, None] == 1, SMOOTHING, 1.0) * np.ones((1, len(languages)))
     for _ in range(rounds):
         chances = _scaled(counts, lengths)
         counts = np.where(lengths[:, None] == 1, SMOOTHING, 0.0) * np.ones((1, len(languages)))
         for length, rows, weights in parts:
             matches = _matches(rows, tree)
-            ahead, behind = _forward(matches, length, chances), _backward(matches, length, chances)
-            share = weights / np.maximum(ahead[length], 1e-300)
+            ahead, ahead_log = _rescaled(matches, length, chances, tree.longest)
+            mirrored = sorted(((length - end, length - start, numbers) for start, end, numbers in matches), key=lambda m: (m[1], m[0]))
+            behind, behind_log = (part[::-1] for part in _rescaled(mirrored, length, chances, tree.longest))
+            share, total = weights / ahead[length], ahead_log[length]
             for start, end, numbers in matches:
                 hit = np.flatnonzero(numbers)
-                expected = ahead[start][hit] * chances[numbers[hit]] * behind[end][hit] * share[hit]
+                scale = np.exp(ahead_log[start][hit] + behind_log[end][hit] - total[hit])
+                expected = ahead[start][hit] * chances[numbers[hit]] * behind[end][hit] * scale * share[hit]
                 for column in range(len(languages)):
                     counts[:, column] += np.bincount(numbers[hit] - 1, expected[:, column], len(counts))
     kept = np.flatnonzero((lengths == 1) | (counts.max(axis=1) > 1e-3))
@@ -178,18 +221,21 @@ class _Scorer:
         self.values = np.zeros((0, len(model.languages)))
 
     def _new(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Log probabilities of words at [start, end) of the data, by spans."""
-        amounts = -(-(ends - starts) // SPAN)
-        owner = np.repeat(np.arange(len(starts)), amounts)
-        begin = starts[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(amounts) - amounts, amounts)) * SPAN
-        lengths = np.minimum(ends[owner] - begin, SPAN)
-        logs = np.zeros((len(owner), len(self.model.languages)))
-        for length in np.unique(lengths):
-            own = np.flatnonzero(lengths == length)
-            rows = data[begin[own][:, None] + np.arange(length)]
-            sums = _forward(_matches(rows, self.tree), int(length), self.model.chances)[length]
-            logs[own] = np.log(np.maximum(sums, 1e-300)) - length * np.log(_SCALE)
-        return np.add.reduceat(logs, np.cumsum(amounts) - amounts) if len(owner) else logs
+        """Log probabilities of words at [start, end) of the data."""
+        chances = self.model.chances
+        lengths = ends - starts
+        logs = np.zeros((len(starts), chances.shape[1]))
+        for length in np.unique(lengths).tolist():
+            every = np.flatnonzero(lengths == length)
+            size = max(1, _CELLS // (min(length + 1, self.tree.longest) * chances.shape[1]))
+            for own in (every[at : at + size] for at in range(0, len(every), size)):
+                rows = data[starts[own][:, None] + np.arange(length)]
+                if length <= SHORT:
+                    logs[own] = np.log(np.maximum(_forward(_matches(rows, self.tree), length, chances)[length], 1e-300))
+                else:
+                    logs[own] = _log_sums(rows, self.tree, chances)
+                logs[own] -= length * np.log(_SCALE)
+        return logs
 
     def __call__(self, part: words.Slice) -> np.ndarray:
         """(texts, languages) log probabilities."""
@@ -217,7 +263,7 @@ def _predicted(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.R
     scorer = _Scorer(model)
     for batch in batches:
         predictions, scores = [], []
-        for part in words.slices(batch.column("letters")):
+        for part in words.slices(batch.column(_LETTERS)):
             empty = part.bounds[1:] == part.bounds[:-1]
             if not model.languages:
                 predictions += [UNDETERMINED] * len(empty)
@@ -228,33 +274,38 @@ def _predicted(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.R
             chance = 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
             predictions += [UNDETERMINED if e else model.languages[b] for e, b in zip(empty, best)]
             scores += np.where(empty, 0.0, chance).tolist()
-        others = [batch.column(name) for name in batch.schema.names if name != "letters"]
-        names = [name for name in batch.schema.names if name != "letters"]
+        names = [name for name in batch.schema.names if name != _LETTERS]
+        others = [batch.column(name) for name in names]
         yield pa.RecordBatch.from_arrays(
             [*others, pa.array(predictions, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"]
         )
 
 
 def train(docs: DataFrame, tokenizer: str = VOCABULARY, sample: int = SAMPLE) -> Model:
-    """Learns from (doc_id, text, lang). Rows without a lang do not count; of each language about `sample` rows are taken, by a
-    hash of their id. Without any language the model predicts none."""
-    labelled = docs.select("doc_id", "text", "lang").filter("lang IS NOT NULL")
-    amounts = {row["lang"]: row["count"] for row in labelled.groupBy("lang").count().limit(LANGUAGES + 1).toLocalIterator()}
-    if len(amounts) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    """Learns from (doc_id, text, lang). Rows without a lang do not count; of each of the LANGUAGES most frequent ones, of equally frequent
+    ones the first by name, about `sample` documents are taken, by a hash of their id; other languages are not learned. Rows that repeat an
+    id are one document, of different texts the first in order. Without any language the model predicts none."""
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), "text"), F.lit(""))
+    labelled = docs.filter("lang IS NOT NULL").select(key.alias("key"), "text", "lang")
+    ranked = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("key").alias("documents"))
+    frequent = ranked.orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    amounts = {row["lang"]: row["documents"] for row in frequent.collect()}
     languages = sorted(amounts)
     vocabulary = pieces(tokenizer)
     if not languages:
         return Model([], vocabulary[:256], np.ones((257, 0)))
-    bucket = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("text"))), F.lit(1 << 20))
+    bucket = F.pmod(F.xxhash64("key"), F.lit(1 << 20))
     # at least one and a half documents are expected, so that a language of few is not missed
     limits = F.create_map(*[F.lit(x) for name in languages for x in (name, int((1 << 20) * sample / amounts[name]) + 1)])
-    chosen = labelled.filter(bucket < limits[F.col("lang")])
+    chosen = labelled.filter(F.col("lang").isin(languages)).filter(bucket < F.try_element_at(limits, F.col("lang")))
+    chosen = chosen.groupBy("lang", "key").agg(F.min("text").alias("text"))
     counted = (
         chosen.select("lang", F.explode(F.split(F.btrim(letters_of("text")), " ")).alias("word"))
         .filter("word <> ''")
         .groupBy("lang", "word")
         .agg(F.count(F.lit(1)).alias("n"))
+        .orderBy(F.desc("n"), "word", "lang")
+        .limit(WORDS)
         .toArrow()
     )
     column = {name: i for i, name in enumerate(languages)}
@@ -269,8 +320,10 @@ def predict(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",))
 
     The score is the probability of the predicted language among the model's, all equally likely beforehand. Null texts and texts without a
     letter are `und` with score 0; among equal languages the first by name is taken. Rows may repeat; an empty table gives no rows.
+    Carried columns named lang_pred or score are replaced by the result.
     """
-    given = docs.select(*carry, letters_of("text").alias("letters"))
+    carry = tuple(name for name in carry if name not in ("lang_pred", "score"))
+    given = docs.select(*carry, letters_of("text").alias(_LETTERS))
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join(f"`{name}` {given.schema[name].dataType.simpleString()}" for name in carry)

@@ -80,3 +80,93 @@ def test_held_out_accuracy(spark):
     both = got.merge(docs, on="doc_id")
     assert len(got) == len(docs) and (both.held_out == both.h).all()
     assert (both[both.h].lang == both[both.h].lang_pred).mean() > 0.98
+
+
+def test_long_words_are_summed_whole():
+    model, _ = small_model()
+    tree = lg.trie(model.vocabulary)
+    lengths = np.array([0, *map(len, model.vocabulary)])
+    plain = [{piece: model.chances[n + 1, c] / lg._SCALE ** lengths[n + 1] for n, piece in enumerate(model.vocabulary)} for c in (0, 1)]
+    rng = np.random.default_rng(5)
+    for length in (33, 47, 48, 49, 300):
+        word = b" " + rng.choice(np.frombuffer(b"abcz", np.uint8), length - 1).tobytes()
+        own = np.frombuffer(word, np.uint8).reshape(1, -1)
+        for column in (0, 1):
+            sums = [np.longdouble(1)]  # by the definition, in wider numbers
+            for end in range(1, length + 1):
+                sums.append(sum(np.longdouble(p) * sums[end - len(x)] for x, p in plain[column].items() if len(x) <= end and word[end - len(x) : end] == x))
+            wanted = float(np.log(sums[-1])) + length * np.log(lg._SCALE)
+            assert lg._log_sums(own, tree, model.chances)[0, column] == pytest.approx(wanted, rel=1e-9)
+            values, logs = lg._rescaled(lg._matches(own, tree), length, model.chances, tree.longest)
+            assert np.log(values[length][0, column]) + logs[length][0, column] == pytest.approx(wanted, rel=1e-9)
+
+
+def test_learning_from_long_words_keeps_counts():
+    vocabulary = [bytes([b]) for b in range(256)] + [b"ab", b"abc"]
+    short = lg.fit({b" " + b"abc" * 9: np.array([7.0])}, ["x"], vocabulary, 3)
+    long = lg.fit({b" " + b"abc" * 60: np.array([7.0 * 9 / 60])}, ["x"], vocabulary, 3)
+    pieces = [n for n, piece in enumerate(short.vocabulary, 1) if piece in (b"ab", b"abc", b"c")]
+    ratio = lambda m: m.chances[pieces, 0] / m.chances[pieces, 0].sum()
+    assert ratio(long) == pytest.approx(ratio(short), rel=0.05)
+
+
+def test_every_piece_of_the_vocabulary_counts():
+    assert max(map(len, lg.pieces(lg.VOCABULARY))) > 16
+
+
+def test_a_word_of_a_megabyte(spark):
+    model, _ = small_model()
+    rows = odd_documents(spark, [(1, "abc" * 100_000), (2, "cab" * 100_000), (3, "abc" * 1_000), (4, "cab" * 1_000)])
+    got = {r.doc_id: r.lang_pred for r in lg.predict(rows, model).collect()}
+    assert got[1] == got[3] and got[2] == got[4]
+
+
+def test_more_languages_than_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(lg, "LANGUAGES", 2)
+    rows = [(n, "abc def", "aa") for n in range(5)] + [(n, "ghi jkl", "bb") for n in range(10, 14)] + [(20, "mno", "cc"), (21, "pqr", "dd")]
+    model = lg.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["aa", "bb"]
+
+
+def test_rows_that_repeat_an_id_are_learned_once(spark):
+    once = spark.createDataFrame([(1, "abc", "x"), (2, "cab", "y"), (None, "q", "y"), (3, None, "x")], "doc_id long, text string, lang string")
+    model, again = lg.train(once), lg.train(once.unionByName(once).unionByName(once))
+    assert np.array_equal(model.chances, again.chances)
+
+
+def test_clashing_names_are_replaced(spark):
+    model, _ = small_model()
+    rows = odd_documents(spark).withColumnRenamed("source", "letters").withColumnRenamed("shard", "lang_pred")
+    got = lg.predict(rows, model, ("doc_id", "letters", "lang_pred", "score"))
+    assert got.columns == ["doc_id", "letters", "lang_pred", "score"] and {r.letters for r in got.collect()} == {"src"}
+
+
+def test_predictions_against_brute_force(spark):
+    """Every document of the query, by sums over segmentations word by word."""
+    import math
+    import re
+
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").withColumn("held_out", fold_of("doc_id", 3) == 1)
+    model = lg.train(docs.filter("NOT held_out"))
+    lengths = [0, *map(len, model.vocabulary)]
+    chances = {piece: model.chances[n + 1] / lg._SCALE ** lengths[n + 1] for n, piece in enumerate(model.vocabulary)}
+    longest, known = max(lengths), {}
+
+    def logs(word):
+        if word not in known:
+            sums = [np.ones(len(model.languages))]
+            for end in range(1, len(word) + 1):
+                starts = range(max(0, end - longest), end)
+                sums.append(sum(sums[at] * chances[word[at:end]] for at in starts if word[at:end] in chances))
+            known[word] = np.log(sums[-1])
+        return known[word]
+
+    got = {r.doc_id: r for r in QUERIES["op4_language_id"](spark, SF_DIR).collect()}
+    for doc in docs.collect()[:300]:
+        words = re.findall(r"[^\W\d_]+", (doc.text or "").lower())
+        if not words:
+            assert (got[doc.doc_id].lang_pred, got[doc.doc_id].score) == ("und", 0.0)
+            continue
+        total = sum(logs(b" " + word.encode()) for word in words)
+        assert got[doc.doc_id].lang_pred == model.languages[int(total.argmax())]
+        assert math.isclose(got[doc.doc_id].score, 1 / np.exp(total - total.max()).sum(), abs_tol=1e-6)
