@@ -24,6 +24,7 @@ from duploscope.llm.columns import bounded_batches, text_or_empty
 from duploscope.session import materialize
 
 SAMPLE = 4_000  # labelled texts to learn from
+SAMPLE_BYTES = 256 << 20  # of the numbers of their n-grams, up to which texts are taken in the order of the hash
 BITS = 18  # n-grams are told apart by so many bits of their hash
 COST = 0.1  # of the hinge loss
 EPOCHS = 40
@@ -173,7 +174,8 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Reco
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learns from (doc_id, text) and (doc_id, label), 1 for good and 0 for bad. About `sample` labelled documents are taken,
-    by a hash of their id. Labels that are null, or of ids that have none, do not count; of several labels of an id the smallest does."""
+    by a hash of their id, and of these the first up to SAMPLE_BYTES of n-grams. Labels that are null, or of ids that have none, do not
+    count; of several labels of an id the smallest does. Rows that repeat an id are one document, of different texts the first in order."""
     known = (
         labels.select(F.col("doc_id").alias("doc_id"), F.col("label").cast("int").alias("label"))
         .filter("doc_id IS NOT NULL AND label IN (0, 1)")
@@ -186,19 +188,21 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     taken = F.pmod(F.col("turn"), F.lit(1 << 30)) < limit
     chosen = materialize(known.select("doc_id", "label", turn.alias("turn")).filter(taken))
     texts = docs.select("doc_id", text_or_empty("text").alias("text")).join(chosen, "doc_id")
-    table = (
-        texts.select("label", "turn", "text")
-        .mapInArrow(_extracted, "label int, turn long, grams binary")
-        .toArrow()
-        .sort_by([("turn", "ascending"), ("grams", "ascending")])
-    )
+    texts = texts.groupBy("label", "turn").agg(F.min("text").alias("text"))
+    extracted = materialize(texts.mapInArrow(_extracted, "label int, turn long, grams binary"))
+    sizes = extracted.select("turn", F.octet_length("grams").alias("size")).toArrow().sort_by("turn")
+    fitting = np.flatnonzero(np.cumsum(sizes["size"].to_numpy()) <= SAMPLE_BYTES)
+    if len(fitting) < sizes.num_rows:
+        extracted = extracted.filter(F.col("turn") <= (sizes["turn"][int(fitting[-1])].as_py() if len(fitting) else -(1 << 63)))
+    table = extracted.toArrow().sort_by("turn")
     rows = [np.frombuffer(grams.as_buffer(), np.int32) for grams in table["grams"]]
     return fit(rows, table["label"].to_numpy())
 
 
 def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `carry`, text and `score`, from 0 to 1, of every row. Null and empty texts have the score of a text without
-    words. Rows may repeat; an empty table gives no rows."""
+    words. Rows may repeat; an empty table gives no rows. Carried columns named text or score are replaced by the result."""
+    carry = tuple(name for name in carry if name not in ("text", "score"))
     given = docs.select(*carry, text_or_empty("text").alias("text"))
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -68,3 +68,38 @@ def test_held_out_accuracy(spark):
     labelled = both[both.h].merge(spark.read.parquet(f"{SF_DIR}/labels.parquet").toPandas(), on="doc_id")
     good, bad = labelled[labelled.quality == 1], labelled[labelled.quality == 0]
     assert (good.predicted == 1).mean() > 0.97 and (bad.predicted == 0).mean() > 0.8
+
+
+def test_repeated_rows_are_learned_once_and_bytes_are_bounded(spark, monkeypatch):
+    rows = [(n, f"good plain words number{n}" if n % 2 else f"BAD!! BAD!! {n}") for n in range(60)]
+    labels = spark.createDataFrame([(n, n % 2) for n in range(60)], "doc_id long, label int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model, again = ql.train(docs, labels), ql.train(docs.unionByName(docs).unionByName(docs.limit(7)), labels)
+    assert np.array_equal(model.weights, again.weights) and model[1:] == again[1:]
+    taken = []
+    monkeypatch.setattr(ql, "fit", lambda rows, labels: taken.append(sum(len(r) * 4 for r in rows)))
+    monkeypatch.setattr(ql, "SAMPLE_BYTES", 900)
+    ql.train(docs, labels)
+    monkeypatch.setattr(ql, "SAMPLE_BYTES", 1)
+    ql.train(docs, labels)
+    assert 700 < taken[0] <= 900 and taken[1] == 0
+
+
+def test_clashing_names_are_replaced(spark):
+    model = ql.train(odd_documents(spark), spark.createDataFrame([], "doc_id long, label int"))
+    assert ql.score(odd_documents(spark), model, ("doc_id", "text", "score", "lang")).columns == ["doc_id", "lang", "text", "score"]
+
+
+def test_scores_against_brute_force(spark):
+    """Every document of the query, by the trained weights over sets of n-grams built word by word."""
+    import math
+
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text", (fold_of("doc_id", 5) == 0).alias("held_out"))
+    labels = spark.read.parquet(f"{SF_DIR}/labels.parquet").filter(fold_of("doc_id", 5) != 0).selectExpr("doc_id", "quality AS label")
+    model = ql.train(docs, labels)
+    got = {r.doc_id: r for r in QUERIES["op6_quality_classifier"](spark, SF_DIR).collect()}
+    for doc in docs.collect():
+        grams = features([doc.text])[0]
+        margin = sum(model.weights[g] for g in set(grams.tolist())) / math.sqrt(len(grams))
+        wanted = 1 / (1 + math.exp(-min(30, max(-30, model.slope * margin + model.offset))))
+        assert math.isclose(got[doc.doc_id].score, wanted, rel_tol=1e-9) and got[doc.doc_id].held_out == doc.held_out
