@@ -1,8 +1,9 @@
 """Personal data in texts, in DataFrame functions only.
 
 Method: regular expressions propose spans, checksums confirm them (Luhn for cards, mod-97 for bank account
-numbers), and words near a span adjust its score. The kinds of BASE are reported by their rules alone; those of
-ADDED only from MIN_SCORE up, so that a number that merely looks right needs a word that says what it is.
+numbers), and words near a span, on either side or beside the list it stands in, raise its score. The kinds of BASE are reported by their
+rules alone, with their scores; those of ADDED only from MIN_SCORE up, so that a number that merely looks right needs a word that says what
+it is: always for social security numbers, and for bank accounts unless country, length and checksum agree.
 
 Positions come from splitting the text at the matches: what lies between and the matches' lengths, summed up.
 Patterns are the plain ones in a form that takes linear time in Java and no stack for each repetition:
@@ -30,7 +31,7 @@ class Kind(NamedTuple):
     pattern: str
     needed: str  # a text without it has no match
     confirmed: Callable[[Column], Column]
-    score: float
+    score: Callable[[Column], Column]
     words: str  # which raise the score by 0.2
 
 
@@ -90,18 +91,29 @@ IBAN_LENGTHS = {
     33: "RU",
 }
 _any_iban = "|".join(IBAN_LENGTHS.values())
+_known_iban = "|".join(rf"(?:{names})[A-Z0-9]{{{length - 2}}}" for length, names in IBAN_LENGTHS.items())
 _ibans = "|".join(rf"(?:{names})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{length - 4}}}" for length, names in IBAN_LENGTHS.items())
 
+
+
+def _always(score: float) -> Callable[[Column], Column]:
+    return lambda match: F.lit(score)
+
+
+def _account_score(match: Column) -> Column:
+    return F.when(F.replace(match, F.lit(" "), F.lit("")).rlike(f"^(?:{_known_iban})$"), 0.8).otherwise(0.5)
+
+
 BASE = (
     Kind(
         "email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@",
-        lambda match: F.lit(True), 0.9, "mail|contact|write",
+        lambda match: F.lit(True), _always(0.9), "mail|contact|write",
     ),
-    Kind("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", "[0-9]\\.[0-9]", _byte_parts, 0.6, "ip|address|server|host"),
-    Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "[0-9]", _luhn, 0.8, "card|visa|credit|payment"),
+    Kind("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", "[0-9]\\.[0-9]", _byte_parts, _always(0.6), "ip|address|server|host"),
+    Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "[0-9]", _luhn, _always(0.8), "card|visa|credit|payment"),
     Kind(
         "phone", r"\+[0-9][\x20().0-9-]+[0-9]", "\\+[0-9]",
-        lambda match: F.length(_digits(match)).between(9, 15), 0.6, "phone|tel|call|mobile|fax",
+        lambda match: F.length(_digits(match)).between(9, 15), _always(0.6), "phone|tel|call|mobile|fax",
     ),
 )
 ADDED = (
@@ -109,18 +121,18 @@ ADDED = (
         "iban",
         rf"(?<![A-Za-z0-9])(?:{_ibans}|(?!{_any_iban})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}})(?![A-Za-z0-9])",
         "[A-Z]{2}[0-9]{2}",
-        _mod_97, 0.8, "iban|account|bank|konto|cuenta|compte",
+        _mod_97, _account_score, "iban|account|bank|konto|cuenta|compte",
     ),
     Kind(
         "ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "[0-9]-[0-9]",
-        lambda match: ~match.rlike("^(000|666|9)|-00-|-0000$"), 0.5, "ssn|social security",
+        lambda match: ~match.rlike("^(000|666|9)|-00-|-0000$"), _always(0.5), "ssn|social security",
     ),
 )
 SPAN = "array<struct<kind:string,start:long,end:long,score:double>>"
 
 
 def _with_words_around(docs: DataFrame, body: Column, kind: Kind) -> DataFrame:
-    """Sets `near` of the steps to a word of the kind where one is near a span on either side, and to nothing elsewhere.
+    """Adds `near` to the steps: whether a word of the kind is near a span on either side.
 
     Each gap between spans has a letter: A for one without letters and digits, T, H or B for one with a word near its tail, its head or
     both, N for others. Through gaps A a word counts for the whole list.
@@ -154,7 +166,7 @@ def _with_words_around(docs: DataFrame, body: Column, kind: Kind) -> DataFrame:
         "__pii_steps", "__pii_near",
         lambda s, near: F.when(s.isNotNull(), F.struct(
             s["gap"].alias("gap"), s["size"].alias("size"), s["match"].alias("match"),
-            F.when(near, kind.words.split("|")[0]).otherwise("").alias("near"),
+            near.alias("near"),
         )),
     )
     named = F.filter(named, lambda s: s.isNotNull())
@@ -176,14 +188,12 @@ def _with_spans(docs: DataFrame, text: str, kind: Kind, name: str) -> DataFrame:
     def step(gap: Column, match: Column) -> Column:  # what lies before a match, and the match; after the last, a gap alone
         return F.struct(
             F.length(gap).cast("long").alias("gap"), F.length(match).cast("long").alias("size"), match.alias("match"),
-            F.lower(F.right(gap, F.lit(CONTEXT))).alias("near"),
         )
 
     steps = F.filter(F.zip_with(F.split(body, kind.pattern, -1), found, step), lambda s: s["match"].isNotNull())
     docs = docs.withColumn("__pii_steps", F.when(wanted, steps))
     has = F.size("__pii_steps") > 0
-    if kind in ADDED:
-        docs = _with_words_around(docs, body, kind)
+    docs = _with_words_around(docs, body, kind)
     last = F.ceil(F.size("__pii_steps") / _BLOCK).cast("int") - 1
     blocks = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice("__pii_steps", b * _BLOCK + 1, F.lit(_BLOCK)))
     docs = docs.withColumn("__pii_blocks", F.when(has, blocks))
@@ -212,10 +222,10 @@ def _with_spans(docs: DataFrame, text: str, kind: Kind, name: str) -> DataFrame:
 
     def span(s: Column) -> Column:
         start, match = s["start"], s["match"]
-        raised = F.when(s["near"].rlike(rf"\b({kind.words})"), 0.2).otherwise(0.0)
+        raised = F.when(s["near"], 0.2).otherwise(0.0)
         return F.struct(
             F.lit(kind.name).alias("kind"), start.alias("start"), (start + F.length(match)).alias("end"),
-            F.least(F.lit(kind.score) + raised, F.lit(1.0)).alias("score"),
+            F.least(kind.score(match) + raised, F.lit(1.0)).alias("score"),
         )
 
     least = 0.0 if kind in BASE else MIN_SCORE
@@ -225,20 +235,66 @@ def _with_spans(docs: DataFrame, text: str, kind: Kind, name: str) -> DataFrame:
     return docs.withColumn(name, F.when(has, kept).otherwise(F.array().cast(SPAN))).drop("__pii_steps", "__pii_blocks")
 
 
+def _running(docs: DataFrame, spans: str, name: str, start: int, merge: Callable[[Column, Column], Column]) -> DataFrame:
+    """Adds an array of what `merge` makes of all spans before each one, by sums inside blocks on top of sums of whole blocks."""
+    last = F.ceil(F.size(spans) / _BLOCK).cast("int") - 1
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(spans, b * _BLOCK + 1, F.lit(_BLOCK)))
+    docs = docs.withColumn("__pii_blocks", F.when(F.size(spans) > 0, blocks))
+    tops = F.aggregate(
+        "__pii_blocks",
+        F.struct(F.lit(start).cast("long").alias("top"), F.array().cast("array<long>").alias("before")),
+        lambda acc, block: F.struct(
+            F.aggregate(block, acc["top"], merge).alias("top"), F.concat(acc["before"], F.array(acc["top"])).alias("before")
+        ),
+        lambda acc: acc["before"],
+    )
+    inside = lambda block, top: F.transform(block, lambda s, i: F.aggregate(F.slice(block, F.lit(1), i), top, merge))
+    return docs.withColumn(name, F.flatten(F.zip_with("__pii_blocks", tops, inside))).drop("__pii_blocks")
+
+
+def _without_overlaps(docs: DataFrame) -> DataFrame:
+    """Drops the spans of added kinds that overlap a base span, along the order of all spans: one overlaps if a base span that
+    begins before it ends after its start, or one that begins after it begins before its end."""
+    base = [kind.name for kind in BASE]
+    ordered = lambda s: F.struct(
+        s["start"].alias("start"), s["end"].alias("end"), s["kind"].isin(base).alias("base"), s["kind"].alias("kind"), s["score"].alias("score")
+    )
+    added = F.flatten(F.array(*[F.col(f"_{kind.name}") for kind in ADDED]))
+    every = F.concat(F.flatten(F.array(*[F.col(f"_{name}") for name in base])), added)
+    docs = docs.withColumn("__pii_all", F.when(F.size(added) > 0, F.array_sort(F.transform(every, ordered))))
+    ends = lambda top, s: F.when(s["base"], F.greatest(top, s["end"])).otherwise(top)
+    docs = _running(docs, "__pii_all", "__pii_reach", -1, ends)
+    docs = docs.withColumn("__pii_back", F.reverse("__pii_all"))
+    starts = lambda top, s: F.when(s["base"], F.least(top, s["start"])).otherwise(top)
+    docs = _running(docs, "__pii_back", "__pii_next", (1 << 62), starts)
+    names = ("kind", "start", "end", "score")
+    clear = F.zip_with(
+        "__pii_all", "__pii_reach",
+        lambda s, reach: F.struct(*[s[name].alias(name) for name in names], (~s["base"] & (reach <= s["start"])).alias("clear")),
+    )
+    marked = F.zip_with(
+        clear, F.reverse("__pii_next"),
+        lambda s, following: F.struct(*[s[name].alias(name) for name in names], (s["clear"] & (following >= s["end"])).alias("apart")),
+    )
+    docs = docs.withColumn("__pii_all", marked)
+    plain = lambda s: F.struct(*[s[name].alias(name) for name in names])
+    for name in (kind.name for kind in ADDED):
+        own = F.filter("__pii_all", lambda s: s["apart"] & (s["kind"] == name))  # noqa: B023
+        docs = docs.withColumn(f"_{name}", F.coalesce(F.transform(own, plain), F.array().cast(SPAN)))
+    return docs.drop("__pii_all", "__pii_reach", "__pii_back", "__pii_next")
+
+
 def find_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds one column of spans per kind, `_email`, `_ip`, `_card`, `_phone`, `_iban`, `_ssn`: (kind, start, end, score).
 
     Positions count code points from 0, the end excluded. Within a kind spans are the leftmost ones that do not overlap;
     one that its checksum refuses is dropped and its place not searched again. Added kinds that overlap a base span are
-    dropped. A null or empty text has no spans; rows and other columns stay as they are.
+    dropped. A null or empty text has no spans; rows and other columns stay as they are. Columns that have one of the six names
+    are replaced, and names that begin with `__pii_` are taken.
     """
     for kind in (*BASE, *ADDED):
         docs = _with_spans(docs, text, kind, f"_{kind.name}")
-    docs = docs.withColumn("__pii_base", F.flatten(F.array(*[F.col(f"_{kind.name}") for kind in BASE])))
-    for kind in ADDED:
-        apart = lambda s: ~F.exists("__pii_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        docs = docs.withColumn(f"_{kind.name}", F.filter(f"_{kind.name}", apart))
-    return docs.drop("__pii_base")
+    return _without_overlaps(docs)
 
 
 def _digest(spans: Column) -> Column:
@@ -247,8 +303,9 @@ def _digest(spans: Column) -> Column:
 
 
 def span_report(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every row of (doc_id, text); `spans` is
-    kind:start:end of all spans by kind, then start, and base_sha256 the digest of the same without added kinds."""
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, scores) of every row of (doc_id, text); `spans` is
+    kind:start:end of all spans by kind, then start, `scores` their scores in percent, joined likewise, and base_sha256 the digest of
+    `spans` without added kinds."""
     found = find_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     base = F.flatten(F.array(*[F.col(f"_{kind.name}") for kind in BASE]))
     every = F.flatten(F.array(*[F.col(f"_{kind.name}") for kind in (*BASE, *ADDED)]))
@@ -257,6 +314,7 @@ def span_report(docs: DataFrame) -> DataFrame:
         *[F.size(f"_{kind.name}").cast("long").alias(f"n_{kind.name}") for kind in BASE],
         F.sha2(_digest(base), 256).alias("base_sha256"),
         _digest(every).alias("spans"),
+        F.array_join(F.transform(every, lambda s: F.round(100 * s["score"]).cast("int").cast("string")), ",").alias("scores"),
     )
 
 

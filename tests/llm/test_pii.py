@@ -117,6 +117,52 @@ def test_context_raises_the_score(spark):
     assert got == {1: 0.8, 2: 0.6}
 
 
+def test_words_on_both_sides_decide(spark):
+    rows = [
+        (1, "+1 555 010 9999 is my phone, 1.2.3.4 my server"), (2, "write to a@b.cc, c@d.ee"), (3, "XY41 1234 5678 9012 345"),
+        (4, "bank account XY41 1234 5678 9012 345"), (5, "4222222222222 (visa)"),
+    ]
+    plain = "XY00" + "123456789012345"
+    rest = int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97
+    number = f"XY{98 - rest:02d}123456789012345"
+    rows = [(n, t.replace("XY41 1234 5678 9012 345", number)) for n, t in rows]
+    got = {r.doc_id: (r.spans, r.scores) for r in pii.span_report(odd_documents(spark, rows)).collect()}
+    assert got[1] == ("ip:29:36,phone:0:15", "80,80") and got[2][1] == "100,100" and got[5][1] == "100"
+    assert got[3] == ("", "") and got[4] == (f"iban:13:{13 + len(number)}", "70")  # a country that is not known needs the word
+
+
+def test_added_spans_that_overlap_base_ones(spark):
+    rng = random.Random(6)
+    bits = ["ssn ", "123-45-6789", "+1 ", "123-45-6789", "GB82WEST12345698765432", "@b.cc", "x.", "4222222222222", " ", "iban ", "1.2.3.4", ", "]
+    rows = [(i, "".join(rng.choice(bits) for _ in range(rng.randrange(1, 300)))) for i in range(200)]
+    alone = odd_documents(spark, rows)
+    for kind in (*pii.BASE, *pii.ADDED):
+        alone = pii._with_spans(alone, "text", kind, f"_{kind.name}")
+    whole = {r.doc_id: r for r in pii.find_spans(odd_documents(spark, rows)).collect()}
+    dropped = 0
+    for r in alone.collect():
+        base = [s for kind in pii.BASE for s in r[f"_{kind.name}"]]
+        for kind in pii.ADDED:
+            kept = [s for s in r[f"_{kind.name}"] if not any(b.start < s.end and s.start < b.end for b in base)]
+            assert whole[r.doc_id][f"_{kind.name}"] == kept
+            dropped += len(r[f"_{kind.name}"]) - len(kept)
+    assert dropped > 100
+
+
+def test_many_spans_of_base_and_added_kinds(spark):
+    started = time.time()
+    text = "a@b.cc, IBAN DE89370400440532013000; " * 50_000
+    got = pii.span_report(odd_documents(spark, [(1, text)])).first()
+    assert got.n_email == 50_000 and got.spans.count("iban") == 50_000
+    assert time.time() - started < 60
+
+
+def test_names_of_the_results_are_replaced(spark):
+    rows = odd_documents(spark).withColumnRenamed("source", "_email").withColumnRenamed("shard", "_ssn")
+    got = pii.find_spans(rows)
+    assert len(got.columns) == len(set(got.columns)) and got.count() == rows.count()
+
+
 def test_redact(spark):
     rows = [(1, "a@b.cc and 1.2.3.4 or 999.1.1.1, card 4222222222222, +1 (555) 010-9999, GB82WEST12345698765432é"), (2, None), (3, ""), (4, "nothing")]
     df = odd_documents(spark, rows)
