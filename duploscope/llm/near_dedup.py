@@ -1,19 +1,22 @@
 """Near-duplicate documents by an LSH forest of sorted signature orders.
 
 Method: a document's shingle set gives TREES sequences of DEPTH minimum hashes. Each tree is the order of all
-sets by its sequence, so that sets with a long common prefix are neighbours. Along an order, regions with
-the same first MIN_DEPTH values are leaves, unless they are larger than LEAF: these are cut anew by each of BANDS bands of
-BAND codes, so that what one cut parts another keeps together, and the parts up to LEAF are leaves.
-Candidates are the pairs of a leaf, filtered by the estimate from all TREES * DEPTH values, which travel along as one byte each.
+sets by its sequence, so that sets with a long common prefix are neighbours. Sets with the same first MIN_DEPTH values are a region.
+A region of up to LEAF sets is a leaf; a larger one is cut by its next value, and its parts by the one after, as deep as it takes until they
+are leaves. What such a cut parts is kept together by another: an over-full region is cut anew by each of BANDS bands of BAND codes, and the
+parts up to LEAF are leaves, too. Candidates are the pairs of a leaf, filtered by the estimate from all TREES * DEPTH values, which travel
+along as one byte each.
 
 A group of near copies stays in one part of any cut. There the set that agrees most with its region, the
 pivot, is paired with all; pairs of sets that are both clearly like the same pivot add nothing. Sets of a part that is still
 larger than LEAF after a band become queries unless they are joined in the end with every pivot of their region, or are clearly
-like one and far from the others; so does a set that seemed clearly like a pivot and is not joined with it. Queries are compared with all sets that have candidates, in blocks of bounded size, by their shingles.
+like one and far from the others; so does a set that seemed clearly like a pivot and is not joined with it. Queries are compared with all
+sets that have candidates, in blocks of bounded size, by their shingles.
 
 All candidates are verified on full shingle sets: those with pivots first; of the others those that still join
-different components. Equal sets are one node from the start, so copies are never compared. Orders are dealt out by
-ranges of (tree, values, id), which cut through any hot region.
+different components. Equal sets are one node from the start, so copies are never compared. A region is dealt to one task, whole. One above
+REGION sets is dealt out by ranges of (tree, values, id); every pivot of a part and every set that is not clearly like one becomes a query,
+so that these do not depend on where the ranges cut.
 """
 
 from __future__ import annotations
@@ -38,6 +41,7 @@ PERCENT = 80  # 100 * shared >= PERCENT * union
 TREES, DEPTH = 16, 8
 MIN_DEPTH = 2
 LEAF = 64
+REGION = 50_000  # sets of a region that are kept in one task: some 10 MB
 BAND, BANDS = 4, 31  # codes outside the region's own MIN_DEPTH: at 0.8 all bands part a pair with a chance of 8e-8, as all trees do
 MARGIN = 0.13  # below the threshold by the estimate: 3.7 standard deviations
 CLEAR = 0.1  # above it
@@ -47,7 +51,7 @@ BROADCAST_IDS = 2_000_000  # ids of sets to be fetched, up to which they are bro
 
 _HASHES = TREES * DEPTH
 # why a pair is named: a leaf, a pivot, a member of a crowded region and a pivot of it, or a set clearly like its pivot
-_PLAIN, _CENTRAL, _CROWDED, _CLEAR = 1, 2, 4, 8
+_PLAIN, _CENTRAL, _CROWDED, _CLEAR, _LONE = 1, 2, 4, 8, 16  # the last names a set alone: the only one of its region in a task
 _flips = words.mixed(np.arange(1, _HASHES + 1, dtype=np.uint64)).astype(np.uint32)
 _factors = words.mixed(np.arange(1001, 1001 + _HASHES, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
 
@@ -215,15 +219,42 @@ class _Finder:
             self.second.append(np.maximum(ids, others))
             self.why.append(np.full(len(ids), _PLAIN))
 
-    def search(self, region: _Region) -> None:
+    def _alone(self, region: _Region, members: np.ndarray) -> None:
+        """Names members as queries, whatever they are joined with."""
+        ids = region.ids[members]
+        self.first.append(ids)
+        self.second.append(ids)
+        self.why.append(np.full(len(ids), _LONE))
+
+    def _neighbours(self, region: _Region, pivot_of: np.ndarray) -> None:
+        """Pairs of the leaves by common prefixes, each as deep as its part of the region is full."""
+        waiting = [(0, len(region.ids), MIN_DEPTH)]
+        while waiting:
+            low, high, depth = waiting.pop()
+            if high - low <= LEAF:
+                self._leaf(region, np.arange(low, high), pivot_of)
+            elif depth < DEPTH:
+                values = region.values[low:high, depth]
+                cuts = np.concatenate(([0], np.flatnonzero(values[1:] != values[:-1]) + 1, [high - low]))
+                waiting += [(low + a, low + b, depth + 1) for a, b in zip(cuts.tolist(), cuts[1:].tolist()) if b - a > 1]
+
+    def search(self, region: _Region, cut: bool = False) -> None:
+        """Candidates of a region; with `cut` it is only a part of one, whose other sets are elsewhere."""
         size = len(region.ids)
-        if size < 2:
-            return
         members, paired, pivot_of = np.arange(size), np.zeros(size, bool), np.full(size, -1)
+        if size < 2 or (cut and size <= LEAF):
+            if cut:
+                self._alone(region, members)
+            return
         if size <= LEAF:
             self._leaf(region, members, pivot_of)
             return
         self._pivots(region, members, paired, pivot_of)
+        if cut:
+            self._crowded(region, members, pivot_of)
+            self._alone(region, members[(pivot_of < 0) | (pivot_of == members)])
+            return
+        self._neighbours(region, pivot_of)
         crowded = self._bands(region, paired, pivot_of)
         if len(crowded):
             self._crowded(region, crowded, pivot_of)
@@ -241,8 +272,9 @@ class _Finder:
         )
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of a task's share of the orders. Only the region that a batch leaves unfinished is carried to the next."""
+def _candidates(batches: Iterator[pa.RecordBatch], percent: int, cut: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of a task's share of the orders. Only the region that a batch leaves unfinished is carried to the next; with `cut`, a task's
+    share may begin and end inside of regions."""
     finder = _Finder(percent)
     kept: list[pa.RecordBatch] = []
 
@@ -251,8 +283,8 @@ def _candidates(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
         codes = np.frombuffer(b"".join(rows["codes"].to_pylist()), np.uint8).reshape(-1, _HASHES)
         ids, sizes, tree = rows["rep"].to_numpy(), rows["n_shingles"].to_numpy(), rows["tree"].to_numpy()
         for low, high in zip(heads, [*heads[1:], upto]):
-            if high - low > 1:
-                finder.search(_Region(values[low:high], ids[low:high], sizes[low:high], codes[low:high], int(tree[low])))
+            if cut or high - low > 1:
+                finder.search(_Region(values[low:high], ids[low:high], sizes[low:high], codes[low:high], int(tree[low])), cut)
 
     def heads_of(rows: pa.Table) -> np.ndarray:
         values = np.frombuffer(b"".join(rows["values"].to_pylist()), ">u4").reshape(-1, DEPTH)[:, :MIN_DEPTH]
@@ -339,12 +371,21 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     ).select(
         "tree", F.expr(f"substring(signature, tree * {DEPTH * 4} + 1, {DEPTH * 4})").alias("values"), "rep", "n_shingles", "codes"
     )
-    order = ["tree", "values", "rep"]
+    order, region = ["tree", "values", "rep"], ["tree", "head"]
+    rows = rows.withColumn("head", F.substring("values", 1, MIN_DEPTH * 4))
+    full = materialize(rows.groupBy(*region).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > REGION).drop("n"))
+    kinds = "first_pos long, second_pos long, why int"
+    if full.isEmpty():
+        whole, found = rows, []
+    else:
+        whole = rows.join(full, region, "left_anti")
+        parted = rows.join(full, region, "left_semi").drop("head").repartitionByRange(*order).sortWithinPartitions(*order)
+        found = [parted.mapInArrow(lambda batches: _candidates(batches, percent, True), kinds)]
+    dealt = whole.repartition(*region).drop("head").sortWithinPartitions(*order)
+    found.append(dealt.mapInArrow(lambda batches: _candidates(batches, percent, False), kinds))
     pairs = materialize(
-        rows.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .mapInArrow(lambda batches: _candidates(batches, percent), "first_pos long, second_pos long, why int")
-        .filter("first_pos <> second_pos")
+        reduce(DataFrame.unionByName, found)
+        .filter(f"first_pos <> second_pos OR why = {_LONE}")
         .groupBy("first_pos", "second_pos")
         .agg(F.bit_or("why").alias("why"))
     )
@@ -360,8 +401,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     components = connected_components(central)
     plain = _apart(pairs.filter(f"why & {_CENTRAL} = 0 AND why & {_PLAIN} > 0"), components)
     components = _merged(components, _links(plain, sets, percent).unionByName(_same_document(named, nodes)))
+    crowded = _apart(pairs.filter(f"why & {_CROWDED | _CLEAR} > 0"), components).select("first_pos", "second_pos")
     queries = materialize(
-        _apart(pairs.filter(f"why & {_CROWDED | _CLEAR} > 0"), components)
+        crowded.unionByName(pairs.filter(f"why & {_LONE} > 0").select("first_pos", "second_pos"))
         .select(F.explode(F.array("first_pos", "second_pos")).alias("id"))
         .distinct()
         .join(sets, "id")

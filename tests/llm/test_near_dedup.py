@@ -101,6 +101,44 @@ def test_lone_pairs_of_an_over_full_region(spark):
     assert {(one, one + 1) for one in range(0, 600, 2)} <= found
 
 
+def test_neighbours_come_from_the_common_prefix_as_deep_as_a_region_is_full(monkeypatch):
+    """Estimates that say nothing: pairs are those of leaves, whose depth differs from part to part."""
+    rng = np.random.default_rng(9)
+    values = np.ones((400, nd.DEPTH), np.int64)
+    values[:100, 2] = np.arange(100) // 5  # twenty parts of five at depth 3
+    values[100:, 2] = 50
+    values[100:, 3] = rng.integers(0, 9, 300)  # parts of some thirty at depth 4
+    order = np.lexsort(values.T[::-1])
+    monkeypatch.setattr(nd._Finder, "_bands", lambda *rest: np.zeros(0, np.int64))
+    monkeypatch.setattr(nd._Finder, "_pivots", lambda *rest: None)
+    monkeypatch.setattr(nd._Finder, "_like", lambda self, region, one, others: np.ones(len(others)))
+    finder = nd._Finder(80)
+    codes = np.zeros((400, nd.TREES * nd.DEPTH), np.uint8)
+    finder.search(nd._Region(values[order], order, np.full(400, 100), codes))
+    found = set(zip(*[column.to_pylist() for column in finder.batch().columns[:2]]))
+    assert found == {(i, j) for i in range(400) for j in range(i + 1, 400) if (values[i, :4] == values[j, :4]).all()}
+
+
+def test_regions_larger_than_a_task(spark, monkeypatch):
+    """200 lone pairs at 0.8 to 0.82 among documents that share most of their text, in regions that tasks cut: none is missed."""
+    monkeypatch.setattr(nd, "REGION", 60)
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6))
+    common = [word() for _ in range(140)]
+    rows = []
+    for number in range(700):
+        one = common + [word() for _ in range(60)]  # two such documents are at 0.53 or less
+        rows.append((len(rows), " ".join(one)))
+        if number < 200:
+            other = list(one)
+            for place in range(rng.choice([20, 21, 22])):
+                other[-1 - place] = word()
+            rows.append((len(rows), " ".join(other)))
+    pairs = [100 * len(a & b) / len(a | b) for a, b in zip(*[iter(sets_of(rows[:400], 2))] * 2)]
+    assert 79.9 < min(pairs) and max(pairs) < 82.5
+    assert got(spark, rows, 2) == brute_force(rows, 2)
+
+
 def crowd(like_a, like_b):
     """Pairs by reason of 200 sets near A = 0 and 100 near B = 300, and of the last, with the given codes in common with A and B."""
     rng = np.random.default_rng(8)
