@@ -133,7 +133,7 @@ class _Finder:
 
     def _pivots(self, region: _Region, members: np.ndarray, paired: np.ndarray, pivot_of: np.ndarray) -> None:
         """Pairs members with the most typical one among them, and again those that are not like it, while that gains."""
-        rest = members[~paired[members]]
+        rest = members[paired[members] < 0]
         while len(rest) > LEAF:
             some = region.codes[rest[:: max(1, len(rest) // 256)]]  # enough to see the commonest values
             typical = np.array([np.bincount(column, minlength=256).argmax() for column in some.T], np.uint8)
@@ -142,7 +142,7 @@ class _Finder:
             like = self._like(region, pivot, others)
             near = others[like >= self.likely]
             self._emit(region, pivot, near, _CENTRAL)
-            paired[near] = paired[pivot] = True
+            paired[near] = paired[pivot] = pivot
             clear = others[like >= self.clear]
             self._emit(region, pivot, clear, _CLEAR)
             pivot_of[clear] = pivot_of[pivot] = pivot
@@ -226,13 +226,14 @@ class _Finder:
         self.second.append(ids)
         self.why.append(np.full(len(ids), _LONE))
 
-    def _neighbours(self, region: _Region, pivot_of: np.ndarray) -> None:
-        """Pairs of the leaves by common prefixes, each as deep as its part of the region is full."""
+    def _neighbours(self, region: _Region, paired: np.ndarray) -> None:
+        """Pairs of the leaves by common prefixes, each as deep as its part of the region is full; of sets that are paired with the same
+        pivot, those that are not joined by it are left to the bands."""
         waiting = [(0, len(region.ids), MIN_DEPTH)]
         while waiting:
             low, high, depth = waiting.pop()
             if high - low <= LEAF:
-                self._leaf(region, np.arange(low, high), pivot_of)
+                self._leaf(region, np.arange(low, high), paired)
             elif depth < DEPTH:
                 values = region.values[low:high, depth]
                 cuts = np.concatenate(([0], np.flatnonzero(values[1:] != values[:-1]) + 1, [high - low]))
@@ -241,7 +242,7 @@ class _Finder:
     def search(self, region: _Region, cut: bool = False) -> None:
         """Candidates of a region; with `cut` it is only a part of one, whose other sets are elsewhere."""
         size = len(region.ids)
-        members, paired, pivot_of = np.arange(size), np.zeros(size, bool), np.full(size, -1)
+        members, paired, pivot_of = np.arange(size), np.full(size, -1), np.full(size, -1)
         if size < 2 or (cut and size <= LEAF):
             if cut:
                 self._alone(region, members)
@@ -254,7 +255,7 @@ class _Finder:
             self._crowded(region, members, pivot_of)
             self._alone(region, members[(pivot_of < 0) | (pivot_of == members)])
             return
-        self._neighbours(region, pivot_of)
+        self._neighbours(region, paired)
         crowded = self._bands(region, paired, pivot_of)
         if len(crowded):
             self._crowded(region, crowded, pivot_of)
