@@ -7,6 +7,7 @@ distributed. Pixels stay in the JVM; only their samples are described in Arrow b
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -288,7 +289,8 @@ def color_similarity(a: Column, b: Column) -> Column:
 
 
 def aspect_similarity(a: Column, b: Column) -> Column:
-    return F.exp(-F.abs(F.log(a / b)))
+    """exp(-|ln(a / b)|), without the functions' rounding."""
+    return F.least(a / b, b / a)
 
 
 def scores(a: Column, b: Column) -> dict[str, Column]:
@@ -319,6 +321,85 @@ def meets(sensitivity: str, of: dict[str, Column] | None = None) -> Column:
     return condition
 
 
+PRINT_HASHES = (*HASHES, *[f"center_{name}" for name in HASHES])
+
+
+def packed(batch: pa.RecordBatch) -> pa.Array:
+    """Each fingerprint of a batch as bytes: six hashes and the aspect in 8 bytes each, then levels and counts in 2."""
+    parts = [batch.column(name).to_numpy(zero_copy_only=False).astype("<i8")[:, None] for name in PRINT_HASHES]
+    parts.append(batch.column("aspect").to_numpy(zero_copy_only=False).astype("<f8")[:, None])
+    for name in ("luminance", "center_luminance", "histogram"):
+        parts.append(batch.column(name).flatten().to_numpy(zero_copy_only=False).astype("<i2").reshape(batch.num_rows, -1))
+    rows = np.concatenate([np.ascontiguousarray(part).view(np.uint8) for part in parts], axis=1)
+    return pa.array([row.tobytes() for row in rows], pa.binary())
+
+
+class Prints(NamedTuple):
+    """Fingerprints side by side."""
+
+    hashes: dict[str, np.ndarray]
+    aspect: np.ndarray
+    levels: dict[str, np.ndarray]  # by prefix
+    histogram: np.ndarray
+
+    @classmethod
+    def unpacked(cls, content: list[bytes]) -> Prints:
+        rows = np.frombuffer(b"".join(content), np.uint8).reshape(len(content), -1)
+        at = 8 * len(PRINT_HASHES)
+        whole = np.ascontiguousarray(rows[:, :at]).view("<u8")
+        small = np.ascontiguousarray(rows[:, at + 8 :]).view("<i2")
+        size = (small.shape[1] - 12) // 2
+        return cls(
+            {name: np.ascontiguousarray(whole[:, n]) for n, name in enumerate(PRINT_HASHES)},
+            np.ascontiguousarray(rows[:, at : at + 8]).view("<f8")[:, 0],
+            {"": small[:, :size], "center_": small[:, size : 2 * size]}, small[:, 2 * size :],
+        )
+
+
+_WAYS = (("", ""), ("center_", ""), ("", "center_"))
+_ROWS, _PAIRS = 128, 1 << 14  # of a tile that are compared at once: by hashes, and by levels
+
+
+def _apart(a: Prints, b: Prints, rows: slice, name: str, p: str, q: str) -> np.ndarray:
+    return np.bitwise_count(a.hashes[p + name][rows, None] ^ b.hashes[q + name][None, :])
+
+
+def close_pairs(a: Prints, b: Prints, sensitivity: str, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]]:
+    """(rows of a, rows of b, scores) of all pairs that reach the thresholds; with `same`, a and b are one table and pairs are taken once.
+
+    The arithmetic is that of the columns above, step by step. Hashes and aspects are compared for all pairs; histograms, and then
+    levels, only where the scores still missing could make up for what is known.
+    """
+    limits, slack = THRESHOLDS[sensitivity], 1e-9
+    for start in range(0, len(a.aspect), _ROWS):
+        rows = slice(start, min(start + _ROWS, len(a.aspect)))
+        bits = [_apart(a, b, rows, "difference_h", *way) + _apart(a, b, rows, "difference_v", *way) for way in _WAYS]
+        difference = 1 - np.minimum(np.minimum(*bits[:2]), bits[2]) / 128.0
+        bits = [_apart(a, b, rows, "average", *way) for way in _WAYS]
+        average = 1 - np.minimum(np.minimum(*bits[:2]), bits[2]) / 64.0
+        ratio = a.aspect[rows, None] / b.aspect[None, :]
+        aspect = np.minimum(ratio, b.aspect[None, :] / a.aspect[rows, None])
+        known = WEIGHTS["difference"] * difference + WEIGHTS["average"] * average + WEIGHTS["aspect"] * aspect
+        least = limits["composite"] - slack
+        likely = (difference >= limits["difference"]) & (aspect >= limits["aspect"])
+        likely &= known + (WEIGHTS["structure"] + WEIGHTS["color"]) >= least
+        if same:
+            likely &= np.arange(start, rows.stop)[:, None] < np.arange(len(b.aspect))[None, :]
+        one, other = np.nonzero(likely)
+        for at in range(0, len(one), _PAIRS):
+            i, j = one[at : at + _PAIRS], other[at : at + _PAIRS]
+            histograms = np.abs(a.histogram[i + start] - b.histogram[j]).sum(axis=1, dtype=np.int64)
+            color = np.clip(1 - histograms / float(3 * SIDE * SIDE), 0.0, 1.0)
+            hopeful = known[i, j] + WEIGHTS["color"] * color + WEIGHTS["structure"] >= least
+            i, j, color = i[hopeful], j[hopeful], color[hopeful]
+            apart = [np.abs(a.levels[p][i + start] - b.levels[q][j]).sum(axis=1, dtype=np.int64) for p, q in _WAYS]
+            structure = 1 - np.minimum(np.minimum(*apart[:2]), apart[2]) / a.levels[""].shape[1] / 255.0
+            scores = {"structure": structure, "difference": difference[i, j], "average": average[i, j], "color": color, "aspect": aspect[i, j]}
+            scores["composite"] = sum(weight * scores[name] for name, weight in WEIGHTS.items())
+            met = np.logical_and.reduce([scores[name] >= limit for name, limit in limits.items()])
+            yield i[met] + start, j[met], {name: score[met] for name, score in scores.items()}
+
+
 def tier(strength: Column | str) -> Column:
     strength = F.col(strength) if isinstance(strength, str) else strength
     label = F.when(strength >= TIERS["VerySimilar"], F.lit("VerySimilar"))

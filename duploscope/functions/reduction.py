@@ -1,4 +1,4 @@
-"""Reduction of decoded images by area averages, in Arrow batches where the images are decoded."""
+"""Reduction of decoded images by area averages, in Arrow batches where the images are decoded, and their orientation."""
 
 from __future__ import annotations
 
@@ -49,3 +49,39 @@ def _reduced(batches: Iterator[pa.RecordBatch], side: int) -> Iterator[pa.Record
 def reduce_images(images: DataFrame, side: int = SIDE) -> DataFrame:
     """Images (width, height, channels, pixels and any other columns) of which no side is longer than `side`; smaller ones stay."""
     return images.mapInArrow(lambda batches: _reduced(batches, side), images.schema)
+
+
+_ORIENTATION = 274  # fixed value: the tag's number
+
+
+def orientation(head: bytes) -> int:
+    """The orientation tag of a JPEG file from its first bytes, 1 to 8; 1 where there is none or it cannot be read."""
+    at = 2
+    while head[:2] == b"\xff\xd8" and at + 4 <= len(head) and head[at] == 0xFF:
+        kind, size = head[at + 1], int.from_bytes(head[at + 2 : at + 4], "big")
+        if kind == 0xDA or size < 2:  # pixels begin
+            break
+        if kind == 0xE1 and head[at + 4 : at + 10] == b"Exif\0\0":
+            return _tag(head[at + 10 : at + 2 + size])
+        at += 2 + size
+    return 1
+
+
+def _tag(block: bytes) -> int:
+    order = {b"II": "little", b"MM": "big"}.get(block[:2])
+    if order is None:
+        return 1
+    number = lambda at, size: int.from_bytes(block[at : at + size], order)
+    start = number(4, 4)
+    for entry in range(start + 2, min(start + 2 + 12 * number(start, 2), len(block) - 11), 12):
+        if number(entry, 2) == _ORIENTATION and number(entry + 2, 2) == 3:
+            return found if 1 <= (found := number(entry + 8, 2)) <= 8 else 1
+    return 1
+
+
+def turned(pixels: np.ndarray, tag: int) -> np.ndarray:
+    """Stored pixels (rows, columns, channels) as the tag says they are to be seen."""
+    if tag >= 5:
+        pixels = pixels.transpose(1, 0, 2)
+    down, across = {1: (1, 1), 2: (1, -1), 3: (-1, -1), 4: (-1, 1), 5: (1, 1), 6: (1, -1), 7: (-1, -1), 8: (-1, 1)}[tag]
+    return np.ascontiguousarray(pixels[::down, ::across])

@@ -148,9 +148,18 @@ def include_subfolders(inv: DataFrame, include: bool) -> Split:
     return Split(inv.filter(direct), skipped.select("path", F.lit("SubfolderExcluded").alias("reason")))
 
 
+# Attributes of entries that are never opened, which are their reasons as well.
+UNREAD = ("ReparsePoint", "Inaccessible", "UnstableOrDisappeared", "IdentityUnavailable")
+
+
+def plain_file() -> Column:
+    """Whether an entry of an inventory is a file that may be opened: no folder, no link, nothing that failed when it was listed."""
+    return ~(F.coalesce("is_dir", F.lit(False)) | F.coalesce(F.arrays_overlap("attributes", F.array(*map(F.lit, UNREAD))), F.lit(False)))
+
+
 def entry_reason(policy: Policy) -> Column:
     """Why an entry is rejected on its own account, or null."""
-    link = F.when(F.array_contains("attributes", "ReparsePoint"), F.lit("ReparsePoint"))
+    link = F.coalesce(*[F.when(F.array_contains("attributes", name), F.lit(name)) for name in UNREAD])
     by_attribute = attribute_policy("attributes", policy)
     of_folder = F.coalesce(
         link,

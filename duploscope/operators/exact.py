@@ -7,14 +7,17 @@ crosses the network only for items whose digest occurs more than once.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from duploscope.functions import ranking
+from duploscope.operators.eligibility import plain_file
 from duploscope.session import materialize
 
+
 def path_order(path: str = "path") -> list[Column]:
     """Case-insensitive path order, made total by the path itself."""
     return [F.upper(path), F.col(path)]
@@ -102,6 +105,53 @@ def verify_content(rows: DataFrame, content: DataFrame | Reader | None) -> DataF
     )
 
 
+class Proof(NamedTuple):
+    """How the equality of items is proved where they lie."""
+
+    compare: Reader  # of items with `first`, one of equal digest: adds state, failure and first_failure; see `files.compare_files`
+    validate: Reader  # of items: (item_id, path, failure) of those that are not as they were; see `files.validate_files`
+
+
+def prove_pairs(rows: DataFrame, compare: Reader) -> DataFrame:
+    """Add `content_key`, as `verify_content` does, and `read_failure`, why an item could not be compared.
+
+    Every item of a repeated digest is compared with the first of its bucket by path, in the task of the pair; no content is shuffled. Items
+    that differ from the first are compared with the first of them, and so on; so are those whose first could not be read, until every
+    item has been compared with one that could, or could not be read itself.
+    """
+    key = ["length", "digest", "_class"]
+    named = ["item_id", "path"]
+    whole = F.struct(*[F.col(name) for name in rows.columns])
+    pending, states, number = rows.filter("digest IS NOT NULL").withColumn("_class", F.lit(0)), [], 0
+    while True:
+        number += 1
+        first = F.min_by(whole, F.struct(*path_order(), F.col("item_id"))).alias("first")
+        firsts = pending.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), first)
+        firsts = materialize(firsts.filter("_n > 1") if number == 1 else firsts)
+        others = pending.join(firsts.select(*key, "first"), key).filter("item_id <> first.item_id OR path <> first.path")
+        result = materialize(compare(others.withColumn("_digest", F.col("digest")).withColumn("_length", F.col("length"))))
+        if result.filter("state <> 'equal'").isEmpty():
+            if number == 1:
+                return rows.withColumn("content_key", F.col("digest")).withColumn("read_failure", F.lit(None).cast("string"))
+            open_again = None
+        else:
+            open_again = result.filter("state IN ('different', 'unproved')").select(
+                *named, F.when(F.col("state") == "different", number).otherwise(F.col("_class")).alias("_class")
+            )
+        keyed = result.withColumnsRenamed({"_digest": "digest", "_length": "length"})
+        unread = keyed.groupBy(*key).agg(F.min("first_failure").alias("failure"))
+        states.append(firsts.join(unread, key, "left").select("first.item_id", "first.path", "_class", "failure"))
+        states.append(result.filter("state IN ('equal', 'failed')").select(*named, "_class", "failure"))
+        if open_again is None:
+            break
+        pending = materialize(rows.join(open_again, named))
+        if pending.isEmpty():
+            break
+    found = materialize(reduce(DataFrame.unionByName, states)).withColumnRenamed("failure", "read_failure")
+    variant = F.when(F.col("_class") > 0, F.concat_ws("#", "digest", F.col("_class").cast("string"))).otherwise(F.col("digest"))
+    return rows.join(found, named, "left").withColumn("content_key", variant).drop("_class")
+
+
 class Isolated(NamedTuple):
     members: DataFrame
     skipped: DataFrame
@@ -113,10 +163,12 @@ def isolate_failures(members: DataFrame) -> Isolated:
     `members` has group_id and the boolean columns compare_failed and validate_failed. In path order,
     a failed comparison with the first of the set ends that set: everything in it so far and the failed
     row are skipped, later rows may form a new set. A failed final check ends its whole set. The rows
-    that stay carry `set_no`.
+    that stay carry `set_no`. With a column `read_failure`, the reason why a row could not be read at all, its comparison with the first
+    has failed, and so has that of the row after it, which finds a first that could not be read or opens a set; the reason is then that.
     """
+    read = F.col("read_failure").isNotNull() if "read_failure" in members.columns else F.lit(False)
     suspicious = (
-        members.filter("compare_failed or validate_failed").select("group_id").distinct()
+        members.filter(F.col("compare_failed") | F.col("validate_failed") | read).select("group_id").distinct()
     )
     suspicious = materialize(suspicious)
     if suspicious.isEmpty():
@@ -127,6 +179,13 @@ def isolate_failures(members: DataFrame) -> Isolated:
     blocked = ranking.with_blocks(members.join(suspicious, "group_id", "left_semi"), order)
     key = ["group_id"]
     counted = ranking.running_count(blocked, key, order, F.lit(1), "_pos")
+    if "read_failure" in members.columns:
+        after = counted.filter(read).select("group_id", (F.col("_pos") + 1).alias("_pos"), F.lit(True).alias("_after"))
+        counted = materialize(
+            counted.join(after, ["group_id", "_pos"], "left")
+            .withColumn("compare_failed", F.col("compare_failed") | read | F.coalesce("_after", F.lit(False)))
+            .drop("_after")
+        )
     counted = ranking.running_count(counted, key, order, F.col("compare_failed"), "_failed_upto")
     # Rows in one run of neighbouring failures share this difference.
     failed = counted.filter("compare_failed").withColumn("_run", F.col("_pos") - F.col("_failed_upto"))
@@ -147,11 +206,14 @@ def isolate_failures(members: DataFrame) -> Isolated:
         F.bool_or("_ends").alias("_compare"),
         F.bool_or("validate_failed").alias("_validate"),
         F.count(F.lit(1)).alias("_n"),
+        F.min("read_failure" if "read_failure" in members.columns else F.lit(None).cast("string")).alias("_read"),
     )
     judged = sets.join(verdicts, ["group_id", "set_no"])
-    reason = F.when(F.col("_compare"), F.lit("ComparisonFailed")).when(
+    reason = F.when(F.col("_compare"), F.coalesce("_read", F.lit("ComparisonFailed"))).when(
         F.col("_validate") & (F.col("_n") > 1), F.lit("ChangedDuringAnalysis")
     )
+    if "read_failure" in members.columns:  # the last row of a bucket has nothing to be compared with, but it is lost as well
+        reason = F.coalesce(reason, F.when(F.col("_n") == 1, F.col("read_failure")))
     judged = judged.withColumn("reason", reason)
     columns = [*members.columns, "set_no"]
     kept = judged.filter("reason is null and _n > 1").select(*columns)
@@ -203,12 +265,36 @@ class ExactDuplicates(NamedTuple):
     items: DataFrame
 
 
-def with_digests(items: DataFrame, digests: Reader) -> DataFrame:
+class Funnel:
+    """Items and bytes at the stages of a scan, counted by the run that passes them on: nothing is read again for it."""
+
+    def __init__(self) -> None:
+        self._seen: list[tuple[int, str, Observation]] = []
+
+    def watch(self, number: int, stage: str, df: DataFrame, counted: Column | None = None) -> DataFrame:
+        """The same rows; those that are `counted`, all by default, are counted when they are written."""
+        seen = Observation()
+        self._seen.append((number, stage, seen))
+        counted = F.lit(True) if counted is None else counted
+        return df.observe(
+            seen, F.count(F.when(counted, 1)).alias("items"), F.coalesce(F.sum(F.when(counted, F.col("length"))), F.lit(0)).alias("bytes")
+        )
+
+    def table(self, accepted: DataFrame, result: ExactDuplicates) -> DataFrame:
+        """(stage_no, stage, items, bytes), as `scan_funnel` gives it; every watched table must have been written."""
+        seen = [(number, stage, *(watched.get[name] for name in ("items", "bytes"))) for number, stage, watched in self._seen]
+        kinds = "stage_no int, stage string, items long, bytes long"
+        rows = accepted.sparkSession.createDataFrame(seen, kinds)
+        return rows.unionByName(_stage(2, "accepted", accepted)).unionByName(_group_stages(result.groups))
+
+
+def with_digests(items: DataFrame, digests: Reader, funnel: Funnel | None = None) -> DataFrame:
     """Items with `digest` and `failure`, of which only those of repeated lengths are read.
 
     `digests` gets (item_id, path, length) of these and gives (item_id, path, digest) and, where it knows, `failure`.
     """
-    wanted = materialize(size_candidates(items).select("item_id", "path", "length"))
+    wanted = size_candidates(items)
+    wanted = materialize((funnel.watch(4, "size candidates", wanted) if funnel else wanted).select("item_id", "path", "length"))
     read = digests(wanted)
     if "failure" not in read.columns:
         read = read.withColumn("failure", F.lit(None).cast("string"))
@@ -217,24 +303,32 @@ def with_digests(items: DataFrame, digests: Reader) -> DataFrame:
 
 
 def find_exact_duplicates(
-    inv: DataFrame, content: DataFrame | Reader | None = None, digests: Reader | None = None
+    inv: DataFrame, content: DataFrame | Reader | Proof | None = None, digests: Reader | None = None, funnel: Funnel | None = None
 ) -> ExactDuplicates:
     """Groups of equal items, their members, the items that could not be judged, and all items with what was read of them.
 
-    With `digests`, only items whose length occurs again are hashed at all, see `with_digests`; otherwise the inventory has the
-    digests. Null digests are unreadable items: each one is skipped alone. Optional boolean columns
-    compare_failed and validate_failed tell of reads that failed later on, see `isolate_failures`.
+    Folders, links and whatever else `plain_file` refuses are left out: they are never opened. With `digests`, only items whose length occurs
+    again are hashed at all, see `with_digests`; otherwise the inventory has the digests. Null digests are unreadable items: each one is
+    skipped alone. With a `Proof`, items are compared where they lie, and the members of every set are looked at once more at the end: an
+    item that went away or changed since it was listed takes its set with it, with its reason. Optional boolean columns
+    compare_failed and validate_failed tell of other reads that failed later on, see `isolate_failures`. A `funnel` counts items and bytes
+    on the way; it needs `digests`.
     """
     # everything below reads this narrow table
-    items = materialize(dedupe_identity(inv))
+    items = dedupe_identity(inv.filter(plain_file()))
+    items = materialize(funnel.watch(3, "distinct identity", items) if funnel else items)
     if digests is not None:
-        items = materialize(with_digests(items, digests))
-    keyed = verify_content(items.filter("digest is not null"), content)
+        items = with_digests(items, digests, funnel)
+        items = materialize(funnel.watch(5, "hashed", items, F.col("digest").isNotNull()) if funnel else items)
+    if isinstance(content, Proof):
+        keyed = prove_pairs(items.filter("digest is not null").drop("failure"), content.compare)
+    else:
+        keyed = verify_content(items.filter("digest is not null"), content)
     groups = assemble_groups(keyed)
     members = keyed.join(groups.select("length", "content_key", "group_id"), ["length", "content_key"])
     skipped = detection_skipped(items)
     flags = [name for name in ("compare_failed", "validate_failed") if name in inv.columns]
-    if flags:
+    if flags or "read_failure" in members.columns:
         for name in {"compare_failed", "validate_failed"}:
             members = members.withColumn(name, F.coalesce(F.col(name), F.lit(False)) if name in flags else F.lit(False))
         isolated = isolate_failures(members)
@@ -242,10 +336,19 @@ def find_exact_duplicates(
         members = (
             isolated.members.withColumnRenamed("group_id", "_whole")
             .join(groups.select("_whole", "set_no", "group_id"), ["_whole", "set_no"])
-            .drop("_whole", "set_no")
+            .drop("_whole", "set_no", "read_failure")
         )
         groups = groups.drop("_whole", "set_no")
         skipped = skipped.unionByName(isolated.skipped.select(*skipped.columns))
+    if isinstance(content, Proof):
+        members = materialize(members)
+        changed = materialize(content.validate(members))
+        if not changed.isEmpty():
+            reasons = members.join(changed, ["item_id", "path"]).groupBy("group_id").agg(F.min("failure").alias("reason"))
+            lost = members.drop("reason").join(materialize(reasons), "group_id")
+            skipped = skipped.unionByName(lost.select(*skipped.columns))
+            members = members.join(reasons.select("group_id"), "group_id", "left_anti")
+            groups = groups.join(reasons.select("group_id"), "group_id", "left_anti")
     return ExactDuplicates(groups, members, skipped, items)
 
 
@@ -256,37 +359,23 @@ def detection_skipped(items: DataFrame) -> DataFrame:
     return unreadable.select("item_id", "path", "identity", reason.alias("reason"))
 
 
-def scan_funnel(entries: DataFrame, accepted: DataFrame, result: ExactDuplicates, items: DataFrame) -> DataFrame:
-    """Items and bytes at each stage of a scan, as (stage_no, stage, items, bytes)."""
-
-    def stage(number: int, name: str, df: DataFrame, bytes_: Column) -> DataFrame:
-        return df.agg(F.count(F.lit(1)).alias("items"), F.coalesce(F.sum(bytes_), F.lit(0)).alias("bytes")).select(
-            F.lit(number).alias("stage_no"), F.lit(name).alias("stage"), "items", "bytes"
-        )
-
-    length = F.col("length")
-    lengths = items.groupBy("length").agg(F.count(F.lit(1)).alias("n"), F.count("digest").alias("hashed"))
-    many = lengths.filter("n > 1")
-    candidates = many.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("items"), F.coalesce(F.sum(F.col("n") * length), F.lit(0)).alias("bytes")
-    )
-    hashed = many.agg(
-        F.coalesce(F.sum("hashed"), F.lit(0)).alias("items"),
-        F.coalesce(F.sum(F.col("hashed") * length), F.lit(0)).alias("bytes"),
-    )
-    named = lambda number, name, df: df.select(
+def _stage(number: int, name: str, df: DataFrame) -> DataFrame:
+    return df.agg(F.count(F.lit(1)).alias("items"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).select(
         F.lit(number).alias("stage_no"), F.lit(name).alias("stage"), "items", "bytes"
     )
-    sizes = result.groups.agg(
+
+
+def _group_stages(groups: DataFrame) -> DataFrame:
+    sizes = groups.agg(
         F.count(F.lit(1)).alias("groups"),
         F.coalesce(F.sum("members"), F.lit(0)).alias("members"),
-        F.coalesce(F.sum(F.col("members") * length), F.lit(0)).alias("bytes"),
+        F.coalesce(F.sum(F.col("members") * F.col("length")), F.lit(0)).alias("bytes"),
         F.coalesce(F.sum("reclaimable"), F.lit(0)).alias("reclaimable"),
     )
     level = lambda number, name, count, size: F.struct(
         F.lit(number).alias("stage_no"), F.lit(name).alias("stage"), count.alias("items"), size.alias("bytes")
     )
-    of_groups = sizes.select(
+    return sizes.select(
         F.inline(
             F.array(
                 level(6, "verified groups", F.col("groups"), F.col("bytes")),
@@ -295,13 +384,25 @@ def scan_funnel(entries: DataFrame, accepted: DataFrame, result: ExactDuplicates
             )
         )
     )
+
+
+def scan_funnel(entries: DataFrame, accepted: DataFrame, result: ExactDuplicates, items: DataFrame) -> DataFrame:
+    """Items and bytes at each stage of a scan, as (stage_no, stage, items, bytes), from the tables of its stages; see `Funnel` for a run
+    that counts as it goes."""
+    lengths = items.groupBy("length").agg(F.count(F.lit(1)).alias("n"), F.count("digest").alias("hashed")).filter("n > 1")
+    total = lambda name: lengths.agg(
+        F.coalesce(F.sum(name), F.lit(0)).alias("items"), F.coalesce(F.sum(F.col(name) * F.col("length")), F.lit(0)).alias("bytes")
+    )
+    named = lambda number, name, df: df.select(
+        F.lit(number).alias("stage_no"), F.lit(name).alias("stage"), "items", "bytes"
+    )
     return (
-        stage(1, "found", entries, length)
-        .unionByName(stage(2, "accepted", accepted, length))
-        .unionByName(stage(3, "distinct identity", items, length))
-        .unionByName(named(4, "size candidates", candidates))
-        .unionByName(named(5, "hashed", hashed))
-        .unionByName(of_groups)
+        _stage(1, "found", entries)
+        .unionByName(_stage(2, "accepted", accepted))
+        .unionByName(_stage(3, "distinct identity", items))
+        .unionByName(named(4, "size candidates", total("n")))
+        .unionByName(named(5, "hashed", total("hashed")))
+        .unionByName(_group_stages(result.groups))
     )
 
 

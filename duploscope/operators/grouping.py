@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duploscope.functions import images, ranking
-from duploscope.operators.similar import RANK_BLOCK
+from duploscope.operators.similar import RANK_BLOCK, Looks
 from duploscope.session import materialize
 
 COMPONENT_LIMIT = 2_000  # images settled in one task: some 8 MB of fingerprints
@@ -97,7 +97,7 @@ class _Scorer:
         average = best(lambda p, q: alike("average", p, q))
         apart = np.abs(self.histogram[one] - self.histogram[many]).sum(axis=1)
         color = np.clip(1 - apart / float(3 * images.SIDE * images.SIDE), 0, 1)
-        aspect = np.exp(-np.abs(np.log(self.aspect[one] / self.aspect[many])))
+        aspect = np.minimum(self.aspect[one] / self.aspect[many], self.aspect[many] / self.aspect[one])
         scores = {"structure": structure, "difference": difference, "average": average, "color": color, "aspect": aspect}
         composite = sum(weight * scores[name] for name, weight in images.WEIGHTS.items())
         return np.logical_and.reduce([(composite if name == "composite" else scores[name]) >= least for name, least in self.limits.items()])
@@ -120,7 +120,9 @@ def _settle_component(sensitivity: str):
             neighbours[row_of[first]].append(row_of[second])
             neighbours[row_of[second]].append(row_of[first])
         scorer, free, found = _Scorer(vertices, sensitivity), [True] * len(row_of), []
-        for anchor in sorted(range(len(row_of)), key=lambda row: (-len(neighbours[row]), row)):
+        copies = vertices["copies"].to_numpy()
+        degrees = [int(copies[around].sum() + copies[row] - 1) for row, around in enumerate(neighbours)]
+        for anchor in sorted(range(len(row_of)), key=lambda row: (-degrees[row], row)):
             around = sorted(row for row in neighbours[anchor] if free[row]) if free[anchor] else []
             if not around:
                 continue
@@ -134,7 +136,7 @@ def _settle_component(sensitivity: str):
 
 
 def _settle_small(vertices: DataFrame, edges: DataFrame, sensitivity: str) -> DataFrame:
-    left = vertices.select("component", "pos", *images.FINGERPRINT).groupBy("component")
+    left = vertices.select("component", "pos", "copies", *images.FINGERPRINT).groupBy("component")
     right = edges.select("component", "first_pos", "second_pos").groupBy("component")
     return left.cogroup(right).applyInPandas(_settle_component(sensitivity), MEMBERS)
 
@@ -176,7 +178,9 @@ def _settle_large(placed: DataFrame, edges: DataFrame, sensitivity: str) -> Data
         mine.join(looks, list(images.FINGERPRINT)).select("pos", "look")
     )
     free = materialize(_both_ways(edges))
-    degrees = materialize(free.groupBy("pos").agg(F.count(F.lit(1)).alias("degree")))
+    own = mine.select("pos", "copies")
+    around = free.join(own.withColumnsRenamed({"pos": "other", "copies": "_copies"}), "other").groupBy("pos").agg(F.sum("_copies").alias("_around"))
+    degrees = materialize(around.join(own, "pos").select("pos", (F.col("_around") + F.col("copies") - 1).alias("degree")))
     found: list[DataFrame] = []
     while not free.isEmpty():
         anchors = materialize(_ready(free, degrees))
@@ -238,8 +242,11 @@ def complete_link_groups(
     """Groups (group_id, representative_id, first_path, photos, tier) and members (group_id, item_id, ...).
 
     `placed` are fingerprints with positions, `related` the pairs from `relationships`. The tier is that of
-    the weakest strength between the representative and a member.
+    the weakest strength between the representative and a member. With a column `copies`, a row stands for so many images of
+    equal fingerprints, which are linked with each other and share their links; `photos` counts them, members are the rows.
     """
+    if "copies" not in placed.columns:
+        placed = placed.withColumn("copies", F.lit(1).cast("long"))
     edges = materialize(related.select("first_pos", "second_pos", "composite").distinct())
     spark = placed.sparkSession
     if edges.isEmpty():
@@ -256,7 +263,20 @@ def complete_link_groups(
         large = labelled.filter(~fitting).select("first_pos", "second_pos")
         if not large.isEmpty():
             members = members.unionByName(_settle_large(placed, materialize(large), sensitivity))
-    return _describe(placed, edges, members)
+    # whatever is left has no free neighbour: copies of one another are a group of their own
+    alone = placed.filter("copies > 1").select("pos").join(members.select("pos"), "pos", "left_anti")
+    return _describe(placed, edges, members.unionByName(alone.select(F.col("pos").alias("anchor_pos"), "pos")))
+
+
+def look_groups(placed: DataFrame, found: Looks, close: DataFrame, sensitivity: str = "Balanced") -> SimilarGroups:
+    """Complete-link groups of all images from the links between their looks (`close_looks`); each image of a look is a member.
+
+    Equal images reach all thresholds with the same others, so that at every anchor they are taken or refused together.
+    """
+    prints = found.looks.select("pos", "copies").join(placed.select("pos", "item_id", "path", *images.FINGERPRINT), "pos")
+    grouped = complete_link_groups(materialize(prints), close, sensitivity)
+    looks = grouped.members.join(found.looks.select("item_id", F.col("pos").alias("look")), "item_id").select("group_id", "look")
+    return SimilarGroups(grouped.groups, found.images.join(looks, "look").select("group_id", "item_id", "path"))
 
 
 def _describe(placed: DataFrame, edges: DataFrame, members: DataFrame) -> SimilarGroups:
@@ -264,18 +284,16 @@ def _describe(placed: DataFrame, edges: DataFrame, members: DataFrame) -> Simila
     strengths = members.filter("anchor_pos <> pos").select(
         F.least("anchor_pos", "pos").alias("first_pos"), F.greatest("anchor_pos", "pos").alias("second_pos"), "anchor_pos"
     )
-    weakest = (
-        strengths.join(edges, ["first_pos", "second_pos"])
-        .groupBy("anchor_pos")
-        .agg(F.min("composite").alias("weakest"), (F.count(F.lit(1)) + 1).alias("photos"))
-    )
+    weakest = strengths.join(edges, ["first_pos", "second_pos"]).groupBy("anchor_pos").agg(F.min("composite").alias("weakest"))
+    sizes = members.join(placed.select("pos", "copies"), "pos").groupBy("anchor_pos").agg(F.sum("copies").alias("photos"))
     heads = placed.select(F.col("pos").alias("anchor_pos"), "item_id", "path")
-    groups = weakest.join(heads, "anchor_pos").select(
+    equal = images.composite({name: F.lit(1.0) for name in images.WEIGHTS})
+    groups = sizes.join(weakest, "anchor_pos", "left").join(heads, "anchor_pos").select(
         F.col("item_id").alias("group_id"),
         F.col("item_id").alias("representative_id"),
         F.col("path").alias("first_path"),
         "photos",
-        group_tier("weakest").alias("tier"),
+        group_tier(F.coalesce("weakest", equal)).alias("tier"),
         "anchor_pos",
     )
     named = (

@@ -1,14 +1,21 @@
-"""Similar images: candidates, scores and review of groups.
+"""Similar images: the links between them, candidates, scores and review of groups.
 
-Candidates come from equal 16-bit hash segments. A segment value may be shared by a third of all
+All links are found by `links`: equal fingerprints are one look, looks are put in order of aspect and cut into blocks, and blocks
+whose aspects are close enough are compared as a whole, tile by tile. Nothing leaves a tile but the pairs that reach the thresholds, and
+copies of a look are linked with its first image, not with each other.
+
+For collections that are too large for that there is the bounded candidate search. Its candidates come from equal 16-bit hash segments. A segment value may be shared by a third of all
 images; by default each image looks only at the 64 newest holders before it, which is found by a running count
 and an equality join on blocks of that count, so no bucket is ever joined with itself.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +32,8 @@ BEST_PER_IMAGE = 64
 MARKS = ("None", "Keep", "ConsiderRemoving")
 
 RANK_BLOCK = 65_536
+TILE = 1024  # looks of a block
+TASK_TILES = 16  # tiles of a task, where there are more than the session has cores for
 SCORES = ("structure", "difference", "average", "color", "aspect")
 
 
@@ -235,15 +244,121 @@ def relationships(pairs: DataFrame, placed: DataFrame, sensitivity: str = "Balan
     return scored.filter(images.meets(sensitivity)).withColumn("tier", images.tier("composite"))
 
 
-def similarity_stats(placed: DataFrame, pairs: DataFrame, related: DataFrame, groups: DataFrame) -> DataFrame:
-    """One row: eligible images, candidate pairs, relationships, groups."""
-    count = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+class Looks(NamedTuple):
+    """Distinct fingerprints, and the images that have them."""
+
+    looks: DataFrame  # pos, item_id and path of the first image, aspect, print, copies
+    images: DataFrame  # pos, item_id, path, look: the pos of its look
+
+
+def distinct_looks(placed: DataFrame) -> Looks:
+    """Images with equal fingerprints together."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                own = [batch.column(name) for name in ("pos", "item_id", "path", "aspect")]
+                yield pa.RecordBatch.from_arrays([*own, images.packed(batch)], names=["pos", "item_id", "path", "aspect", "print"])
+
+    kinds = {field.name: field.dataType.simpleString() for field in placed.schema}
+    packed = placed.select("pos", "item_id", "path", *images.FINGERPRINT).mapInArrow(
+        pack, f"pos long, item_id {kinds['item_id']}, path string, aspect double, print binary"
+    )
+    packed = materialize(packed.withColumn("key", F.sha2("print", 256)))
+    grouped = packed.groupBy("key").agg(F.min(F.struct("pos", "item_id", "path", "aspect", "print")).alias("one"), F.count(F.lit(1)).alias("copies"))
+    looks = materialize(grouped.select("key", "one.*", "copies"))
+    members = packed.select("pos", "item_id", "path", "key").join(looks.select("key", F.col("pos").alias("look")), "key").drop("key")
+    return Looks(looks.drop("key"), members)
+
+
+def _tiles(blocks: DataFrame, sensitivity: str) -> DataFrame:
+    """(one, other) of all blocks with one <= other whose aspects may reach the threshold; blocks stand in order of aspect.
+
+    Each block is paired with all from itself to the last that begins below its end over the threshold, which a running maximum over
+    begins and ends finds: the only global window, over two numbers of each block.
+    """
+    limit = images.THRESHOLDS[sensitivity]["aspect"]
+    begins = blocks.select(F.col("low").alias("value"), F.lit(0).alias("kind"), "block")
+    ends = blocks.select((F.col("high") / limit * (1 + 1e-9)).alias("value"), F.lit(1).alias("kind"), "block")
+    upto = Window.orderBy("value", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.max(F.when(F.col("kind") == 0, F.col("block"))).over(upto)
+    reach = begins.unionByName(ends).withColumn("last", last).filter("kind = 1")
+    return reach.select(F.col("block").alias("one"), F.explode(F.sequence("block", "last")).alias("other"))
+
+
+def close_looks(looks: DataFrame, sensitivity: str = "Balanced", tile: int = TILE) -> DataFrame:
+    """(first_pos, second_pos, first_id, second_id, scores, composite) of all pairs of looks that reach the thresholds.
+
+    Every pair of blocks that may have one is compared: the work grows with the square of the looks of about one aspect, at some 30
+    nanoseconds for a pair that the hashes rule out. What is shuffled is each block once for each of its tiles.
+    """
+    kind = looks.schema["item_id"].dataType.simpleString()
+    ranked = ranking.global_rank(looks.select("pos", "item_id", "print", "aspect"), [F.col("aspect"), F.col("pos")], "_index")
+    blocks = materialize(
+        ranked.groupBy(F.floor(F.col("_index") / tile).alias("block"))  # `tile` rows each
+        .agg(
+            F.collect_list(F.struct("pos", "item_id", "print")).alias("members"), F.min("aspect").alias("low"), F.max("aspect").alias("high")
+        )
+    )
+    tiles = materialize(_tiles(blocks.select("block", "low", "high"), sensitivity))
+    amount = tiles.count()
+    tasks = max(1, min(amount, max(looks.sparkSession.sparkContext.defaultParallelism, amount // TASK_TILES)))
+    side = lambda name: blocks.select(F.col("block").alias(name), F.col("members").alias(f"{name}_members"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                sides = [batch.column(name)[row].values for name in ("one_members", "other_members")]
+                prints = [images.Prints.unpacked(side.field("print").to_pylist()) for side in sides]
+                same = batch.column("one")[row].as_py() == batch.column("other")[row].as_py()
+                for i, j, scores in images.close_pairs(*prints, sensitivity, same):
+                    one, other = sides[0].take(pa.array(i)), sides[1].take(pa.array(j))
+                    pos = [side.field("pos").to_numpy() for side in (one, other)]
+                    turned = pos[0] > pos[1]
+                    ids = pa.concat_arrays([one.field("item_id"), other.field("item_id")])
+                    at = np.arange(len(turned))
+                    first, second = at + turned * len(at), at + ~turned * len(at)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.minimum(*pos)), pa.array(np.maximum(*pos)), ids.take(pa.array(first)), ids.take(pa.array(second)),
+                            *[pa.array(scores[name]) for name in (*SCORES, "composite")],
+                        ],
+                        names=["first_pos", "second_pos", "first_id", "second_id", *SCORES, "composite"],
+                    )
+
+    numbers = ", ".join(f"{name} double" for name in (*SCORES, "composite"))
+    return (
+        tiles.repartition(tasks, "one", "other").join(side("one"), "one").join(side("other"), "other")
+        .mapInArrow(compare, f"first_pos long, second_pos long, first_id {kind}, second_id {kind}, {numbers}")
+    )
+
+
+def links(found: Looks, close: DataFrame) -> DataFrame:
+    """All links with their tier: the pairs of `close_looks`, and each further image of a look with the look's first."""
+    first = found.looks.filter("copies > 1").select(F.col("pos").alias("first_pos"), F.col("item_id").alias("first_id"))
+    copies = found.images.filter("pos <> look").select(F.col("look").alias("first_pos"), F.col("pos").alias("second_pos"), F.col("item_id").alias("second_id"))
+    equal = copies.join(first, "first_pos").withColumns({name: F.lit(1.0) for name in SCORES}).withColumn("composite", images.composite())
+    return close.unionByName(equal.select(*close.columns)).withColumn("tier", images.tier("composite"))
+
+
+def similarity_totals(found: Looks, close: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row: eligible images, candidate pairs and comparisons, both all pairs, relationships between images, groups."""
+    sizes = found.looks.select("pos", "copies")
+    between = close.join(sizes.withColumnsRenamed({"pos": "first_pos", "copies": "_a"}), "first_pos").join(
+        sizes.withColumnsRenamed({"pos": "second_pos", "copies": "_b"}), "second_pos"
+    )
+    named = lambda df, name, value: df.agg(F.sum(value).alias("n")).select(F.lit(name).alias("name"), "n")
     rows = (
-        count(placed, "eligible").unionByName(count(pairs, "candidate_pairs"))
-        .unionByName(count(related, "relationships")).unionByName(count(groups, "groups"))
+        named(sizes, "eligible", F.col("copies"))
+        .unionByName(named(sizes, "relationships", F.expr("copies * (copies - 1) div 2")))
+        .unionByName(named(between, "relationships", F.col("_a") * F.col("_b")))
+        .unionByName(named(groups, "groups", F.lit(1)))
+    )
+    total = lambda name: F.coalesce(F.sum(F.when(F.col("name") == name, F.col("n"))), F.lit(0)).alias(name)
+    every = F.expr("eligible * (eligible - 1) div 2")
+    return rows.agg(total("eligible"), total("relationships"), total("groups")).select(
+        "eligible", every.alias("candidate_pairs"), every.alias("comparisons"), "relationships", "groups"
     )
-    names = ("eligible", "candidate_pairs", "relationships", "groups")
-    return rows.agg(*[F.sum(F.when(F.col("name") == name, F.col("n"))).alias(name) for name in names])
 
 
 SIMILAR_SORTS = ("tier", "photo_count", "activity", "total_size")

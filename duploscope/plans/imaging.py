@@ -164,16 +164,40 @@ def _three_ways(score: str) -> str:
     return "greatest(" + ", ".join(score.replace("{A}", a).replace("{B}", b) for a, b in (("", ""), ("center_", ""), ("", "center_"))) + ")"
 
 
-TEXT_SCORED = TEXT_PAIRS + f""",
-sides AS (SELECT pos, item_id, aspect, hist, lum AS luminance, clum AS center_luminance, difference_h, difference_v, average, center_difference_h, center_difference_v, center_average FROM placed),
-scored AS (SELECT a.item_id AS first_id, b.item_id AS second_id,
-    {_three_ways("1 - CAST(list_sum(list_transform(range(1, 257), lambda i: abs(a.{A}luminance[i] - b.{B}luminance[i]))) AS DOUBLE) / 256 / 255.0::DOUBLE")} AS structure,
-    {_three_ways("((1 - bit_count(xor(a.{A}difference_h, b.{B}difference_h)) / 64.0::DOUBLE) + (1 - bit_count(xor(a.{A}difference_v, b.{B}difference_v)) / 64.0::DOUBLE)) / 2")} AS difference,
-    {_three_ways("1 - bit_count(xor(a.{A}average, b.{B}average)) / 64.0::DOUBLE")} AS average,
-    least(1.0::DOUBLE, greatest(0.0::DOUBLE, 1 - CAST(list_sum(list_transform(range(1, 13), lambda i: abs(a.hist[i] - b.hist[i]))) AS DOUBLE) / 768)) AS color,
-    exp(-abs(ln(a.aspect / b.aspect))) AS aspect
-  FROM cands c JOIN sides a ON a.pos = c.first_pos JOIN sides b ON b.pos = c.second_pos),
-strong AS (SELECT *, 0.38::DOUBLE * structure + 0.24::DOUBLE * difference + 0.14::DOUBLE * average + 0.14::DOUBLE * color + 0.10::DOUBLE * aspect AS composite FROM scored)
+def _meets(sensitivity: str) -> str:
+    return " AND ".join(f"{name} >= {least}::DOUBLE" for name, least in images.THRESHOLDS[sensitivity].items())
+
+
+TIER = "CASE WHEN composite >= 0.93::DOUBLE THEN 'VerySimilar' WHEN composite >= 0.84::DOUBLE THEN 'Similar' ELSE 'LooselySimilar' END"
+
+
+# All pairs: the first image of each look with those of all others, and every other image of a look with its first.
+TEXT_LOOKS = PRINTS + """,
+placed AS (SELECT *, row_number() OVER (ORDER BY item_id) - 1 AS pos FROM prints),
+looks AS MATERIALIZED (SELECT pos, item_id, aspect, hist, lum AS luminance, clum AS center_luminance, difference_h, difference_v, average, center_difference_h, center_difference_v, center_average,
+       first_value(item_id) OVER (PARTITION BY lum, clum, hist, difference_h, difference_v, average, center_difference_h, center_difference_v, center_average, aspect ORDER BY pos) AS look FROM placed),
+sides AS MATERIALIZED (SELECT * FROM looks WHERE look = item_id)
+"""
+
+
+def _text_links(sensitivity: str) -> str:
+    least = images.THRESHOLDS[sensitivity]
+    difference = _three_ways(
+        "((1 - bit_count(xor(a.{A}difference_h, b.{B}difference_h)) / 64.0::DOUBLE) + (1 - bit_count(xor(a.{A}difference_v, b.{B}difference_v)) / 64.0::DOUBLE)) / 2"
+    )
+    structure = _three_ways(
+        "1 - CAST(list_sum(list_transform(range(1, 257), lambda i: abs(a.{A}luminance[i] - b.{B}luminance[i]))) AS DOUBLE) / 256 / 255.0::DOUBLE"
+    )
+    return TEXT_LOOKS + f""",
+close AS MATERIALIZED (SELECT a.pos AS p, b.pos AS q, {difference} AS difference,
+    {_three_ways("1 - bit_count(xor(a.{A}average, b.{B}average)) / 64.0::DOUBLE")} AS average, exp(-abs(ln(a.aspect / b.aspect))) AS aspect
+  FROM sides a JOIN sides b ON a.pos < b.pos AND {difference} >= {least["difference"]}::DOUBLE),
+scored AS (SELECT a.item_id AS first_id, b.item_id AS second_id, {structure} AS structure, n.difference, n.average,
+    least(1.0::DOUBLE, greatest(0.0::DOUBLE, 1 - CAST(list_sum(list_transform(range(1, 13), lambda i: abs(a.hist[i] - b.hist[i]))) AS DOUBLE) / 768)) AS color, n.aspect
+  FROM close n JOIN sides a ON a.pos = p JOIN sides b ON b.pos = q),
+strong AS (SELECT first_id, second_id, 0.38::DOUBLE * structure + 0.24::DOUBLE * difference + 0.14::DOUBLE * average + 0.14::DOUBLE * color + 0.10::DOUBLE * aspect AS composite,
+                  structure, difference, aspect FROM scored),
+linked AS (SELECT first_id, second_id, composite FROM strong WHERE {_meets(sensitivity)} UNION ALL SELECT look, item_id, 1.0::DOUBLE FROM looks WHERE look <> item_id)
 """
 
 
@@ -200,47 +224,68 @@ def pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar.pair_explain(similar.pair_scores(similar.candidates(placed), placed))
 
 
-def _meets(sensitivity: str) -> str:
-    return " AND ".join(f"{name} >= {least}::DOUBLE" for name, least in images.THRESHOLDS[sensitivity].items())
+def _text_links_of(spark: SparkSession, sf_dir: str, sensitivity: str) -> DataFrame:
+    found = similar.distinct_looks(placed_texts(spark, sf_dir))
+    return similar.links(found, similar.close_looks(found.looks, sensitivity))
 
 
-TIER = "CASE WHEN composite >= 0.93::DOUBLE THEN 'VerySimilar' WHEN composite >= 0.84::DOUBLE THEN 'Similar' ELSE 'LooselySimilar' END"
+@query("relationships_strict", _text_links("Strict") + f"SELECT first_id, second_id, round(composite, 6) AS composite, {TIER} AS tier FROM linked")
+def relationships_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies among the images of the documents."""
+    return _text_links_of(spark, sf_dir, "Strict").select("first_id", "second_id", F.round("composite", 6).alias("composite"), "tier")
 
 
-def _related(spark: SparkSession, sf_dir: str, sensitivity: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    placed = placed_grids(spark, sf_dir)
-    pairs = similar.materialize(similar.candidates(placed))
-    return placed, pairs, similar.relationships(pairs, placed, sensitivity)
+@query("relationships_balanced", _text_links("Balanced") + f"SELECT first_id, second_id, {TIER} AS tier FROM linked")
+def relationships_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _text_links_of(spark, sf_dir, "Balanced").select("first_id", "second_id", "tier")
 
 
-@query("relationships_strict", TEXT_SCORED + f"SELECT first_id, second_id, round(composite, 6) AS composite, {TIER} AS tier FROM strong WHERE {_meets('Strict')}")
-def relationships_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near copies among the images of the documents."""
-    placed = placed_texts(spark, sf_dir)
-    related = similar.relationships(similar.materialize(similar.candidates(placed)), placed, "Strict")
-    return related.select("first_id", "second_id", F.round("composite", 6).alias("composite"), "tier")
+# All pairs of the grids: few of them are equal, so that every image is compared here.
+ALL_SCORED = GRIDS + f""",
+scored AS (SELECT a.item_id AS first_id, b.item_id AS second_id, a.pos AS p, b.pos AS q, {SCORES_SQL} FROM placed a JOIN placed b ON a.pos < b.pos),
+strong AS (SELECT *, {COMPOSITE_SQL} FROM scored)
+"""
+GRID_LOOKS = ALL_SCORED + f""",
+looks AS (SELECT pos, item_id, first_value(pos) OVER (PARTITION BY lum ORDER BY pos) AS look FROM placed),
+linked AS (SELECT strong.* FROM strong JOIN looks a ON a.pos = p JOIN looks b ON b.pos = q WHERE {_meets('Broad')} AND a.look = p AND (b.look = q OR b.look = p))
+"""
 
 
-@query("relationships_balanced", TEXT_SCORED + f"SELECT first_id, second_id, {TIER} AS tier FROM strong WHERE {_meets('Balanced')}")
-def relationships_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = placed_texts(spark, sf_dir)
-    related = similar.relationships(similar.materialize(similar.candidates(placed)), placed, "Balanced")
-    return related.select("first_id", "second_id", "tier")
+def _grid_looks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, similar.Looks, DataFrame]:
+    placed = placed_grids(spark, sf_dir)
+    found = similar.distinct_looks(placed)
+    return placed, found, similar.materialize(similar.close_looks(found.looks, "Broad"))
 
 
-@query("relationships_broad", SCORED + f"SELECT first_id, second_id, {TIER} AS tier FROM strong WHERE {_meets('Broad')}")
+@query("relationships_broad", GRID_LOOKS + f"SELECT first_id, second_id, {TIER} AS tier FROM linked")
 def relationships_broad(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _related(spark, sf_dir, "Broad")[2].select("first_id", "second_id", "tier")
+    _, found, close = _grid_looks(spark, sf_dir)
+    return similar.links(found, close).select("first_id", "second_id", "tier")
 
 
-@query("similar_tiers", SCORED + f"SELECT {TIER} AS tier, count(*) AS pairs FROM strong WHERE {_meets('Broad')} GROUP BY ALL")
+@query("similar_tiers", GRID_LOOKS + f"SELECT {TIER} AS tier, count(*) AS pairs FROM linked GROUP BY ALL")
 def similar_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _related(spark, sf_dir, "Broad")[2].groupBy("tier").agg(F.count(F.lit(1)).alias("pairs"))
+    _, found, close = _grid_looks(spark, sf_dir)
+    return similar.links(found, close).groupBy("tier").agg(F.count(F.lit(1)).alias("pairs"))
+
+
+@query("candidate_recall", _text_links("Balanced").replace("placed AS (SELECT *, row_number() OVER (ORDER BY item_id) - 1 AS pos FROM prints)", TEXT_PAIRS.removeprefix(PRINTS).lstrip(",\n")) + f"""
+SELECT {TIER} AS tier, count(*) AS links, count(cands.first_pos) AS found FROM linked JOIN placed a ON a.item_id = first_id JOIN placed b ON b.item_id = second_id
+LEFT JOIN cands ON cands.first_pos = a.pos AND cands.second_pos = b.pos GROUP BY ALL""")
+def candidate_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per tier: all links, and how many of them the bounded candidate search finds."""
+    placed = placed_texts(spark, sf_dir)
+    found = similar.distinct_looks(placed)
+    every = similar.links(found, similar.close_looks(found.looks, "Balanced")).select("first_pos", "second_pos", "tier")
+    hits = similar.candidates(placed).withColumn("hit", F.lit(True))
+    return every.join(hits, ["first_pos", "second_pos"], "left").groupBy("tier").agg(
+        F.count(F.lit(1)).alias("links"), F.count("hit").alias("found")
+    )
 
 
 # The anchors' turns one after the other: a walk over (anchor, neighbour) in order, with what the anchor has and what is used.
-LINKED = SCORED.replace("WITH raw", "WITH RECURSIVE raw", 1) + f""",
-related AS MATERIALIZED (SELECT a.pos AS p, b.pos AS q, composite FROM strong JOIN placed a ON a.item_id = first_id JOIN placed b ON b.item_id = second_id WHERE {_meets('Broad')}),
+LINKED = ALL_SCORED.replace("WITH raw", "WITH RECURSIVE raw", 1) + f""",
+related AS MATERIALIZED (SELECT p, q, composite FROM strong WHERE {_meets('Broad')}),
 ways AS (SELECT p AS a, q AS b, composite FROM related UNION ALL SELECT q, p, composite FROM related),
 degrees AS (SELECT a, count(*) AS d FROM ways GROUP BY a),
 meeting AS (SELECT DISTINCT x.b AS p, y.b AS q FROM ways x JOIN ways y ON x.a = y.a AND x.b < y.b),
@@ -266,18 +311,17 @@ grouped AS (SELECT h.item_id AS group_id, m.item_id, m.path, tier FROM (SELECT a
 @query("complete_link_groups", LINKED + "SELECT group_id, item_id, path, tier FROM grouped")
 def complete_link_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy groups, with the turns of independent anchors taken together."""
-    placed, _, related = _related(spark, sf_dir, "Broad")
-    groups, members = grouping.complete_link_groups(placed, related, "Broad")
+    placed, found, close = _grid_looks(spark, sf_dir)
+    groups, members = grouping.look_groups(placed, found, close, "Broad")
     return members.join(groups.select("group_id", "tier"), "group_id")
 
 
 @query("similarity_stats", LINKED + """
-SELECT (SELECT count(*) FROM placed) AS eligible, (SELECT count(*) FROM cands) AS candidate_pairs, (SELECT count(*) FROM related) AS relationships,
-       (SELECT count(*) FROM ended) AS groups""")
+SELECT (SELECT count(*) FROM placed) AS eligible, (SELECT count(*) FROM scored) AS candidate_pairs, (SELECT count(*) FROM scored) AS comparisons,
+       (SELECT count(*) FROM related) AS relationships, (SELECT count(*) FROM ended) AS groups""")
 def similarity_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed, pairs, related = _related(spark, sf_dir, "Broad")
-    groups = grouping.complete_link_groups(placed, related, "Broad").groups
-    return similar.similarity_stats(placed, pairs, related, groups)
+    placed, found, close = _grid_looks(spark, sf_dir)
+    return similar.similarity_totals(found, close, grouping.look_groups(placed, found, close, "Broad").groups)
 
 
 @query("image_eligibility", ITEMS + """

@@ -19,9 +19,9 @@ REASON_SQL = """CASE WHEN length < 200 THEN 'BelowMinimumSize' WHEN length > 200
 EXCLUDING_SQL = "CASE WHEN lower(extension) = '.mp3' THEN 'ExtensionExcluded' ELSE " + REASON_SQL + " END"
 
 
-def exact_result(spark: SparkSession, sf_dir: str) -> exact.ExactDuplicates:
+def exact_result(spark: SparkSession, sf_dir: str, funnel: exact.Funnel | None = None) -> exact.ExactDuplicates:
     return exact.find_exact_duplicates(
-        bindings.docs_listing(spark, sf_dir), bindings.docs_content(spark, sf_dir), bindings.docs_digests(spark, sf_dir)
+        bindings.docs_listing(spark, sf_dir), bindings.docs_content(spark, sf_dir), bindings.docs_digests(spark, sf_dir), funnel
     )
 
 
@@ -332,10 +332,11 @@ UNION ALL SELECT 6, 'verified groups', count(*), CAST(coalesce(sum(members * len
 UNION ALL SELECT 7, 'members', CAST(sum(members) AS BIGINT), CAST(coalesce(sum(members * length), 0) AS BIGINT) FROM grps
 UNION ALL SELECT 8, 'reclaimable', CAST(sum(members - 1) AS BIGINT), CAST(coalesce(sum(reclaimable), 0) AS BIGINT) FROM grps""")
 def scan_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = bindings.docs_entries(spark, sf_dir)
-    accepted = eligibility.split_eligible(entries, POLICY).accepted
-    result = exact_result(spark, sf_dir)
-    return exact.scan_funnel(entries, accepted, result, result.items)
+    """Every stage is counted by the run that passes it."""
+    funnel = exact.Funnel()
+    listed = bindings.docs_entries(spark, sf_dir).withColumn("digest", F.lit(None).cast("string"))  # nothing is hashed for its entry
+    accepted = eligibility.split_eligible(funnel.watch(1, "found", listed), POLICY).accepted
+    return funnel.table(accepted, exact_result(spark, sf_dir, funnel))
 
 
 @query("snapshot_changes", MIRROR_RIGHT + """

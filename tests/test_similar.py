@@ -182,6 +182,82 @@ def test_groups_against_a_plain_model(spark, limit):
         assert row["tier"] == ("VerySimilar" if weakest >= 0.93 else "Similar" if weakest >= 0.84 else "LooselySimilar")
 
 
+def complete(spark, rows, sensitivity, tile):
+    placed = similar.with_positions(spark.createDataFrame(rows, PRINTS))
+    found = similar.distinct_looks(placed)
+    close = materialize(similar.close_looks(found.looks, sensitivity, tile))
+    return placed, found, close
+
+
+@pytest.mark.parametrize("sensitivity, tile", [("Strict", 1024), ("Balanced", 7), ("Broad", 32)])
+def test_links_are_those_of_all_pairs(spark, sensitivity, tile):
+    """All pairs by the columns' scores, bit by bit; a third of the images share every hash, and some are copies."""
+    rows = random_prints(random.Random(21), 220, bases=5, noise=9, flat=6)
+    rows += [(1000 + n, f"/j/{n}", *row[2:]) for n, row in enumerate(rows[:30])]
+    placed, found, close = complete(spark, rows, sensitivity, tile)
+    every = similar.candidates_all_pairs(placed, 250)
+    scored = similar.pair_scores(every, placed).filter(images.meets(sensitivity))
+    look = {r["pos"]: r["look"] for r in found.images.collect()}
+    names = ("composite", *similar.SCORES)
+    expected, copies = {}, set()
+    for r in scored.collect():
+        one, other = look[r["first_pos"]], look[r["second_pos"]]
+        if one == other:
+            copies.add((r["first_pos"], r["second_pos"]))
+        elif (r["first_pos"], r["second_pos"]) == (min(one, other), max(one, other)):
+            expected[one, other] = (r["first_id"], r["second_id"], *[r[n] for n in names])
+    got = {(r["first_pos"], r["second_pos"]): (r["first_id"], r["second_id"], *[r[n] for n in names]) for r in close.collect()}
+    assert {tuple(sorted(k)): v for k, v in expected.items()} == got and len(got) > 100
+    linked = similar.links(found, close)
+    equal = {(r["first_pos"], r["second_pos"]) for r in linked.collect()} - set(got)
+    assert equal == {(look[p], p) for p in look if look[p] != p} and equal <= copies
+    assert all(similar.links(found, close).filter(F.col("first_pos") == a).filter(F.col("second_pos") == b).first()["tier"] == "VerySimilar" for a, b in list(equal)[:1])
+    totals = similar.similarity_totals(found, close, spark.range(3)).first()
+    assert totals.asDict() == {"eligible": 250, "candidate_pairs": 250 * 249 // 2, "comparisons": 250 * 249 // 2, "relationships": scored.count(), "groups": 3}
+
+
+@pytest.mark.parametrize("limit", [10_000, 5])
+def test_groups_of_looks_are_those_of_images(spark, limit):
+    rows = random_prints(random.Random(31), 120, bases=4, flat=3)
+    rows += [(1000 + n, f"/i/{random.Random(n).random():.12f}", *row[2:]) for n, row in enumerate(rows[:40])]
+    placed, found, close = complete(spark, rows, "Strict", 16)
+    pairs = similar.pair_scores(similar.candidates_all_pairs(placed, 160), placed).filter(images.meets("Strict"))
+    edges = {(r["first_pos"], r["second_pos"]) for r in pairs.collect()}
+    expected = models.greedy_groups(160, sorted(edges), lambda a, b: (min(a, b), max(a, b)) in edges)
+    prints = found.looks.select("pos", "copies").join(placed.select("pos", "item_id", "path", *images.FINGERPRINT), "pos")
+    assert grouping.complete_link_groups(prints, close, "Strict", limit).groups.count() == len(expected)
+    groups, members = grouping.look_groups(placed, found, close, "Strict")
+    pos = {r["item_id"]: r["pos"] for r in placed.select("item_id", "pos").collect()}
+    got = {}
+    for row in members.collect():
+        got.setdefault(pos[row["group_id"]], []).append(pos[row["item_id"]])
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in expected.items()}
+    assert {pos[r["group_id"]]: r["photos"] for r in groups.collect()} == {k: len(v) for k, v in expected.items()}
+
+
+def test_no_images_and_one_image(spark):
+    for count in (0, 1):
+        placed, found, close = complete(spark, random_prints(random.Random(2), count), "Broad", 4)
+        assert close.isEmpty() and grouping.look_groups(placed, found, close, "Broad").members.isEmpty()
+        assert similar.similarity_totals(found, close, spark.range(0)).first()["eligible"] == count
+
+
+def test_a_hot_look_in_a_third_of_the_images(spark):
+    """5,000 images, a third of them blank: their copies are linked once, and every pair of different looks is found."""
+    rng = random.Random(41)
+    rows = random_prints(rng, 5_000, bases=900, noise=4, flat=1)
+    placed, found, close = complete(spark, rows, "Strict", 512)
+    blank = [n for n, row in enumerate(sorted(rows, key=lambda r: r[1])) if row[2] == -1]
+    assert found.images.filter("pos <> look").count() >= len(blank) - 4  # blank ones differ by aspect
+    sample = placed.filter("pos % 50 = 0").select("pos").collect()
+    looks = {r["pos"] for r in found.looks.select("pos").collect()}
+    got = {(r["first_pos"], r["second_pos"]) for r in close.select("first_pos", "second_pos").collect()}
+    queries = [r["pos"] for r in sample if r["pos"] in looks]
+    pairs = spark.createDataFrame([(min(q, p), max(q, p)) for q in queries for p in looks if p != q], "first_pos long, second_pos long").distinct()
+    hits = {(r[0], r[1]) for r in similar.pair_scores(pairs, placed).filter(images.meets("Strict")).select("first_pos", "second_pos").collect()}
+    assert hits == {pair for pair in got if pair[0] in set(queries) or pair[1] in set(queries)} and hits
+
+
 def test_components(spark):
     chain = [(n, n + 1) for n in range(40)] + [(100, 101), (102, 101), (200, 201)]
     got = grouping.connected_components(spark.createDataFrame(chain, "first_pos long, second_pos long"))

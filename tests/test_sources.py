@@ -3,10 +3,11 @@ import os
 import random
 import struct
 
+import numpy as np
 import pytest
 from duploscope import session
 from duploscope.functions import images, ranking, reduction
-from duploscope.operators import exact
+from duploscope.operators import eligibility, exact, similar
 from duploscope.session import materialize
 from duploscope.sources import files, inventory
 from pyspark.sql import functions as F
@@ -76,6 +77,154 @@ def test_content_in_pieces_and_unlistable_folders(spark, tmp_path, monkeypatch):
     assert files.list_files(spark, [str(tmp_path)]).count() == 3
 
 
+def test_links_are_not_followed(spark, tmp_path):
+    """A folder loop, a link to a file, a hard link, a link to nothing, a pipe and a folder that cannot be listed."""
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "file").write_text("only copy")
+    os.symlink(tmp_path, tmp_path / "d" / "loop")
+    os.symlink(tmp_path / "d" / "file", tmp_path / "link")
+    os.symlink(tmp_path / "nowhere", tmp_path / "dangling")
+    os.link(tmp_path / "d" / "file", tmp_path / "hard")
+    os.mkfifo(tmp_path / "pipe")
+    rows = {r["path"].removeprefix(f"{tmp_path}/"): r for r in files.read_files(spark, [str(tmp_path)]).collect()}
+    assert set(rows) == {"d/file", "d/loop", "link", "dangling", "hard", "pipe"}
+    assert [rows[n]["attributes"] for n in ("d/loop", "link", "dangling", "pipe")] == [["ReparsePoint"]] * 3 + [["IdentityUnavailable"]]
+    assert rows["d/loop"]["is_dir"] and not rows["link"]["is_dir"] and rows["pipe"]["identity"] is None
+    assert rows["d/file"]["identity"] == rows["hard"]["identity"] and rows["hard"]["link_count"] == 2
+    listing = files.read_files(spark, [str(tmp_path)], with_digest=False)
+    for content, digests in ((files.PROOF, files.hash_files), (files.read_file_content, files.hash_files)):
+        found = exact.find_exact_duplicates(listing, content, digests)
+        assert found.groups.isEmpty() and found.skipped.isEmpty() and found.items.count() == 1
+    split = eligibility.split_eligible(listing, eligibility.Policy())
+    assert sorted(r["path"] for r in split.accepted.collect()) == [f"{tmp_path}/d/file", f"{tmp_path}/hard"]
+    reasons = sorted((r["path"].rsplit("/", 1)[1], r["reason"]) for r in split.skipped.collect())
+    assert reasons == [("dangling", "ReparsePoint"), ("link", "ReparsePoint"), ("loop", "ReparsePoint"), ("pipe", "IdentityUnavailable")]
+    nested = files.read_files(spark, [str(tmp_path), str(tmp_path / "d")], with_digest=False)
+    assert nested.count() == len(rows)  # a path that two roots reach is one row
+    through = files.read_files(spark, [str(tmp_path / "d" / "loop")]).collect()
+    assert [(r["path"].rsplit("/", 1)[1], r["attributes"]) for r in through] == [("loop", ["ReparsePoint"])]
+
+
+def test_folders_that_cannot_be_listed_are_rows(spark, tmp_path):
+    rows = files.read_files(spark, [str(tmp_path / "none")]).collect()
+    assert [(r["is_dir"], r["attributes"]) for r in rows] == [(True, ["Inaccessible"])]
+    split = eligibility.split_eligible(files.read_files(spark, [str(tmp_path / "none")]), eligibility.Policy())
+    assert split.accepted.isEmpty() and [tuple(r) for r in split.skipped.collect()] == [(str(tmp_path / "none"), "Inaccessible")]
+
+
+def test_hidden_names(spark, tmp_path):
+    (tmp_path / ".x").write_text("1"), (tmp_path / "y").write_text("2")
+    listing = files.read_files(spark, [str(tmp_path)])
+    assert {r["file_name"]: r["attributes"] for r in listing.collect()} == {".x": ["Hidden"], "y": ["Normal"]}
+    assert eligibility.split_eligible(listing, eligibility.Policy(include_hidden=True)).accepted.count() == 2
+
+
+def proved(listing, during=lambda: None, digests=files.hash_files):
+    """Duplicates of a listing, with something that happens between the digests and the proof."""
+
+    def read(wanted):
+        result = materialize(digests(wanted))
+        during()
+        return result
+
+    found = exact.find_exact_duplicates(listing, files.PROOF, read)
+    name = lambda path: path.rsplit("/", 1)[1]
+    sets = {}
+    for r in found.members.collect():
+        sets.setdefault(r["group_id"], []).append(name(r["path"]))
+    assert len(sets) == found.groups.count()
+    return sorted(map(sorted, sets.values())), sorted((name(r["path"]), r["reason"]) for r in found.skipped.collect())
+
+
+@pytest.mark.parametrize("change, reason", [
+    (lambda p: p.unlink(), "Unavailable"), (lambda p: p.write_bytes(b"longer than it was"), "ChangedDuringAnalysis"),
+    (lambda p: p.write_bytes(b"SAME"), "ChangedDuringAnalysis"), (lambda p: os.replace(p.parent / "other", p), "ChangedDuringAnalysis"),
+])
+def test_a_file_that_goes_or_changes_before_the_proof_isolates_its_set(spark, tmp_path, change, reason):
+    for name in "abcde":
+        (tmp_path / name).write_text("same")
+    for name in ("x1", "x2"):
+        (tmp_path / name).write_text("else")
+    (tmp_path / "other").write_text("spare file")
+    listing = materialize(files.read_files(spark, [str(tmp_path)], with_digest=False))
+    sets, skipped = proved(listing, lambda: change(tmp_path / "c"))
+    assert sets == [["d", "e"], ["x1", "x2"]] and skipped == [(n, reason) for n in "abc"]
+
+
+def test_a_first_that_cannot_be_read_takes_the_next_with_it(spark, tmp_path):
+    for name in "abcd":
+        (tmp_path / name).write_text("same")
+    listing = materialize(files.read_files(spark, [str(tmp_path)], with_digest=False))
+    assert proved(listing, (tmp_path / "a").unlink) == ([["c", "d"]], [("a", "Unavailable"), ("b", "Unavailable")])
+    listing = materialize(files.read_files(spark, [str(tmp_path)], with_digest=False))
+    assert proved(listing, lambda: [(tmp_path / n).unlink() for n in "bcd"]) == ([], [(n, "Unavailable") for n in "bcd"])
+
+
+def test_equal_digests_of_different_files(spark, tmp_path):
+    for name, text in zip("abcdefg", ("11", "22", "11", "33", "22", "11", "44")):
+        (tmp_path / name).write_text(text)
+    one = lambda wanted: files.hash_files(wanted).withColumn("digest", F.lit("one"))
+    listing = materialize(files.read_files(spark, [str(tmp_path)], with_digest=False))
+    assert proved(listing, digests=one) == ([["a", "c", "f"], ["b", "e"]], [])
+
+
+def test_a_file_that_changes_after_the_proof(spark, tmp_path):
+    for name in "abxy":
+        (tmp_path / name).write_text("ab" if name in "ab" else "xy")
+    listing = materialize(files.read_files(spark, [str(tmp_path)], with_digest=False))
+
+    def compare(pairs):
+        result = materialize(files.compare_files(pairs))
+        (tmp_path / "b").write_text("abc")
+        return result
+
+    found = exact.find_exact_duplicates(listing, exact.Proof(compare, files.validate_files), files.hash_files)
+    assert sorted(r["path"].rsplit("/", 1)[1] for r in found.members.collect()) == ["x", "y"] and found.groups.count() == 1
+    assert sorted((r["path"].rsplit("/", 1)[1], r["reason"]) for r in found.skipped.collect()) == [(n, "ChangedDuringAnalysis") for n in "ab"]
+
+
+def test_no_content_is_shuffled(spark, tmp_path):
+    for name in "abc":
+        (tmp_path / name).write_text("same")
+    listing = files.read_files(spark, [str(tmp_path)])
+    pairs = listing.withColumn("first", F.struct(*listing.columns))
+    plan = files.compare_files(pairs)._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan and "binary" not in plan
+
+
+def sequence(reads):
+    """Sets and skipped rows of one bucket, row after row, where rows that cannot be read fail in every comparison."""
+    sets, skipped, current = [], set(), []
+    for position, failing in enumerate(reads):
+        if current and (failing or reads[current[0]]):
+            skipped |= {*current, position}
+            current = []
+        else:
+            current.append(position)
+            if len(current) == 1:
+                sets.append(current)
+    skipped |= {s[0] for s in sets if len(s) == 1 and reads[s[0]]}
+    return [s for s in sets if len(s) > 1 and not skipped & set(s)], skipped
+
+
+def test_unreadable_rows_against_a_plain_model(spark):
+    rng = random.Random(9)
+    cases = [[rng.random() < 0.4 for _ in range(rng.randint(2, 12))] for _ in range(150)]
+    rows = [
+        (case * 100 + p, f"/{case:03}/{p:02}", case, "Unavailable" if bad else None, False, False)
+        for case, reads in enumerate(cases) for p, bad in enumerate(reads)
+    ]
+    members = spark.createDataFrame(rows, "item_id long, path string, group_id long, read_failure string, compare_failed boolean, validate_failed boolean")
+    isolated = exact.isolate_failures(members)
+    got = {}
+    for r in isolated.members.collect():
+        got.setdefault((r["group_id"], r["set_no"]), []).append(r["item_id"] % 100)
+    expected = sorted((case, s) for case, reads in enumerate(cases) for s in sequence(reads)[0])
+    assert sorted((case, sorted(s)) for (case, _), s in got.items()) == expected
+    assert {r["item_id"] for r in isolated.skipped.collect()} == {case * 100 + p for case, reads in enumerate(cases) for p in sequence(reads)[1]}
+    assert {r["reason"] for r in isolated.skipped.collect()} <= {"Unavailable", "ComparisonFailed"}
+
+
 def test_tables_go_with_their_run(spark):
     with session.run_scope(spark):
         table = session.materialize(spark.range(5))
@@ -123,6 +272,49 @@ def test_images_are_reduced_by_area_averages(spark, tmp_path):
     assert files.read_images(spark, [str(tmp_path)], side=None).images.first()["width"] == 200
 
 
+def test_orientation_tags():
+    pixels = np.arange(6, dtype=np.uint8).reshape(2, 3, 1)
+    seen = {1: pixels, 2: np.fliplr(pixels), 3: np.rot90(pixels, 2), 4: np.flipud(pixels), 5: np.fliplr(np.rot90(pixels, -1)),
+            6: np.rot90(pixels, -1), 7: np.fliplr(np.rot90(pixels, 1)), 8: np.rot90(pixels, 1)}
+    for tag, wanted in seen.items():
+        assert np.array_equal(reduction.turned(pixels, tag), wanted)
+        for order in ("little", "big"):
+            assert reduction.orientation(b"\xff\xd8" + b"\xff\xe0\0\x04ab" + exif(tag, order) + b"\xff\xda\0\x02") == tag
+    good = b"\xff\xd8" + exif(6, "big")
+    for broken in (b"", b"\x89PNG", good[:20], b"\xff\xd8\xff\xda" + good[2:], good.replace(b"MM", b"XX"), b"\xff\xd8" + exif(9, "big"), b"\xff\xd8\xff\xe1\0\0" + good):
+        assert reduction.orientation(broken) == 1
+
+
+def exif(tag, order):
+    number = lambda value, size: value.to_bytes(size, order)
+    entries = number(2, 2) + number(256, 2) + number(4, 2) + number(1, 4) + number(9, 4) + number(274, 2) + number(3, 2) + number(1, 4) + number(tag, 2) + b"\0\0"
+    block = b"Exif\0\0" + {"little": b"II", "big": b"MM"}[order] + number(42, 2) + number(8, 4) + entries + number(0, 4)
+    return b"\xff\xe1" + (len(block) + 2).to_bytes(2, "big") + block
+
+
+def test_a_turned_photo_meets_its_original(spark, tmp_path):
+    """A JPEG file stored on its side, with the tag that says so, beside the upright one."""
+    width, height = 32, 24
+    jvm = spark._jvm
+
+    def write(name, w, h, color):
+        image = jvm.java.awt.image.BufferedImage(w, h, 1)
+        for y in range(h):
+            for x in range(w):
+                image.setRGB(x, y, color(x, y))
+        jvm.javax.imageio.ImageIO.write(image, "jpg", jvm.java.io.File(str(tmp_path / name)))
+
+    scene = lambda x, y: (7 * x << 16) + (9 * y << 8) + (200 if x > 20 and y < 9 else 20)
+    write("up.jpg", width, height, scene)
+    write("side.jpg", height, width, lambda x, y: scene(y, height - 1 - x))  # turned clockwise by a quarter: tag 8 turns it back
+    side = (tmp_path / "side.jpg").read_bytes()
+    (tmp_path / "side.jpg").write_bytes(side[:2] + exif(8, "little") + side[2:])
+    placed = similar.with_positions(images.fingerprint(files.read_images(spark, [str(tmp_path)]).images))
+    assert [(r["width"], r["height"]) for r in placed.orderBy("pos").collect()] == [(width, height)] * 2
+    found = similar.distinct_looks(placed)
+    assert similar.close_looks(found.looks, "Strict").count() + found.images.filter("pos <> look").count() == 1
+
+
 def test_tables_as_inventories(spark):
     df = spark.createDataFrame([(7, "/d/x.TXT", "abc")], "id long, name string, body string")
     row = inventory.read_inventory(df, {"item_id": "id", "path": "name", "content": "body", "lang": F.lit("en")}).first()
