@@ -361,6 +361,17 @@ def similarity_totals(found: Looks, close: DataFrame, groups: DataFrame) -> Data
     )
 
 
+def similarity_stats(placed: DataFrame, pairs: DataFrame, related: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row after a bounded candidate search: eligible images, candidate pairs, relationships, groups; see `similarity_totals`."""
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+    rows = (
+        count(placed, "eligible").unionByName(count(pairs, "candidate_pairs"))
+        .unionByName(count(related, "relationships")).unionByName(count(groups, "groups"))
+    )
+    names = ("eligible", "candidate_pairs", "relationships", "groups")
+    return rows.agg(*[F.sum(F.when(F.col("name") == name, F.col("n"))).alias(name) for name in names])
+
+
 SIMILAR_SORTS = ("tier", "photo_count", "activity", "total_size")
 
 
