@@ -293,9 +293,8 @@ def with_digests(items: DataFrame, digests: Reader, funnel: Funnel | None = None
 
     `digests` gets (item_id, path, length) of these and gives (item_id, path, digest) and, where it knows, `failure`.
     """
-    wanted = size_candidates(items)
-    wanted = materialize((funnel.watch(4, "size candidates", wanted) if funnel else wanted).select("item_id", "path", "length"))
-    read = digests(wanted)
+    wanted = size_candidates(items).select("item_id", "path", "length")
+    read = digests(materialize(funnel.watch(4, "size candidates", wanted)) if funnel else wanted)
     if "failure" not in read.columns:
         read = read.withColumn("failure", F.lit(None).cast("string"))
     read = materialize(read.select("item_id", "path", "digest", "failure"))

@@ -5,6 +5,7 @@ order, that reach the thresholds with every image already taken. An anchor's tur
 its connected component, so components of bounded size are each settled in one task. Larger ones,
 which may hold a third of all images, are settled in rounds: every anchor that comes first within
 two steps around it can take its turn at once, because no other anchor touches its neighbours.
+Where all links are known, no scores are needed any more, and a component is settled in one task up to a number of links.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from duploscope.operators.similar import RANK_BLOCK, Looks
 from duploscope.session import materialize
 
 COMPONENT_LIMIT = 2_000  # images settled in one task: some 8 MB of fingerprints
+EDGE_LIMIT = 16_000_000  # links settled in one task, where all are known: some 700 MB
 TURN_SIZE = 64  # candidates of one anchor that are settled together in a round
 
 MEMBERS = "anchor_pos long, pos long"
@@ -141,6 +143,31 @@ def _settle_small(vertices: DataFrame, edges: DataFrame, sensitivity: str) -> Da
     return left.cogroup(right).applyInPandas(_settle_component(sensitivity), MEMBERS)
 
 
+def _settle_links(vertices: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+    """The same where the edges are all pairs that reach the thresholds: whoever is admitted must be a neighbour of all taken before."""
+    vertices = vertices.sort_values("pos")
+    pos, copies = vertices["pos"].to_numpy(), vertices["copies"].to_numpy()
+    ends = [np.searchsorted(pos, edges[name].to_numpy()).astype(np.int32) for name in ("first_pos", "second_pos")]
+    source, target = np.concatenate(ends), np.concatenate(ends[::-1])
+    degrees = np.bincount(source, copies[target], len(pos)).astype(np.int64) + copies - 1
+    order = np.lexsort((target, source))
+    target, bounds = target[order], np.searchsorted(source[order], np.arange(len(pos) + 1))
+    free, found = np.ones(len(pos), bool), []
+    for anchor in np.lexsort((np.arange(len(pos)), -degrees)):
+        common = target[bounds[anchor] : bounds[anchor + 1]]
+        common = common[free[common]]
+        if not free[anchor] or not len(common):
+            continue
+        taken = [anchor]
+        while len(common):
+            row = common[0]
+            taken.append(row)
+            common = np.intersect1d(common[1:], target[bounds[row] : bounds[row + 1]], assume_unique=True)
+        free[taken] = False
+        found += [(pos[anchor], pos[row]) for row in taken]
+    return pd.DataFrame(found, columns=["anchor_pos", "pos"])
+
+
 def _settle_turns(sensitivity: str):
     def settle(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("look_pos").reset_index(drop=True)
@@ -237,13 +264,16 @@ def _with_composite(a: Column, b: Column) -> dict[str, Column]:
 
 
 def complete_link_groups(
-    placed: DataFrame, related: DataFrame, sensitivity: str = "Balanced", component_limit: int = COMPONENT_LIMIT
+    placed: DataFrame, related: DataFrame, sensitivity: str = "Balanced", component_limit: int = COMPONENT_LIMIT,
+    edge_limit: int | None = None, prints: DataFrame | None = None,
 ) -> SimilarGroups:
     """Groups (group_id, representative_id, first_path, photos, tier) and members (group_id, item_id, ...).
 
     `placed` are fingerprints with positions, `related` the pairs from `relationships`. The tier is that of
     the weakest strength between the representative and a member. With a column `copies`, a row stands for so many images of
     equal fingerprints, which are linked with each other and share their links; `photos` counts them, members are the rows.
+    With an `edge_limit`, `related` are known to be all pairs that reach the thresholds: components of so many are settled in one task from
+    their links alone, and no fingerprint is fetched; those of larger ones are in `prints`, or else in `placed`.
     """
     if "copies" not in placed.columns:
         placed = placed.withColumn("copies", F.lit(1).cast("long"))
@@ -253,28 +283,38 @@ def complete_link_groups(
         members = spark.createDataFrame([], MEMBERS)
     else:
         components = connected_components(edges)
-        sizes = components.groupBy("component").agg(F.count(F.lit(1)).alias("_n"))
-        vertices = materialize(components.join(sizes, "component"))
-        fitting = F.col("_n") <= component_limit
-        of_edge = vertices.select(F.col("pos").alias("first_pos"), "component", "_n")
+        of_edge = components.select(F.col("pos").alias("first_pos"), "component")
         labelled = materialize(edges.join(of_edge, "first_pos"))
-        small = placed.join(vertices.filter(fitting).drop("_n"), "pos")
-        members = materialize(_settle_small(small, labelled.filter(fitting), sensitivity))
-        large = labelled.filter(~fitting).select("first_pos", "second_pos")
+        counted = components if edge_limit is None else labelled
+        fitting = F.col("_n") <= (component_limit if edge_limit is None else edge_limit)
+        sizes = materialize(counted.groupBy("component").agg(F.count(F.lit(1)).alias("_n")))
+        fits = sizes.filter(fitting).select("component")
+        small, its_edges = components.join(fits, "component"), labelled.join(fits, "component")
+        if edge_limit is None:
+            settled = _settle_small(placed.join(small, "pos"), its_edges, sensitivity)
+        else:
+            left = placed.select("pos", "copies").join(small, "pos").groupBy("component")
+            right = its_edges.select("component", "first_pos", "second_pos").groupBy("component")
+            settled = left.cogroup(right).applyInPandas(_settle_links, MEMBERS)
+        members = materialize(settled)
+        large = sizes.filter(~fitting).select("component")
         if not large.isEmpty():
-            members = members.unionByName(_settle_large(placed, materialize(large), sensitivity))
+            its_edges = labelled.join(large, "component").select("first_pos", "second_pos")
+            members = members.unionByName(_settle_large(placed if prints is None else prints, materialize(its_edges), sensitivity))
     # whatever is left has no free neighbour: copies of one another are a group of their own
     alone = placed.filter("copies > 1").select("pos").join(members.select("pos"), "pos", "left_anti")
     return _describe(placed, edges, members.unionByName(alone.select(F.col("pos").alias("anchor_pos"), "pos")))
 
 
-def look_groups(placed: DataFrame, found: Looks, close: DataFrame, sensitivity: str = "Balanced") -> SimilarGroups:
+def look_groups(
+    placed: DataFrame, found: Looks, close: DataFrame, sensitivity: str = "Balanced", edge_limit: int = EDGE_LIMIT
+) -> SimilarGroups:
     """Complete-link groups of all images from the links between their looks (`close_looks`); each image of a look is a member.
 
     Equal images reach all thresholds with the same others, so that at every anchor they are taken or refused together.
     """
-    prints = found.looks.select("pos", "copies").join(placed.select("pos", "item_id", "path", *images.FINGERPRINT), "pos")
-    grouped = complete_link_groups(materialize(prints), close, sensitivity)
+    prints = found.looks.select("pos", "copies").join(placed.select("pos", *images.FINGERPRINT), "pos")
+    grouped = complete_link_groups(found.looks, close, sensitivity, edge_limit=edge_limit, prints=prints)
     looks = grouped.members.join(found.looks.select("item_id", F.col("pos").alias("look")), "item_id").select("group_id", "look")
     return SimilarGroups(grouped.groups, found.images.join(looks, "look").select("group_id", "item_id", "path"))
 

@@ -174,12 +174,17 @@ def suppress_nested_groups(found: FolderGroups) -> FolderGroups:
     )
 
 
-def find_duplicate_folders(items: DataFrame, recursive: bool = True) -> FolderGroups:
+def find_duplicate_folders(items: DataFrame, recursive: bool = True, skipped: DataFrame | None = None) -> FolderGroups:
     """Groups of equal folders, without those inside larger equal folders.
 
     Optional boolean columns compare_failed and validate_failed tell of files whose content could not be compared, or that changed
-    before the end: like an unreadable file, such a one takes its folders out.
+    before the end: like an unreadable file, such a one takes its folders out. So does every item of `skipped` (item_id, path), what
+    `find_exact_duplicates` could not judge.
     """
+    if skipped is not None:
+        lost = skipped.select("item_id", "path").distinct().withColumn("_lost", F.lit(True))
+        known = F.when(F.col("_lost").isNull(), F.col("content_key"))
+        items = items.join(lost, ["item_id", "path"], "left").withColumn("content_key", known).drop("_lost")
     for flag in ("compare_failed", "validate_failed"):
         if flag in items.columns:
             items = items.withColumn("content_key", F.when(~F.coalesce(flag, F.lit(False)), F.col("content_key")))

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duploscope.operators import exact
-from duploscope.session import materialize
 from duploscope.sources.inventory import identity_of, read_inventory
 
 EXTENSIONS = ("txt", "JPG", "mp3", "mkv", "zip", "blend")
@@ -84,8 +83,7 @@ def docs_digests(spark: SparkSession, sf_dir: str) -> exact.Reader:
     """Digests of the documents whose lengths occur among the asked ones."""
 
     def read(wanted: DataFrame) -> DataFrame:
-        lengths = materialize(wanted.select("length").distinct())
-        return docs(spark, sf_dir, lengths=lengths).select("item_id", "path", "digest")
+        return docs(spark, sf_dir, lengths=wanted.select("length").distinct()).select("item_id", "path", "digest")
 
     return read
 

@@ -168,7 +168,8 @@ def read_files(spark: SparkSession, roots: Sequence[str], recursive: bool = True
 
 
 def _spread(rows: DataFrame) -> DataFrame:
-    """The rows over as many tasks as their bytes ask for."""
+    """The rows over as many tasks as their bytes ask for; written, as they are summed up first."""
+    rows = materialize(rows)
     total, count = rows.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count(F.lit(1))).first()
     tasks = max(total // TASK_BYTES + 1, min(count, rows.sparkSession.sparkContext.defaultParallelism))
     return rows.repartition(max(1, int(tasks)))

@@ -226,7 +226,7 @@ def test_groups_of_looks_are_those_of_images(spark, limit):
     expected = models.greedy_groups(160, sorted(edges), lambda a, b: (min(a, b), max(a, b)) in edges)
     prints = found.looks.select("pos", "copies").join(placed.select("pos", "item_id", "path", *images.FINGERPRINT), "pos")
     assert grouping.complete_link_groups(prints, close, "Strict", limit).groups.count() == len(expected)
-    groups, members = grouping.look_groups(placed, found, close, "Strict")
+    groups, members = grouping.look_groups(placed, found, close, "Strict", edge_limit=limit)
     pos = {r["item_id"]: r["pos"] for r in placed.select("item_id", "pos").collect()}
     got = {}
     for row in members.collect():
@@ -235,6 +235,23 @@ def test_groups_of_looks_are_those_of_images(spark, limit):
     assert {pos[r["group_id"]]: r["photos"] for r in groups.collect()} == {k: len(v) for k, v in expected.items()}
 
 
+def test_a_long_chain_and_a_dense_component(spark):
+    """Known links of 5,000 images in a row, and of 1,200 of which all but every seventh pair are linked."""
+    chain = spark.range(4_999).selectExpr("id AS first_pos", "id + 1 AS second_pos")
+    dense = spark.range(1_200).selectExpr("10000 + id AS first_pos", "explode(sequence(id + 1, 1200)) AS other").selectExpr("first_pos", "10000 + other AS second_pos")
+    dense = dense.filter("(first_pos * 31 + second_pos * 17) % 7 <> 0 AND second_pos < 11200")
+    edges = materialize(chain.unionByName(dense).withColumn("composite", F.lit(0.95)))
+    prints = spark.range(11_200).filter("id < 5000 OR id >= 10000").selectExpr("id AS pos", "id AS item_id", "concat('/', id) AS path")
+    found = grouping.complete_link_groups(prints, edges, "Strict", edge_limit=grouping.EDGE_LIMIT)
+    pairs = [(r[0], r[1]) for r in edges.select("first_pos", "second_pos").collect()]
+    linked = set(pairs)
+    expected = models.greedy_groups(11_200, pairs, lambda a, b: (min(a, b), max(a, b)) in linked)
+    got = {}
+    for r in found.members.collect():
+        got.setdefault(r["group_id"], []).append(r["item_id"])
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in expected.items()}
+
+
 def test_no_images_and_one_image(spark):
     for count in (0, 1):
         placed, found, close = complete(spark, random_prints(random.Random(2), count), "Broad", 4)

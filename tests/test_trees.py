@@ -131,6 +131,8 @@ def test_a_changed_file_takes_its_folders_out(items):
     for flag in ("validate_failed", "compare_failed"):
         found = trees.find_duplicate_folders(inv.withColumn(flag, F.col("path") == "/B/y"))
         assert set(folder_groups(found)) == {("/A/p", "/B/p")}
+    lost = inv.filter("path = '/B/y'").select("item_id", "path", F.lit("Unavailable").alias("reason"))
+    assert set(folder_groups(trees.find_duplicate_folders(inv, skipped=lost.union(lost)))) == {("/A/p", "/B/p")}
 
 
 def test_roots_without_case_and_an_empty_target(items):
