@@ -113,7 +113,8 @@ class Proof(NamedTuple):
 
 
 def prove_pairs(rows: DataFrame, compare: Reader) -> DataFrame:
-    """Add `content_key`, as `verify_content` does, and `read_failure`, why an item could not be compared.
+    """Add `content_key`, as `verify_content` does, and, unless all items are equal to the first of their digest, `read_failure`: why an item
+    could not be compared.
 
     Every item of a repeated digest is compared with the first of its bucket by path, in the task of the pair; no content is shuffled. Items
     that differ from the first are compared with the first of them, and so on; so are those whose first could not be read, until every
@@ -128,11 +129,13 @@ def prove_pairs(rows: DataFrame, compare: Reader) -> DataFrame:
         first = F.min_by(whole, F.struct(*path_order(), F.col("item_id"))).alias("first")
         firsts = pending.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), first)
         firsts = materialize(firsts.filter("_n > 1") if number == 1 else firsts)
+        if number == 1 and firsts.isEmpty():
+            return rows.withColumn("content_key", F.col("digest"))
         others = pending.join(firsts.select(*key, "first"), key).filter("item_id <> first.item_id OR path <> first.path")
         result = materialize(compare(others.withColumn("_digest", F.col("digest")).withColumn("_length", F.col("length"))))
         if result.filter("state <> 'equal'").isEmpty():
             if number == 1:
-                return rows.withColumn("content_key", F.col("digest")).withColumn("read_failure", F.lit(None).cast("string"))
+                return rows.withColumn("content_key", F.col("digest"))
             open_again = None
         else:
             open_again = result.filter("state IN ('different', 'unproved')").select(
