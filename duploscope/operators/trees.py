@@ -1,7 +1,9 @@
 """Duplicate folders: every folder is the set of (relative path, length, content) below it.
 
 A folder may hold a third of all files, so no folder is collected. Folders meet by an order-free
-fingerprint of their set, and the match is then proved file by file with an equality join.
+fingerprint of their set, and the match is then proved entry by entry with an equality join. In a tree,
+an entry is a file or a folder directly inside, and fingerprints rise level by level: a file counts once,
+however deep it lies.
 """
 
 from __future__ import annotations
@@ -52,6 +54,19 @@ def folder_metrics(folder_files: DataFrame) -> DataFrame:
     )
 
 
+def _fingerprints(*elements: str | Column) -> list[Column]:
+    """Four 64-bit hashes of a row, to be combined by `bit_xor`."""
+    return [F.xxhash64(F.lit(seed), *elements) for seed in range(4)]
+
+
+SHAPE = ["_n", "_h0", "_h1", "_h2", "_h3"]
+LEVELS_AT_ONCE = 4
+
+
+def _all_known(values: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(value).isNotNull() for value in values])
+
+
 def _equal_sets(folder_files: DataFrame, values: Sequence[str]) -> DataFrame:
     """(folder, first_folder) of the folders whose sets of (relative, *values) are equal, proved file by file.
 
@@ -60,14 +75,13 @@ def _equal_sets(folder_files: DataFrame, values: Sequence[str]) -> DataFrame:
     takes a hash collision, are compared among themselves again.
     """
     elements = ["relative", *values]
-    hashes = [F.bit_xor(F.xxhash64(F.lit(seed), *elements)).alias(f"_h{seed}") for seed in range(4)]
-    complete = reduce(lambda a, b: a & b, [F.col(value).isNotNull() for value in values])
+    hashes = [F.bit_xor(value).alias(name) for name, value in zip(SHAPE[1:], _fingerprints(*elements))]
     signatures = (
         folder_files.groupBy("folder")
-        .agg(F.count(F.lit(1)).alias("_n"), F.count_if(complete).alias("_read"), *hashes)
+        .agg(F.count(F.lit(1)).alias("_n"), F.count_if(_all_known(values)).alias("_read"), *hashes)
         .filter("_n = _read")
     )
-    shape = ["_n", *[f"_h{seed}" for seed in range(4)]]
+    shape = SHAPE
     open_folders = materialize(signatures)
     held = None  # files of the folders that have a candidate, written once for all rounds
     proved = []
@@ -108,6 +122,114 @@ def structural_candidates(folder_files: DataFrame) -> DataFrame:
     return _equal_sets(folder_files, ["length"])
 
 
+class Tree(NamedTuple):
+    """Items and folders, each with the folder directly above it."""
+
+    files: DataFrame  # the items, with `folder` and `name`
+    folders: DataFrame  # folder, its root, parent and name (null for a root), and level below the root
+
+
+def _folder_of(path: Column) -> Column:
+    """The folder that directly holds a path with `/` between its segments."""
+    return F.coalesce(F.nullif(F.regexp_replace(path, "/[^/]*$", ""), F.lit("")), F.lit("/"))
+
+
+def _last(path: Column) -> Column:
+    return F.call_function("substring_index", path, F.lit("/"), F.lit(-1))
+
+
+def folder_tree(items: DataFrame) -> Tree | None:
+    """The items below their folders, as written tables; None where a folder has two spellings or lies below two roots, because such a
+    folder is the union of several nodes."""
+    path, top = paths.unified("path"), paths.unified(paths.trim_separators("root"))
+    carried = [name for name in ("identity", "length", "content_key") if name in items.columns]
+    below = F.startswith(F.upper(path), F.concat(F.upper(top), F.lit("/")))
+    files = items.filter(below).select(_folder_of(path).alias("folder"), _last(path).alias("name"), top.alias("root"), *carried)
+    files = materialize(files)
+    chain = F.array_distinct(F.array_append(paths.ancestors("folder", "root"), F.col("folder")))
+    steps = files.select("folder", "root").distinct().select("root", F.posexplode(chain).alias("level", "folder")).distinct()
+    inner = lambda value: F.when(F.col("level") > 0, value)
+    folders = steps.select("folder", "root", "level", inner(_folder_of(F.col("folder"))).alias("parent"), inner(_last(F.col("folder"))).alias("name"))
+    folders = materialize(folders)
+    if not folders.groupBy(F.upper("folder")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").isEmpty():
+        return None
+    return Tree(files.drop("root"), folders)
+
+
+def _signatures(tree: Tree, values: Sequence[str]) -> DataFrame:
+    """(folder, parent, name, shape) of the folders all of whose files are known, from the deepest level upwards.
+
+    A folder's shape is made of its files and of the shapes of the folders inside, so that a level reads only the level below it.
+    """
+    combined = lambda hashes: [F.bit_xor(value).alias(name) for name, value in zip(SHAPE[1:], hashes)]
+    own = tree.files.groupBy("folder").agg(
+        F.count(F.lit(1)).alias("_n"), F.every(_all_known(values)).alias("_known"), *combined(_fingerprints("name", *values))
+    )
+    places = tree.folders.select("folder", "parent", "name", "level")
+    own = materialize(places.join(own, "folder", "left"))
+    levels = own.agg(F.min("level").alias("top"), F.max("level").alias("deepest")).first()
+    if levels["top"] is None:
+        return own.drop("level", "_known")
+    done, pending, inside = [], [], None
+    for level in range(levels["deepest"], levels["top"] - 1, -1):
+        here = own.filter(F.col("level") == level)
+        if inside is not None:
+            entries = inside.filter("parent IS NOT NULL").select(
+                F.col("parent").alias("folder"), "_known",
+                *[value.alias(name) for name, value in zip(SHAPE[1:], _fingerprints(F.lit("/"), "name", *SHAPE))],
+            )
+            entries = entries.groupBy("folder").agg(
+                F.count(F.lit(1)).alias("_n"), F.every("_known").alias("_known"), *combined(F.col(name) for name in SHAPE[1:])
+            )
+            below = entries.withColumnsRenamed({name: f"_of{name}" for name in ("_known", *SHAPE)})
+            here = here.join(below, "folder", "left").select(
+                "folder", "parent", "name",
+                (F.coalesce("_n", F.lit(0)) + F.coalesce("_of_n", F.lit(0))).alias("_n"),
+                (F.coalesce("_known", F.lit(True)) & F.coalesce("_of_known", F.lit(True))).alias("_known"),
+                *[F.coalesce(name, F.lit(0)).bitwiseXOR(F.coalesce(f"_of{name}", F.lit(0))).alias(name) for name in SHAPE[1:]],
+            )
+        inside = here.select("folder", "parent", "name", "_known", *SHAPE, F.lit(level).alias("level"))
+        pending.append(inside)
+        if len(pending) == LEVELS_AT_ONCE or level == levels["top"]:  # a plan does not grow with the depth of the tree
+            done.append(materialize(reduce(DataFrame.unionByName, pending)))
+            pending, inside = [], done[-1].filter(F.col("level") == level)
+    return reduce(DataFrame.unionByName, done).filter("_known").drop("_known", "level")
+
+
+def _equal_trees(tree: Tree, values: Sequence[str]) -> DataFrame | None:
+    """(folder, first_folder) of the folders whose sets of (relative path, *values) are equal; None if hashes collided.
+
+    Each entry of a folder must be in the first folder of its class: a file with equal name and values, a folder with equal name whose
+    class is the same. Where that holds for all folders, it holds for what is inside them as well, from the deepest upwards.
+    """
+    signatures = _signatures(tree, values)
+    classes = signatures.groupBy(*SHAPE).agg(F.count(F.lit(1)).alias("_folders"), F.min("folder").alias("first_folder"))
+    members = materialize(signatures.join(classes.filter("_folders > 1"), SHAPE).select("folder", "parent", "name", "first_folder", "_n"))
+    blank = [F.lit(-1).cast(tree.files.schema[value].dataType).alias(value) for value in values]
+    inside = members.select(F.col("parent").alias("folder"), "name", *blank, F.col("first_folder").alias("_class"))
+    entries = tree.files.select("folder", "name", *values, F.lit("").alias("_class")).unionByName(inside)
+    element = ["name", *values, "_class"]
+    held = materialize(entries.join(members.select("folder", "first_folder", "_n"), "folder"))
+    wanted = held.filter("folder = first_folder").select("first_folder", *element)
+    others = held.filter("folder <> first_folder")
+    matched = others.join(wanted, ["first_folder", *element], "left_semi").groupBy("folder", "_n").agg(F.count(F.lit(1)).alias("_matched"))
+    unequal = members.filter("folder <> first_folder").join(matched.filter("_matched = _n"), "folder", "left_anti")
+    if not unequal.isEmpty():
+        return None
+    return members.select("folder", "first_folder")
+
+
+def equal_folders(items: DataFrame, values: Sequence[str]) -> DataFrame:
+    """(folder, first_folder) of the folders below the items' roots that agree in relative paths and `values`, length or content_key.
+
+    Folders of one spelling and one root, which is what a listing gives, are compared bottom-up; otherwise, and should hashes ever
+    collide, every file is set against each folder above it.
+    """
+    tree = folder_tree(items)
+    found = _equal_trees(tree, values) if tree else None
+    return found if found is not None else _equal_sets(merge_spellings(expand_folders(items)), values)
+
+
 class FolderGroups(NamedTuple):
     groups: DataFrame
     members: DataFrame
@@ -123,6 +245,26 @@ def verified_folder_groups(folder_files: DataFrame) -> FolderGroups:
     return FolderGroups(folder_group_metrics(members, folder_files), members)
 
 
+def tree_groups(items: DataFrame, outermost: bool = False) -> FolderGroups:
+    """`verified_folder_groups` of items with a `content_key`, bottom-up; only `outermost` ones if so asked.
+
+    For the figures, which count identities, a file meets only the member folders above it.
+    """
+    tree = folder_tree(items)
+    found = _equal_trees(tree, ["length", "content_key"]) if tree else None
+    if found is None:
+        groups = verified_folder_groups(merge_spellings(expand_folders(items)))
+        return suppress_nested_groups(groups) if outermost else groups
+    members = found.withColumnRenamed("first_folder", "group_folder")
+    if outermost:
+        members = members.join(_nested(members), "group_folder", "left_anti")
+    above = F.array_distinct(F.array_append(paths.ancestors("folder", "root"), F.col("folder")))
+    reached = tree.folders.select("folder", F.explode(above).alias("_member"))
+    reached = reached.join(members.select(F.col("folder").alias("_member")), "_member")
+    located = tree.files.select("folder", "identity", "length").join(reached, "folder").drop("folder").withColumnRenamed("_member", "folder")
+    return FolderGroups(folder_group_metrics(members, located), members)
+
+
 def folder_group_metrics(members: DataFrame, folder_files: DataFrame) -> DataFrame:
     """Per group: folders, files and bytes of the retained folder, distinct identities, and the bytes of
     those identities that the retained folder does not hold."""
@@ -144,13 +286,12 @@ def folder_group_metrics(members: DataFrame, folder_files: DataFrame) -> DataFra
     return folders.join(metrics, "group_folder")
 
 
-def suppress_nested_groups(found: FolderGroups) -> FolderGroups:
-    """Drop a group when one other group has a folder strictly above each of its folders.
+def _nested(members: DataFrame) -> DataFrame:
+    """Groups all of whose folders lie below folders of one other group.
 
     A folder is in one group only, so each ancestor meets at most one row. The relation is transitive,
     so dropping against all groups equals dropping against those that stay.
     """
-    members = found.members
     above = members.select(
         "group_folder", "folder", F.explode(paths.ancestors(F.upper("folder"), paths.path_root(F.upper("folder")))).alias("_above")
     )
@@ -163,14 +304,15 @@ def suppress_nested_groups(found: FolderGroups) -> FolderGroups:
         .groupBy("group_folder", "_parent")
         .agg(F.count(F.lit(1)).alias("_covered"))
     )
-    nested = (
-        covered.join(found.groups.select("group_folder", "folders"), "group_folder")
-        .filter("_covered = folders")
-        .select("group_folder")
-        .distinct()
-    )
+    sizes = members.groupBy("group_folder").agg(F.count(F.lit(1)).alias("folders"))
+    return covered.join(sizes, "group_folder").filter("_covered = folders").select("group_folder").distinct()
+
+
+def suppress_nested_groups(found: FolderGroups) -> FolderGroups:
+    """Drop a group when one other group has a folder strictly above each of its folders."""
+    nested = _nested(found.members)
     return FolderGroups(
-        found.groups.join(nested, "group_folder", "left_anti"), members.join(nested, "group_folder", "left_anti")
+        found.groups.join(nested, "group_folder", "left_anti"), found.members.join(nested, "group_folder", "left_anti")
     )
 
 
@@ -188,6 +330,8 @@ def find_duplicate_folders(items: DataFrame, recursive: bool = True, skipped: Da
     for flag in ("compare_failed", "validate_failed"):
         if flag in items.columns:
             items = items.withColumn("content_key", F.when(~F.coalesce(flag, F.lit(False)), F.col("content_key")))
+    if recursive:
+        return tree_groups(items, outermost=True)
     return suppress_nested_groups(verified_folder_groups(merge_spellings(expand_folders(items, recursive))))
 
 

@@ -192,14 +192,14 @@ def mirror_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.unionByName(right)
 
 
-def _order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber", "l_returnflag")
     return lines.agg(F.min("l_linestatus").alias("status"))
 
 
-def order_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_content(files: DataFrame) -> DataFrame:
     """The bytes behind `order_trees`."""
-    return _order_files(spark, sf_dir).select(
+    return files.select(
         F.xxhash64("l_orderkey", "l_linenumber", "l_returnflag").alias("item_id"),
         F.octet_length("status").cast("long").alias("length"),
         F.sha2("status", 256).alias("digest"),
@@ -207,9 +207,8 @@ def order_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def order_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`lineitem` as one folder per order with a small file per line and return flag."""
-    lines = _order_files(spark, sf_dir)
+def order_trees(lines: DataFrame) -> DataFrame:
+    """`order_files` as one folder per order with a small file per line and return flag."""
     name = F.concat(F.col("l_linenumber").cast("string"), F.col("l_returnflag"))
     return read_inventory(
         lines,

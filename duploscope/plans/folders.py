@@ -24,7 +24,8 @@ def _twins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of `order_trees`, proved on their bytes."""
-    return _proved(bindings.order_trees(spark, sf_dir), bindings.order_content(spark, sf_dir))
+    files = materialize(bindings.order_files(spark, sf_dir))
+    return _proved(bindings.order_trees(files), bindings.order_content(files))
 
 
 DOC_FOLDERS = DOCS + """,
@@ -58,20 +59,20 @@ shapes AS (SELECT folder, string_agg(rel, '|' ORDER BY rel) AS shape, string_agg
 @query("structural_candidates", ORDERS + """
 SELECT folder, min(folder) OVER (PARTITION BY shape) AS first_folder FROM shapes QUALIFY count(*) OVER (PARTITION BY shape) > 1""")
 def structural_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trees.structural_candidates(trees.expand_folders(_orders(spark, sf_dir)))
+    return trees.equal_folders(_orders(spark, sf_dir), ["length"])
 
 
 @query("duplicate_trees", ORDERS + """
 SELECT folder, min(folder) OVER (PARTITION BY tree) AS group_folder FROM shapes QUALIFY count(*) OVER (PARTITION BY tree) > 1""")
 def duplicate_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trees.verified_folder_groups(trees.expand_folders(_orders(spark, sf_dir))).members
+    return trees.tree_groups(_orders(spark, sf_dir)).members
 
 
 @query("tree_reclaimable", ORDERS + """
 SELECT min(folder) AS group_folder, count(*) AS folders, min(n) AS logical_files, CAST(sum(n) AS BIGINT) AS distinct_identities, min(n) AS total_bytes,
        CAST(sum(n) - min(n) AS BIGINT) AS reclaimable FROM shapes GROUP BY tree HAVING count(*) > 1""")
 def tree_reclaimable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trees.verified_folder_groups(trees.expand_folders(_orders(spark, sf_dir))).groups
+    return trees.tree_groups(_orders(spark, sf_dir)).groups
 
 
 TWINS = """

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from duploscope.operators import compare, exact, trees
 from duploscope.sources import reports
@@ -154,3 +156,62 @@ def test_one_target_may_serve_many_masters(items):
     result = compare.compare_master(everything.filter("root = '/m'"), everything.filter("root = '/t'"), "/m", ["/t"])
     assert {(r["status"], r["compared_count"]) for r in result.rows.collect()} == {("MovedRenamedExactMatch", 30)}
     assert result.rows.count() == 20 and result.match_sets.count() == 30
+
+
+def bottom_up_and_expanded(inv):
+    """The groups found bottom-up, which must have been possible, and those of files set against all folders above them."""
+    assert trees.folder_tree(inv) is not None
+    return folder_groups(trees.tree_groups(inv)), folder_groups(trees.verified_folder_groups(trees.expand_folders(inv)))
+
+
+def test_trees_bottom_up_equal_trees_by_all_ancestors(items):
+    """Random trees with copied, changed and unreadable parts, aliases, files and folders of one name at several depths."""
+    draw = random.Random(11)
+    files = {}
+    for root in ("/A", "/B", "/Cc"):
+        for _ in range(14):
+            place = "/".join(draw.choice(("p", "q", "rr")) for _ in range(draw.randint(0, 3)))
+            files[f"{root}/{place}/{draw.choice('xy')}".replace("//", "/")] = draw.choice(("1", "1", "22"))
+    copied = {path.replace("/A/", "/D/e/f/", 1): content for path, content in files.items() if path.startswith("/A/")}
+    taken = {path for path in files for other in files if other.startswith(path + "/")}  # a file is no folder
+    rows = [(path, content, (1, n // 2, 0)) for n, (path, content) in enumerate({**files, **copied}.items()) if path not in taken]
+    inv = items(rows)
+    inv = inv.withColumn("content_key", F.when(F.xxhash64("path") % 13 != 0, F.col("content_key")))
+    bottom_up, expanded = bottom_up_and_expanded(inv)
+    assert bottom_up == expanded and bottom_up
+    kept = trees.suppress_nested_groups(trees.verified_folder_groups(trees.expand_folders(inv)))
+    assert folder_groups(trees.find_duplicate_folders(inv)) == folder_groups(kept)
+    shapes = {tuple(r) for r in trees.structural_candidates(trees.expand_folders(inv)).collect()}
+    assert {tuple(r) for r in trees.equal_folders(inv, ["length"]).collect()} == shapes
+
+
+def test_a_tree_from_the_top_and_empty_trees(inventory):
+    rows = [{"path": path, "content": content, "root": "/"} for path, content in [("/x", "1"), ("/a/x", "1"), ("/b/x", "1"), ("/b/c/d/x", "1")]]
+    inv = exact.verify_content(inventory(rows), None)
+    bottom_up, expanded = bottom_up_and_expanded(inv)
+    assert bottom_up == expanded == {("/a", "/b/c/d"): (2, 1, 2, 1, 1)}
+    assert folder_groups(trees.find_duplicate_folders(inv.limit(0))) == {}
+    assert trees.equal_folders(inv.limit(0), ["length"]).count() == 0
+
+
+def test_folders_of_two_roots_or_colliding_hashes_are_still_found(items, inventory, monkeypatch):
+    files = [("/A/p/x", "1"), ("/A/p/y", "2"), ("/B/p/x", "1"), ("/B/p/y", "2"), ("/C/p/x", "2"), ("/C/p/y", "1"), ("/C/q", "3")]
+    rows = [{"path": path, "content": content, "root": "/A/p" if path == "/A/p/y" else path[:2]} for path, content in files]
+    inside = exact.verify_content(inventory(rows), None)  # y of /A/p is not below /A
+    assert trees.folder_tree(inside) is None
+    assert set(folder_groups(trees.find_duplicate_folders(inside))) == {("/A/p", "/B/p")}
+    weak = lambda *elements: [F.lit(0).cast("long") + 0 * F.xxhash64(*elements).bitwiseAND(1) for _ in range(4)]
+    monkeypatch.setattr(trees, "_fingerprints", weak)
+    inv = items(files)
+    assert trees._equal_trees(trees.folder_tree(inv), ["length", "content_key"]) is None
+    assert set(folder_groups(trees.find_duplicate_folders(inv))) == {("/A", "/B")}
+
+
+def test_no_file_is_repeated_for_the_folders_above_it(items):
+    """What is written and shuffled of the files does not grow with their depth."""
+    deep = "/".join("d" * 7)
+    inv = items([(f"/{root}/{deep}/{n}", str(n)) for root in "AB" for n in range(20)])
+    tree = trees.folder_tree(inv)
+    assert tree.files.count() == 40 and tree.folders.count() == 2 * 8
+    found = trees.find_duplicate_folders(inv)
+    assert folder_groups(found) == {("/A", "/B"): (2, 20, 40, 30, 30)}
