@@ -235,6 +235,34 @@ def test_groups_of_looks_are_those_of_images(spark, limit):
     assert {pos[r["group_id"]]: r["photos"] for r in groups.collect()} == {k: len(v) for k, v in expected.items()}
 
 
+@pytest.mark.parametrize("sensitivity, limit", [("Strict", grouping.PRINT_LIMIT), ("Broad", grouping.PRINT_LIMIT), ("Strict", 2_000)])
+def test_groups_from_counts_are_those_from_pairs(spark, sensitivity, limit):
+    """No pair is written, in one task for each component and, with the small limit, in rounds; a third of the images share every hash."""
+    rows = random_prints(random.Random(51), 160, bases=4, noise=9, flat=3)
+    rows += [(1000 + n, f"/i/{random.Random(n).random():.12f}", *row[2:]) for n, row in enumerate(rows[:40])]
+    placed, found, close = complete(spark, rows, sensitivity, 32)
+    counts = materialize(similar.close_counts(found.looks, sensitivity, 32))
+    plain = lambda df: sorted(map(tuple, df.collect()))
+    pairs, counted = (grouping.look_groups(placed, found, table, sensitivity, print_limit=limit) for table in (close, counts))
+    assert plain(pairs.members) == plain(counted.members) and plain(pairs.groups) == plain(counted.groups) and pairs.groups.count() > 3
+
+
+def test_a_dense_component_is_settled_without_its_pairs(spark):
+    """1,500 images of which most pairs are linked: one row for each look, tier and tile, and the greedy groups."""
+    rows = [(*row[:-1], 1.0) for row in random_prints(random.Random(61), 1_500, bases=1, noise=30)]
+    placed, found, close = complete(spark, rows, "Broad", 512)
+    edges = [(r[0], r[1]) for r in close.select("first_pos", "second_pos").collect()]
+    counts = materialize(similar.close_counts(found.looks, "Broad", 512))
+    assert len(edges) > 500_000 and counts.count() <= 1_500 * 3 * 3
+    linked = set(edges)
+    expected = models.greedy_groups(1_500, edges, lambda a, b: (min(a, b), max(a, b)) in linked)
+    pos = {r["item_id"]: r["pos"] for r in placed.select("item_id", "pos").collect()}
+    got = {}
+    for row in grouping.look_groups(placed, found, counts, "Broad").members.collect():
+        got.setdefault(pos[row["group_id"]], []).append(pos[row["item_id"]])
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in expected.items()}
+
+
 def test_a_long_chain_and_a_dense_component(spark):
     """Known links of 5,000 images in a row, and of 1,200 of which all but every seventh pair are linked."""
     chain = spark.range(4_999).selectExpr("id AS first_pos", "id + 1 AS second_pos")
