@@ -1,6 +1,7 @@
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from duploscope.functions import images
 from duploscope.operators import grouping, similar
@@ -74,6 +75,16 @@ def test_fingerprints_against_a_plain_model(spark):
         assert row["aspect"] == w / h
 
 
+def test_a_batch_is_described_in_parts(spark, monkeypatch):
+    """However many images Spark puts into a batch, numbers are made for a few of them at a time."""
+    kept = {}
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda df, work, schema: kept.update(work=work, batches=df.toArrow().to_batches()) or df)
+    fingerprints(spark, [(f"n{n}", scene("bands", 3, 2, shift=n % 50)) for n in range(600)])
+    whole = pa.Table.from_batches(kept["batches"]).combine_chunks().to_batches()
+    parts = [part.num_rows for part in kept["work"](iter(whole))]
+    assert len(whole) == 1 and sum(parts) == 600 and max(parts) <= images.DESCRIBED < 600
+
+
 def test_variants_of_one_scene_are_grouped(spark):
     placed, related, found = analyze(spark, list({**RELATED, **OTHERS}.items()), "Balanced")
     grouped = {path for paths in member_sets(found) for path in paths}
@@ -144,6 +155,19 @@ def test_candidates_against_a_plain_model(spark):
     assert per_image <= 65
 
 
+def test_pairs_that_share_many_segments_come_once_without_being_told_apart(spark):
+    """No aggregation of pairs, which would hold as many in a task as there are."""
+    rows = random_prints(random.Random(9), 200, bases=2, flat=2)
+    placed = similar.with_positions(spark.createDataFrame(rows, PRINTS))
+    every = similar.segment_candidates(placed, newest=None, best=None)
+    assert "keys=[first_pos" not in every._jdf.queryExecution().toString()
+    got = [(r["first_pos"], r["second_pos"], r["shared"]) for r in every.collect()]
+    ordered = [r.asDict() for r in placed.orderBy("pos").collect()]
+    parts = [models.segments(row) for row in ordered]
+    pairs = models.segment_candidates(ordered, bucket_size=10**6, best=10**6)
+    assert sorted(got) == sorted((a, b, sum(x == y for x, y in zip(parts[a], parts[b]))) for a, b in pairs) and len(got) > 500
+
+
 def test_all_pairs_of_small_collections(spark):
     rows = random_prints(random.Random(8), 40)
     placed = similar.with_positions(spark.createDataFrame(rows, PRINTS))
