@@ -8,6 +8,7 @@ however deep it lies.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 from typing import NamedTuple
@@ -61,6 +62,8 @@ def _fingerprints(*elements: str | Column) -> list[Column]:
 
 SHAPE = ["_n", "_h0", "_h1", "_h2", "_h3"]
 LEVELS_AT_ONCE = 4
+TASK_ROWS = 500_000  # entries that a task of a join holds: their number grows with the entries, not what a task needs
+HOT_CLASS = 100_000  # folders of a class whose entries stay together
 
 
 def _all_known(values: Sequence[str]) -> Column:
@@ -196,6 +199,15 @@ def _signatures(tree: Tree, values: Sequence[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, done).filter("_known").drop("_known", "level")
 
 
+def _classed(signatures: DataFrame, classes: DataFrame) -> DataFrame:
+    """Folders with the class of their shape. Classes of very many folders, of which there are few, come to the folders, so that these do not meet in one task."""
+    hot = F.broadcast(classes.filter(F.col("_folders") > HOT_CLASS))
+    common = signatures.join(hot, SHAPE)
+    others = signatures.join(hot, SHAPE, "left_anti").join(classes.filter(F.col("_folders") <= HOT_CLASS), SHAPE)
+    columns = ["folder", "parent", "name", "first_folder", "_n", "_folders"]
+    return common.select(columns).unionByName(others.select(columns))
+
+
 def _equal_trees(tree: Tree, values: Sequence[str]) -> DataFrame | None:
     """(folder, first_folder) of the folders whose sets of (relative path, *values) are equal; None if hashes collided.
 
@@ -204,15 +216,26 @@ def _equal_trees(tree: Tree, values: Sequence[str]) -> DataFrame | None:
     """
     signatures = _signatures(tree, values)
     classes = signatures.groupBy(*SHAPE).agg(F.count(F.lit(1)).alias("_folders"), F.min("folder").alias("first_folder"))
-    members = materialize(signatures.join(classes.filter("_folders > 1"), SHAPE).select("folder", "parent", "name", "first_folder", "_n"))
+    members = materialize(_classed(signatures, materialize(classes.filter("_folders > 1"))))
     blank = [F.lit(-1).cast(tree.files.schema[value].dataType).alias(value) for value in values]
     inside = members.select(F.col("parent").alias("folder"), "name", *blank, F.col("first_folder").alias("_class"))
     entries = tree.files.select("folder", "name", *values, F.lit("").alias("_class")).unionByName(inside)
     element = ["name", *values, "_class"]
-    held = materialize(entries.join(members.select("folder", "first_folder", "_n"), "folder"))
-    wanted = held.filter("folder = first_folder").select("first_folder", *element)
-    others = held.filter("folder <> first_folder")
-    matched = others.join(wanted, ["first_folder", *element], "left_semi").groupBy("folder", "_n").agg(F.count(F.lit(1)).alias("_matched"))
+    sizes = materialize(entries.groupBy("folder").agg(F.count(F.lit(1)).alias("_entries")))
+    parts = max(1, math.ceil((sizes.agg(F.sum("_entries")).first()[0] or 0) / TASK_ROWS))
+    wide = F.broadcast(sizes.filter(F.col("_entries") > TASK_ROWS).select("folder"))  # few folders, whose entries stay where they are
+    holders = members.select("folder", "first_folder", "_n", "_folders")
+    narrow = entries.join(wide, "folder", "left_anti").repartition(parts, "folder").join(holders.repartition(parts, "folder"), "folder")
+    held = narrow.unionByName(entries.join(F.broadcast(holders.join(wide, "folder")), "folder"))
+    # the entries of a class that many folders share are dealt to several tasks, each with those of the first folder
+    shares = F.ceil(F.col("_folders") / HOT_CLASS).cast("int")
+    held = materialize(held.withColumn("_shares", shares).drop("_folders"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)).alias("_share")
+    wanted = held.filter("folder = first_folder").select("first_folder", *element, every)
+    others = held.filter("folder <> first_folder").withColumn("_share", F.pmod(F.xxhash64("folder"), F.col("_shares")).cast("int"))
+    key = ["first_folder", *element, "_share"]
+    matched = others.repartition(parts, *key).join(wanted.repartition(parts, *key), key, "left_semi")
+    matched = matched.groupBy("folder", "_n").agg(F.count(F.lit(1)).alias("_matched"))
     unequal = members.filter("folder <> first_folder").join(matched.filter("_matched = _n"), "folder", "left_anti")
     if not unequal.isEmpty():
         return None
