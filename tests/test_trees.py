@@ -215,3 +215,16 @@ def test_no_file_is_repeated_for_the_folders_above_it(items):
     assert tree.files.count() == 40 and tree.folders.count() == 2 * 8
     found = trees.find_duplicate_folders(inv)
     assert folder_groups(found) == {("/A", "/B"): (2, 20, 40, 30, 30)}
+
+
+def test_wide_folders_and_common_classes(inventory, monkeypatch):
+    """The entries of a folder above the bound stay where they are, those of a class above it are dealt to several tasks."""
+    files = [{"path": f"/r/{n}/{name}", "length": n % 4} for n in range(60) for name in ("a", "b")]
+    files += [{"path": f"/r/{top}/f{n}", "length": 1} for top in ("x", "y") for n in range(30)] + [{"path": "/r/z/f0", "length": 1}]
+    items = inventory(files, root="/r")
+    plain = sorted(map(tuple, trees.equal_folders(items, ["length"]).collect()))
+    monkeypatch.setattr(trees, "TASK_ROWS", 10)
+    monkeypatch.setattr(trees, "HOT_CLASS", 4)
+    found = trees.equal_folders(items, ["length"])
+    assert sorted(map(tuple, found.collect())) == plain and len(plain) == 62
+    assert {tuple(r) for r in found.filter("folder IN ('/r/x', '/r/y', '/r/5')").collect()} == {("/r/x", "/r/x"), ("/r/y", "/r/x"), ("/r/5", "/r/1")}
