@@ -271,6 +271,37 @@ def test_groups_from_counts_are_those_from_pairs(spark, sensitivity, limit):
     assert plain(pairs.members) == plain(counted.members) and plain(pairs.groups) == plain(counted.groups) and pairs.groups.count() > 3
 
 
+def counted(spark):
+    rows = random_prints(random.Random(71), 120, bases=4, noise=9, flat=3)
+    rows += [(1000 + n, f"/j/{n}", *row[2:]) for n, row in enumerate(rows[:50])]
+    placed, found, close = complete(spark, rows, "Balanced", 32)
+    return found, close, materialize(similar.close_counts(found.looks, "Balanced", 32))
+
+
+def test_totals_from_counts(spark):
+    found, close, counts = counted(spark)
+    totals = [similar.similarity_totals(found, table, spark.range(3)).first() for table in (close, counts)]
+    assert totals[0] == totals[1] and totals[0]["relationships"] > close.count() > 100
+
+
+def test_tiers_from_counts(spark):
+    found, close, counts = counted(spark)
+    expected = similar.links(found, close).groupBy("tier").agg(F.count(F.lit(1)).alias("pairs"))
+    got = sorted(map(tuple, similar.links_by_tier(found, counts).collect()))
+    assert got == sorted(map(tuple, expected.collect())) and len(got) > 1
+
+
+def test_blocks_grow_with_the_looks():
+    """What is shuffled, each block once for each of its tiles, grows with the looks and not with their square."""
+    sizes = {n: similar.block_size(n) for n in (10, 49_152, 98_304, 491_520, 10**7)}
+    assert sizes == {10: 1024, 49_152: 1024, 98_304: 2048, 491_520: 10_240, 10**7: 16_384}
+
+
+def test_a_print_takes_a_byte_for_a_level(spark):
+    placed = similar.with_positions(fingerprints(spark, [("a", scene("bands", 9, 7)), ("b", scene("slope", 9, 7))]))
+    assert [len(r["print"]) for r in similar.distinct_looks(placed).looks.collect()] == [6 * 8 + 8 + 2 * 256 + 12 * 2] * 2
+
+
 def test_a_dense_component_is_settled_without_its_pairs(spark):
     """1,500 images of which most pairs are linked: one row for each look, tier and tile, and the greedy groups."""
     rows = [(*row[:-1], 1.0) for row in random_prints(random.Random(61), 1_500, bases=1, noise=30)]
