@@ -335,6 +335,17 @@ def test_ranks_and_running_counts(spark):
     assert {r["k"]: r["n"] for r in counted.collect()} == expected
 
 
+def test_a_rank_shuffles_its_rows_once(spark):
+    """What is read back is the written table, with a small table of offsets beside it: no window and no further shuffle of the rows."""
+    df = spark.range(1000).selectExpr("(id * 7919) % 1000 as k", "if(id % 3 = 0, null, id % 50) as g").repartition(7)
+    ranked = ranking.global_rank(df, [F.col("g").desc(), F.col("k")], "rank")
+    plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan and "_offset" in plan
+    expected = sorted(df.collect(), key=lambda r: (r["g"] is None, -(r["g"] or 0), r["k"]))
+    assert [(r["g"], r["k"]) for r in ranked.orderBy("rank").collect()] == [(r["g"], r["k"]) for r in expected]
+    assert ranked.columns == ["k", "g", "rank"]
+
+
 class StubSession:
     """A session of a given master and settings, as far as `shared_dir` looks."""
 
