@@ -335,6 +335,62 @@ def test_a_long_chain_and_a_dense_component(spark):
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in expected.items()}
 
 
+@pytest.mark.parametrize("count, reach, run", [(1, 1, 8), (7, 7, 2), (48, 48, 8), (188, 13, 8), (100, 100, 8)])
+def test_each_tile_is_in_one_task(spark, count, reach, run):
+    """However many blocks there are, a block goes to the groups that it meets, of which there are up to 48, and not to all its tiles."""
+    tiles = [(one, other) for one in range(count) for other in range(one, min(count, one + reach))]
+    shares = similar._shares(spark.createDataFrame(tiles, "one long, other long"), count, run).collect()
+    met, held = [], {}
+    for r in sorted(shares, key=lambda r: (r["task"], r["role"], r["block"])):
+        if r["role"] == 0:
+            held.setdefault(r["task"], set()).add(r["block"])
+        assert set(r["partners"]) <= held[r["task"]]
+        met += [tuple(sorted((partner, r["block"]))) for partner in r["partners"]]
+    assert sorted(met) == tiles
+    tasks = {r["task"] for r in shares}
+    assert tasks == set(range(len(tasks))) and max(sum(r["task"] == task and r["role"] for r in shares) for task in tasks) <= run
+    assert len(shares) <= count * (1 + 48 / run + min(reach, 48, 1 + reach / math.ceil(count / 48)))
+
+
+def grids(rng, count):
+    """Prints of which the centre is the whole, all of one aspect and histogram."""
+    rows = random_prints(rng, count, bases=3, noise=30)
+    rows = [(*row[:10], [0] * 12, 1.0) for row in rows]
+    return rows + [(1000 + n, f"/i/{rng.random():.12f}", *row[2:]) for n, row in enumerate(rows[:30])]
+
+
+@pytest.mark.parametrize("sensitivity, tile", [("Strict", 3), ("Broad", 64)])
+def test_grids_are_compared_by_bounds(spark, sensitivity, tile):
+    """Links, counts and groups of prints that share aspect and histogram are those by the columns' scores; small tiles make groups of blocks."""
+    placed, found, close = complete(spark, grids(random.Random(81), 160), sensitivity, tile)
+    looks = found.looks.select("pos", "copies")
+    scored = similar.pair_scores(similar.candidates_all_pairs(placed, 190), placed).filter(images.meets(sensitivity))
+    scored = scored.join(looks.select(F.col("pos").alias("first_pos")), "first_pos").join(looks.select(F.col("pos").alias("second_pos")), "second_pos")
+    names = ("first_pos", "second_pos", "first_id", "second_id", *similar.SCORES, "composite")
+    assert sorted(map(tuple, scored.select(*names).collect())) == sorted(map(tuple, close.select(*names).collect())) and close.count() > 100
+    counts = materialize(similar.close_counts(found.looks, sensitivity, tile))
+    plain = lambda df: sorted(map(tuple, df.collect()))
+    expected = similar.links(found, close).groupBy("tier").agg(F.count(F.lit(1)).alias("pairs"))
+    assert plain(similar.links_by_tier(found, counts)) == plain(expected)
+    pairs, counted = (grouping.look_groups(placed, found, table, sensitivity) for table in (close, counts))
+    assert plain(pairs.members) == plain(counted.members) and plain(pairs.groups) == plain(counted.groups) and pairs.groups.count() > 3
+    slim = similar.close_looks(found.looks, sensitivity, tile, scores=())
+    assert slim.columns == ["first_pos", "second_pos", "first_id", "second_id", "composite"]
+    assert plain(similar.links(found, slim)) == plain(similar.links(found, close).select(*slim.columns, "tier"))
+
+
+def test_bounds_are_where_scores_change():
+    for sensitivity, limits in images.THRESHOLDS.items():
+        bounds = images._bounds(sensitivity, 64)
+        for bits, average in ((0, 0), (20, 3), (44, 20), (56, 9), (64, 32), (128, 64)):
+            for least, bound in zip((0.0, *sorted(images.TIERS.values())), bounds[:, bits * 65 + average]):
+                for apart in {max(0, bound), bound + 1}:
+                    scores = {"structure": 1 - apart / 64 / 255.0, "difference": 1 - bits / 128.0, "average": 1 - average / 64.0, "color": 1.0, "aspect": 1.0}
+                    scores["composite"] = sum(weight * scores[name] for name, weight in images.WEIGHTS.items())
+                    met = all(scores[name] >= limit for name, limit in limits.items()) and scores["composite"] >= least
+                    assert met == (apart <= bound)
+
+
 def test_no_images_and_one_image(spark):
     for count in (0, 1):
         placed, found, close = complete(spark, random_prints(random.Random(2), count), "Broad", 4)
