@@ -240,6 +240,18 @@ def test_links_are_those_of_all_pairs(spark, sensitivity, tile):
     assert totals.asDict() == {"eligible": 250, "candidate_pairs": 250 * 249 // 2, "comparisons": 250 * 249 // 2, "relationships": scored.count(), "groups": 3}
 
 
+@pytest.mark.parametrize("chunk", [similar.COPIES, 3])
+def test_links_of_images_have_every_pair_of_copies(spark, chunk):
+    rows = random_prints(random.Random(81), 60, bases=4, noise=9, flat=3)
+    rows += [(1000 + n, f"/{'ak'[n % 2]}/{n}", *rows[n % 12][2:]) for n in range(50)]
+    placed, found, close = complete(spark, rows, "Broad", 16)
+    scored = similar.pair_scores(similar.candidates_all_pairs(placed, 110), placed).filter(images.meets("Broad")).withColumn("tier", images.tier("composite"))
+    names = ("first_pos", "second_pos", "first_id", "second_id", "tier")
+    plain = lambda df: sorted(map(tuple, df.select(*names).collect()))
+    got = plain(similar.links_of_images(found, close, chunk))
+    assert got == plain(scored) and len(got) > similar.links(found, close).count()
+
+
 @pytest.mark.parametrize("limit", [10_000, 5])
 def test_groups_of_looks_are_those_of_images(spark, limit):
     rows = random_prints(random.Random(31), 120, bases=4, flat=3)
